@@ -6,18 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import format_chats, parameter_table
 from .decontamination import contamination
 from .jaccard_join import jaccard_components
 from .packing import pack
 from .quality_rules import line_rules
 from .shared import table
 from .token_counts import token_counts
+from .url_filters import filter_urls, rule_table
+
+#: The tools that conversations may call: kind of each parameter, and whether it must be given.
+TOOLS = {
+    "search": {"query": ("string", True), "limit": ("integer", False)},
+    "fetch": {"url": ("string", True), "timeout": ("number", False)},
+    "calculate": {"expression": ("string", True)},
+}
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"), parameter_table(spark, TOOLS))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -34,11 +48,17 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_quality_rules": op5_quality_rules,
     "op7_token_counts": op7_token_counts,
     "op9_packing": op9_packing,
+    "op10_url_filters": op10_url_filters,
 }
 SQL: dict[str, str] = {}
