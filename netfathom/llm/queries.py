@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat_format import format_chats, parameter_table
 from .decontamination import contamination
 from .jaccard_join import jaccard_components
+from .language_id import held_out, identify, learn
 from .packing import pack
 from .quality_rules import line_rules
 from .shared import table
@@ -40,6 +41,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = learn(docs.where(~held_out(docs["doc_id"])))
+    return identify(docs, model, with_spans=False, keep=[held_out(docs["doc_id"]).alias("held_out")])
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -57,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_quality_rules": op5_quality_rules,
+    "op6_language_id": op6_language_id,
     "op7_token_counts": op7_token_counts,
     "op9_packing": op9_packing,
     "op10_url_filters": op10_url_filters,
