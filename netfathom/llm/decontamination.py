@@ -103,15 +103,15 @@ def _tables(rows: list[tuple[str, str]], window: int) -> list[Patterns]:
     return [Patterns(np.frombuffer(b"".join(p), U64).reshape(-1, m), [frozenset(x) for x in p.values()]) for m, p in by.items()]
 
 
-def _hits(tables):
+def _hits(tables, text: str):
     """Adds to each text's hit words (a bitmap) and items those of one portion of the benchmark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            old, had = batch.column(names.index("_hit")).to_pylist(), batch.column(names.index("_items")).to_pylist()
+            old, had = batch.column(names.index("__hit")).to_pylist(), batch.column(names.index("__items")).to_pylist()
             count, hit, items = [0] * len(old), [None] * len(old), [None] * len(old)
-            for block in blocks(batch.column(names.index("_text"))):
+            for block in blocks(batch.column(names.index(text)).cast(pa.string())):
                 starts, ends, bounds = block.words(ALNUM)
                 words = block.spans(block.hashed(True), starts, ends)
                 pairs = _pairs(words)
@@ -133,7 +133,7 @@ def _hits(tables):
                         hit[row], items[row] = np.packbits(now).tobytes(), sorted(told[i] | set(had[row] or ()))
                     else:
                         hit[row], items[row] = old[row], had[row]
-            new = {"_words": pa.array(count, pa.int64()), "_hit": pa.array(hit, pa.binary()), "_items": pa.array(items, pa.list_(pa.string()))}
+            new = {"__words": pa.array(count, pa.int64()), "__hit": pa.array(hit, pa.binary()), "__items": pa.array(items, pa.list_(pa.string()))}
             yield pa.record_batch([new.get(x, batch.column(i)) for i, x in enumerate(names)], names=names)
 
     return run
@@ -149,26 +149,30 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([ids, count, pa.array(n, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha, pa.string()), pa.array([x > 0 for x in n], pa.bool_()), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, portion_bytes: int = PORTION_BYTES) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): n_words, n_hit (words inside some benchmark window), n_items, items_sha256,
-    contaminated and items, for the windows of ``window`` consecutive words of ``benchmark`` (item_id, text)."""
+def _searched(docs: DataFrame, benchmark: DataFrame, window: int, portion_bytes: int) -> DataFrame:
+    """``docs`` with __words, __hit and __items."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    portions = max(1, math.ceil(2 * total / portion_bytes)) if total > portion_bytes else 1
-    out = docs.select("doc_id", F.col("text").cast("string").alias("_text"), F.lit(0).cast("long").alias("_words"), F.lit(None).cast("binary").alias("_hit"), F.lit(None).cast("array<string>").alias("_items"))
-    schema = "doc_id " + docs.schema["doc_id"].dataType.simpleString() + ", _text string, _words long, _hit binary, _items array<string>"
+    portions = 1 if total <= portion_bytes else math.ceil(2 * total / portion_bytes)
+    out = docs.withColumns({"__words": F.lit(0).cast("long"), "__hit": F.lit(None).cast("binary"), "__items": F.lit(None).cast("array<string>")})
     for k in range(portions):
         part = items if portions == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(portions)) == k)
-        rows = [tuple(r) for r in part.toLocalIterator()]  # about portion_bytes / 2
-        out = out.mapInArrow(_hits(spark.sparkContext.broadcast(_tables(rows, window))), schema)
+        rows = [tuple(r) for r in part.toLocalIterator()]  # about half of portion_bytes
+        out = out.mapInArrow(_hits(spark.sparkContext.broadcast(_tables(rows, window)), "text"), out.schema)
         if k + 1 < portions:
             out = cut(out)
+    return out
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, portion_bytes: int = PORTION_BYTES) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): n_words, n_hit (words inside some benchmark window), n_items, items_sha256,
+    contaminated and items, for the windows of ``window`` consecutive words of ``benchmark`` (item_id, text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return out.select("doc_id", "_words", "_hit", "_items").mapInArrow(_summed, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
+    out = _searched(docs.select("doc_id", F.col("text").cast("string").alias("text")), benchmark, window, portion_bytes)
+    return out.select("doc_id", "__words", "__hit", "__items").mapInArrow(_summed, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, portion_bytes: int = PORTION_BYTES) -> DataFrame:
     """The documents in which no benchmark window occurs, with all columns."""
-    bad = contamination(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    return _searched(docs, benchmark, window, portion_bytes).where("__hit is null").select(*docs.columns)

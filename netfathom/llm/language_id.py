@@ -139,6 +139,30 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, switch: float) -> np.ndarray
     return label
 
 
+def label_words(scores: np.ndarray, bounds: np.ndarray, switch: float) -> np.ndarray:
+    """As ``viterbi``, which runs only where it can find more than one label: if no stretch of words is better by more
+    than half a switch in another language than in the one with the best sum, every path with switches is worse."""
+    total, k = scores.shape
+    n = np.diff(bounds)
+    doc = np.repeat(np.arange(len(n)), n)
+    sums = np.zeros((total + 1, k))
+    np.cumsum(scores, axis=0, out=sums[1:])
+    best = (sums[bounds[1:]] - sums[bounds[:-1]]).argmax(1)
+    label = best[doc].astype(np.int8)
+    mixed = np.zeros(len(n), bool)
+    own = np.take_along_axis(scores, best[doc][:, None], 1)[:, 0] if total else np.zeros(0)
+    start = bounds[:-1][n > 0]
+    down = doc * 1e7  # so that a running minimum starts anew with each document
+    for j in range(k if total else 0):
+        gain = np.r_[0.0, np.cumsum(scores[:, j] - own, dtype=np.float64)]
+        low = np.minimum.accumulate(gain[:-1] - down) + down
+        mixed[n > 0] |= np.maximum.reduceat(gain[1:] - low, start) > switch / 2
+    if mixed.any():
+        some = mixed[doc]
+        label[some] = viterbi(scores[some], np.r_[0, np.cumsum(n[mixed])], switch)
+    return label
+
+
 def _predict(model, switch: float, with_spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
@@ -158,7 +182,7 @@ def _predict(model, switch: float, with_spans: bool):
                 words[letters == 0] = 0
                 words -= words.max(1, keepdims=True, initial=-np.inf)
                 words[~m.seen[kind] & (kind > 0)[:, None]] = -1e4
-                label = viterbi(words, bounds, switch)
+                label = label_words(words, bounds, switch)
                 doc = np.repeat(np.arange(block.n), np.diff(bounds))
                 share = np.bincount(doc * len(m.langs) + label, weights=letters, minlength=block.n * len(m.langs)).reshape(block.n, -1)
                 best, all_ = share.argmax(1), share.sum(1)
