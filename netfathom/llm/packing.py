@@ -14,6 +14,7 @@ are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 import zlib
@@ -28,6 +29,8 @@ from .shared import cut
 from .textblocks import U64, Block, blocks, mix, powers
 
 GROUP_PIECES = 4096
+#: Bytes of text that are encoded together.
+ENCODE_BYTES = 1 << 20
 CACHE_IDS = 12_000_000
 _LEAD = np.ones(256, bool)
 _LEAD[0x80:0xC0] = False
@@ -89,6 +92,7 @@ class Encoder:
     """The ids of texts by a tokenizer of the ``tokenizers`` library, word by word."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel units; threads would each hold memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -102,7 +106,9 @@ class Encoder:
         self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        found: list[list[int]] = []
+        for lo in range(0, len(words), 2000):
+            found += [e.ids for e in self.tokenizer.encode_batch_fast(words[lo : lo + 2000], add_special_tokens=False)]
         size = np.array([len(x) for x in found], np.int64)
         flat = np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))
         if self.used + len(flat) > len(self.pool):
@@ -175,7 +181,7 @@ def _pieces(path: str | None, capacity: int, last: int):
         encoder = _loaded.get(place) or _loaded.setdefault(place, Encoder(place))
         for batch in batches:
             rows: list[tuple] = []
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(1), ENCODE_BYTES):
                 ids, bounds = encoder.encode(block, last)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 for d, row in enumerate(block.rows):
