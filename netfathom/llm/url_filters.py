@@ -68,26 +68,25 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.union(kin).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 12, damping: float = 0.85, cut_every: int = 4) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 10, damping: float = 0.85, cut_every: int = 2) -> DataFrame:
     """(host, trust, distrust) from seeds (host, allowed, blocked), in ``rounds`` rounds of both propagations at once."""
     out, into = edges.groupBy("src").agg(F.sum("weight").alias("out")), edges.groupBy("dst").agg(F.sum("weight").alias("into"))
-    edges = cut(edges.join(out, "src").join(into, "dst").select("src", "dst", (F.col("weight") / F.col("out")).alias("ahead"), (F.col("weight") / F.col("into")).alias("back")))
+    both = edges.join(out, "src").join(into, "dst").select("src", "dst", (F.col("weight") / F.col("out") * damping).alias("ahead"), (F.col("weight") / F.col("into") * damping).alias("back"))
+    # one row for what goes from src to dst and one for what goes back, so that a round joins the ranks once
+    ways = F.inline(F.array(F.struct(F.col("src").alias("host"), F.col("dst").alias("to"), F.col("ahead").alias("t"), F.lit(0.0).alias("d")), F.struct(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("t"), F.col("back").alias("d"))))
+    ways = cut(both.select(ways).groupBy("host", "to").agg(F.sum("t").alias("t"), F.sum("d").alias("d")))
     total = seeds.agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b"))
-    base = seeds.crossJoin(F.broadcast(total)).select("host", F.coalesce(F.try_divide("allowed", "a"), F.lit(0.0)).alias("t0"), F.coalesce(F.try_divide("blocked", "b"), F.lit(0.0)).alias("d0"))  # one row joined on
-    base = cut(base)
-    ranks = base.select("host", F.col("t0").alias("trust"), F.col("d0").alias("distrust"))
-    zero = F.lit(0.0)
+    base = cut(seeds.crossJoin(F.broadcast(total)).select("host", F.coalesce(F.try_divide("allowed", "a"), F.lit(0.0)).alias("trust"), F.coalesce(F.try_divide("blocked", "b"), F.lit(0.0)).alias("distrust")))  # one row joined on
+    ranks, own = base, base.select("host", (F.col("trust") * (1 - damping)).alias("trust"), (F.col("distrust") * (1 - damping)).alias("distrust"))
     for k in range(rounds):
-        ahead = edges.join(ranks, edges["src"] == ranks["host"]).select(F.col("dst").alias("host"), (F.col("trust") * F.col("ahead") * damping).alias("t"), zero.alias("d"))
-        back = edges.join(ranks, edges["dst"] == ranks["host"]).select(F.col("src").alias("host"), zero.alias("t"), (F.col("distrust") * F.col("back") * damping).alias("d"))
-        own = base.select("host", (F.col("t0") * (1 - damping)).alias("t"), (F.col("d0") * (1 - damping)).alias("d"))
-        ranks = ahead.union(back).union(own).groupBy("host").agg(F.sum("t").alias("trust"), F.sum("d").alias("distrust"))
+        given = ways.join(ranks, "host").select(F.col("to").alias("host"), (F.col("trust") * F.col("t")).alias("trust"), (F.col("distrust") * F.col("d")).alias("distrust"))
+        ranks = given.union(own).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
         if (k + 1) % cut_every == 0:
             ranks = cut(ranks)
     return ranks
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, threshold: float = 0.5, rounds: int = 12) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: DataFrame, threshold: float = 0.5, rounds: int = 10) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): page_id, host, path, rule, verdict, trust, distrust."""
     split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     counted = cut(split.groupBy("host", "path").agg(F.count("*").alias("pages")))
