@@ -1,11 +1,13 @@
 """N-gram Jaccard join that skips by set relations.
 
-Documents are sets of hashed word shingles. Equal sets form a class, and the join runs on classes. Two relations keep it
+Documents are sets of hashed word shingles. Equal sets form a class, and the join runs on classes. Three relations keep it
 from looking at all pairs:
 
 * Index lists. A class puts only its prefix into the index: its first shingles by (frequency grade, hash). Each list is
   ordered by set size, and an entry's position bounds the size of any partner (``reach``). Blocks of a list in which no
   entry reaches a partner are skipped unread.
+* Signatures. Pairs from short lists are dropped where counts of shingles by hash range show that they share too few;
+  so most chance pairs go before any set is sent.
 * Computed answers. What is left of a list follows its leader, the smallest set. A member x is compared with the leader
   L once; the difference D(x) = x ^ L holds the answer. For two members, x ^ y = D(x) ^ D(y), so all further answers
   come from the short differences and no full set is looked at again. Members linked with the leader are one component
@@ -31,6 +33,8 @@ from .textblocks import NONSPACE, U64, blocks, mix, windows
 
 #: Counters of the frequency sketch as a power of two: its size is fixed, and so is that of its broadcast.
 SKETCH_BITS = 22
+#: Entries of an index list up to which its pairs are told apart; longer lists follow leaders.
+SMALL_LIST = 6
 #: Places of the bitmap that says which classes have a partner in some list.
 MEMBER_BITS = 22
 #: Entries of a block of an index list.
@@ -119,49 +123,113 @@ def _entries(k: int, percent: int, bits: int, grades):
     return run
 
 
+def _small_lists(h, cls, n, reach, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one batch in the order (h, n, cls): which entries stand in lists of up to ``SMALL_LIST`` that begin and end in
+    the batch, and the pairs (i, j) of these lists whose sizes and positions allow a link."""
+    cuts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    length = np.diff(np.r_[cuts, len(h)])
+    small = length <= SMALL_LIST
+    small[[0, -1]] = False
+    of = np.repeat(np.arange(len(cuts)), length)
+    inside = small[of]
+    left, right = [], []
+    for d in range(1, SMALL_LIST):
+        i = np.flatnonzero(inside[:-d] & (of[:-d] == of[d:])) if len(h) > d else cuts[:0]
+        j = i + d
+        fits = (percent * n[j] <= 100 * n[i]) & (n[j] <= reach[i]) & (n[i] <= reach[j])
+        left.append(i[fits])
+        right.append(j[fits])
+    return inside, np.concatenate(left), np.concatenate(right)
+
+
+_FOLLOW = "leader long, leader_n int, cls long, n int, grouped boolean"
+
+
+def _follow_rows(rows: list[tuple], grouped: bool) -> pa.RecordBatch:
+    lead, lead_n, own, n = zip(*rows) if rows else ((), (), (), ())
+    return pa.record_batch([pa.array(lead, pa.int64()), pa.array(lead_n, pa.int32()), pa.array(own, pa.int64()), pa.array(n, pa.int32()), pa.array([grouped] * len(rows), pa.bool_())], names=[x.split()[0] for x in _FOLLOW.split(", ")])
+
+
 def _followers(percent: int):
-    """From entries in the order (h, n, cls): each entry that may have a partner, with the leaders it follows.
+    """From entries in the order (h, n, cls): pairs of small lists (leader: the smaller set), and each entry of larger
+    lists that may have a partner with the leaders it follows.
 
-    Streams: of a list it keeps the leaders of the last two segments and the widest reach so far.
+    Streams: of a larger list it keeps the leaders of the last two segments and the widest reach so far.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, last, widest = None, None, -1
-        segs: list[list] = []  # [leader, its size, size limit, largest size, told]
+        segs: list[list] = []  # [leader, its size, size limit, largest size]
         for batch in batches:
             h, cls, n, pos = (batch.column(i).to_numpy() for i in range(4))
-            n = n.astype(np.int64)
+            fresh = np.ones(len(h), bool)
+            fresh[1:] = (h[1:] != h[:-1]) | (cls[1:] != cls[:-1])
+            h, cls, n, pos = h[fresh], cls[fresh], n[fresh].astype(np.int64), pos[fresh]
+            if not len(h):
+                continue
             reach = (n - pos) * (100 + percent) // percent - n
-            rows: list[tuple[int, int, int]] = []
-            cuts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            ends = np.r_[cuts[1:], len(h)]
-            # lists of one entry inside the batch end here, without a loop over them
-            alone = (ends - cuts == 1) & (cuts > 0) & (ends < len(h))
-            for a, b in zip(cuts[~alone].tolist(), ends[~alone].tolist()):
+            inside, i, j = _small_lists(h, cls, n, reach, percent)
+            yield _follow_rows(list({*zip(cls[i].tolist(), n[i].tolist(), cls[j].tolist(), n[j].tolist())}), False)
+            h, cls, n, reach = h[~inside], cls[~inside], n[~inside], reach[~inside]
+            rows: list[tuple[int, int, int, int]] = []
+            cuts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else h
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(h)]):
                 if h[a] != here:
                     here, last, widest, segs = h[a], None, -1, []
                 for lo in range(a, b, LIST_BLOCK):
                     hi = min(b, lo + LIST_BLOCK)
                     if widest < n[lo] and reach[lo:hi].max() < n[lo]:
                         continue  # no entry of the block reaches, or is reached by, a partner
-                    for i in range(lo, hi):
-                        c, size, r = int(cls[i]), int(n[i]), int(reach[i])
+                    for e in range(lo, hi):
+                        c, size, r = int(cls[e]), int(n[e]), int(reach[e])
                         if c == last or widest < size and r < size:
                             continue
                         last, widest = c, max(widest, r)
                         if segs and size <= segs[-1][2]:
                             segs[-1][3] = size
                         else:
-                            segs = [*segs[-1:], [c, size, size * 100 // percent, size, False]]
-                        for seg in segs:
-                            if seg[0] != c and percent * size <= 100 * seg[3]:
-                                if not seg[4]:
-                                    seg[4] = True
-                                    rows.append((seg[0], seg[0], seg[1]))
-                                rows.append((seg[0], c, size))
+                            segs = [*segs[-1:], [c, size, size * 100 // percent, size]]
+                        rows += [(lead, lead_n, c, size) for lead, lead_n, _, top in segs if lead != c and percent * size <= 100 * top]
+            yield _follow_rows(list(set(rows)), True)
+
+    return run
+
+
+def _signatures(k: int, places):
+    """Of each marked class how many shingles fall into each of about as many ranges of the hash as it has shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
+        for batch in batches:
+            rows = []
+            for _, own, c in shingle_sets(batch.column(0), k):
+                if places.value[c & ((1 << MEMBER_BITS) - 1)] and _fresh(sent, c):
+                    bits = max(3, (len(own) - 1).bit_length())
+                    counts = np.bincount((own >> U64(64 - bits)).astype(np.int64), minlength=1 << bits)
+                    rows.append((c, counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""))
             if rows:
-                lead, own, size = zip(*rows)
-                yield pa.record_batch([pa.array(lead, pa.int64()), pa.array(own, pa.int64()), pa.array(size, pa.int32())], names=["leader", "cls", "n"])
+                yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["cls", "signature"])
+
+    return run
+
+
+def most_shared(a: bytes, b: bytes) -> int:
+    """An upper bound of two sets' intersection from their signatures."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 1 << 62
+    return int(np.minimum(x, y.reshape(len(x), -1).sum(1)).sum())
+
+
+def _close(percent: int):
+    """The pairs whose signatures allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [r[:4] for r in zip(*(batch.column(i).to_pylist() for i in range(6))) if (100 + percent) * most_shared(r[4], r[5]) >= percent * (r[1] + r[3])]
+            yield _follow_rows(rows, False)
 
     return run
 
@@ -288,6 +356,16 @@ def _parts(percent: int):
     return run
 
 
+def _places(classes: DataFrame):
+    """A broadcast bitmap of fixed size that marks the classes."""
+    slot = F.col(classes.columns[0]).bitwiseAND((1 << MEMBER_BITS) - 1)
+    taken = classes.select(F.shiftright(slot, 16).cast("int").alias("page"), slot.bitwiseAND(_PAGE - 1).cast("int").alias("at")).groupBy("page").agg(F.collect_set("at").alias("at"))
+    places = np.zeros(1 << MEMBER_BITS, bool)
+    for page, at in taken.collect():  # at most 2 ** MEMBER_BITS places
+        places[page * _PAGE + np.array(at)] = True
+    return classes.sparkSession.sparkContext.broadcast(places)
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int = SKETCH_BITS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs`` (doc_id, text).
 
@@ -304,14 +382,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bi
     grades = spark.sparkContext.broadcast(grades)
 
     lists = text.mapInArrow(_entries(k, percent, sketch_bits, grades), "h long, cls long, n int, pos int").repartition(width(spark), "h").sortWithinPartitions("h", "n", "cls")
-    follow = cut(lists.mapInArrow(_followers(percent), "leader long, cls long, n int").distinct())
-
-    slot = F.col("cls").bitwiseAND((1 << MEMBER_BITS) - 1)
-    taken = follow.select(F.shiftright(slot, 16).cast("int").alias("page"), slot.bitwiseAND(_PAGE - 1).cast("int").alias("at")).groupBy("page").agg(F.collect_set("at").alias("at"))
-    places = np.zeros(1 << MEMBER_BITS, bool)
-    for page, at in taken.collect():  # at most 2 ** MEMBER_BITS places
-        places[page * _PAGE + np.array(at)] = True
-    places = spark.sparkContext.broadcast(places)
+    follow = lists.mapInArrow(_followers(percent), _FOLLOW)
+    follow = cut(follow.groupBy("leader", "leader_n", "cls", "n").agg(F.max("grouped").alias("grouped")))
+    pairs = follow.where("not grouped")
+    marked = _places(pairs.select("leader").union(pairs.select("cls")))
+    signatures = cut(text.mapInArrow(_signatures(k, marked), "cls long, signature binary").dropDuplicates(["cls"]))
+    pairs = pairs.join(signatures.withColumnRenamed("signature", "own"), "cls").join(signatures.select(F.col("cls").alias("leader"), "signature"), "leader")
+    close = pairs.select("leader", "leader_n", "cls", "n", "own", "signature").mapInArrow(_close(percent), _FOLLOW)
+    follow = follow.where("grouped").union(close).drop("grouped")
+    follow = cut(follow.select("leader", "cls", "n").union(follow.select("leader", F.col("leader").alias("cls"), F.col("leader_n").alias("n")).distinct()))
+    places = _places(follow.select("cls"))
 
     large = follow.groupBy("leader").agg(F.ceil(F.sum("n") / group_shingles).cast("int").alias("parts")).where("parts > 1")
     dealt = follow.join(large, "leader", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
