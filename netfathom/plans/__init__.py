@@ -1,0 +1 @@
+"""Composed queries over the mapped tables."""
