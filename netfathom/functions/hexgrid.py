@@ -126,14 +126,14 @@ def _lng(x: Column) -> Column:
 def centre(cell: Column) -> Column:
     """struct(lat, lng)"""
     x, y = _plane(cell)
-    return F.struct(_lat(y).alias("lat"), _lng(x).alias("lng"))
+    return F.named_struct(F.lit("lat"), _lat(y), F.lit("lng"), _lng(x))
 
 
 def boundary(cell: Column) -> Column:
     """The closed ring of seven struct(lng, lat)."""
     x, y = _plane(cell)
     turn, edge = (F.lit(FINEST) - res_of(cell)) * ROTATION, edge_m(res_of(cell))
-    corner = lambda k: F.struct(_lng(x + edge * F.cos(turn + math.radians(30 + 60 * k))).alias("lng"), _lat(y + edge * F.sin(turn + math.radians(30 + 60 * k))).alias("lat"))
+    corner = lambda k: F.named_struct(F.lit("lng"), _lng(x + edge * F.cos(turn + math.radians(30 + 60 * k))), F.lit("lat"), _lat(y + edge * F.sin(turn + math.radians(30 + 60 * k))))
     return F.array(*[corner(k % 6) for k in range(7)])
 
 

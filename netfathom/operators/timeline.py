@@ -39,7 +39,7 @@ def time_weight(df: DataFrame, keys: list[str], t: str = "elapsed_ms", order: li
     """Adds ``weight_ms``: the time to the next row of the same keys, 0 to ``cap_ms``; 0 for the last."""
     by = Window.partitionBy(*keys).orderBy(t, *(order or []))
     gap = F.lead(t).over(by) - F.col(t)
-    return df.withColumn("weight_ms", F.coalesce(F.greatest(F.lit(0), F.least(F.lit(cap_ms), gap)), F.lit(0)).cast("long"))
+    return df.withColumn("weight_ms", F.when(gap.isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(cap_ms), gap))).cast("long"))  # least() passes over nulls
 
 
 def coverage(weighted: DataFrame, keys: list[str], wall: str = "wall_ms") -> DataFrame:

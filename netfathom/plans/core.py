@@ -94,7 +94,7 @@ def assign_boot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _booted(spark, sf_dir)[0].select("id", "device_id", "boot")
 
 
-_WEIGHTED = _BOOTS + """, weighted AS (SELECT *, coalesce(greatest(0, least(30000, lead(elapsed_ms) OVER (PARTITION BY device_id, sub_id, boot ORDER BY elapsed_ms, id) - elapsed_ms)), 0) AS weight_ms FROM booted)"""
+_WEIGHTED = _BOOTS + """, weighted AS (SELECT *, CASE WHEN lead(elapsed_ms) OVER w IS NULL THEN 0 ELSE greatest(0, least(30000, lead(elapsed_ms) OVER w - elapsed_ms)) END AS weight_ms FROM booted WINDOW w AS (PARTITION BY device_id, sub_id, boot ORDER BY elapsed_ms, id))"""
 
 
 def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
