@@ -94,15 +94,25 @@ def cell_of(lat: Column, lng: Column, res) -> Column:
     return encode(res, F.when(move_q, -s - r).otherwise(q), F.when(move_q | (ds > dr), r).otherwise(-q - s))
 
 
+def _once(value: Column, f) -> Column:
+    """f(value) with the value worked out once: as a plain expression it would be copied wherever f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def parent(cell: Column, res: int) -> Column:
     """The cell's ancestor at a resolution; the cell itself where it is as coarse or coarser."""
+
+    def up(level: int):
+        def step(c: Column) -> Column:
+            k = F.pmod(q_of(c) + 3 * r_of(c), F.lit(7))
+            off = lambda i: F.get(F.array(*[F.lit(x[i]) for x in CENTRE]), k.cast("int"))
+            q, r = q_of(c) - off(0), r_of(c) - off(1)
+            return F.when(res_of(c) == level, encode(level - 1, ((2 * q - r) / 7).cast("long"), ((q + 3 * r) / 7).cast("long"))).otherwise(c)
+
+        return step
+
     for level in range(FINEST, res, -1):
-        q, r = q_of(cell), r_of(cell)
-        k = F.pmod(q + 3 * r, F.lit(7))
-        off = lambda i, k=k: F.element_at(F.array(*[F.lit(c[i]) for c in CENTRE]), (k + 1).cast("int"))
-        q, r = q - off(0), r - off(1)
-        up = encode(level - 1, ((2 * q - r) / 7).cast("long"), ((q + 3 * r) / 7).cast("long"))
-        cell = F.when(res_of(cell) == level, up).otherwise(cell)
+        cell = _once(cell, up(level))
     return cell
 
 

@@ -109,11 +109,14 @@ def test_percentile_rules_differ(spark):
 def test_hex_parent_and_neighbours(spark):
     pts = spark.createDataFrame([(1.25 + i * 0.013, 103.6 - i * 0.4) for i in range(60)] + [(-80.0, 179.9), (0.0, 0.0)], "lat double, lng double")
     cells = pts.select("lat", "lng", hexgrid.cell_of(F.col("lat"), F.col("lng"), 10).alias("c"))
-    mid = hexgrid.centre(F.col("c"))
-    again = cells.select("c", hexgrid.cell_of(mid["lat"], mid["lng"], 10).alias("d"), F.explode(hexgrid.neighbours(F.col("c"))).alias("n"))
-    assert again.where("c <> d").count() == 0
-    families = cells.select(hexgrid.parent(F.col("c"), 9).alias("p"), "c").select("p", F.explode(F.array_append(hexgrid.neighbours(F.col("c")), F.col("c"))).alias("n"))
-    assert families.where(hexgrid.res_of(F.col("p")) != 9).count() == 0
+    plain = spark.createDataFrame([tuple(r) for r in cells.select("c", hexgrid.centre(F.col("c"))["lat"], hexgrid.centre(F.col("c"))["lng"]).collect()], "c long, lat double, lng double")
+    assert plain.where(hexgrid.cell_of(F.col("lat"), F.col("lng"), 10) != F.col("c")).count() == 0
+    # of a cell and its six neighbours, exactly seven cells share a centre child's parent
+    parents = plain.select("c", hexgrid.parent(F.col("c"), 9).alias("p"), hexgrid.parent(F.col("c"), 6).alias("top")).collect()
+    assert all(r["p"] >> 56 & 15 == 9 and r["top"] >> 56 & 15 == 6 for r in parents)
+    near = spark.createDataFrame([(hexgrid.TAG + (10 << 56) + (q % (1 << 28) << 28) + r % (1 << 28),) for q in range(-30, 30) for r in range(-30, 30)], "c long")
+    sizes = [r["count"] for r in near.groupBy(hexgrid.parent(F.col("c"), 9).alias("p")).count().collect()]
+    assert max(sizes) == 7 and sizes.count(7) > 300
     ring = cells.select(F.size(hexgrid.boundary(F.col("c"))).alias("n"), hexgrid.label(F.col("c")).alias("l")).first()
     assert ring["n"] == 7 and ring["l"].startswith("h10:")
 
