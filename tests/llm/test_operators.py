@@ -1,0 +1,352 @@
+"""The operators on small tables with nulls, empty and long texts, ties, repeats and odd columns, against brute force."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from netfathom.llm import chat_format, decontamination, jaccard_join, language_id, packing, pii, quality_classifier, quality_rules, shared, token_counts, url_filters
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, cls long, h string, `_other` int"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LONG = " ".join(f"w{i % 977}x{i % 13}" for i in range(30000))
+
+
+def lower(x):
+    return re.sub("[A-Z]+", lambda m: m[0].lower(), x or "")
+
+
+def some_texts():
+    rnd = random.Random(1)
+    base = [" ".join(rnd.choice(["alpha", "Beta", "gamma", "dé", "eps", "z"]) + str(rnd.randrange(40)) for _ in range(60)) for _ in range(6)]
+    near = [" ".join(w if rnd.random() > 0.02 else "new" for w in t.split()) for t in base for _ in range(6)]
+    odd = [None, "", "  \n\t", "one", "one two", "ONE two", "one", "a b c d", "a  b\nc\td", LONG, LONG + " tail", "x@y.example.com 10.0.0.1", "漢字 かな 漢字", "\u0000 nul"]
+    return base + near + base[:2] + odd
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i, t, None, None, None, 1, "h", 0) for i, t in enumerate(some_texts())], DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def text_of(docs):
+    return {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+
+
+def brute_components(texts, k, percent):
+    sets, inverted = {}, defaultdict(list)
+    for i, x in texts.items():
+        w = WORD.findall(lower(x))
+        sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+        for g in sets[i]:
+            inverted[g].append(i)
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, s in sets.items():
+        for j, n in Counter(j for g in s for j in inverted[g]).items():
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("k, percent, group", [(4, 85, 2_000_000), (5, 80, 2_000_000), (4, 85, 100)])
+def test_jaccard_components(docs, k, percent, group):
+    got = {r[0]: (r[1], r[2]) for r in jaccard_join.jaccard_components(docs, k, percent, sketch_bits=16, group_shingles=group).collect()}
+    assert got == brute_components(text_of(docs), k, percent)
+
+
+def test_jaccard_keeps_one(docs, none):
+    want = {i for i, (_, c) in brute_components(text_of(docs), 5, 80).items() if i == c}
+    kept = jaccard_join.keep_one(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == want
+    assert jaccard_join.jaccard_components(none).count() == 0
+
+
+def test_signature_bounds_the_intersection():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        a, b = (np.unique(rng.integers(0, 1 << 63, rng.integers(1, 400), dtype=np.uint64) * np.uint64(2)) for _ in range(2))
+        b = np.unique(np.r_[b, a[: rng.integers(0, len(a) + 1)]])
+        sign = lambda s: np.bincount((s >> np.uint64(64 - max(3, (len(s) - 1).bit_length()))).astype(np.int64), minlength=1 << max(3, (len(s) - 1).bit_length())).astype(np.uint8).tobytes()
+        assert jaccard_join.most_shared(sign(a), sign(b)) >= len(np.intersect1d(a, b))
+
+
+def test_components_of_chains_and_cycles(spark):
+    edges = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 102), (102, 100), (7, 7), (100, 101)]
+    got = {r["node"]: r["root"] for r in shared.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 1 for i in range(1, 61)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_contamination(spark, docs, none):
+    texts = text_of(docs)
+    rows = [("a", " ".join(texts[0].split()[5:30])), ("b", "ONE, two"), ("c", None), (None, "one"), ("d", "!!"), ("a", "漢字"), ("e", LONG[:400])]
+    bench = spark.createDataFrame(rows, "item_id string, text string")
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    windows = defaultdict(set)
+    for i, x in rows:
+        w = word.findall(lower(x)) if i else []
+        m = min(10, len(w))
+        for j in range(len(w) - m + 1 if m else 0):
+            windows[tuple(w[j : j + m])].add(i)
+    want = {}
+    for d, x in texts.items():
+        w, hit, items = word.findall(lower(x)), set(), set()
+        for m in {len(p) for p in windows}:
+            for j in range(len(w) - m + 1):
+                if own := windows.get(tuple(w[j : j + m])):
+                    hit |= set(range(j, j + m))
+                    items |= own
+        want[d] = (len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit))
+    for portion in (decontamination.PORTION_BYTES, 300):
+        got = {r[0]: tuple(r)[1:6] for r in decontamination.contamination(docs, bench, portion_bytes=portion).collect()}
+        assert got == want
+    assert {r["doc_id"] for r in decontamination.decontaminate(docs, bench).collect()} == {d for d, v in want.items() if not v[4]}
+    assert decontamination.contamination(none, bench).count() == 0
+    assert decontamination.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
+
+
+EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute_spans(t):
+    digits = lambda m: sum(c.isdigit() for c in m.group())
+    out = [(0, m.start(), m.end()) for m in EMAIL.finditer(t)]
+    out += [(1, m.start(), m.end()) for m in IP.finditer(t) if all(int(x) <= 255 for x in m.group().split("."))]
+    out += [(2, m.start(), m.end()) for m in CARD.finditer(t) if 13 <= digits(m) <= 19 and pii.luhn(re.sub(r"\D", "", m.group()))]
+    return out + [(3, m.start(), m.end()) for m in PHONE.finditer(t) if 9 <= digits(m) <= 15]
+
+
+def test_base_spans_against_patterns():
+    rnd = random.Random(3)
+    for _ in range(20000):
+        t = "".join(rnd.choice("012.+-@ab é()%  ") for _ in range(rnd.randint(0, 50)))
+        assert sorted(pii.base_spans(t)) == sorted(brute_spans(t)), t
+
+
+def test_pii_finds_and_redacts(spark, none):
+    rows = [(1, "write to bob.smith@mail7.example.com or +1 (017) 555-7713 é 4111 1111 1111 1111"), (2, None), (3, ""), (4, "no data"), (1, "10.0.0.1 and 10.0.0.999"), (5, "1" * 50000 + "@" + "a" * 50000)]
+    frame = spark.createDataFrame([(i, t, None, None, None, 1, "h", 0) for i, t in rows], DOCS)
+    network = pii.learn(spark.read.parquet(f"{SF}/documents.parquet"), sample=20)
+    got = pii.find(frame, network).collect()
+    for (i, t), r in zip(rows, got):
+        base = pii.base_spans(t or "")
+        assert r["doc_id"] == i and r["base_sha256"] == hashlib.sha256(pii.joined(base).encode()).hexdigest()
+        assert {f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in base} <= set(r["spans"].split(","))
+    first = pii.redact(frame, network).first()
+    assert "[EMAIL]" in first["text"] and "[PHONE]" in first["text"] and "4111" not in first["text"]
+    assert pii.find(none, None).count() == 0 and pii.learn(none) is None
+    assert pii.redact(none, network).columns == none.columns
+
+
+def test_network_gradients():
+    rng = np.random.default_rng(0)
+    net = pii.Network(1)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    chars, tags = rng.integers(1, pii.CODES, (3, 9)), rng.integers(0, pii.TAGS, (3, 9))
+    _, g = net.gradients(chars, tags)
+    for k, v in net.p.items():
+        at = (int(chars[0, 0]), 2) if k == "E" else tuple(n - 2 for n in v.shape)
+        old, e = v[at], 1e-5
+        v[at] = old + e
+        up = net.gradients(chars, tags)[0]
+        v[at] = old - e
+        down = net.gradients(chars, tags)[0]
+        v[at] = old
+        assert abs((up - down) / 2 / e - g[k][at]) < 2e-3
+
+
+def test_line_rules(spark, docs, none):
+    more = ["Good line one here.\nGood line one here.\nHome | About | Contact | More\n" + "Plain words go on and on. " * 12, "la la la " * 30, "A clean text. " * 3 + " ".join(f"w{i}" for i in range(60)) + "."]
+    frame = docs.union(spark.createDataFrame([(1000 + i, t, None, None, None, 1, "h", 0) for i, t in enumerate(more)], DOCS))
+    for r in quality_rules.line_rules(frame).join(frame.select(F.col("doc_id").alias("d"), "text"), F.col("doc_id") == F.col("d")).collect():
+        x = r["text"] or ""
+        w = WORD.findall(x)
+        grams = Counter(tuple(w[j : j + 3]) for j in range(len(w) - 2))
+        cover = {j + o for j in range(len(w) - 2) if grams[tuple(w[j : j + 3])] > 1 for o in range(3)}
+        seen, dup = set(), 0
+        for line in x.split("\n"):
+            if WORD.search(line):
+                dup += line in seen
+                seen.add(line)
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", x)), dup, len(cover))
+        assert r["base_failed"] == (len(w) < 50 or 100 * len(cover) > 50 * len(w)) and not (r["base_failed"] and r["kept"])
+        if r["doc_id"] == 1000:
+            assert "Home" not in r["cleaned"]
+    assert quality_rules.line_rules(none).count() == 0
+
+
+def test_rules_keep_good_and_drop_poor(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    out = quality_rules.line_rules(spark.read.parquet(f"{sf}/documents.parquet"), with_text=False).join(labels, "doc_id").where("not base_failed")
+    share = {r["quality"]: r["k"] for r in out.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
+    assert share[1] > 0.97 and share[0] < 0.1
+
+
+def test_languages(spark, none):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.learn(docs.where(~language_id.held_out(docs["doc_id"])))
+    out = language_id.identify(docs.where(language_id.held_out(docs["doc_id"])), model, with_spans=False, keep=[docs["lang"]])
+    assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.98
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 !!"), (4, LONG)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language_id.identify(odd, model).collect()}
+    assert [got[i]["lang_pred"] for i in (1, 2, 3)] == ["und"] * 3 and got[4]["score"] > 0
+    assert language_id.identify(none, language_id.learn(docs.limit(0))).count() == 0
+    assert language_id.identify(odd, language_id.learn(docs.limit(0))).where("lang_pred <> 'und'").count() == 0
+
+
+def test_viterbi_against_brute_force():
+    def brute(s, switch):
+        v, back = s[0].copy(), []
+        for t in range(1, len(s)):
+            m = v[:, None] - switch * (1 - np.eye(s.shape[1]))
+            back.append(m.argmax(0))
+            v = m.max(0) + s[t]
+        path = [v.argmax()]
+        for b in back[::-1]:
+            path.append(b[path[-1]])
+        return path[::-1]
+
+    for seed in range(60):
+        rng = np.random.default_rng(seed)
+        at = np.r_[0, np.cumsum(rng.integers(0, 25, 9))]
+        s = rng.normal(0, 3, (at[-1], 3)).astype(np.float32) + np.float32([1.5, 0, 0])
+        for f in (language_id.viterbi, language_id.label_words):
+            label = f(s, at, 6.0)
+            assert all((label[a:b] == brute(s[a:b], 6.0)).all() for a, b in zip(at, at[1:]) if b > a)
+
+
+def odd_texts():
+    rnd = random.Random(5)
+    alphabet = "  \n\t'stremvld aàßé漢字😀x10९.,!▁　\xa0<s>|"
+    own = ["", "a", " ", "  x", "<|endoftext|>hi", "a<|endoftext|>", "it's", "'s't 're don't", "x'", "\n\n", "a  \n b", "▁▁▁" * 20, "aaaa" * 50, "<0x41>", LONG[:20000]]
+    return own + ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60))) for _ in range(1500)]
+
+
+def test_token_counts_equal_the_library(spark, none):
+    import sentencepiece
+
+    texts = odd_texts()
+    model = sentencepiece.SentencePieceProcessor(model_file=token_counts.default_model())
+    got = np.concatenate([t for _, _, t in token_counts.count_tokens(pa.array(texts), token_counts.default_model())])
+    assert got.tolist() == [len(x) for x in model.encode(texts, num_threads=1)]
+    rows = token_counts.token_counts(spark.createDataFrame([(1, None), (2, "é a")], "doc_id long, text string")).collect()
+    assert (rows[0]["n_bytes"], rows[0]["n_tokens"], rows[1]["n_bytes"]) == (0, 0, 4)
+    assert token_counts.token_counts(none).count() == 0
+
+
+def test_packing_is_whole_and_tight(spark, docs, none):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    texts = text_of(docs) | {5000 + i: t for i, t in enumerate(odd_texts())}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    rows = packing.pack(frame, group_pieces=300).collect()
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r["doc_id"]].append(r)
+        sequences[r["sequence_id"]].append(r)
+    assert set(pieces) == set(texts)
+    for d, own in pieces.items():
+        ids, at = tokenizer.encode(texts[d] or "", add_special_tokens=False).ids + [1], 0
+        for r in sorted(own, key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids)
+            assert r["ids_crc32"] == zlib.crc32(np.array(ids[at : at + r["length"]], "<u4").tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    used = 0
+    for own in sequences.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 2048
+        used += at
+    assert used > 0.9 * 2048 * (len(sequences) - 8)
+    assert packing.pack(none).count() == 0
+
+
+def test_first_fit_decreasing_against_a_scan():
+    rnd = random.Random(2)
+    lengths = np.array([rnd.randint(1, 100) for _ in range(300)])
+    bins, offsets = packing.first_fit_decreasing(lengths, 100)
+    room, want = [], {}
+    for i in sorted(range(300), key=lambda i: (-lengths[i], i)):
+        k = next((k for k, r in enumerate(room) if r >= lengths[i]), len(room))
+        if k == len(room):
+            room.append(100)
+        want[i] = (k, 100 - room[k])
+        room[k] -= lengths[i]
+    assert [(b, o) for b, o in zip(bins.tolist(), offsets.tolist())] == [want[i] for i in range(300)]
+
+
+def test_quality_classifier(spark, none):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    held = quality_classifier.grades_of(labels).where("doc_id % 4 = 0")
+    model = quality_classifier.learn(docs, quality_classifier.grades_of(labels).where("doc_id % 4 <> 0"))
+    assert (np.diff(model.thresholds) > 0).all()
+    share = {r["grade"]: r["s"] for r in quality_classifier.grade(docs, model).join(held, "doc_id").groupBy("grade").agg(F.avg(F.col("selected").cast("int")).alias("s")).collect()}
+    assert share[2] > 0.98 and share[1] < 0.08 and share[0] < 0.15
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "fine words here"), (3, "fine words here")], "doc_id long, text string")
+    assert [r["selected"] for r in quality_classifier.grade(odd, model).orderBy("doc_id").collect()][:2] == [False, False]
+    untrained = quality_classifier.learn(none, labels.select("doc_id", F.lit(None).cast("int").alias("grade")))
+    assert quality_classifier.grade(odd, untrained).where("selected").count() == 2
+    assert quality_classifier.select(none, labels).columns == none.columns
+
+
+def test_url_rules_and_propagation(spark):
+    html = '<a href="https://b.bad.net/x">x</a> <a href=/local>y</a>'
+    rows = [(1, "https://A.example.org/es/1?q", None), (2, "http://x.org/en", ""), (3, "http://c.com/de/x", ""), (4, "no url", None), (5, None, None), (6, "http://linker.net/p#f", html), (7, "http://b.bad.net", ""), (8, "http://example.org/en/12", ""), (8, "http://example.org/en/12", ""), (9, "http://lonely.io", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rules = url_filters.rule_table(spark, [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("block", "bad.net", "")])
+    got = {r["page_id"]: r for r in url_filters.filter_urls(pages, rules).collect()}
+    assert url_filters.filter_urls(pages, rules).count() == 10
+    told = {k: (r["host"], r["path"], r["rule"], r["verdict"]) for k, r in got.items()}
+    assert told[1] == ("a.example.org", "/es/1", "example.org/es/", "block") and told[2] == ("x.org", "/en", "org/", "allow")
+    assert told[4] == told[5] == ("", "", None, "allow") and told[7] == ("b.bad.net", "", "bad.net", "block")
+    assert told[6] == ("linker.net", "/p", None, "block")  # it links to a blocked host
+    assert told[8][2:] == ("example.org/en/1", "block") and told[9][3] == "allow"
+    assert url_filters.filter_urls(pages.limit(0), rules).count() == 0
+
+
+def test_chats_are_linked_and_checked(spark):
+    rows = [
+        (1, 0, "user", "hi"),
+        (1, 1, "assistant", '{"tool_calls": [{"name":"add","id":"c1","arguments":{"b":2.50,"a":1}},{"id":"c2","name":"add","arguments":{"a":"$c1","z":1}}]}'),
+        (1, 2, "tool", '{"content":{"y":1,"x":[1, 2]},"tool_call_id":"c2"}'),
+        (1, 3, "tool", '{"tool_call_id":"c1","content":"ok"}'),
+        (1, 4, "tool", '{"tool_call_id":"zz","content":1}'),
+        (1, 5, None, None),
+        (2, 0, "assistant", "{bad json"),
+        (2, 1, "assistant", '{"tool_calls":[{"id":"q","name":"nope","arguments":{}}]}'),
+    ]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    tools = chat_format.parameter_table(spark, {"add": {"a": ("integer", True), "b": ("number", False)}})
+    got = {(r["conv_id"], r["turn"]): r for r in chat_format.format_chats(frame, tools).collect()}
+    assert got[1, 1]["message"] == '{"role":"assistant","tool_calls":[{"arguments":{"a":1,"b":2.5},"id":"c1","name":"add"},{"arguments":{"a":"$c1","z":1},"id":"c2","name":"add"}]}'
+    assert got[1, 2]["message"] == '{"content":{"x":[1,2],"y":1},"role":"tool","tool_call_id":"c2"}'
+    assert (got[1, 1]["n_calls"], got[1, 1]["n_errors"], got[1, 4]["n_errors"], got[1, 4]["linked"]) == (2, 2, 1, False)
+    order = sorted((k for k in got if k[0] == 1), key=lambda k: tuple(got[k][c] for c in ("order_turn", "order_depth", "order_step")))
+    assert order.index((1, 3)) < order.index((1, 2))
+    assert got[1, 5]["message"] == '{"content":"","role":"user"}' and got[2, 1]["n_errors"] == 1
+    assert chat_format.format_chats(frame.limit(0), tools).count() == 0
