@@ -378,9 +378,12 @@ def _redacted(network, text: int):
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     """A network for the documents' labelled spans: trained on windows of at most ``sample`` of those with a digit or an @
-    and no more than 20000 characters, by a hash of their id."""
-    some = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text rlike '[0-9@]' and length(text) <= 20000")
-    rows = some.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()
+    and no more than 20000 characters, by a hash of id and text."""
+    some = docs.select(F.xxhash64("doc_id", "text").alias("_key"), F.col("text").cast("string").alias("text")).where("text rlike '[0-9@]' and length(text) <= 20000")
+    # keys alone are ordered, so that each task sends its first keys to the driver and not their texts
+    keys = some.select(F.col("_key").alias("_taken")).distinct().orderBy("_taken").limit(sample)
+    rows = some.join(F.broadcast(keys), F.col("_key") == F.col("_taken")).dropDuplicates(["_key"]).select("_key", "text").collect()  # ``sample`` rows
+    rows.sort(key=lambda r: r["_key"])
     chars, tags = training_windows([r["text"] for r in rows])
     if not tags.any():
         return None
