@@ -100,3 +100,48 @@ def lookahead(points: DataFrame, hours: DataFrame, cell: str, neighbours: Column
     met = around.join(known, (around["_c"] == known["_c"]) & (around["hour"] == known["_h"])).select(around[cell], around["hour"], (around["_c"] == around[cell]).alias("_own"), "_bad")
     told = met.groupBy(cell, "hour").agg(F.coalesce(F.bool_or(F.col("_own") & F.col("_bad")), F.lit(False)).alias("bad_here"), F.coalesce(F.bool_or(~F.col("_own") & F.col("_bad")), F.lit(False)).alias("bad_ahead"))
     return points.join(told, [cell, "hour"], "left").withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in ("bad_here", "bad_ahead")})
+
+
+def asymmetry(pairs: DataFrame, rows: DataFrame, least: int = 10) -> DataFrame:
+    """One row: pairs of a download and an upload, those complete, how often the download led, the geometric ratio of their
+    times (upload to download) with its interval, and the gate that forbids a conclusion, if any."""
+    leg = lambda p: rows.select(F.col("id").alias(f"{p}_id"), F.col("direction").alias(f"{p}_d"), F.col("latency_ms").alias(f"{p}_ms"), F.col("outcome").alias(f"{p}_o"))
+    both = pairs.join(leg("first"), "first_id").join(leg("second"), "second_id")
+    first = F.col("first_d") == "DOWN"
+    down, up = F.when(first, F.col("first_ms")).otherwise(F.col("second_ms")), F.when(first, F.col("second_ms")).otherwise(F.col("first_ms"))
+    whole = (F.col("first_o") == "OK") & (F.col("second_o") == "OK") & (F.col("first_ms") > 0) & (F.col("second_ms") > 0)
+    log = F.when(whole, F.ln(up.cast("double") / down))
+    g = both.agg(F.count("*").alias("pairs"), F.count_if(whole).alias("complete"), F.count_if(first).alias("down_first"), F.avg(log).alias("m"), F.stddev_samp(log).alias("s"))
+    half = F.col("s") * 1.96 / F.sqrt(F.col("complete"))
+    gate = F.when(F.col("complete") < least, "too few").when((F.col("pairs") - F.col("complete")) * 4 > F.col("pairs"), "incomplete").when((F.col("down_first") < 0.3 * F.col("pairs")) | (F.col("down_first") > 0.7 * F.col("pairs")), "confounded").otherwise("measured")
+    return g.select("pairs", "complete", "down_first", F.exp("m").alias("ratio"), F.exp(F.col("m") - half).alias("lo"), F.exp(F.col("m") + half).alias("hi"), gate.alias("gate"))
+
+
+def handover_outcomes(changes: DataFrame, failures: DataFrame, keys: list[str], sub: str) -> DataFrame:
+    """Adds ``outcome`` to changes (before, ci): ping-pong if a later change within 30 s goes back, else failed with a failure
+    from 4 s before to 6 s after, else clean."""
+    from .intervals import bucketed_range_join
+
+    spans = changes.select("id", *keys, (F.col("wall_ms") - 4000).alias("lo"), (F.col("wall_ms") + 6000).alias("hi"))
+    failed = bucketed_range_join(failures, spans, keys, "wall_ms", "lo", "hi", 20000).select(F.col("id").alias("_failed")).distinct()
+    # the next change that goes to a cell, of those that come back to it: an equality join on the cell and time buckets
+    ahead = changes.select(F.col("id").alias("_id"), F.col("wall_ms").alias("_t"), *keys, sub, F.col("before").alias("_cell"), F.col("wall_ms").alias("lo"), (F.col("wall_ms") + PING_PONG_MS).alias("hi"))
+    to = changes.select("id", "wall_ms", *keys, sub, F.col("ci").alias("_cell"))
+    met = bucketed_range_join(to, ahead, [*keys, sub, "_cell"], "wall_ms", "lo", "hi", 60000)
+    back = met.where((F.col("wall_ms") > F.col("_t")) | (F.col("id") > F.col("_id"))).select(F.col("_id").alias("_back")).distinct()
+    out = changes.join(failed, F.col("id") == F.col("_failed"), "left").join(back, F.col("id") == F.col("_back"), "left")
+    return out.withColumn("outcome", F.when(F.col("_back").isNotNull(), "ping-pong").when(F.col("_failed").isNotNull(), "failed").otherwise("clean")).drop("_failed", "_back")
+
+
+def case_control(pairs: DataFrame, changes: DataFrame, failures: DataFrame, keys: list[str], least: int = 20) -> DataFrame:
+    """(arm, n, failed, share, lo, hi, valid) of cases and controls: those with a failure from 36 s before to 6 s after."""
+    from ..functions.stats import wilson
+    from .intervals import bucketed_range_join
+
+    spans = changes.select("id", *keys, (F.col("wall_ms") - 36000).alias("lo"), (F.col("wall_ms") + 6000).alias("hi"))
+    failed = bucketed_range_join(failures, spans, keys, "wall_ms", "lo", "hi", 60000).select("id", F.lit(1).alias("_f")).distinct()
+    arms = pairs.select(F.lit("case").alias("arm"), F.col("case_id").alias("id")).union(pairs.select(F.lit("control"), "control_id"))
+    g = arms.join(failed, "id", "left").groupBy("arm").agg(F.count("*").alias("n"), F.count("_f").alias("failed"))
+    share = F.col("failed") / F.col("n")
+    ci = wilson(share, F.col("n"))
+    return g.select("arm", "n", "failed", share.alias("share"), ci["lo"].alias("lo"), ci["hi"].alias("hi"), (F.col("n") >= least).alias("valid"))

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from netfathom.plans import core, coverage, devices, incidents  # noqa: F401
+from netfathom.plans import core, coverage, devices, incidents, more  # noqa: F401
 from netfathom.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
