@@ -79,14 +79,18 @@ def _nearest(x: Column) -> Column:
     return F.floor(x + 0.5)
 
 
-def cell_of(lat: Column, lng: Column, res) -> Column:
-    """The cell that holds a point."""
+def lattice(lat: Column, lng: Column, res) -> tuple[Column, Column]:
+    """A point's lattice coordinates (q, r), not rounded."""
     x = F.radians(lng) * EARTH_M
     phi = F.radians(F.greatest(F.lit(-85.05), F.least(F.lit(85.05), lat)))
     y = F.ln(F.tan(phi / 2 + math.pi / 4)) * EARTH_M
     ax, bx, ay, by = (_of_res(res, lambda r, i=i: basis(r)[i]) for i in range(4))
     det = ax * by - bx * ay
-    qf, rf = (by * x - bx * y) / det, (ax * y - ay * x) / det
+    return (by * x - bx * y) / det, (ax * y - ay * x) / det
+
+
+def cell_at(qf: Column, rf: Column, res) -> Column:
+    """The cell whose centre is nearest to lattice coordinates."""
     sf = -qf - rf
     q, s, r = _nearest(qf), _nearest(sf), _nearest(rf)
     dq, ds, dr = F.abs(q - qf), F.abs(s - sf), F.abs(r - rf)
@@ -94,6 +98,17 @@ def cell_of(lat: Column, lng: Column, res) -> Column:
     return encode(res, F.when(move_q, -s - r).otherwise(q), F.when(move_q | (ds > dr), r).otherwise(-q - s))
 
 
+def cell_of(lat: Column, lng: Column, res) -> Column:
+    """The cell that holds a point. For a column that later steps name often, ``with_cell`` keeps plans smaller."""
+    return cell_at(*lattice(lat, lng, res), res)
+
+
+def with_cell(df, name: str, lat: Column, lng: Column, res):
+    """``df`` with the cell of each point; the lattice coordinates are columns of their own on the way, worked out once."""
+    q, r = lattice(lat, lng, res)
+    return df.withColumns({"_q": q, "_r": r}).withColumn(name, cell_at(F.col("_q"), F.col("_r"), res)).drop("_q", "_r")
+
+
 def _once(value: Column, f) -> Column:
     """f(value) with the value worked out once: as a plain expression it would be copied wherever f names it."""
     return F.get(F.transform(F.array(value), f), F.lit(0))

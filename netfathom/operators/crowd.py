@@ -25,7 +25,7 @@ def count_of(v: Column) -> Column:
 
 
 def _sane_key(c: Column, most: int) -> Column:
-    return F.coalesce((F.length(c) > 0) & (F.length(c) <= most) & ~F.contains(c, F.lit("|")), F.lit(False))
+    return F.coalesce(c.rlike(rf"^[^|]{{1,{most}}}\z"), F.lit(False))  # names the column once, as it may be a long expression
 
 
 def _hist_weight(h: Column) -> Column:

@@ -137,7 +137,7 @@ located AS (SELECT id, t, device_id, o, CASE WHEN pc = nc AND nt - pt <= 180000
 
 def _fixes_in(spark: SparkSession, sf_dir: str, starts: DataFrame) -> DataFrame:
     f = timeline.assign_boot(domain.fixes(spark, sf_dir), starts)
-    return f.withColumn("cell", hexgrid.cell_of(F.col("lat"), F.col("lng"), 9)).withColumn("speed", F.col("speed_mps"))
+    return hexgrid.with_cell(f, "cell", F.col("lat"), F.col("lng"), 9).withColumn("speed", F.col("speed_mps"))
 
 
 def located(spark: SparkSession, sf_dir: str, df: DataFrame | None = None) -> DataFrame:
@@ -332,12 +332,12 @@ def score_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def crowd_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contribution records from the radio rows, some of them as hostile clients send them."""
-    r = domain.radio(spark, sf_dir)
     i, d = F.col("id"), F.col("device_id")
-    cell = hexgrid.cell_of(1.25 + d % 9 * 0.004 + i % 5 * 0.0005, 103.6 + d % 7 * 0.004 + i % 3 * 0.0005, 8).cast("string")
+    r = hexgrid.with_cell(domain.radio(spark, sf_dir), "_cell", 1.25 + d % 9 * 0.004 + i % 5 * 0.0005, 103.6 + d % 7 * 0.004 + i % 3 * 0.0005, 8)
+    cell = F.col("_cell").cast("string")
     n = (1 + i % 20).cast("double")
     return r.select(
-        d.alias("contributor"), F.when(i % 97 == 0, F.concat(cell, F.lit("|x"))).otherwise(cell).alias("area"), F.col("plmn").alias("network"),
+        d.alias("contributor"), F.concat(cell, F.when(i % 97 == 0, "|x").otherwise("")).alias("area"), F.col("plmn").alias("network"),
         F.concat(F.lit("B"), F.col("band")).alias("band"), F.when(i % 89 == 0, -1e9).otherwise(n).alias("samples"), (n * 1000).alias("observed_ms"),
         F.create_map(F.col("rsrp").cast("double"), F.when(i % 83 == 0, 1e18).otherwise(n)).alias("rsrp"), F.create_map(F.col("sinr").cast("double"), n).alias("sinr"),
         F.concat(F.lit("2024-W"), F.lpad((i % 3 + 1).cast("string"), 2, "0")).alias("week"),
