@@ -3,7 +3,7 @@
 import corpus_pipeline
 from netfathom.llm import quality_classifier
 
-from test_operators import brute_components, brute_spans
+from test_llm_operators import brute_components, brute_spans
 
 SF = "/root/testdata/sf0.001"
 
