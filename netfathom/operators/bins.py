@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import fraction, wilson
+from ..functions.stats import fraction, percentiles, weighted_hist, wilson
 
 # fixed values of the outcome rules
 MIN_SAMPLES, FLAP_CEILING, VALIDATED_FLOOR, ANCHOR_FLOOR, RESELECT_CEILING, WALKING_KPH = 8, 4.0, 0.80, 0.60, 2, 5
@@ -54,9 +54,22 @@ def probe_bins(probes: DataFrame, keys: list[str]) -> DataFrame:
     return probes.groupBy(*keys).agg(F.count_if(on).alias("probe_n"), F.count_if(on & fail).alias("probe_fail"), F.count_if(~on).alias("no_bearer_n"), F.count_if(on & F.col("cold")).alias("cold_n"), F.count_if(on & F.col("cold") & fail).alias("cold_fail"))
 
 
+def probe_latencies(probes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, latency_bin, weight): the latencies of the probes on the bearer that succeeded, each value with its count."""
+    ok = probes.where(F.col("on_bearer") & (F.col("outcome") == "OK")).withColumn("latency_bin", F.col("latency_ms"))
+    return weighted_hist(ok, keys, "latency_bin")
+
+
+def latency_p90(hist: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ok_n, p90_ms) of latency histograms."""
+    return hist.groupBy(*keys).agg(F.sum("weight").alias("ok_n")).join(percentiles(hist, keys, "latency_bin", "C", p90_ms=0.90), keys)
+
+
 def measures(bins: DataFrame) -> DataFrame:
-    """Adds derived measures to bins with flaps and probe counts (null counts as 0)."""
-    zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("flaps", "probe_n", "probe_fail", "cold_n", "cold_fail")}
+    """Adds derived measures to bins with flaps, probe counts and the latencies' count and p90 (null counts as 0; bins
+    without columns of latencies have none)."""
+    bins = bins.withColumns({c: F.lit(None).cast("long") for c in ("ok_n", "p90_ms") if c not in bins.columns})
+    zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("flaps", "probe_n", "probe_fail", "cold_n", "cold_fail", "ok_n")}
     minutes = F.greatest(F.col("ms") / 60000, F.lit(1 / 60))
     ratio = lambda a, b: fraction(F.col(a), F.col(b))
     return bins.withColumns(zero).withColumns({
@@ -80,6 +93,7 @@ def rules() -> list[tuple[Column, str]]:
         ((c("reselect_rate") > RESELECT_CEILING) & (c("speed_kph") < WALKING_KPH), "RESELECT"),
         (c("cold_success") < SUCCESS_FLOOR, "SLOW"),
         (c("fail_rate") > 1 - SUCCESS_FLOOR, "SLOW"),
+        ((c("ok_n") >= MIN_LATENCIES) & (c("p90_ms") > SLOW_P90_MS), "SLOW"),
         ((c("nr_ms") * 2 > c("ms")), "NSA"),
     ]
 

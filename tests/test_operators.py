@@ -167,6 +167,20 @@ def test_outcome_rules_in_order(spark):
     assert all(r["want"] == r["outcome"] for r in out), [(r["want"], r["outcome"]) for r in out]
 
 
+def test_slow_latencies_are_the_ninth_rule(spark):
+    base = {c: 0 for c in bins.SUMS} | {"n": 50, "ms": 600000, "cell_route_n": 10, "cell_route_ms": 1000, "cell_validated_ms": 1000, "flaps": 0, "probe_n": 4, "probe_fail": 0, "cold_n": 0, "cold_fail": 0}
+    cases = [("SLOW", 9, {"ok_n": 3, "p90_ms": 1501}), ("LTE", 0, {"ok_n": 3, "p90_ms": 1500}), ("LTE", 0, {"ok_n": 2, "p90_ms": 9000}), ("SLOW", 9, {"ok_n": 3, "p90_ms": 1501, "nr_ms": 300001}), ("NSA", 10, {"ok_n": 3, "p90_ms": 1500, "nr_ms": 300001})]
+    out = bins.classify(bins.measures(spark.createDataFrame([{"want": k, "at": r} | base | v for k, r, v in cases]))).collect()
+    assert len(bins.rules()) == 10 and all((r["want"], r["at"]) == (r["outcome"], r["rule"]) for r in out), out
+
+
+def test_latencies_of_successes_only(spark):
+    rows = [(1, v, "OK", True) for v in (100, 200, 200, 1600, 1700)] + [(1, 6000, "FAIL", True), (1, 9000, "OK", False), (2, 50, "FAIL", True)]
+    hist = bins.probe_latencies(spark.createDataFrame(rows, "cell long, latency_ms int, outcome string, on_bearer boolean"), ["cell"])
+    assert sorted(map(tuple, hist.collect())) == [(1, 100, 1), (1, 200, 2), (1, 1600, 1), (1, 1700, 1)]
+    assert [tuple(r) for r in bins.latency_p90(hist, ["cell"]).collect()] == [(1, 5, 1700)]
+
+
 def test_area_state_holds_its_dwell():
     times = list(range(0, 3_600_000, 10000))
     bad = [t < 1_000_000 for t in times]
