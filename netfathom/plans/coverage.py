@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import domain
 from ..functions import hexgrid, radio
 from ..operators import bins, intervals, rollup, studies, timeline
-from .core import _CHANGES, _COLD, _FIXED, _WEIGHTED, _cell_changes, _round, hex_sql, located
+from .core import _CHANGES, _COLD, _FIXED, _FLIPS, _WEIGHTED, _cell_changes, _round, hex_sql, located
 from .registry import query
 
 _SAMPLES = _WEIGHTED + _FIXED + """, rt AS (SELECT r.id, max_by(l.transport, (l.elapsed_ms, l.id)) AS transport, max_by(l.validated, (l.elapsed_ms, l.id)) AS validated, max_by(l.not_suspended, (l.elapsed_ms, l.id)) AS not_suspended
@@ -46,15 +48,23 @@ _PROBES = _COLD + _FIXED.replace("FROM radio\n", "FROM probes\n") + """, pb AS (
   count(*) FILTER (c.net_id <> '' AND c.cold) AS cold_n, count(*) FILTER (c.net_id <> '' AND c.cold AND c.outcome = 'FAIL') AS cold_fail FROM cold c JOIN located l ON l.id = c.id WHERE l.cell IS NOT NULL GROUP BY l.cell)"""
 
 
-def _probe_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _located_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     cold = timeline.mark_cold(domain.probes(spark, sf_dir), ["device_id"], on_bearer=F.col("net_id") != "").withColumn("on_bearer", F.col("net_id") != "")
     rows = timeline.assign_boot(cold, timeline.boot_starts([domain.events(spark, sf_dir)]))
-    return bins.probe_bins(located(spark, sf_dir, rows).where("cell is not null"), ["cell"])
+    return located(spark, sf_dir, rows).where("cell is not null")
 
 
 @query(_PROBES + " SELECT * FROM pb")
 def probe_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _probe_bins(spark, sf_dir)
+    return bins.probe_bins(_located_probes(spark, sf_dir), ["cell"])
+
+
+_OK = ", ok AS (SELECT l.cell, c.latency_ms AS latency_bin FROM cold c JOIN located l ON l.id = c.id WHERE l.cell IS NOT NULL AND c.net_id <> '' AND c.outcome = 'OK')"
+
+
+@query(_PROBES + _OK + " SELECT cell, latency_bin, count(*) AS weight FROM ok GROUP BY ALL")
+def probe_latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bins.probe_latencies(_located_probes(spark, sf_dir), ["cell"])
 
 
 _CLASSES = _SAMPLES + """, cb AS (SELECT cell, CAST(sum(n) AS BIGINT) AS n, sum(ms) AS ms, sum(suspended_ms) AS suspended_ms, sum(cell_route_ms) AS cell_route_ms, sum(cell_route_n) AS cell_route_n, sum(cell_validated_ms) AS cell_validated_ms, sum(cell_changes) AS cell_changes, sum(speed_ms) AS speed_ms, sum(speed_mps_ms) AS speed_mps_ms, sum(nr_ms) AS nr_ms FROM leaves GROUP BY cell),
@@ -65,12 +75,47 @@ SELECT cell, n, round(reselect_rate, 5) AS reselect_rate, round(kph, 5) AS speed
 
 @query(_CLASSES)
 def classify_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes by radio and route alone, without flaps and probes; ``coverage_map`` is the whole map."""
     whole = bins.combine(bins.bin_leaves(samples(spark, sf_dir), ["cell", "sub_id"]), ["cell"])
     none = {c: F.lit(0) for c in ("flaps", "probe_n", "probe_fail", "cold_n", "cold_fail")}
     out = bins.classify(bins.measures(whole.withColumns(none)))
     return out.select("cell", "n", *[F.round(c, 5).alias(c) for c in ("reselect_rate", "speed_kph", "cell_validated")], "outcome")
 
 
+def _places_of(rows: str, mark: str) -> str:
+    """The expressions that locate radio rows, for other rows, under names with a mark."""
+    return re.sub(r"\b(fx|uni|pn|located)\b", rf"\1_{mark}", _FIXED.replace("FROM radio\n", f"FROM {rows}\n"))
+
+
+_MAP = _SAMPLES + _COLD + _places_of("probes", "p") + """, pl AS (SELECT l.cell, c.* FROM cold c JOIN located_p l ON l.id = c.id WHERE l.cell IS NOT NULL),
+pb AS (SELECT cell, count(*) FILTER (net_id <> '') AS probe_n, count(*) FILTER (net_id <> '' AND outcome = 'FAIL') AS probe_fail, count(*) FILTER (net_id <> '' AND cold) AS cold_n, count(*) FILTER (net_id <> '' AND cold AND outcome = 'FAIL') AS cold_fail,
+  count(*) FILTER (net_id <> '' AND outcome = 'OK') AS ok_n, list_sort(list(latency_ms) FILTER (net_id <> '' AND outcome = 'OK')) AS oks FROM pl GROUP BY cell)""" + _FLIPS + _places_of("flips", "f") + """, fb AS (SELECT cell, count(*) AS flaps FROM located_f WHERE cell IS NOT NULL GROUP BY cell),
+cb AS (SELECT cell, CAST(sum(n) AS BIGINT) AS n, sum(ms) AS ms, sum(cell_route_ms) AS cell_route_ms, sum(cell_route_n) AS cell_route_n, sum(cell_validated_ms) AS cell_validated_ms, sum(cell_changes) AS cell_changes, sum(speed_ms) AS speed_ms, sum(speed_mps_ms) AS speed_mps_ms, sum(nr_ms) AS nr_ms FROM leaves GROUP BY cell),
+jn AS (SELECT cb.*, greatest(ms / 60000, 1.0 / 60) AS mins, coalesce(flaps, 0) AS flaps, coalesce(probe_n, 0) AS probe_n, coalesce(probe_fail, 0) AS probe_fail, coalesce(cold_n, 0) AS cold_n, coalesce(cold_fail, 0) AS cold_fail, coalesce(ok_n, 0) AS ok_n,
+  oks[CAST(floor(0.9::DOUBLE * (ok_n - 1) + 0.5) AS BIGINT) + 1] AS p90_ms FROM cb LEFT JOIN pb ON pb.cell = cb.cell LEFT JOIN fb ON fb.cell = cb.cell),
+mm AS (SELECT *, cell_changes / mins AS reselect_rate, CASE WHEN speed_ms > 0 THEN speed_mps_ms / speed_ms * 3.6 ELSE 0 END AS kph, CASE WHEN cell_route_ms > 0 THEN cell_validated_ms / cell_route_ms END AS cv, greatest(0, least(1, 1 - flaps / mins / 4)) AS anchor, CAST(probe_fail AS DOUBLE) / nullif(probe_n, 0) AS fr FROM jn),
+wl AS (SELECT *, greatest(0, ((fr + 3.8416 / (2 * probe_n)) - 1.96 * sqrt(fr * (1 - fr) / probe_n + 3.8416 / (4.0 * probe_n * probe_n))) / (1 + 3.8416 / probe_n)) AS lo FROM mm)
+SELECT cell, n, flaps, probe_n, probe_fail, cold_n, cold_fail, ok_n, p90_ms, round(anchor, 5) AS anchor, round(reselect_rate, 5) AS reselect_rate, round(kph, 5) AS speed_kph, round(cv, 5) AS cell_validated,
+  CASE WHEN n < 8 OR cell_route_n + probe_n = 0 THEN 'UNSURVEYED' WHEN cv < 0.8 OR lo > 0.05 THEN 'ROUTE_LOSS' WHEN anchor < 0.6 THEN 'ANCHOR' WHEN reselect_rate > 2 AND kph < 5 THEN 'RESELECT'
+    WHEN cold_n > 0 AND (cold_n - cold_fail) / cold_n < 0.95 OR fr > 1 - 0.95::DOUBLE OR ok_n >= 3 AND p90_ms > 1500 THEN 'SLOW' WHEN nr_ms * 2 > ms THEN 'NSA' ELSE 'LTE' END AS outcome FROM wl"""
+
+
+@query(_MAP)
+def coverage_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcome classes of all bins by the radio, the probes and the flaps of the route in them."""
+    whole = bins.combine(bins.bin_leaves(samples(spark, sf_dir), ["cell", "sub_id"]), ["cell"])
+    probes = _located_probes(spark, sf_dir)
+    links = timeline.assign_boot(domain.links(spark, sf_dir), timeline.boot_starts([domain.events(spark, sf_dir)]))
+    flips = intervals.value_changes(links, ["device_id", "boot"], "transport", ["elapsed_ms", "id"])
+    flaps = located(spark, sf_dir, flips).where("cell is not null").groupBy("cell").agg(F.count("*").alias("flaps"))
+    found = [bins.probe_bins(probes, ["cell"]), bins.latency_p90(bins.probe_latencies(probes, ["cell"]), ["cell"]), flaps]
+    for bin_ in found:
+        whole = whole.join(bin_, "cell", "left")
+    out = bins.classify(bins.measures(whole))
+    counts = ["flaps", "probe_n", "probe_fail", "cold_n", "cold_fail", "ok_n", "p90_ms"]
+    return out.select("cell", "n", *counts, *[F.round(c, 5).alias(c) for c in ("anchor", "reselect_rate", "speed_kph", "cell_validated")], "outcome")
+
+
 # ---- roll-ups -------------------------------------------------------------------------------------------------------------
 
 _HOURLY = """, ex AS (SELECT *, 1000 * wall_ms AS t FROM radio), hourly AS (SELECT t - t % 3600000 AS hour, sub_id, plmn, rat, band, ci, count(*) AS n, bit_or(CAST(1 AS BIGINT) << CAST(t % 3600000 // 60000 AS BIGINT)) AS mask,

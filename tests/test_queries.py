@@ -33,3 +33,10 @@ def test_query_equals_sql(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_the_map_takes_probes_and_flaps(spark):
+    whole = {r["cell"]: r for r in QUERIES["coverage_map"](spark, SF).collect()}
+    radio = {r["cell"]: r for r in QUERIES["classify_bins"](spark, SF).collect()}
+    assert set(whole) == set(radio) and all(sum(r[c] for r in whole.values()) > 0 for c in ("flaps", "probe_n", "probe_fail", "cold_n", "cold_fail", "ok_n"))
+    assert any(radio[k]["outcome"] == "LTE" and r["outcome"] in ("ROUTE_LOSS", "SLOW") for k, r in whole.items())
