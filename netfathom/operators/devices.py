@@ -1,18 +1,19 @@
 """Operators on a device's course: journeys, excursions, places held, predictions, faults, and health.
 
-State machines with dwell times depend on the order of rows and run per device as grouped pandas functions; the same
-functions serve the streams.
+State machines with dwell times depend on the order of rows and run along them, holding one window at most.
 """
 
 from __future__ import annotations
 
 import math
+from collections import deque
+from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import gap_cluster
+from .intervals import _islands, gap_cluster
+from .ordered import in_order
 
 # fixed values
 QUIET_MS, MIN_ACTIVE_MS, WALKING_MPS = 180000, 60000, 0.5
@@ -44,15 +45,33 @@ def area_states(times: list[int], bad: list[bool], window: int = WINDOW_MS, leas
     return out
 
 
-def area_state(rows: DataFrame, keys: list[str], t: str, bad: str, order: list[str], **limits: int) -> DataFrame:
-    """Adds ``poor``."""
+def _areas_along(t: int, bad: int, window: int = WINDOW_MS, least: int = LEAST, dwell: int = DWELL_MS):
+    """``area_states`` for rows that pass by, with the places of their columns: holds counts per time of one window."""
+    def rule(rows: Iterator[tuple]) -> Iterator[tuple]:
+        held: deque[list[int]] = deque()  # time, rows, bad rows
+        poor, since, n, n_bad = False, -math.inf, 0, 0
+        for row in rows:
+            if not held or held[-1][0] != row[t]:
+                held.append([row[t], 0, 0])
+            held[-1][1] += 1
+            held[-1][2] += bool(row[bad])
+            n, n_bad = n + 1, n_bad + bool(row[bad])
+            while held[0][0] < row[t] - window:
+                _, gone, gone_bad = held.popleft()
+                n, n_bad = n - gone, n_bad - gone_bad
+            if n >= least and row[t] - since >= dwell:
+                share = n_bad / n
+                if not poor and share >= ENTER or poor and share <= LEAVE:
+                    poor, since = not poor, row[t]
+            yield (*row, poor)
+
+    return rule
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        pdf["poor"] = area_states(pdf[t].tolist(), pdf[bad].tolist(), **limits)
-        return pdf
 
-    return rows.groupBy(*keys).applyInPandas(run, rows.withColumn("poor", F.lit(True)).schema)
+def area_state(rows: DataFrame, keys: list[str], t: str, bad: str, order: list[str], **limits: int) -> DataFrame:
+    """Adds ``poor``."""
+    schema = rows.withColumn("poor", F.lit(True)).schema
+    return in_order(rows, keys, order, schema, _areas_along(rows.columns.index(t), rows.columns.index(bad), **limits))
 
 
 def kept_times(times: list[int], keys: list, every: int = 60000) -> list[bool]:
@@ -68,14 +87,26 @@ def kept_times(times: list[int], keys: list, every: int = 60000) -> list[bool]:
     return keep
 
 
-def thin(rows: DataFrame, keys: list[str], t: str, value: str, order: list[str], every: int = 60000) -> DataFrame:
-    """The rows that ``kept_times`` keeps."""
+def _kept_along(t: int, edge: int, every: int):
+    """The rows of one run that are kept: those a time ``every`` or more after the last such one, and those marked."""
+    def rule(rows: Iterator[tuple]) -> Iterator[tuple]:
+        last = None
+        for row in rows:
+            due = last is None or row[t] - last >= every
+            last = row[t] if due else last
+            if due or row[edge]:
+                yield row
+
+    return rule
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        return pdf[kept_times(pdf[t].tolist(), pdf[value].tolist(), every)]
 
-    return rows.groupBy(*keys).applyInPandas(run, rows.schema)
+def thin(rows: DataFrame, keys: list[str], t: str, value: str, order: list[str], every: int = 60000) -> DataFrame:
+    """The rows that ``kept_times`` keeps. The runs of a key are independent of each other."""
+    by = Window.partitionBy(*keys).orderBy(*order)
+    fresh = ~F.col(value).eqNullSafe(F.lag(value).over(by)) | (F.row_number().over(by) == 1)
+    left = F.lead(F.lit(1)).over(by).isNotNull() & ~F.col(value).eqNullSafe(F.lead(value).over(by))
+    runs = _islands(rows.withColumn("_left", left), keys, order, fresh)
+    return in_order(runs, [*keys, "_island"], order, runs.schema, _kept_along(runs.columns.index(t), runs.columns.index("_left"), every)).drop("_left", "_island")
 
 
 def repeated_failures(failures: DataFrame, keys: list[str], t: str, window: int = 3600000, least: int = 6, span: int = 300000, quiet: int = 900000) -> DataFrame:

@@ -1,15 +1,20 @@
 """Studies: ping-pong returns matched with controls, transfer pairs, cold and warm probes, masts and areas by hour.
 
-The two greedy rules that depend on order (which return closes which departure; which control a case takes) run per
-device and subscription as grouped pandas functions; all before and after is on columns.
+The two greedy rules that depend on order (which return closes which departure; which control a case takes) run along the
+rows of a device and subscription and hold a reach of rows, or counts; all before and after is on columns.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import deque
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import _islands
+from .ordered import in_order
+
 PING_PONG_MS, TOLERANCE = 30000, 2  # fixed values
 
 
@@ -29,15 +34,38 @@ def returns_of(times: list[int], origins: list, targets: list, reach: int = PING
     return part, back
 
 
-def mark_pingpong(changes: DataFrame, keys: list[str], t: str, origin: str, target: str, order: list[str]) -> DataFrame:
-    """Adds ``pingpong`` and ``is_return`` to changes (at most one long per row is looked ahead beyond the reach)."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        pdf["pingpong"], pdf["is_return"] = returns_of(pdf[t].tolist(), pdf[origin].tolist(), pdf[target].tolist())
-        return pdf
+def _returns_along(t: int, origin: int, target: int, reach: int = PING_PONG_MS):
+    """``returns_of`` for rows that pass by, with the places of their columns: holds the rows of one reach."""
+    def rule(rows: Iterator[tuple]) -> Iterator[tuple]:
+        held: deque[list] = deque()  # row, part, back
+        waiting: dict = {}  # origin: departures that no row has closed
+        for row in rows:
+            while held and row[t] - held[0][0][t] > reach:
+                old = held.popleft()
+                own = waiting.get(old[0][origin], [])
+                if own and own[0] is old:
+                    own.pop(0)
+                    if not own:
+                        del waiting[old[0][origin]]
+                yield (*old[0], old[1], old[2])
+            closed = waiting.pop(row[target], [])
+            now = [row, bool(closed), bool(closed)]
+            for other in closed:
+                other[1] = True
+            if not closed:
+                waiting.setdefault(row[origin], []).append(now)
+            held.append(now)
+        yield from ((*r, part, back) for r, part, back in held)
+
+    return rule
+
 
-    schema = changes.withColumn("pingpong", F.lit(True)).withColumn("is_return", F.lit(True)).schema
-    return changes.groupBy(*keys).applyInPandas(run, schema)
+def mark_pingpong(changes: DataFrame, keys: list[str], t: str, origin: str, target: str, order: list[str]) -> DataFrame:
+    """Adds ``pingpong`` and ``is_return`` to changes. Gaps above the reach part the changes of a key."""
+    before = F.lag(t).over(Window.partitionBy(*keys).orderBy(*order))
+    rows = _islands(changes, keys, order, F.coalesce(F.col(t) - before > PING_PONG_MS, F.lit(True)))
+    schema = rows.withColumn("pingpong", F.lit(True)).withColumn("is_return", F.lit(True)).schema
+    return in_order(rows, [*keys, "_island"], order, schema, _returns_along(*(rows.columns.index(c) for c in (t, origin, target)))).drop("_island")
 
 
 def greedy_pairs(cases: list[tuple[int, int]], controls: list[tuple[int, int]], tolerance: int = TOLERANCE) -> list[tuple[int, int]]:
@@ -55,16 +83,39 @@ def greedy_pairs(cases: list[tuple[int, int]], controls: list[tuple[int, int]],
     return out
 
 
+def _pairs_along(n_keys: int, tolerance: int = TOLERANCE):
+    """``greedy_pairs`` by counts: of rows (keys, level, controls of the level, id, ...), levels first, then the cases in
+    order; gives (keys, case_id, level, rank) of the control to take."""
+    def rule(rows: Iterator[tuple]) -> Iterator[tuple]:
+        free: dict[int, int] = {}
+        taken: dict[int, int] = {}
+        steps = sorted(range(-tolerance, tolerance + 1), key=lambda d: (abs(d), d))
+        for row in rows:
+            level, controls, id_ = row[n_keys : n_keys + 3]
+            if controls is not None:
+                free[level] = controls
+                continue
+            for at in (level + d for d in steps):
+                if taken.get(at, 0) < free.get(at, 0):
+                    taken[at] = taken.get(at, 0) + 1
+                    yield (*row[:n_keys], id_, at, taken[at])
+                    break
+
+    return rule
+
+
 def match_controls(rows: DataFrame, keys: list[str], id_: str, level: str, case: str, order: list[str]) -> DataFrame:
-    """(keys, case_id, control_id) within each key: cases matched with controls without replacement, in order."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        pick = lambda m: list(zip(pdf.loc[m, id_].tolist(), pdf.loc[m, level].tolist()))
-        pairs = greedy_pairs(pick(pdf[case]), pick(~pdf[case]))
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(pairs) for k in keys}, "case_id": [a for a, _ in pairs], "control_id": [b for _, b in pairs]})
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", case_id {kinds[id_]}, control_id {kinds[id_]}")
+    """(keys, case_id, control_id) within each key: cases matched with controls without replacement, in order. A case takes
+    a rank of a level, so only counts are held; the controls are joined by their ranks."""
+    rows = rows.withColumn("_level", F.col(level).cast("long"))
+    controls = rows.where(~F.col(case))
+    counts = controls.groupBy(*keys, "_level").agg(F.count("*").alias("_controls")).select(*keys, "_level", "_controls", F.lit(None).cast(rows.schema[id_].dataType).alias("case_id"), *[F.lit(None).cast(rows.schema[o].dataType).alias(f"_o{k}") for k, o in enumerate(order)])
+    cases = rows.where(F.col(case)).select(*keys, "_level", F.lit(None).cast("long").alias("_controls"), F.col(id_).alias("case_id"), *[F.col(o).alias(f"_o{k}") for k, o in enumerate(order)])
+    both = counts.union(cases).withColumn("_side", F.col("_controls").isNull().cast("int"))
+    schema = both.select(*keys, "case_id", "_level", F.lit(0).cast("long").alias("_rank")).schema
+    took = in_order(both, keys, ["_side", *(f"_o{k}" for k in range(len(order)))], schema, _pairs_along(len(keys)))
+    ranks = F.row_number().over(Window.partitionBy(*keys, "_level").orderBy(*order)).cast("long")
+    return took.join(controls.select(*keys, "_level", ranks.alias("_rank"), F.col(id_).alias("control_id")), [*keys, "_level", "_rank"]).select(*keys, "case_id", "control_id")
 
 
 def pair_transfers(rows: DataFrame, keys: list[str], t: str, direction: str, order: list[str], gap: int = 60000) -> DataFrame:
