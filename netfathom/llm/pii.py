@@ -1,9 +1,9 @@
 """Personal data: exact patterns, and a character-level bidirectional LSTM with CRF transitions that adds spans.
 
 The patterns (e-mail, ip, card, phone) give the base spans of every whole text. The network is trained in numpy on
-labelled spans: windows around the base spans and around other digits of a bounded sample of documents (``SAMPLE``), with
-copies in which spans are rewritten in other common forms. At prediction, a document is covered by overlapping windows of
-``WINDOW`` characters every ``STEP``; all that hold a digit or an @ are decoded (no kind can be written without one), and
+labelled spans: windows around the base spans and around other digits of a bounded sample of distinct texts (``SAMPLE``),
+three quarters of which have base spans, with copies in which spans are rewritten in other common forms. At prediction, a document is covered by overlapping windows of
+``WINDOW`` characters every ``STEP``; all that hold a digit or an @ are decoded (forms without one, as spelled-out addresses, are left out by choice), and
 their spans are reconciled over the whole document: base spans stay, and of the others those decoded by more windows,
 then more surely, win where spans overlap.
 
@@ -14,6 +14,7 @@ have no spans; other columns are ignored (``find``) or kept (``redact``). Withou
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import cut
 from .textblocks import blocks
 
 KINDS = ("email", "ip", "card", "phone")
@@ -248,6 +250,10 @@ def _rewritten(text: str, spans: list[Span], rng: np.random.Generator) -> tuple[
             continue
         own = "".join(str(rng.integers(10)) if c.isdigit() else c for c in text[a:b])
         form = rng.integers(4)
+        if k == 0:
+            own = (own, own.upper(), own.replace("@", " @ "), own.replace("@", "@ "))[form]
+        if k == 1:
+            own = (own, own.replace(".", " . "), own.replace(".", "[.]"), own.replace(".", ". "))[form]
         if k == 2:
             digits = own.replace(" ", "").replace("-", "")
             own = (digits, *(s.join(digits[i : i + 4] for i in range(0, len(digits), 4)) for s in " -"), own)[form]
@@ -376,15 +382,46 @@ def _redacted(network, text: int):
     return run
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
-    """A network for the documents' labelled spans: trained on windows of at most ``sample`` of those with a digit or an @
-    and no more than 20000 characters, by a hash of id and text."""
-    some = docs.select(F.xxhash64("doc_id", "text").alias("_key"), F.col("text").cast("string").alias("text")).where("text rlike '[0-9@]' and length(text) <= 20000")
+def _sampled(labelled: int, others: int):
+    """Of (key, text) the least ``labelled`` keys of texts with base spans and the least ``others`` of those without.
+    Patterns are matched only while a key can still be among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[bool, list[int]] = {True: [], False: []}  # keys, negated, as heaps
+        most, seen = {True: labelled, False: others}, {True: set(), False: set()}
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if key in seen[True] or key in seen[False] or all(len(kept[c]) >= most[c] and (not most[c] or key > -kept[c][0]) for c in kept):
+                    continue
+                has = bool(base_spans(text.as_py()))
+                if len(kept[has]) < most[has]:
+                    heapq.heappush(kept[has], -key)
+                elif most[has] and key < -kept[has][0]:
+                    seen[has].discard(-heapq.heapreplace(kept[has], -key))
+                else:
+                    continue
+                seen[has].add(key)
+        rows = [(-k, has) for has in kept for k in kept[has]]
+        yield pa.record_batch([pa.array([k for k, _ in rows], pa.int64()), pa.array([h for _, h in rows], pa.bool_())], names=["_taken", "_has"])
+
+    return run
+
+
+def training_sample(docs: DataFrame, sample: int = SAMPLE) -> list[str]:
+    """At most ``sample`` distinct texts of no more than 20000 characters, by a hash of the text: a quarter at most has a
+    digit or an @ and no base span, the others have base spans."""
+    some = docs.select(F.col("text").cast("string").alias("text")).where("text rlike '[0-9@]' and length(text) <= 20000").select(F.xxhash64("text").alias("_key"), "text")
     # keys alone are ordered, so that each task sends its first keys to the driver and not their texts
-    keys = some.select(F.col("_key").alias("_taken")).distinct().orderBy("_taken").limit(sample)
-    rows = some.join(F.broadcast(keys), F.col("_key") == F.col("_taken")).dropDuplicates(["_key"]).select("_key", "text").collect()  # ``sample`` rows
-    rows.sort(key=lambda r: r["_key"])
-    chars, tags = training_windows([r["text"] for r in rows])
+    others = sample // 4
+    keys = cut(some.mapInArrow(_sampled(sample - others, others), "_taken long, _has boolean").distinct())
+    taken = keys.where("_has").orderBy("_taken").limit(sample - others).union(keys.where("not _has").orderBy("_taken").limit(others)).select("_taken")
+    rows = some.join(F.broadcast(taken), F.col("_key") == F.col("_taken")).dropDuplicates(["_key"]).select("_key", "text").collect()  # ``sample`` rows
+    return [r["text"] for r in sorted(rows, key=lambda r: r["_key"])]
+
+
+def learn(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
+    """A network for the documents' labelled spans: trained on windows of ``training_sample``."""
+    chars, tags = training_windows(training_sample(docs, sample))
     if not tags.any():
         return None
     network = Network()

@@ -329,6 +329,15 @@ def test_url_rules_and_propagation(spark):
     assert url_filters.filter_urls(pages.limit(0), rules).count() == 0
 
 
+def test_the_training_sample_has_labels(spark):
+    rows = [(i, "copied in 2020") for i in range(400)] + [(1000 + i, f"room {i}") for i in range(400)] + [(2000 + i, f"write to u{i}@example.org") for i in range(6)] * 2
+    texts = pii.training_sample(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), sample=20)
+    assert len(set(texts)) == len(texts) == 6 + 5 and sum("@" in t for t in texts) == 6
+    many = [(i, f"write to u{i}@example.org") for i in range(100)] + rows
+    texts = pii.training_sample(spark.createDataFrame(many, "doc_id long, text string"), sample=20)
+    assert len(set(texts)) == 20 and sum("@" in t for t in texts) == 15
+
+
 def test_chats_are_linked_and_checked(spark):
     rows = [
         (1, 0, "user", "hi"),
