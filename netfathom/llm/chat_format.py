@@ -10,9 +10,10 @@ white space, numbers normalised.
 The result is in long form, one row per message, with a sort key (``order_turn``, ``order_depth``, ``order_step``) that
 puts each result behind its call: a conversation of any size is never gathered.
 
-Null roles count as ``user`` and null texts as empty. Texts that are no such JSON are plain messages. Of several calls
-with one identifier the first (turn, place) counts, and the others are errors, as are results without a call. Repeated
-rows stay repeated. Dependency cycles are cut at ``most`` rounds. Other columns are ignored. An empty table gives none.
+Null roles count as ``user`` and null texts as empty. Texts that are no such JSON are plain messages. All calls
+are counted and checked. Of several calls with one identifier results go to the first (turn, place), and the others are
+errors, as are calls without an identifier and results without a call. Repeated rows stay repeated. Calls of dependency
+cycles, and those between two cycles, share a depth. Other columns are ignored. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -35,58 +36,80 @@ def parameter_table(spark, tools: dict[str, dict[str, tuple[str, bool]]]) -> Dat
 
 
 def _calls(messages: DataFrame) -> DataFrame:
+    """All calls, those without an identifier and repeated ones too; ``copies`` are those of repeated messages."""
     told = messages.where("role = 'assistant' and startswith(ltrim(text), '{')").select("conv_id", "turn", F.from_json("text", _CALLS)["tool_calls"].alias("calls"))
-    found = told.select("conv_id", "turn", F.posexplode("calls").alias("place", "c")).select("conv_id", "turn", "place", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.coalesce("c.arguments", F.lit("{}")).alias("arguments")).where("call_id is not null")
-    first = found.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "place", "name", "arguments")).alias("f"), (F.count("*") - 1).alias("repeats"))
-    return first.select("conv_id", "call_id", "f.*", "repeats")
+    found = told.select("conv_id", "turn", F.posexplode("calls").alias("place", "c"))
+    found = found.select("conv_id", "turn", "place", F.col("c.id").alias("call_id"), F.coalesce("c.name", F.lit("")).alias("name"), F.coalesce("c.arguments", F.lit("{}")).alias("arguments"))
+    return found.groupBy(*found.columns).agg(F.count("*").alias("copies"))
 
 
 def _checked(calls: DataFrame, parameters: DataFrame) -> DataFrame:
-    """Adds to each call its number of errors in the arguments: no object, unknown tool, missing, of another kind, unknown."""
-    given = calls.select("conv_id", "call_id", "name", F.expr("try_parse_json(arguments)").alias("v"), F.expr("coalesce(json_object_keys(arguments), array())").alias("keys"), "arguments")
+    """(name, arguments, errors) of calls (name, arguments): no object, unknown tool, missing, of another kind, unknown."""
+    given = calls.select("name", F.expr("try_parse_json(arguments)").alias("v"), F.expr("coalesce(json_object_keys(arguments), array())").alias("keys"), "arguments")
     kind = F.regexp_extract(F.expr("schema_of_variant(try_variant_get(v, concat('$.', parameter), 'variant'))"), r"^\w+", 0)
     fits = F.expr(f"case kind when 'number' then found in ('BIGINT', 'DECIMAL', 'DOUBLE', 'FLOAT') when 'object' then found = 'OBJECT' when 'array' then found = 'ARRAY' {' '.join(f'when {k!r} then found = {v!r}' for k, v in _KINDS.items())} else true end")
     asked = given.join(parameters, "name").withColumn("found", kind).withColumn("there", F.expr("array_contains(keys, parameter)"))
     wrong = F.when(~F.col("there"), F.col("required").cast("int")).otherwise((~F.coalesce(fits, F.lit(False))).cast("int"))
-    counted = asked.groupBy("conv_id", "call_id").agg(F.sum(wrong).alias("wrong"), F.sum(F.col("there").cast("int")).alias("known"))
+    counted = asked.groupBy("name", "arguments").agg(F.sum(wrong).alias("wrong"), F.sum(F.col("there").cast("int")).alias("known"))
     tools = parameters.select("name").distinct().withColumn("tool", F.lit(1))
-    whole = given.join(counted, ["conv_id", "call_id"], "left").join(tools, "name", "left")
+    whole = given.join(counted, ["name", "arguments"], "left").join(tools, "name", "left")
     errors = F.when(F.col("v").isNull() | ~F.col("arguments").rlike(r"^\s*\{"), 1).when(F.col("tool").isNull(), 1).otherwise(F.coalesce("wrong", F.lit(0)) + F.size("keys") - F.coalesce("known", F.lit(0)))
-    return whole.select("conv_id", "call_id", errors.cast("long").alias("errors"))
+    return whole.select("name", "arguments", errors.cast("long").alias("errors"))
 
 
-def _depths(calls: DataFrame, most: int) -> DataFrame:
-    """Adds the depth of each call: 0, or one more than the deepest call that its arguments name."""
+def _core(needs: DataFrame) -> DataFrame:
+    """Of calls that all need a cycle, those that are needed by one themselves, with their needs: the cycles, and what lies
+    between them."""
+    core, n = needs, needs.count()
+    while True:
+        core = cut(core.join(core.select("conv_id", F.col("needed").alias("call_id")).distinct(), ["conv_id", "call_id"], "left_semi"))
+        n, before = core.count(), n
+        if n == before:
+            return core
+
+
+def _depths(calls: DataFrame) -> DataFrame:
+    """(conv_id, call_id, depth) of calls: 0, or one more than the deepest call that their arguments name. Calls are placed
+    by peeling: each round places those whose needs are all placed. Where none can be, the calls of cycles get one depth
+    behind the placed ones of their conversation, and peeling goes on."""
     needs = calls.select("conv_id", "call_id", F.explode(F.array_distinct(F.regexp_extract_all("arguments", F.lit(r'"\$([^"]+)"'), F.lit(1)))).alias("needed")).where("needed <> call_id")
-    needs = cut(needs.join(calls.select("conv_id", F.col("call_id").alias("needed")), ["conv_id", "needed"], "left_semi"))
-    depth = calls.select("conv_id", "call_id", F.lit(0).alias("depth"))
-    if needs.isEmpty():
-        return depth
-    for _ in range(most):
-        below = needs.join(depth.withColumnRenamed("call_id", "needed"), ["conv_id", "needed"]).groupBy("conv_id", "call_id").agg((F.max("depth") + 1).alias("next"))
-        after = cut(depth.join(below, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.coalesce("next", F.lit(0)).alias("depth"), (F.coalesce("next", F.lit(0)) != F.col("depth")).alias("moved")))
-        depth = after.drop("moved")
-        if after.where("moved").isEmpty():
-            break
-    return depth
-
-
-def format_chats(messages: DataFrame, parameters: DataFrame, most: int = 20) -> DataFrame:
+    waiting = cut(needs.join(calls.select("conv_id", F.col("call_id").alias("needed")), ["conv_id", "needed"], "left_semi").select("conv_id", "call_id", "needed"))
+    last = calls.select("conv_id", "call_id").join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("depth", F.lit(0))
+    done, parts = last, 0
+    while not waiting.isEmpty():
+        met = waiting.join(last.withColumnRenamed("call_id", "needed"), ["conv_id", "needed"]).groupBy("conv_id", "call_id").agg((F.max("depth") + 1).alias("depth"))
+        left = cut(waiting.join(last.select("conv_id", F.col("call_id").alias("needed")), ["conv_id", "needed"], "left_anti").select("conv_id", "call_id", "needed"))
+        last = cut(met.join(left, ["conv_id", "call_id"], "left_anti"))
+        waiting = left
+        if last.isEmpty() and not waiting.isEmpty():
+            cyclic = _core(waiting).select("conv_id", "call_id").distinct()
+            last = cut(cyclic.join(done.groupBy("conv_id").agg((F.max("depth") + 1).alias("depth")), "conv_id", "left").select("conv_id", "call_id", F.coalesce("depth", F.lit(0)).alias("depth")))
+            waiting = cut(waiting.join(last, ["conv_id", "call_id"], "left_anti"))
+        done, parts = done.union(last), parts + 1
+        if parts % 16 == 0:
+            done = cut(done)
+    return done
+
+
+def format_chats(messages: DataFrame, parameters: DataFrame) -> DataFrame:
     """Per message: conv_id, turn, role, message (canonical JSON), n_calls, n_errors, call_id (of a result), linked,
     order_turn, order_depth, order_step."""
     rows = messages.select("conv_id", "turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    calls = cut(_calls(rows))
-    checked = calls.join(_checked(calls, parameters), ["conv_id", "call_id"], "left").join(_depths(calls, most), ["conv_id", "call_id"], "left")
-    by_turn = checked.groupBy("conv_id", "turn").agg(F.count("*").alias("n_calls"), F.sum(F.coalesce("errors", F.lit(0)) + F.col("repeats")).alias("n_errors"), F.max("depth").alias("deepest"))
-    links = checked.select("conv_id", "call_id", F.col("turn").alias("call_turn"), F.col("place").alias("call_place"), F.col("depth").alias("call_depth"))
+    found = cut(_calls(rows))
+    first = found.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "place", "name", "arguments")).alias("f")).select("conv_id", "call_id", "f.*")
+    placed = cut(first.join(_depths(first), ["conv_id", "call_id"]))
+    own = found.join(_checked(found.select("name", "arguments").distinct(), parameters), ["name", "arguments"], "left").join(placed.withColumn("_first", F.lit(1)), ["conv_id", "call_id", "turn", "place", "name", "arguments"], "left")
+    by_turn = own.groupBy("conv_id", "turn").agg(F.sum(F.coalesce("errors", F.lit(0)) + F.col("copies") - F.coalesce("_first", F.lit(0))).alias("n_errors"), F.coalesce(F.max("depth"), F.lit(0)).alias("deepest"))
+    links = placed.select("conv_id", "call_id", F.col("turn").alias("call_turn"), F.col("place").alias("call_place"), F.col("depth").alias("call_depth"))
 
     result = F.when(F.col("role") == "tool", F.from_json("text", _RESULT))
     called = F.when((F.col("role") == "assistant") & F.expr("startswith(ltrim(text), '{')"), F.expr("to_json(try_variant_get(try_parse_json(text), '$.tool_calls', 'variant'))"))
-    rows = rows.withColumn("call_id", result["tool_call_id"]).withColumn("_calls", called)
+    listed = F.when((F.col("role") == "assistant") & F.expr("startswith(ltrim(text), '{')"), F.size(F.from_json("text", _CALLS)["tool_calls"]))
+    rows = rows.withColumn("call_id", result["tool_call_id"]).withColumn("_calls", called).withColumn("n_calls", listed.cast("long"))
     # messages without an identifier get one that meets nothing, so that those of one conversation are not dealt to one task
     rows = rows.withColumn("_id", F.coalesce("call_id", F.concat(F.lit("\u0000"), F.col("turn"))))
     joined = rows.join(links.withColumnRenamed("call_id", "_id"), ["conv_id", "_id"], "left").join(by_turn, ["conv_id", "turn"], "left")
-    is_call, is_result = F.col("n_calls").isNotNull() & F.col("_calls").isNotNull(), F.col("call_id").isNotNull()
+    is_call, is_result = F.coalesce(F.col("n_calls") > 0, F.lit(False)) & F.col("_calls").isNotNull(), F.col("call_id").isNotNull()
     text_of = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
     content = F.coalesce(F.expr("to_json(try_variant_get(try_parse_json(text), '$.content', 'variant'))"), F.lit("null"))
     message = (

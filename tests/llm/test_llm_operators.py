@@ -1,6 +1,7 @@
 """The operators on small tables with nulls, empty and long texts, ties, repeats and odd columns, against brute force."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -359,3 +360,18 @@ def test_chats_are_linked_and_checked(spark):
     assert order.index((1, 3)) < order.index((1, 2))
     assert got[1, 5]["message"] == '{"content":"","role":"user"}' and got[2, 1]["n_errors"] == 1
     assert chat_format.format_chats(frame.limit(0), tools).count() == 0
+
+
+def test_long_chains_cycles_and_calls_without_identifier(spark):
+    def calls(*xs):
+        return json.dumps({"tool_calls": [{"id": i, "name": "f", "arguments": {"a": a}} for i, a in xs]})
+
+    chain = [(f"c{i}", f"$c{i - 1}" if i else "x") for i in range(24)]
+    rows = [(1, 0, "assistant", calls(*reversed(chain)))] + [(1, 1 + i, "tool", json.dumps({"tool_call_id": f"c{i}", "content": i})) for i in range(24)]
+    knot = [("after", "$u"), ("u", "$v"), ("v", "$u"), ("free", "x")]
+    rows += [(2, 0, "assistant", calls(*knot))] + [(2, 1 + k, "tool", json.dumps({"tool_call_id": i, "content": 0})) for k, (i, _) in enumerate(knot)]
+    rows += [(3, 0, "assistant", '{"tool_calls":[{"name":"f","arguments":{"b":1}},{"id":"d","name":"f","arguments":{"a":"x"}}]}'), (3, 1, "assistant", '{"tool_calls":[{"id":"d","name":"f","arguments":{"b":1}}]}')]
+    got = {(r["conv_id"], r["turn"]): r for r in chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), chat_format.parameter_table(spark, {"f": {"a": ("string", True)}})).collect()}
+    assert [got[1, 1 + i]["order_depth"] for i in range(24)] == list(range(24)) and got[1, 0]["n_errors"] == 0
+    assert [got[2, 1 + k]["order_depth"] for k in range(4)] == [2, 1, 1, 0]
+    assert (got[3, 0]["n_calls"], got[3, 0]["n_errors"], got[3, 1]["n_calls"], got[3, 1]["n_errors"]) == (2, 3, 1, 3)
