@@ -68,7 +68,7 @@ def _fresh(sent: set[int], cls: int) -> bool:
 
 
 def _scan(k: int, bits: int):
-    """Each text's class and size, and this task's part of the frequency sketch."""
+    """Each text's class, size and mark, and this task's part of the frequency sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, sent = np.zeros(1 << bits, np.uint32), set()
@@ -79,10 +79,10 @@ def _scan(k: int, bits: int):
                 n[row], cls[row] = len(own), c
                 if _fresh(sent, c):
                     np.add.at(counts, (own >> U64(64 - bits)).astype(np.int64), 1)
-            yield pa.record_batch([ids, pa.array(n), pa.array(cls, mask=n == 0), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names=["doc_id", "n", "cls", "page", "counts"])
+            yield pa.record_batch([ids, pa.array(n), pa.array(cls, mask=n == 0), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary()), batch.column(2)], names=["doc_id", "n", "cls", "page", "counts", "mark"])
         pages = [(i, p.astype(np.uint8 if p.max() < 256 else np.uint32)) for i, p in enumerate(counts.reshape(-1, _PAGE)) if p.any()]
         none = pa.nulls(len(pages), pa.int64())
-        yield pa.record_batch([none, none, none, pa.array([i for i, _ in pages], pa.int32()), pa.array([b"%d" % p.itemsize + pa.compress(p.tobytes(), "zstd", asbytes=True) for _, p in pages], pa.binary())], names=["doc_id", "n", "cls", "page", "counts"])
+        yield pa.record_batch([none, none, none, pa.array([i for i, _ in pages], pa.int32()), pa.array([b"%d" % p.itemsize + pa.compress(p.tobytes(), "zstd", asbytes=True) for _, p in pages], pa.binary()), none], names=["doc_id", "n", "cls", "page", "counts", "mark"])
 
     return run
 
@@ -366,15 +366,12 @@ def _places(classes: DataFrame):
     return classes.sparkSession.sparkContext.broadcast(places)
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int = SKETCH_BITS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row of ``docs`` (doc_id, text).
-
-    Two documents are linked when 100 * |intersection| >= percent * |union| of their distinct k-word shingles (A-Z
-    lower-cased; fewer words make one shingle). component_id is the smallest doc_id reachable by links.
-    """
+def _classes(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int = SKETCH_BITS, group_shingles: int = GROUP_SHINGLES) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, mark, n, cls) per row of ``docs``, where mark is a hash of the text, and (cls, root, component_id) per
+    class."""
     spark = docs.sparkSession
     text = docs.select(F.col("text").cast("string").alias("text"))
-    scan = cut(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_scan(k, sketch_bits), "doc_id long, n long, cls long, page int, counts binary"))
+    scan = cut(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("mark")).mapInArrow(_scan(k, sketch_bits), "doc_id long, n long, cls long, page int, counts binary, mark long"))
     pages = scan.where("page is not null").select("page", "counts").repartition(width(spark), "page").mapInArrow(_add_pages, "page int, grades binary")
     grades = np.zeros(1 << sketch_bits, np.uint8)
     for page, own in pages.collect():  # at most 2 ** sketch_bits bytes
@@ -412,14 +409,37 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bi
     edges = edges.union(grid.mapInArrow(_parts(percent), "a long, b long"))
 
     roots = components(edges)
-    sized = scan.where("page is null").select("doc_id", "n", "cls")
+    sized = scan.where("page is null").select("doc_id", "mark", "n", "cls")
     least = sized.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"))
     named = least.join(roots, least["cls"] == roots["node"], "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
-    named = named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("cls", "component_id")
+    named = named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("cls", "root", "component_id")
+    return sized, named
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int = SKETCH_BITS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+    """(doc_id, n_shingles, component_id) per row of ``docs`` (doc_id, text).
+
+    Two documents are linked when 100 * |intersection| >= percent * |union| of their distinct k-word shingles (A-Z
+    lower-cased; fewer words make one shingle). component_id is the smallest doc_id reachable by links.
+    """
+    sized, named = _classes(docs, k, percent, sketch_bits, group_shingles)
     return sized.join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that are the first of their component, with all columns."""
-    others = jaccard_components(docs, k, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_other"))
-    return docs.join(others, docs["doc_id"] == others["_other"], "left_anti")
+    """One row of each component, with all columns: that of the least (doc_id, hash of the text), ids that are null last.
+    Of rows with the same id and text one stays; texts without shingles are copies of nothing, and all of them stay."""
+    sized, named = _classes(docs, k, percent)
+    one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    rows = cut(sized.where("cls is not null").join(named, "cls").groupBy("root", "doc_id", "mark").agg(F.count("*").alias("rows")))
+    chosen = rows.groupBy("root").agg(F.min(F.struct(*[one.alias("one"), F.col("rows")])).alias("c")).select("c.one.doc_id", "c.one.mark", "c.rows")
+    least = rows.join(chosen.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_m")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_m")), "left")
+    others = least.where("_m is null").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_m"))
+    marked = docs.withColumn("_mark", F.xxhash64(F.col("text").cast("string")))
+    met = lambda keys: marked["doc_id"].eqNullSafe(keys["_id"]) & (marked["_mark"] == keys["_m"])
+    repeated = chosen.where("rows > 1").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_m"))
+    single = marked.join(others.union(repeated), met(others), "left_anti").drop("_mark")
+    if repeated.isEmpty():
+        return single
+    again = marked.join(repeated, met(repeated), "left_semi").dropDuplicates(["doc_id", "_mark"]).drop("_mark")
+    return single.union(again)

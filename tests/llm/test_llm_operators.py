@@ -375,3 +375,10 @@ def test_long_chains_cycles_and_calls_without_identifier(spark):
     assert [got[1, 1 + i]["order_depth"] for i in range(24)] == list(range(24)) and got[1, 0]["n_errors"] == 0
     assert [got[2, 1 + k]["order_depth"] for k in range(4)] == [2, 1, 1, 0]
     assert (got[3, 0]["n_calls"], got[3, 0]["n_errors"], got[3, 1]["n_calls"], got[3, 1]["n_errors"]) == (2, 3, 1, 3)
+
+
+def test_copies_go_by_rows_and_not_by_ids(spark):
+    a, b, c = ("one two three four five six seven eight", "red green blue white black grey pink brown", "now here is a text that has no id")
+    rows = [(1, a), (1, a), (2, a), (2, b), (None, a), (None, c), (None, c), (3, None), (3, None), (4, "")]
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(1, a), (2, b), (None, c), (3, None), (3, None), (4, "")], key=repr)
