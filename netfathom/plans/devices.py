@@ -131,6 +131,22 @@ def network_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.network_name(domain.radio(spark, sf_dir), "plmn", [names]).select("id", "network_name")
 
 
+_NAMED = """, codes AS (SELECT id, CAST(id % 1100 + 1 AS BIGINT) AS k FROM radio), cd AS (SELECT id, CAST(k % 900 + 100 AS VARCHAR) || '-' || CAST(k % 90 + 10 AS VARCHAR) AS plmn FROM codes),
+listed AS (SELECT CAST(c_custkey % 900 + 100 AS VARCHAR) || '-' || CAST(c_custkey % 90 + 10 AS VARCHAR) AS plmn, arg_min(c_name, (c_mktsegment <> 'BUILDING', c_custkey)) AS name FROM customer GROUP BY 1),
+curated AS (SELECT plmn, 'curated ' || name AS name FROM listed WHERE hash_of(plmn) % 3 = 0), learned AS (SELECT plmn, 'learned ' || name AS name FROM listed WHERE hash_of(plmn) % 2 = 0)
+SELECT cd.id, coalesce(c.name, l.name, t.name, cd.plmn) AS network_name FROM cd LEFT JOIN curated c ON c.plmn = cd.plmn LEFT JOIN learned l ON l.plmn = cd.plmn LEFT JOIN listed t ON t.plmn = cd.plmn""".replace("hash_of(plmn)", "CAST(left(plmn, 3) AS INT)")
+
+
+@query(_NAMED)
+def network_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names by precedence (curated, learned, listed) from tables of all customers; ``network_name`` meets two names only."""
+    k, code = F.col("id") % 1100 + 1, F.left("plmn", F.lit(3)).cast("int")
+    rows = domain.radio(spark, sf_dir).select("id", F.concat((k % 900 + 100).cast("string"), F.lit("-"), (k % 90 + 10).cast("string")).alias("plmn"))
+    listed = build_plmn_names(spark, sf_dir)
+    some = lambda kind, n: listed.where(code % n == 0).select("plmn", F.concat(F.lit(f"{kind} "), "name").alias("name"))
+    return tables.network_name(rows, "plmn", [some("curated", 3), some("learned", 2), listed]).select("id", "network_name")
+
+
 @query("SELECT id FROM radio WHERE device_id NOT IN (SELECT device_id FROM regs WHERE reject_cause = 16)")
 def erase_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.erase_devices(domain.radio(spark, sf_dir), domain.registrations(spark, sf_dir).where("reject_cause = 16")).select("id")

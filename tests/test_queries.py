@@ -98,3 +98,8 @@ def test_a_key_is_not_gathered():
 
     first = next(iter(studies._returns_along(1, 2, 3)(rows())))
     assert first == (1, 0, 0, 1, True, False) and len(held) < 40
+
+
+def test_names_have_precedence(spark):
+    kinds = {r["network_name"].split(" ")[0].split("#")[0] for r in QUERIES["network_names"](spark, SF).collect()}
+    assert {"curated", "learned", "Customer"} <= kinds
