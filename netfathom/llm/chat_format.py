@@ -8,12 +8,15 @@ Arguments are checked against the tools' parameters, and each message is seriali
 white space, numbers normalised.
 
 The result is in long form, one row per message, with a sort key (``order_turn``, ``order_depth``, ``order_step``) that
-puts each result behind its call: a conversation of any size is never gathered.
-
-Null roles count as ``user`` and null texts as empty. Texts that are no such JSON are plain messages. All calls
-are counted and checked. Of several calls with one identifier results go to the first (turn, place), and the others are
-errors, as are calls without an identifier and results without a call. Repeated rows stay repeated. Calls of dependency
-cycles, and those between two cycles, share a depth. Other columns are ignored. An empty table gives none.
+puts each result behind the message of its call, those of deeper calls later: a conversation of any size is never
+gathered.
+
+Null roles count as ``user`` and null texts as empty; a null conversation is one like others. Texts that are no such JSON
+are plain messages. All calls are counted and checked, and null arguments are none. Of several calls with one identifier
+results go to the first (turn, message, place), and the others are errors, as are calls without an identifier and results
+without a call. A repeated row is the same message told again: it stays repeated, with the errors of that message and no
+more. Calls of dependency cycles, and those between two cycles, share a depth and are errors. Texts of any length are taken
+whole. Other columns are ignored. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -36,11 +39,10 @@ def parameter_table(spark, tools: dict[str, dict[str, tuple[str, bool]]]) -> Dat
 
 
 def _calls(messages: DataFrame) -> DataFrame:
-    """All calls, those without an identifier and repeated ones too; ``copies`` are those of repeated messages."""
-    told = messages.where("role = 'assistant' and startswith(ltrim(text), '{')").select("conv_id", "turn", F.from_json("text", _CALLS)["tool_calls"].alias("calls"))
-    found = told.select("conv_id", "turn", F.posexplode("calls").alias("place", "c"))
-    found = found.select("conv_id", "turn", "place", F.col("c.id").alias("call_id"), F.coalesce("c.name", F.lit("")).alias("name"), F.coalesce("c.arguments", F.lit("{}")).alias("arguments"))
-    return found.groupBy(*found.columns).agg(F.count("*").alias("copies"))
+    """All calls, those without an identifier and repeated ones too; those of a repeated message once."""
+    told = messages.where("role = 'assistant' and startswith(ltrim(text), '{')").select("_c", "_m", "turn", F.from_json("text", _CALLS)["tool_calls"].alias("calls"))
+    found = told.select("_c", "_m", "turn", F.posexplode("calls").alias("place", "c"))
+    return found.select("_c", "_m", "turn", "place", F.col("c.id").alias("call_id"), F.coalesce("c.name", F.lit("")).alias("name"), F.coalesce("c.arguments", F.lit("{}")).alias("arguments")).dropDuplicates(["_c", "_m", "place"])
 
 
 def _checked(calls: DataFrame, parameters: DataFrame) -> DataFrame:
@@ -62,29 +64,30 @@ def _core(needs: DataFrame) -> DataFrame:
     between them."""
     core, n = needs, needs.count()
     while True:
-        core = cut(core.join(core.select("conv_id", F.col("needed").alias("call_id")).distinct(), ["conv_id", "call_id"], "left_semi"))
+        core = cut(core.join(core.select("_c", F.col("needed").alias("call_id")).distinct(), ["_c", "call_id"], "left_semi"))
         n, before = core.count(), n
         if n == before:
             return core
 
 
 def _depths(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, depth) of calls: 0, or one more than the deepest call that their arguments name. Calls are placed
+    """(_c, call_id, depth, cyclic) of calls: 0, or one more than the deepest call that their arguments name. Calls are placed
     by peeling: each round places those whose needs are all placed. Where none can be, the calls of cycles get one depth
     behind the placed ones of their conversation, and peeling goes on."""
-    needs = calls.select("conv_id", "call_id", F.explode(F.array_distinct(F.regexp_extract_all("arguments", F.lit(r'"\$([^"]+)"'), F.lit(1)))).alias("needed")).where("needed <> call_id")
-    waiting = cut(needs.join(calls.select("conv_id", F.col("call_id").alias("needed")), ["conv_id", "needed"], "left_semi").select("conv_id", "call_id", "needed"))
-    last = calls.select("conv_id", "call_id").join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("depth", F.lit(0))
+    needs = calls.select("_c", "call_id", F.explode(F.array_distinct(F.regexp_extract_all("arguments", F.lit(r'"\$([^"]+)"'), F.lit(1)))).alias("needed")).where("needed <> call_id")
+    waiting = cut(needs.join(calls.select("_c", F.col("call_id").alias("needed")), ["_c", "needed"], "left_semi").select("_c", "call_id", "needed"))
+    last = calls.select("_c", "call_id").join(waiting, ["_c", "call_id"], "left_anti").select("_c", "call_id", F.lit(0).alias("depth"), F.lit(False).alias("cyclic"))
     done, parts = last, 0
     while not waiting.isEmpty():
-        met = waiting.join(last.withColumnRenamed("call_id", "needed"), ["conv_id", "needed"]).groupBy("conv_id", "call_id").agg((F.max("depth") + 1).alias("depth"))
-        left = cut(waiting.join(last.select("conv_id", F.col("call_id").alias("needed")), ["conv_id", "needed"], "left_anti").select("conv_id", "call_id", "needed"))
-        last = cut(met.join(left, ["conv_id", "call_id"], "left_anti"))
+        met = waiting.join(last.withColumnRenamed("call_id", "needed"), ["_c", "needed"]).groupBy("_c", "call_id").agg((F.max("depth") + 1).alias("depth"))
+        left = cut(waiting.join(last.select("_c", F.col("call_id").alias("needed")), ["_c", "needed"], "left_anti").select("_c", "call_id", "needed"))
+        last = cut(met.join(left, ["_c", "call_id"], "left_anti").withColumn("cyclic", F.lit(False)))
         waiting = left
         if last.isEmpty() and not waiting.isEmpty():
-            cyclic = _core(waiting).select("conv_id", "call_id").distinct()
-            last = cut(cyclic.join(done.groupBy("conv_id").agg((F.max("depth") + 1).alias("depth")), "conv_id", "left").select("conv_id", "call_id", F.coalesce("depth", F.lit(0)).alias("depth")))
-            waiting = cut(waiting.join(last, ["conv_id", "call_id"], "left_anti"))
+            cycles = _core(waiting).select("_c", "call_id").distinct()
+            behind = done.groupBy("_c").agg((F.max("depth") + 1).alias("depth"))
+            last = cut(cycles.join(behind, "_c", "left").select("_c", "call_id", F.coalesce("depth", F.lit(0)).alias("depth"), F.lit(True).alias("cyclic")))
+            waiting = cut(waiting.join(last, ["_c", "call_id"], "left_anti"))
         done, parts = done.union(last), parts + 1
         if parts % 16 == 0:
             done = cut(done)
@@ -92,23 +95,27 @@ def _depths(calls: DataFrame) -> DataFrame:
 
 
 def format_chats(messages: DataFrame, parameters: DataFrame) -> DataFrame:
-    """Per message: conv_id, turn, role, message (canonical JSON), n_calls, n_errors, call_id (of a result), linked,
-    order_turn, order_depth, order_step."""
+    """Per message: conv_id, turn, role, message (canonical JSON), n_calls, n_errors, depth (of its deepest call, or of the
+    call of a result), call_id (of a result), linked, order_turn, order_depth, order_step."""
     rows = messages.select("conv_id", "turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # _c: the conversation, null or not; _m: the message
+    rows = rows.withColumn("_c", F.coalesce(F.col("conv_id").cast("string"), F.lit("\u0000"))).withColumn("_m", F.xxhash64(F.to_json(F.struct("turn", "role")), "text"))
     found = cut(_calls(rows))
-    first = found.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "place", "name", "arguments")).alias("f")).select("conv_id", "call_id", "f.*")
-    placed = cut(first.join(_depths(first), ["conv_id", "call_id"]))
-    own = found.join(_checked(found.select("name", "arguments").distinct(), parameters), ["name", "arguments"], "left").join(placed.withColumn("_first", F.lit(1)), ["conv_id", "call_id", "turn", "place", "name", "arguments"], "left")
-    by_turn = own.groupBy("conv_id", "turn").agg(F.sum(F.coalesce("errors", F.lit(0)) + F.col("copies") - F.coalesce("_first", F.lit(0))).alias("n_errors"), F.coalesce(F.max("depth"), F.lit(0)).alias("deepest"))
-    links = placed.select("conv_id", "call_id", F.col("turn").alias("call_turn"), F.col("place").alias("call_place"), F.col("depth").alias("call_depth"))
+    first = found.where("call_id is not null").groupBy("_c", "call_id").agg(F.min(F.struct("turn", "_m", "place", "name", "arguments")).alias("f")).select("_c", "call_id", "f.*")
+    placed = cut(first.join(_depths(first), ["_c", "call_id"]).select("_c", "call_id", "_m", "turn", "place", "depth", "cyclic"))
+    errors = found.join(_checked(found.select("name", "arguments").distinct(), parameters), ["name", "arguments"], "left").select("_c", "_m", "place", F.coalesce("errors", F.lit(0)).alias("errors"))
+    wrong = F.col("errors") + F.when(F.col("cyclic").isNull() | F.col("cyclic"), 1).otherwise(0)  # cyclic is null for a call that is not the first of its identifier
+    own = errors.join(placed.select("_c", "_m", "place", "depth", "cyclic"), ["_c", "_m", "place"], "left")
+    by_message = own.groupBy("_c", "_m").agg(F.sum(wrong).alias("n_errors"), F.coalesce(F.max("depth"), F.lit(0)).alias("deepest"))
+    links = placed.select("_c", "call_id", F.col("turn").alias("call_turn"), F.col("place").alias("call_place"), F.col("depth").alias("call_depth"))
 
     result = F.when(F.col("role") == "tool", F.from_json("text", _RESULT))
     called = F.when((F.col("role") == "assistant") & F.expr("startswith(ltrim(text), '{')"), F.expr("to_json(try_variant_get(try_parse_json(text), '$.tool_calls', 'variant'))"))
     listed = F.when((F.col("role") == "assistant") & F.expr("startswith(ltrim(text), '{')"), F.size(F.from_json("text", _CALLS)["tool_calls"]))
     rows = rows.withColumn("call_id", result["tool_call_id"]).withColumn("_calls", called).withColumn("n_calls", listed.cast("long"))
     # messages without an identifier get one that meets nothing, so that those of one conversation are not dealt to one task
-    rows = rows.withColumn("_id", F.coalesce("call_id", F.concat(F.lit("\u0000"), F.col("turn"))))
-    joined = rows.join(links.withColumnRenamed("call_id", "_id"), ["conv_id", "_id"], "left").join(by_turn, ["conv_id", "turn"], "left")
+    rows = rows.withColumn("_id", F.coalesce("call_id", F.concat(F.lit("\u0000"), F.col("_m"))))
+    joined = rows.join(links.withColumnRenamed("call_id", "_id"), ["_c", "_id"], "left").join(by_message, ["_c", "_m"], "left")
     is_call, is_result = F.coalesce(F.col("n_calls") > 0, F.lit(False)) & F.col("_calls").isNotNull(), F.col("call_id").isNotNull()
     text_of = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
     content = F.coalesce(F.expr("to_json(try_variant_get(try_parse_json(text), '$.content', 'variant'))"), F.lit("null"))
@@ -117,13 +124,14 @@ def format_chats(messages: DataFrame, parameters: DataFrame) -> DataFrame:
         .when(is_result, F.concat(F.lit('{"content":'), content, F.lit(',"role":"tool","tool_call_id":'), text_of(F.col("call_id")), F.lit("}")))
         .otherwise(F.concat(F.lit('{"content":'), text_of(F.col("text")), F.lit(',"role":'), text_of(F.col("role")), F.lit("}")))
     )
-    linked = F.col("call_turn").isNotNull()
+    linked = F.col("call_place").isNotNull()
     return joined.select(
         "conv_id", "turn", "role", message.alias("message"),
         F.when(is_call, F.col("n_calls")).otherwise(0).alias("n_calls"),
         (F.when(is_call, F.col("n_errors")).otherwise(0) + (is_result & ~linked).cast("long")).alias("n_errors"),
+        F.when(is_result & linked, F.col("call_depth")).when(is_call, F.col("deepest")).otherwise(0).alias("depth"),
         "call_id", F.when(is_result, linked).alias("linked"),
         F.when(is_result & linked, F.col("call_turn")).otherwise(F.col("turn")).alias("order_turn"),
-        F.when(is_result & linked, F.col("call_depth")).when(is_call, F.col("deepest")).otherwise(0).alias("order_depth"),
+        F.when(is_result & linked, F.col("call_depth")).otherwise(0).alias("order_depth"),
         F.when(is_result & linked, 1 + F.col("call_place")).otherwise(0).alias("order_step"),
     )

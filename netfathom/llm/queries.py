@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import pii, quality_classifier
 from .chat_format import format_chats, parameter_table
@@ -15,7 +16,7 @@ from .packing import pack
 from .quality_rules import line_rules
 from .shared import table
 from .token_counts import token_counts
-from .url_filters import filter_urls, rule_table
+from .url_filters import LINK, MENU, filter_urls, rule_table
 
 #: The tools that conversations may call: kind of each parameter, and whether it must be given.
 TOOLS = {
@@ -30,8 +31,43 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+#: A text as a JSON string, in the SQL of the two engines.
+_SPARK_STRING, _DUCK_STRING = "regexp_extract(to_json(named_struct('v', {})), r'(?s)^.\"v\":(.*).$', 1)", "CAST(to_json({}) AS VARCHAR)"
+
+
+def _tool_messages(string: str) -> list[tuple[str, str, str, str]]:
+    """(condition, turn, role, text) of the messages that a row of conversations (turn t, n = 31 * conv_id + t) gives, in SQL
+    that both engines read; ``string`` writes a text as a JSON string. The given conversations hold no tool calls, so each
+    assistant turn also gives a message of one or two calls and their results, the second call's first. Calls name the call
+    of two turns before, where there may be one. Some are wrong: tools, kinds and parameters that are not known, missing
+    parameters and identifiers, repeated identifiers, and results of no call."""
+    text = string.format("text")
+    given = f"""CASE WHEN t >= 3 AND n % 3 <> 0 THEN '"$a' || (t - 2) || '"' ELSE {text} END"""
+    search = f"""'{{"query": ' || {given} || ', "limit": ' || CASE WHEN n % 5 = 0 THEN '"many"' ELSE '' || t END || '}}'"""
+    fetch = f"""CASE WHEN n % 7 = 0 THEN '{{"timeout": 2.50}}' ELSE '{{"url": ' || {given} || ', "timeout": 2.50}}' END"""
+    sum_ = f"""'{{"precision": 3, "expression": ' || {given} || '}}'"""
+    name = "CASE n % 4 WHEN 0 THEN 'search' WHEN 1 THEN 'fetch' WHEN 2 THEN 'calculate' ELSE 'lookup' END"
+    id_ = """CASE WHEN n % 17 = 0 THEN '' WHEN n % 13 = 0 THEN '"id": "again", ' ELSE '"id": "a' || t || '", ' END"""
+    first = f"""'{{"name": "' || {name} || '", ' || {id_} || '"arguments": ' || CASE n % 4 WHEN 1 THEN {fetch} WHEN 2 THEN {sum_} ELSE {search} END || '}}'"""
+    second = """CASE WHEN n % 2 = 0 THEN ', {"name": "calculate", "id": "b' || t || '", "arguments": {"expression": "$a' || t || '"}}' ELSE '' END"""
+    of = """CASE WHEN n % 19 = 0 THEN 'none' WHEN n % 13 = 0 THEN 'again' ELSE 'a' || t END"""
+    return [
+        ("true", "4 * t", "role", "text"),
+        ("role = 'assistant'", "4 * t + 1", "'assistant'", f"""'{{"tool_calls": [' || {first} || {second} || ']}}'"""),
+        ("role = 'assistant' AND n % 2 = 0", "4 * t + 2", "'tool'", """'{"tool_call_id": "b' || t || '", "content": {"z": ' || t || ', "at": 1.0}}'"""),
+        ("role = 'assistant'", "4 * t + 3", "'tool'", f"""'{{"tool_call_id": "' || {of} || '", "content": ' || {text} || '}}'"""),
+    ]
+
+
+def tool_messages(conversations: DataFrame) -> DataFrame:
+    """Messages with tool calls, from all rows of conversations (conv_id, turn, role, text)."""
+    rows = conversations.selectExpr("conv_id", "turn AS t", "31 * conv_id + turn AS n", "role", "text")
+    each = [f"CASE WHEN {c} THEN named_struct('turn', {t}, 'role', {r}, 'text', {x}) END" for c, t, r, x in _tool_messages(_SPARK_STRING)]
+    return rows.select("conv_id", F.explode(F.array(*map(F.expr, each))).alias("m")).where("m is not null").select("conv_id", "m.*")
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_chats(table(spark, sf_dir, "conversations"), parameter_table(spark, TOOLS))
+    return format_chats(tool_messages(table(spark, sf_dir, "conversations")), parameter_table(spark, TOOLS))
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +103,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
+    return filter_urls(table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES)).drop("trust", "distrust")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -83,6 +119,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filters": op10_url_filters,
 }
 
+_FOLDED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+#: A JSON value as text, numbers without trailing zeros.
+_NUMBER = r"regexp_replace(CAST({} AS VARCHAR), '^(-?[0-9]+)(?:\.0+|(\.[0-9]*[1-9])0*)$', '\1\2')"
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 SQL: dict[str, str] = {
     "op3_benchmark_decontamination": f"""
@@ -95,4 +140,46 @@ hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id,
 its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM occ) u GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id""",
+    # pairs of hosts may be formed here: the hosts of small tables are few
+    "op10_url_filters": f"""
+WITH RECURSIVE p AS (SELECT row_number() OVER () AS k, page_id, {_FOLDED.format(r"regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path, coalesce(html, '') AS html FROM pages),
+rl(verdict, rule_host, rule_path) AS (VALUES {", ".join(map(str, URL_RULES))}),
+fit AS (SELECT k, arg_min(rule_host || rule_path, (-length(rule_host || rule_path), rule_host || rule_path)) AS rule, arg_min(verdict, (-length(rule_host || rule_path), rule_host || rule_path)) AS told FROM p JOIN rl ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY k),
+sd AS (SELECT host, count(*) FILTER (told = 'allow') AS allowed, count(*) FILTER (told = 'block') AS blocked FROM p JOIN fit USING (k) GROUP BY host),
+tot AS (SELECT sum(allowed) AS good, sum(blocked) AS bad FROM sd),
+lk AS (SELECT src, dst, count(*) AS w FROM (SELECT host AS src, {_FOLDED.format("d")} AS dst FROM (SELECT host, unnest(list_distinct(regexp_extract_all(html, '{_quoted(LINK)}', 1))) AS d FROM p WHERE host <> '') a) b WHERE src <> dst GROUP BY src, dst),
+mn AS (SELECT host, path, count(*) AS w FROM (SELECT host, unnest(list_distinct(regexp_extract_all(html, '{_quoted(MENU)}', 1))) AS path FROM p WHERE host <> '') a GROUP BY host, path),
+pt AS (SELECT mn.*, s.whole FROM mn JOIN (SELECT path, sum(w) AS whole FROM mn GROUP BY path HAVING count(*) > 1) s USING (path)),
+su AS (SELECT host, sum(a) AS ahead, sum(b) AS back FROM (SELECT src AS host, w AS a, 0 AS b FROM lk UNION ALL SELECT dst, 0, w FROM lk UNION ALL SELECT host, w, w FROM pt) x GROUP BY host),
+mt AS (SELECT src, dst, sum(t) AS t, sum(d) AS d FROM (SELECT src, dst, CAST(w AS DOUBLE) / ahead AS t, 0 AS d FROM lk JOIN su ON su.host = src UNION ALL SELECT dst, src, 0, CAST(w AS DOUBLE) / back FROM lk JOIN su ON su.host = dst
+  UNION ALL SELECT a.host, b.host, CAST(a.w AS DOUBLE) / ahead * b.w / a.whole, CAST(a.w AS DOUBLE) / back * b.w / a.whole FROM pt a JOIN pt b USING (path) JOIN su ON su.host = a.host) x GROUP BY src, dst),
+base AS (SELECT host, allowed / (good + bad) AS t, blocked / (good + bad) AS d FROM sd, tot),
+nodes AS (SELECT host FROM su UNION SELECT host FROM base),
+ranks AS (SELECT 0 AS k, host, t, d FROM base
+  UNION ALL SELECT k + 1, host, sum(t), sum(d) FROM (SELECT r.k, m.dst AS host, 0.85 * r.t * m.t AS t, 0.85 * r.d * m.d AS d FROM ranks r JOIN mt m ON m.src = r.host
+    UNION ALL SELECT n.k, base.host, 0.15 * base.t, 0.15 * base.d FROM base, (SELECT DISTINCT k FROM ranks) n) x WHERE k < 30 GROUP BY k, host)
+SELECT p.page_id, p.host, p.path, fit.rule, coalesce(told, CASE WHEN good > 0 AND bad > 0 AND r.d * good > 1.2 * bad * r.t THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN fit USING (k) LEFT JOIN (SELECT * FROM ranks WHERE k = 30) r ON r.host = p.host, tot""",
+    "op2_chat_formatting": f"""
+WITH RECURSIVE src AS (SELECT conv_id, turn AS t, 31 * conv_id + turn AS n, role, text FROM conversations),
+m AS ({" UNION ALL ".join(f"SELECT conv_id, {t} AS turn, {r} AS role, {x} AS text FROM src WHERE {c}" for c, t, r, x in _tool_messages(_DUCK_STRING))}),
+js AS (SELECT *, role = 'assistant' AND starts_with(text, '{{') AS calling, role = 'tool' AS told FROM m),
+ca AS (SELECT conv_id, turn, place - 1 AS place, json_extract(text, '$.tool_calls[' || (place - 1) || ']') AS c FROM (SELECT *, unnest(range(1, json_array_length(text, '$.tool_calls')::BIGINT + 1)) AS place FROM js WHERE calling) x),
+cl AS (SELECT conv_id, turn, place, json_extract_string(c, '$.id') AS call_id, json_extract_string(c, '$.name') AS name, json_extract(c, '$.arguments') AS args FROM ca),
+fs AS (SELECT *, row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn, place) AS r FROM cl WHERE call_id IS NOT NULL),
+fi AS (SELECT * FROM fs WHERE r = 1),
+nd AS (SELECT DISTINCT a.conv_id, a.call_id, a.needed FROM (SELECT conv_id, call_id, unnest(regexp_extract_all(CAST(args AS VARCHAR), '"\\$([^"]+)"', 1)) AS needed FROM fi) a JOIN fi b ON b.conv_id = a.conv_id AND b.call_id = a.needed WHERE a.needed <> a.call_id),
+dp AS (SELECT conv_id, call_id, 0 AS depth FROM fi UNION SELECT nd.conv_id, nd.call_id, depth + 1 FROM dp JOIN nd ON nd.conv_id = dp.conv_id AND nd.needed = dp.call_id),
+dm AS (SELECT conv_id, call_id, max(depth) AS depth FROM dp GROUP BY ALL),
+pr(tool, parameter, kind, required) AS (VALUES {", ".join(str((t, p, k, r)) for t, ps in TOOLS.items() for p, (k, r) in ps.items())}),
+ck AS (SELECT cl.conv_id, cl.turn, cl.place, sum(CASE WHEN json_extract(args, '$.' || parameter) IS NULL THEN required::INT ELSE (CASE kind WHEN 'string' THEN json_type(args, '$.' || parameter) <> 'VARCHAR' WHEN 'integer' THEN json_type(args, '$.' || parameter) NOT LIKE '%BIGINT' ELSE json_type(args, '$.' || parameter) NOT IN ('DOUBLE', 'BIGINT', 'UBIGINT') END)::INT END) AS wrong,
+  count(json_extract(args, '$.' || parameter)) AS known FROM cl JOIN pr ON pr.tool = cl.name GROUP BY ALL),
+er AS (SELECT cl.conv_id, cl.turn, cl.place, cl.call_id, fi.call_id IS NOT NULL AS is_first, CASE WHEN ck.turn IS NULL THEN 1 ELSE wrong + len(json_keys(cl.args)) - known END + (fi.call_id IS NULL)::INT AS errors FROM cl LEFT JOIN ck USING (conv_id, turn, place) LEFT JOIN fi ON fi.conv_id = cl.conv_id AND fi.turn = cl.turn AND fi.place = cl.place),
+pm AS (SELECT er.conv_id, er.turn, CAST(sum(errors) AS BIGINT) AS n_errors, count(*) AS n_calls, coalesce(max(depth) FILTER (is_first), 0) AS deepest FROM er LEFT JOIN dm ON dm.conv_id = er.conv_id AND dm.call_id = er.call_id GROUP BY ALL),
+ar AS (SELECT conv_id, turn, string_agg('{{"arguments":{{' || body || '}}' || CASE WHEN call_id IS NULL THEN '' ELSE ',"id":' || to_json(call_id) END || ',"name":' || to_json(name) || '}}', ',' ORDER BY place) AS listed FROM (SELECT conv_id, turn, place, call_id, name,
+  (SELECT string_agg(to_json(k) || ':' || {_NUMBER.format("json_extract(args, '$.' || k)")}, ',' ORDER BY k) FROM (SELECT unnest(json_keys(args)) AS k) z) AS body FROM cl) y GROUP BY ALL),
+rs AS (SELECT conv_id, turn, json_extract_string(text, '$.tool_call_id') AS call_id, CASE WHEN json_type(text, '$.content') = 'OBJECT' THEN '{{"at":' || {_NUMBER.format("json_extract(text, '$.content.at')")} || ',"z":' || json_extract(text, '$.content.z') || '}}' ELSE CAST(json_extract(text, '$.content') AS VARCHAR) END AS content FROM js WHERE told)
+SELECT js.conv_id, js.turn, js.role, CASE WHEN calling THEN '{{"role":"assistant","tool_calls":[' || listed || ']}}' WHEN told THEN '{{"content":' || content || ',"role":"tool","tool_call_id":' || to_json(rs.call_id) || '}}' ELSE '{{"content":' || to_json(text) || ',"role":' || to_json(js.role) || '}}' END AS message,
+  CASE WHEN calling THEN n_calls ELSE 0 END AS n_calls, CASE WHEN calling THEN n_errors WHEN told AND fi.turn IS NULL THEN 1 ELSE 0 END AS n_errors, CAST(CASE WHEN told THEN coalesce(dm.depth, 0) WHEN calling THEN deepest ELSE 0 END AS INT) AS depth,
+  rs.call_id, CASE WHEN told THEN fi.turn IS NOT NULL END AS linked, coalesce(fi.turn, js.turn) AS order_turn, CAST(CASE WHEN fi.turn IS NULL THEN 0 ELSE coalesce(dm.depth, 0) END AS INT) AS order_depth, CAST(coalesce(1 + fi.place, 0) AS INT) AS order_step
+FROM js LEFT JOIN pm USING (conv_id, turn) LEFT JOIN ar USING (conv_id, turn) LEFT JOIN rs USING (conv_id, turn) LEFT JOIN fi ON fi.conv_id = rs.conv_id AND fi.call_id = rs.call_id LEFT JOIN dm ON dm.conv_id = rs.conv_id AND dm.call_id = rs.call_id""",
 }

@@ -13,10 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of this machine only where the session names none, as in tests."""
+    """The session's checkpoint folder. Where the session names none, one of this machine if Spark runs on it alone, as in
+    tests; on a cluster that is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -30,12 +34,13 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(edges: DataFrame, most: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b): root is the smallest node it reaches.
 
     Alternates the two star steps of Kiveris et al. (2014): every node hands its larger neighbours, then its smaller
     ones, to its smallest neighbour. Minima are partially aggregated and joined back, so no neighbourhood is collected.
-    Self-loops are dropped, repeated edges count once, nulls are ignored; no edges give no rows.
+    Self-loops are dropped, repeated edges count once, nulls are ignored; no edges give no rows. Rounds go on until the edges
+    stay as they are; each brings every node's neighbours nearer to the root, so that comes.
     """
 
     def star(pairs: DataFrame, larger: bool) -> DataFrame:
@@ -55,15 +60,11 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     now = cut(now)
     seen = mark(now)
-    for _ in range(most):
-        if not seen[0]:
-            break
+    while seen[0]:
         grown = star(now, True).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         now = cut(star(grown, False).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         last, seen = seen, mark(now)
         if seen == last:
             break
-    else:
-        raise RuntimeError("components did not settle")
     pairs = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return pairs.union(now.select("b", "b").distinct().toDF("node", "root")).groupBy("node").agg(F.min("root").alias("root"))

@@ -7,12 +7,17 @@ unit's best pair (highest score, then leftmost) is merged at the same time, unti
 that survive are counted, a character outside the vocabulary as its bytes. Counts of units are kept between blocks, up to
 ``CACHE`` of them.
 
+A unit of more than ``LONG`` symbols (a run without breaks) would take as many rounds as it has merges. In such a one all
+occurrences of the best pair are merged in a round, as long as that pays and makes no better pair; the rest is done with a
+heap of its pairs, so the time is near to linear in its length.
+
 Null and empty texts have 0 bytes and 0 tokens. Whole texts are counted, however long; repeated rows count alike; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +28,7 @@ from pyspark.sql import functions as F
 from .textblocks import U64, blocks, mix, powers
 
 CACHE = 3_000_000
+LONG = 256
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LEAD = np.ones(256, bool)
 _LEAD[0x80:0xC0] = False
@@ -55,13 +61,77 @@ class Merges:
         self.pair = np.array([r[0] for r in rows], U64)
         self.rank = np.array([r[1] for r in rows], U64)
         self.made = np.array([r[2] for r in rows], np.int64)
+        self.table: dict[int, tuple[int, int]] | None = None
         #: tokens of a symbol that survives
         self.tokens = np.array([1, *(1 if s in scores else len(s.encode()) for s in symbol)], np.int64)
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair, ``_NONE`` if it is none, and its place in the table."""
+        key = (left.astype(U64) << U64(32)) | right.astype(U64)
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where(self.pair[at] == key, self.rank[at], _NONE), at
+
+    def long(self, symbols: np.ndarray) -> np.ndarray:
+        """The symbols of one unit that survive, in near to linear time."""
+        while len(symbols) > 1:
+            rank, at = self._ranks(symbols[:-1], symbols[1:])
+            best = rank.min()
+            if best == _NONE:
+                return symbols
+            where = np.flatnonzero(rank == best)
+            # in a run of overlapping occurrences every second one is merged, from the left
+            run = np.maximum.accumulate(np.where(np.diff(where, prepend=-2) > 1, np.arange(len(where)), 0))
+            where = where[(np.arange(len(where)) - run) % 2 == 0]
+            if len(where) * 256 < len(symbols):
+                break
+            merged, keep = symbols.copy(), np.ones(len(symbols), bool)
+            merged[where], keep[where + 1] = self.made[at[where]], False
+            merged, fresh = merged[keep], np.cumsum(keep)[where] - 1
+            near = np.unique(np.r_[fresh - 1, fresh])
+            near = near[(near >= 0) & (near < len(merged) - 1)]
+            if (self._ranks(merged[near], merged[near + 1])[0] < best).any():
+                break  # a pair that is better than this one came up: its turn is before the other occurrences
+            symbols = merged
+        return self._by_heap(symbols)
+
+    def _by_heap(self, symbols: np.ndarray) -> np.ndarray:
+        if self.table is None:
+            self.table = dict(zip(self.pair.tolist(), zip(self.rank.tolist(), self.made.tolist())))
+        table, own, n = self.table, symbols.tolist(), len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank, _ = self._ranks(symbols[:-1], symbols[1:])
+        where = np.flatnonzero(rank != _NONE)
+        heap = ((rank[where] << U64(32)) | where.astype(U64)).tolist()
+        heapq.heapify(heap)
+        while heap:
+            top = heapq.heappop(heap)
+            i = top & 0xFFFFFFFF
+            j = after[i]
+            if own[i] < 0 or j >= n:
+                continue
+            found = table.get(own[i] << 32 | own[j])
+            if found is None or found[0] != top >> 32:
+                continue  # one of the two has changed since
+            own[i], own[j] = found[1], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (new := table.get(own[i] << 32 | own[k])) is not None:
+                    heapq.heappush(heap, new[0] << 32 | i)
+            h = before[i]
+            if h >= 0 and (new := table.get(own[h] << 32 | own[i])) is not None:
+                heapq.heappush(heap, new[0] << 32 | h)
+        return np.array([x for x in own if x >= 0], np.int64)
+
     def count(self, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Tokens of each unit, given as a ragged array."""
-        out = np.zeros(len(bounds) - 1, np.int64)
-        unit = np.repeat(np.arange(len(out)), np.diff(bounds))
+        out, lens = np.zeros(len(bounds) - 1, np.int64), np.diff(bounds)
+        for i in np.flatnonzero(lens > LONG).tolist():
+            out[i] = self.tokens[self.long(symbols[bounds[i] : bounds[i + 1]])].sum()
+        unit = np.repeat(np.arange(len(out)), lens)
+        if (lens > LONG).any():
+            short = lens[unit] <= LONG
+            symbols, unit = symbols[short], unit[short]
         while len(symbols):
             key = (symbols[:-1].astype(U64) << U64(32)) | symbols[1:].astype(U64)
             at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
