@@ -103,13 +103,17 @@ def _tables(rows: list[tuple[str, str]], window: int) -> list[Patterns]:
     return [Patterns(np.frombuffer(b"".join(p), U64).reshape(-1, m), [frozenset(x) for x in p.values()]) for m, p in by.items()]
 
 
-def _hits(tables, text: str):
+CARRIED = pa.struct([("words", pa.int64()), ("hit", pa.binary()), ("items", pa.list_(pa.string()))])
+
+
+def _hits(tables, text: str, carried: str):
     """Adds to each text's hit words (a bitmap) and items those of one portion of the benchmark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            old, had = batch.column(names.index("__hit")).to_pylist(), batch.column(names.index("__items")).to_pylist()
+            before = [x or {} for x in batch.column(names.index(carried)).to_pylist()]
+            old, had = [x.get("hit") for x in before], [x.get("items") for x in before]
             count, hit, items = [0] * len(old), [None] * len(old), [None] * len(old)
             for block in blocks(batch.column(names.index(text)).cast(pa.string())):
                 starts, ends, bounds = block.words(ALNUM)
@@ -133,46 +137,50 @@ def _hits(tables, text: str):
                         hit[row], items[row] = np.packbits(now).tobytes(), sorted(told[i] | set(had[row] or ()))
                     else:
                         hit[row], items[row] = old[row], had[row]
-            new = {"__words": pa.array(count, pa.int64()), "__hit": pa.array(hit, pa.binary()), "__items": pa.array(items, pa.list_(pa.string()))}
-            yield pa.record_batch([new.get(x, batch.column(i)) for i, x in enumerate(names)], names=names)
+            new = pa.array([{"words": c, "hit": h, "items": x} for c, h, x in zip(count, hit, items)], CARRIED)
+            yield pa.record_batch([new if x == carried else batch.column(i) for i, x in enumerate(names)], names=names)
 
     return run
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The id column, and what the carried columns say."""
+    """The id column, and what the carried column says."""
     for batch in batches:
-        ids, count, hit, items = (batch.column(i) for i in range(4))
-        n = [int(np.unpackbits(np.frombuffer(x, np.uint8)).sum()) if x else 0 for x in hit.to_pylist()]
-        items = [x or [] for x in items.to_pylist()]
+        ids, told = batch.column(0), batch.column(1).to_pylist()
+        n = [int(np.unpackbits(np.frombuffer(x["hit"], np.uint8)).sum()) if x["hit"] else 0 for x in told]
+        items = [x["items"] or [] for x in told]
         sha = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
-        yield pa.record_batch([ids, count, pa.array(n, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha, pa.string()), pa.array([x > 0 for x in n], pa.bool_()), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
+        yield pa.record_batch([ids, pa.array([x["words"] for x in told], pa.int64()), pa.array(n, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha, pa.string()), pa.array([x > 0 for x in n], pa.bool_()), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
 
 
-def _searched(docs: DataFrame, benchmark: DataFrame, window: int, portion_bytes: int) -> DataFrame:
-    """``docs`` with __words, __hit and __items."""
+def _searched(docs: DataFrame, benchmark: DataFrame, window: int, portion_bytes: int) -> tuple[DataFrame, str]:
+    """``docs`` with a struct of words, hit and items, and that column's name, which no column of ``docs`` has."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     portions = 1 if total <= portion_bytes else math.ceil(2 * total / portion_bytes)
-    out = docs.withColumns({"__words": F.lit(0).cast("long"), "__hit": F.lit(None).cast("binary"), "__items": F.lit(None).cast("array<string>")})
+    carried = "_carried"
+    while carried.lower() in {c.lower() for c in docs.columns}:
+        carried += "_"
+    out = docs.withColumn(carried, F.lit(None).cast("struct<words:bigint,hit:binary,items:array<string>>"))
     for k in range(portions):
         part = items if portions == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(portions)) == k)
         rows = [tuple(r) for r in part.toLocalIterator()]  # about half of portion_bytes
-        out = out.mapInArrow(_hits(spark.sparkContext.broadcast(_tables(rows, window)), "text"), out.schema)
+        out = out.mapInArrow(_hits(spark.sparkContext.broadcast(_tables(rows, window)), "text", carried), out.schema)
         if k + 1 < portions:
             out = cut(out)
-    return out
+    return out, carried
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, portion_bytes: int = PORTION_BYTES) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_words, n_hit (words inside some benchmark window), n_items, items_sha256,
     contaminated and items, for the windows of ``window`` consecutive words of ``benchmark`` (item_id, text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = _searched(docs.select("doc_id", F.col("text").cast("string").alias("text")), benchmark, window, portion_bytes)
-    return out.select("doc_id", "__words", "__hit", "__items").mapInArrow(_summed, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
+    out, carried = _searched(docs.select("doc_id", F.col("text").cast("string").alias("text")), benchmark, window, portion_bytes)
+    return out.select("doc_id", carried).mapInArrow(_summed, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, portion_bytes: int = PORTION_BYTES) -> DataFrame:
     """The documents in which no benchmark window occurs, with all columns."""
-    return _searched(docs, benchmark, window, portion_bytes).where("__hit is null").select(*docs.columns)
+    out, carried = _searched(docs, benchmark, window, portion_bytes)
+    return out.where(F.col(carried)["hit"].isNull()).drop(carried)

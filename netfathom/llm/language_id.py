@@ -102,7 +102,8 @@ class Model:
             counts[at[lang], slot] += n
         tri, scripts = counts[:, :size], counts[:, size:]
         self.log = np.log((tri + 0.5) / (tri.sum(1, keepdims=True) + 0.5 * size)).astype(np.float32)
-        self.log -= self.log.mean(0, keepdims=True)
+        if self.langs:
+            self.log -= self.log.mean(0, keepdims=True)
         #: languages seen in each script, in a hundredth of their words or more
         self.seen = (scripts >= 0.01 * np.maximum(1, scripts.sum(1, keepdims=True))).T
         self.seen[~self.seen.any(1)] = True
@@ -211,7 +212,8 @@ def learn(labelled: DataFrame) -> Model:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    """Whether a document is held out; one without an id is not."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def identify(docs: DataFrame, model: Model, switch: float = SWITCH, with_spans: bool = True, keep: list[Column] | None = None) -> DataFrame:

@@ -4,13 +4,14 @@ A text has one latent score, the sum of shared weights of its hashed words (each
 of its style. Ordered thresholds cut the score into grades: P(grade <= g) = sigmoid(threshold[g] - score). From it follow
 the expected grade and the tail probability of the top grade, by which documents are selected.
 
-Fitted in numpy on a bounded sample of graded documents (``SAMPLE`` of them, by a hash of their id). Only words that tell
-grades apart get a weight, and only these are broadcast, at most those of the sample. Scoring covers all rows and whole
-texts.
+Fitted in numpy on a bounded sample of graded documents: ``SAMPLE`` ids by their hash, one text of each, and of these, in the
+same order, as many as have ``SAMPLE_WORDS`` distinct words in all, so that the driver's part is bounded too. Only words
+that tell grades apart get a weight, and only these are broadcast, at most those of the sample. Scoring covers all rows and
+whole texts.
 
 A null text, or one without words, gets grade 0 and is not selected. Grades of one document given repeatedly count as the
-lowest; null grades are left out. With fewer than two grades nothing can be learned, and all texts with words are
-selected. Repeated rows score alike; other columns are ignored.
+lowest; null grades are left out. Of several texts of one id the one of the least hash is graded. With fewer than two grades nothing can be learned, and all texts with words are
+selected. Repeated rows score alike; other columns are ignored (``grade``) or kept (``select``); an empty table gives none.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import cut
 from .textblocks import ALNUM, NONSPACE, U64, blocks, mix, windows
 
 SAMPLE = 10_000
+SAMPLE_WORDS = 20_000_000
 STYLES = 6
 MARKS = 4
 
@@ -68,7 +71,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, style, _, words, doc, marks in features(batch.column(0), marked=True):
             at = np.searchsorted(doc, np.arange(len(rows) + 1))
             own = [words[a:b].tobytes() for a, b in zip(at, at[1:])]
-            yield pa.record_batch([batch.column(1).slice(rows.start, len(rows)), pa.array([s.tobytes() for s in style], pa.binary()), pa.array(own, pa.binary()), pa.array([x.tobytes() for x in marks], pa.binary())], names=["grade", "style", "words", "marks"])
+            yield pa.record_batch([batch.column(1).slice(rows.start, len(rows)), pa.array([s.tobytes() for s in style], pa.binary()), pa.array(own, pa.binary()), pa.array([x.tobytes() for x in marks], pa.binary()), batch.column(2).slice(rows.start, len(rows))], names=["grade", "style", "words", "marks", "place"])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -180,13 +183,18 @@ def fit(examples: list[tuple[int, bytes, bytes]], rounds: int = 300, l2: float =
     return Model(slots, x[:k], x[k : k + STYLES], thresholds(x))
 
 
-def learn(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE) -> Model:
+def learn(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, sample_words: int = SAMPLE_WORDS) -> Model:
     """From documents (doc_id, text) and grades (doc_id, grade)."""
     one = grades.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min(F.col("grade").cast("int")).alias("_grade"))
-    some = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumnRenamed("doc_id", "_graded")
+    some = one.withColumn("_order", F.xxhash64("doc_id")).orderBy("_order", "doc_id").limit(sample).withColumnRenamed("doc_id", "_graded")
     found = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(some), F.col("doc_id") == F.col("_graded"))  # at most ``sample`` rows
-    rows = found.select("text", "_grade").mapInArrow(_examples, "grade int, style binary, words binary, marks binary").collect()
-    return fit(without_copies(sorted((r[0], *map(bytes, r[1:])) for r in rows)))
+    found = found.groupBy("_graded", "_grade", "_order").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = cut(found.select("text", "_grade", "_order").mapInArrow(_examples, "grade int, style binary, words binary, marks binary, place long"))
+    run = F.sum(F.octet_length("words")).over(Window.orderBy("place", "marks").rowsBetween(Window.unboundedPreceding, 0))  # at most ``sample`` rows
+    last = rows.select("place", run.alias("run")).where(F.col("run") <= 8 * sample_words).agg(F.max("place")).first()[0]
+    if last is None:
+        return fit([])
+    return fit(without_copies(sorted((r[0], *map(bytes, r[1:4])) for r in rows.where(F.col("place") <= last).collect())))
 
 
 def _scored(model, least: float):

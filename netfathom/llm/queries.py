@@ -13,7 +13,7 @@ from .decontamination import contamination
 from .jaccard_join import jaccard_components
 from .language_id import held_out, identify, learn
 from .packing import pack
-from .quality_rules import line_rules
+from .quality_rules import COMMON, COMMON_LEAST, MOST_LOST, SHORT, line_rules
 from .shared import table
 from .token_counts import token_counts
 from .url_filters import LINK, MENU, filter_urls, rule_table
@@ -182,4 +182,30 @@ SELECT js.conv_id, js.turn, js.role, CASE WHEN calling THEN '{{"role":"assistant
   CASE WHEN calling THEN n_calls ELSE 0 END AS n_calls, CASE WHEN calling THEN n_errors WHEN told AND fi.turn IS NULL THEN 1 ELSE 0 END AS n_errors, CAST(CASE WHEN told THEN coalesce(dm.depth, 0) WHEN calling THEN deepest ELSE 0 END AS INT) AS depth,
   rs.call_id, CASE WHEN told THEN fi.turn IS NOT NULL END AS linked, coalesce(fi.turn, js.turn) AS order_turn, CAST(CASE WHEN fi.turn IS NULL THEN 0 ELSE coalesce(dm.depth, 0) END AS INT) AS order_depth, CAST(coalesce(1 + fi.place, 0) AS INT) AS order_step
 FROM js LEFT JOIN pm USING (conv_id, turn) LEFT JOIN ar USING (conv_id, turn) LEFT JOIN rs USING (conv_id, turn) LEFT JOIN fi ON fi.conv_id = rs.conv_id AND fi.call_id = rs.call_id LEFT JOIN dm ON dm.conv_id = rs.conv_id AND dm.call_id = rs.call_id""",
+    "op1_ngram_jaccard_join": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_FOLDED.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, hash(array_to_string(list_slice(w, i, i + least(4, len(w)) - 1), ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0) x),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pr AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+ed AS (SELECT a, b FROM pr JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+bo AS (SELECT a, b FROM ed UNION ALL SELECT b, a FROM ed),
+re AS (SELECT doc_id, doc_id AS root FROM n UNION SELECT bo.b, re.root FROM re JOIN bo ON bo.a = re.doc_id WHERE re.root < bo.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(r.root, d.doc_id) AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, min(root) AS root FROM re GROUP BY doc_id) r ON r.doc_id = d.doc_id""",
+    "op5_quality_rules": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, hash(w[i], w[i + 1], w[i + 2]) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3) x),
+rp AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) y WHERE c > 1) z GROUP BY doc_id),
+sp AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM d),
+ln AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw FROM (SELECT doc_id, text, k, parts[k] AS line FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS k FROM sp) x) y),
+ls AS (SELECT doc_id, text, line, regexp_extract(line, '(?s)[^\x20\x09-\x0D](.*[^\x20\x09-\x0D])?', 0) AS body, len(lw) AS n, lw[-1] AS final, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) > 1 AS later FROM ln WHERE len(lw) > 0),
+short AS (SELECT body, count(DISTINCT text) AS n FROM ls WHERE n <= {SHORT} GROUP BY body),
+common AS (SELECT body FROM short WHERE n >= greatest({COMMON_LEAST}, {COMMON}::DOUBLE * (SELECT count(DISTINCT text) FROM ls WHERE n <= {SHORT}))),
+nn AS (SELECT *, len(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS symbols, len(regexp_replace(line, '[^|<>]', '', 'g')) AS bars, len(regexp_replace(line, '[^!]', '', 'g')) AS shouts, len(regexp_replace(line, '[^A-Z]', '', 'g')) AS upper, len(regexp_replace(line, '[^a-z]', '', 'g')) AS lower FROM ls),
+jd AS (SELECT doc_id, later, length(line) AS size, NOT (NOT regexp_matches(final, '[.!?:;"'')\]]$|[^\x00-\x7F]$') AND n >= 3 OR shouts * 4 > n AND shouts >= 2 OR symbols * 4 > n OR upper > 2 * lower AND upper >= 10
+  OR bars >= 2 AND bars * 6 >= n OR n <= {SHORT} AND body IN (SELECT body FROM common) OR later AND n >= 3) AS stays FROM nn),
+pl AS (SELECT doc_id, count(*) FILTER (later) AS dup, sum(size) AS whole, coalesce(sum(size) FILTER (stays), 0) AS stay FROM jd GROUP BY doc_id),
+al AS (SELECT d.doc_id, len(w) AS n_words, coalesce(length(array_to_string(w, '')), 0) AS word_chars, len(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(whole, 0) AS whole, coalesce(stay, 0) AS stay
+  FROM d LEFT JOIN rp ON rp.doc_id = d.doc_id LEFT JOIN pl ON pl.doc_id = d.doc_id),
+bs AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM al)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * stay >= {100 - MOST_LOST} * whole AS kept, CASE WHEN whole > 0 THEN CAST(stay AS DOUBLE) / whole ELSE 0 END AS share_left FROM bs""",
 }
