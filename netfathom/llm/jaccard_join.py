@@ -13,7 +13,13 @@ from looking at all pairs:
   come from the short differences and no full set is looked at again. Members linked with the leader are one component
   and are not compared with each other; only the others are, through an index of the differences.
 
-Groups whose sets are too large for one task are dealt out by salt, and their unlinked members meet every part.
+Groups with too many shingles or members for one task are dealt out by salt. Their members that are not linked with the
+leader, in chunks, meet every part: those at up to twice the distance of a link from the leader the whole group, the others
+only each other, as the Jaccard distance is a metric.
+
+The frequency sketch and the bitmaps of classes are sized by the data, up to a bound that is safe to broadcast. Beyond it
+they tell less apart, which makes lists longer or sends more sets, but an entry of a list follows two leaders at most, so
+candidates stay in proportion to the index.
 
 Equality of shingles and sets is that of 64-bit hashes. Null or empty texts and texts without words have no shingles and
 are linked with nothing. Repeated rows and ties in size are ordinary members. Other columns of ``docs`` are ignored.
@@ -31,16 +37,19 @@ from pyspark.sql import functions as F
 from .shared import components, cut, width
 from .textblocks import NONSPACE, U64, blocks, mix, windows
 
-#: Counters of the frequency sketch as a power of two: its size is fixed, and so is that of its broadcast.
-SKETCH_BITS = 22
+#: Least and most counters of the frequency sketch as powers of two, and bytes of text per counter.
+SKETCH_BITS, MOST_SKETCH_BITS, SKETCH_BYTES = 22, 25, 1024
 #: Entries of an index list up to which its pairs are told apart; longer lists follow leaders.
 SMALL_LIST = 6
-#: Places of the bitmap that says which classes have a partner in some list.
-MEMBER_BITS = 22
+#: Least and most places of the bitmap that says which classes have a partner in some list, as powers of two; there are
+#: eight places for a class, as far as the most allows.
+MEMBER_BITS, MOST_MEMBER_BITS = 22, 28
 #: Entries of a block of an index list.
 LIST_BLOCK = 64
-#: Shingles of a leader's members that one task holds; larger groups are dealt out.
-GROUP_SHINGLES = 2_000_000
+#: Shingles of a leader's members, and members, that one task holds; larger groups are dealt out.
+GROUP_SHINGLES, GROUP_MEMBERS = 2_000_000, 512
+#: Leaders of large groups that are broadcast; where there are more they are joined by a shuffle.
+LARGE = 1_000_000
 #: Classes of which a task remembers that it has sent them already.
 SENT = 500_000
 _PAGE = 1 << 16
@@ -203,7 +212,7 @@ def _signatures(k: int, places):
         for batch in batches:
             rows = []
             for _, own, c in shingle_sets(batch.column(0), k):
-                if places.value[c & ((1 << MEMBER_BITS) - 1)] and _fresh(sent, c):
+                if _marked(places.value, c) and _fresh(sent, c):
                     bits = max(3, (len(own) - 1).bit_length())
                     counts = np.bincount((own >> U64(64 - bits)).astype(np.int64), minlength=1 << bits)
                     rows.append((c, counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""))
@@ -242,7 +251,7 @@ def _sets(k: int, places):
         for batch in batches:
             own_cls, own_set = [], []
             for _, own, c in shingle_sets(batch.column(0), k):
-                if places.value[c & ((1 << MEMBER_BITS) - 1)] and _fresh(sent, c):
+                if _marked(places.value, c) and _fresh(sent, c):
                     own_cls.append(c)
                     own_set.append(own.tobytes())
             if own_cls:
@@ -291,7 +300,7 @@ class _Group:
                     yield self.cls[i], self.cls[j]
 
 
-_LINKS = "a long, b long, leader long, part int, parts int, cls long, n long, linked boolean, diff binary"
+_LINKS = "a long, b long, leader long, part int, parts int, cls long, n long, linked boolean, near boolean, diff binary"
 
 
 def _answers(percent: int):
@@ -315,7 +324,8 @@ def _answers(percent: int):
                     links.append((leader, cls))
                 if parts > 1:
                     if cls != leader or part == 0:
-                        apart.append((leader, part, parts, cls, n, linked, diff.tobytes()))
+                        near = 100 * len(diff) <= (100 - percent) * (n + lead_n + len(diff))  # 2 |D| / (|x| + |L| + |D|) is the distance
+                        apart.append((leader, part, parts, cls, n, linked, near, diff.tobytes()))
                 else:
                     group.add(cls, n, diff)
                     if not linked:
@@ -328,23 +338,24 @@ def _answers(percent: int):
 
 
 def _told(links: list, apart: list) -> pa.RecordBatch:
-    rows = [(*x, *[None] * 7) for x in links] + [(None, None, *x) for x in apart]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+    rows = [(*x, *[None] * 8) for x in links] + [(None, None, *x) for x in apart]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
     return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[x.split()[0] for x in _LINKS.split(", ")])
 
 
 def _parts(percent: int):
-    """From rows in the order (leader, asked, part): links between the asking members and those of one part."""
+    """From rows in the order (leader, part, linked, chunk): links between the asking members of one chunk and those of one
+    part, either the linked ones or the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, asking = None, None, []
         for batch in batches:
             links: list = []
-            for leader, asked, part, cls, n, asks, diff in zip(*(batch.column(i).to_pylist() for i in range(6)), batch.column(6)):
-                if (leader, asked, part) != key:
+            for leader, part, side, chunk, cls, n, asks, diff in zip(*(batch.column(i).to_pylist() for i in range(7)), batch.column(7)):
+                if (leader, part, side, chunk) != key:
                     if group:
                         links += group.links(asking)
-                    key, group, asking = (leader, asked, part), _Group(percent), []
+                    key, group, asking = (leader, part, side, chunk), _Group(percent), []
                 group.add(cls, n, np.frombuffer(diff.as_py(), U64))
                 if asks:
                     asking.append(len(group.cls) - 1)
@@ -356,21 +367,53 @@ def _parts(percent: int):
     return run
 
 
+class _Places:
+    def __init__(self, bits: int):
+        self.bits, self.taken = bits, np.zeros(1 << bits >> 3, np.uint8)
+
+
+def _marked(places: _Places, cls: int) -> bool:
+    at = cls & ((1 << places.bits) - 1)
+    return bool(places.taken[at >> 3] >> (at & 7) & 1)
+
+
+def _page_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (page, at): the bitmap of each page."""
+    taken: dict[int, np.ndarray] = {}
+    for batch in batches:
+        page, at = (batch.column(i).to_numpy() for i in range(2))
+        for p in np.unique(page).tolist():
+            taken.setdefault(p, np.zeros(_PAGE, np.uint8))[at[page == p]] = 1
+    yield pa.record_batch([pa.array(list(taken), pa.int32()), pa.array([np.packbits(v, bitorder="little").tobytes() for v in taken.values()], pa.binary())], names=["page", "bits"])
+
+
 def _places(classes: DataFrame):
-    """A broadcast bitmap of fixed size that marks the classes."""
-    slot = F.col(classes.columns[0]).bitwiseAND((1 << MEMBER_BITS) - 1)
-    taken = classes.select(F.shiftright(slot, 16).cast("int").alias("page"), slot.bitwiseAND(_PAGE - 1).cast("int").alias("at")).groupBy("page").agg(F.collect_set("at").alias("at"))
-    places = np.zeros(1 << MEMBER_BITS, bool)
-    for page, at in taken.collect():  # at most 2 ** MEMBER_BITS places
-        places[page * _PAGE + np.array(at)] = True
-    return classes.sparkSession.sparkContext.broadcast(places)
+    """A broadcast bitmap that marks the classes."""
+    spark = classes.sparkSession
+    many = classes.agg(F.count("*")).first()[0]
+    places = _Places(min(MOST_MEMBER_BITS, max(MEMBER_BITS, (8 * many).bit_length())))
+    slot = F.col(classes.columns[0]).bitwiseAND((1 << places.bits) - 1)
+    own = classes.select(F.shiftright(slot, 16).cast("int").alias("page"), slot.bitwiseAND(_PAGE - 1).cast("int").alias("at")).distinct()
+    for page, bits in own.repartition(width(spark), "page").mapInArrow(_page_bits, "page int, bits binary").collect():  # at most 2 ** MOST_MEMBER_BITS bits
+        places.taken[page * (_PAGE >> 3) : (page + 1) * (_PAGE >> 3)] = np.frombuffer(bits, np.uint8)
+    return spark.sparkContext.broadcast(places)
+
+
+def _with_parts(follow: DataFrame, group_shingles: int, group_members: int) -> DataFrame:
+    """Adds ``parts``, more than one for leaders of large groups, which are joined on by broadcast if they are few."""
+    share = F.greatest(F.sum("n") / group_shingles, F.count("*") / group_members)
+    large = cut(follow.groupBy("leader").agg(F.ceil(share).cast("int").alias("parts")).where("parts > 1"))
+    return follow.join(F.broadcast(large) if large.limit(LARGE + 1).count() <= LARGE else large, "leader", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
 
 
-def _classes(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int = SKETCH_BITS, group_shingles: int = GROUP_SHINGLES) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int | None = None, group_shingles: int = GROUP_SHINGLES, group_members: int = GROUP_MEMBERS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, mark, n, cls) per row of ``docs``, where mark is a hash of the text, and (cls, root, component_id) per
     class."""
     spark = docs.sparkSession
     text = docs.select(F.col("text").cast("string").alias("text"))
+    if sketch_bits is None:
+        size = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        sketch_bits = min(MOST_SKETCH_BITS, max(SKETCH_BITS, (size // SKETCH_BYTES).bit_length()))
     scan = cut(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("mark")).mapInArrow(_scan(k, sketch_bits), "doc_id long, n long, cls long, page int, counts binary, mark long"))
     pages = scan.where("page is not null").select("page", "counts").repartition(width(spark), "page").mapInArrow(_add_pages, "page int, grades binary")
     grades = np.zeros(1 << sketch_bits, np.uint8)
@@ -390,8 +433,7 @@ def _classes(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int =
     follow = cut(follow.select("leader", "cls", "n").union(follow.select("leader", F.col("leader").alias("cls"), F.col("leader_n").alias("n")).distinct()))
     places = _places(follow.select("cls"))
 
-    large = follow.groupBy("leader").agg(F.ceil(F.sum("n") / group_shingles).cast("int").alias("parts")).where("parts > 1")
-    dealt = follow.join(large, "leader", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = _with_parts(follow, group_shingles, group_members)
     own = F.array(F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("part", F.explode(F.when(F.col("cls") == F.col("leader"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)))
     sets = text.mapInArrow(_sets(k, places), "cls long, items binary").dropDuplicates(["cls"])
@@ -401,11 +443,16 @@ def _classes(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int =
 
     edges = told.where("a is not null").select("a", "b")
     apart = told.where("leader is not null")
-    others = F.sequence(F.lit(0), F.col("parts") - 1)
-    asking = apart.where("not linked").select("leader", F.col("part").alias("asked"), F.explode(others).alias("part"), "cls", "n", F.lit(True).alias("asks"), "diff")
-    with_asking = apart.where("not linked").select("leader", F.col("part").alias("asked")).distinct()
-    members = apart.join(with_asking, "leader").select("leader", "asked", "part", "cls", "n", F.lit(False).alias("asks"), "diff")
-    grid = asking.union(members).repartition(width(spark), "leader", "asked", "part").sortWithinPartitions("leader", "asked", "part")
+    parts = F.sequence(F.lit(0), F.col("parts") - 1)
+    unlinked = apart.where("not linked")
+    chunks = unlinked.groupBy("leader").agg(F.ceil(F.greatest(F.sum("n") / group_shingles, F.count("*") / group_members)).cast("int").alias("chunks"))
+    few = cut(chunks)
+    few = F.broadcast(few) if few.limit(LARGE + 1).count() <= LARGE else few
+    sides = F.explode(F.when(F.col("near"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False))))
+    asking = unlinked.join(few, "leader").select("leader", F.explode(parts).alias("part"), "near", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int").alias("chunk"), "cls", "n", "diff")
+    asking = asking.select("leader", "part", sides.alias("linked"), "chunk", "cls", "n", F.lit(True).alias("asks"), "diff")
+    members = apart.join(few, "leader").select("leader", "part", "linked", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "cls", "n", F.lit(False).alias("asks"), "diff")
+    grid = asking.union(members).repartition(width(spark), "leader", "part", "linked", "chunk").sortWithinPartitions("leader", "part", "linked", "chunk")
     edges = edges.union(grid.mapInArrow(_parts(percent), "a long, b long"))
 
     roots = components(edges)
@@ -416,13 +463,13 @@ def _classes(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int =
     return sized, named
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int = SKETCH_BITS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int | None = None, group_shingles: int = GROUP_SHINGLES, group_members: int = GROUP_MEMBERS) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs`` (doc_id, text).
 
     Two documents are linked when 100 * |intersection| >= percent * |union| of their distinct k-word shingles (A-Z
     lower-cased; fewer words make one shingle). component_id is the smallest doc_id reachable by links.
     """
-    sized, named = _classes(docs, k, percent, sketch_bits, group_shingles)
+    sized, named = _classes(docs, k, percent, sketch_bits, group_shingles, group_members)
     return sized.join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

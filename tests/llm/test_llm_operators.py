@@ -68,12 +68,24 @@ def brute_components(texts, k, percent):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("k, percent, group", [(4, 85, 2_000_000), (5, 80, 2_000_000), (4, 85, 100)])
-def test_jaccard_components(docs, k, percent, group):
-    got = {r[0]: (r[1], r[2]) for r in jaccard_join.jaccard_components(docs, k, percent, sketch_bits=16, group_shingles=group).collect()}
+@pytest.mark.parametrize("k, percent, group, members", [(4, 85, 2_000_000, 512), (5, 80, 2_000_000, 512), (4, 85, 100, 512), (4, 85, 2_000_000, 3)])
+def test_jaccard_components(docs, k, percent, group, members):
+    got = {r[0]: (r[1], r[2]) for r in jaccard_join.jaccard_components(docs, k, percent, sketch_bits=16, group_shingles=group, group_members=members).collect()}
     assert got == brute_components(text_of(docs), k, percent)
 
 
+@pytest.mark.parametrize("members", [512, 20])
+def test_jaccard_of_a_hot_group(spark, members):
+    """Near copies at all distances from each other around one text, so that many members are not linked with the leader."""
+    rnd = random.Random(7)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(w if rnd.random() > share else f"x{rnd.randrange(9)}" for w in base[: rnd.choice([100, 110, 120])]) for share in (0.0, 0.01, 0.02, 0.03, 0.05, 0.08) for _ in range(40)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r[0]: (r[1], r[2]) for r in jaccard_join.jaccard_components(frame, 4, 85, group_members=members).collect()}
+    want = brute_components(dict(enumerate(texts)), 4, 85)
+    assert got == want and len({c for _, c in want.values()}) > 20
+
+
 def test_jaccard_keeps_one(docs, none):
     want = {i for i, (_, c) in brute_components(text_of(docs), 5, 80).items() if i == c}
     kept = jaccard_join.keep_one(docs)
