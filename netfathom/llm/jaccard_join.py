@@ -482,11 +482,11 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     chosen = rows.groupBy("root").agg(F.min(F.struct(*[one.alias("one"), F.col("rows")])).alias("c")).select("c.one.doc_id", "c.one.mark", "c.rows")
     least = rows.join(chosen.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_m")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_m")), "left")
     others = least.where("_m is null").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_m"))
-    marked = docs.withColumn("_mark", F.xxhash64(F.col("text").cast("string")))
-    met = lambda keys: marked["doc_id"].eqNullSafe(keys["_id"]) & (marked["_mark"] == keys["_m"])
+    marked = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_mark"))  # so no name clashes
+    met = lambda keys: marked["_doc"].eqNullSafe(keys["_id"]) & (marked["_mark"] == keys["_m"])
     repeated = chosen.where("rows > 1").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_m"))
-    single = marked.join(others.union(repeated), met(others), "left_anti").drop("_mark")
+    single = marked.join(others.union(repeated), met(others), "left_anti").select("_row.*")
     if repeated.isEmpty():
         return single
-    again = marked.join(repeated, met(repeated), "left_semi").dropDuplicates(["doc_id", "_mark"]).drop("_mark")
+    again = marked.join(repeated, met(repeated), "left_semi").dropDuplicates(["_doc", "_mark"]).select("_row.*")
     return single.union(again)

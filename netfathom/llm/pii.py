@@ -2,10 +2,12 @@
 
 The patterns (e-mail, ip, card, phone) give the base spans of every whole text. The network is trained in numpy on
 labelled spans: windows around the base spans and around other digits of a bounded sample of distinct texts (``SAMPLE``),
-three quarters of which have base spans, with copies in which spans are rewritten in other common forms. At prediction, a document is covered by overlapping windows of
-``WINDOW`` characters every ``STEP``; all that hold a digit or an @ are decoded (forms without one, as spelled-out addresses, are left out by choice), and
-their spans are reconciled over the whole document: base spans stay, and of the others those decoded by more windows,
-then more surely, win where spans overlap.
+three quarters of which have base spans, with copies in which spans are rewritten in other common forms. At prediction, a
+document is covered by overlapping windows of ``WINDOW`` characters every ``STEP``. A span counts only if it has the @ or the
+digits that its kind needs (``shaped``), so windows without a digit or an @ cannot give any and are not decoded: nothing is
+lost by that, but spelled-out addresses are no spans by choice. Nor does the network add spans that no window holds with
+both ends inside, which is sure for those of up to ``WINDOW - STEP - 1`` characters. The spans are reconciled over the whole
+document: base spans stay, and of the others those decoded by more windows, then more surely, win where spans overlap.
 
 Offsets are code points, ends exclusive. Null texts are empty. Repeated rows are judged alike; texts without digits and @
 have no spans; other columns are ignored (``find``) or kept (``redact``). Without any labelled span only patterns apply.
@@ -321,15 +323,18 @@ def _decoded(network: Network, texts: list[str], most: int = 512) -> list[list[t
     return [[(*s, len(p), float(np.mean(p))) for s, p in own.items()] for own in found]
 
 
+def shaped(kind: int, body: str) -> bool:
+    """Whether a text can be of a kind at all: each needs an @ or digits."""
+    digits = sum(c.isdigit() and c.isascii() for c in body)
+    return body.strip() == body and ("@" in body[1:-1], body.count(".") >= 3 and digits >= 4, digits >= 13, 7 <= digits <= 15)[kind]
+
+
 def reconcile(base: list[Span], found: list[tuple[int, int, int, int, float]], text: str, least: float = MIN_MARGIN) -> list[Span]:
     """The base spans and, of the decoded ones, those that overlap none that stays."""
     taken = sorted((a, b) for _, a, b in base)
     added: list[Span] = []
     for k, a, b, _, p in sorted(found, key=lambda s: (-s[3], -s[4], s[1], s[2], s[0])):
-        body = text[a:b]
-        digits = sum(c.isdigit() and c.isascii() for c in body)
-        shaped = ("@" in body[1:-1], body.count(".") >= 3 and digits >= 4, digits >= 13, 7 <= digits <= 15)[k]
-        if p >= least and shaped and body.strip() == body and not any(x < b and a < y for x, y in taken):
+        if p >= least and shaped(k, text[a:b]) and not any(x < b and a < y for x, y in taken):
             added.append((k, a, b))
             taken.append((a, b))
     return sorted([*base, *added])

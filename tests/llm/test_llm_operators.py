@@ -394,3 +394,254 @@ def test_copies_go_by_rows_and_not_by_ids(spark):
     rows = [(1, a), (1, a), (2, a), (2, b), (None, a), (None, c), (None, c), (3, None), (3, None), (4, "")]
     kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(1, a), (2, b), (None, c), (3, None), (3, None), (4, "")], key=repr)
+
+
+# ---- tool calls against a plain version ---------------------------------------------------------------------------------
+
+
+def plain_chats(rows, tools):
+    """n_errors, depth and linked of messages (conv, turn, role, text), told apart by their place; cycles only of two calls."""
+    kinds = {"string": str, "integer": int, "number": (int, float), "boolean": bool}
+    calls, first = [], {}
+    for m in sorted({r for r in rows if r[2] == "assistant" and (r[3] or "").startswith('{"tool_calls"')}, key=lambda r: (str(r[0]), r[1])):
+        for place, c in enumerate(json.loads(m[3])["tool_calls"]):
+            args = c.get("arguments") or {}
+            own = tools.get(c.get("name") or "")
+            bad = 1 if own is None else sum(need if p not in args else not isinstance(args[p], kinds[k]) or isinstance(args[p], bool) and k != "boolean" for p, (k, need) in own.items()) + sum(p not in own for p in args)
+            is_first = c.get("id") is not None and (m[0], c["id"]) not in first
+            calls.append([m, place, c.get("id"), args, bad + (not is_first), is_first])
+            if is_first:
+                first[m[0], c["id"]] = calls[-1]
+    needs = {k: {x for x in re.findall(r'"\$([^"]+)"', json.dumps(v[3])) if x != k[1] and (k[0], x) in first} for k, v in first.items()}
+    depth, waiting = {}, dict(needs)
+    while waiting:
+        ready = {k for k, n in waiting.items() if all((k[0], x) in depth for x in n)}
+        if ready:
+            depth |= {k: 1 + max((depth[k[0], x] for x in needs[k]), default=-1) for k in ready}
+        else:
+            for k in [k for k, n in waiting.items() if any(k[1] in waiting.get((k[0], x), ()) for x in n)]:
+                depth[k] = 1 + max((d for (c, _), d in depth.items() if c == k[0] and (c, _) not in waiting), default=-1)
+                first[k][4] += 1
+                ready.add(k)
+        waiting = {k: n for k, n in waiting.items() if k not in ready}
+    out = []
+    for m in rows:
+        own = [c for c in calls if c[0] == m]
+        if own:
+            out.append((m, sum(c[4] for c in own), max([depth[m[0], c[2]] for c in own if c[5]], default=0), None))
+        elif m[2] == "tool" and (m[3] or "").startswith("{"):
+            at = first.get((m[0], json.loads(m[3])["tool_call_id"]))
+            out.append((m, int(at is None), depth[m[0], at[2]] if at else 0, at is not None))
+        else:
+            out.append((m, 0, 0, None))
+    return out
+
+
+def test_chats_against_a_plain_version(spark):
+    rnd = random.Random(5)
+    tools = {"search": {"query": ("string", True), "limit": ("integer", False)}, "sum": {"x": ("number", True), "flag": ("boolean", False)}}
+    rows = []
+    for conv in (1, 2, 3, None):
+        for turn in range(12):
+            calls = []
+            for _ in range(rnd.randrange(1, 4)):
+                name = rnd.choice(["search", "sum", "other"])
+                args = {"query": rnd.choice(["q", 5, f"$c{rnd.randrange(turn + 1)}" if turn else "q"])} if name == "search" else {"x": rnd.choice([1, 2.5, "no", f"$c{rnd.randrange(turn + 1)}"])}
+                if rnd.random() < 0.3:
+                    args[rnd.choice(["limit", "flag", "more"])] = rnd.choice([3, True, "x"])
+                call = {"id": rnd.choice([f"c{turn}", f"c{turn}-{rnd.randrange(99)}", None]), "name": name, "arguments": rnd.choice([args, args, args, None])}
+                calls.append({k: v for k, v in call.items() if k != "id" or v is not None})
+            rows.append((conv, 2 * turn, "assistant", json.dumps({"tool_calls": calls})))
+            rows.append((conv, 2 * turn + 1, "tool", json.dumps({"tool_call_id": rnd.choice([f"c{turn}", "none"]), "content": {"b": 1, "a": [1.0]}})))
+    rows += [(4, 0, "assistant", json.dumps({"tool_calls": [{"id": i, "name": "search", "arguments": {"query": n}} for i, n in (("p", "$q"), ("q", "$p"), ("r", "$q"), ("s", "x"))]}))]
+    rows += [(5, k, "assistant", json.dumps({"tool_calls": [{"id": f"k{k}", "name": "search", "arguments": {"query": f"$k{k - 1}"}}]})) for k in range(25)]  # a chain, deeper than any other
+    rows += rows[:3] + [(1, 99, None, None), (1, 99, "assistant", "{no json"), (6, 0, "user", LONG)]
+    frame = spark.createDataFrame([(*r, 1, "x") for r in rows], "conv_id long, turn long, role string, text string, _c int, errors string").repartition(3)
+    got = chat_format.format_chats(frame, chat_format.parameter_table(spark, tools)).collect()
+    want = Counter((str(m[0]), m[1], m[2] or "user", e, d, k) for m, e, d, k in plain_chats(rows, tools))
+    assert Counter((str(r["conv_id"]), r["turn"], r["role"], r["n_errors"], r["depth"], r["linked"]) for r in got) == want
+    place = {(r["conv_id"], r["call_id"]): (r["order_turn"], r["order_depth"], r["order_step"]) for r in got if r["linked"]}
+    assert all((t, d, k) > (t, 0, 0) for t, d, k in place.values()) and max(r["depth"] for r in got) == 24
+
+
+# ---- the host graph against a plain version -----------------------------------------------------------------------------
+
+
+def plain_ranks(pages, seeds, damping=0.85, rounds=200):
+    links, menus = defaultdict(set), defaultdict(set)
+    for k, (host, html) in enumerate(pages):
+        if host:
+            for d in set(re.findall(url_filters.LINK, html or "")):
+                links[host, d.lower()].add(k)
+            for p in set(re.findall(url_filters.MENU, html or "")):
+                menus[host, p].add(k)
+    links = {k: len(v) for k, v in links.items() if k[0] != k[1]}
+    menus = {k: len(v) for k, v in menus.items() if len({h for h, p in menus if p == k[1]}) > 1}
+    step = {True: defaultdict(float), False: defaultdict(float)}
+    for ahead in step:
+        total = Counter()
+        for (a, b), w in links.items():
+            total[a if ahead else b] += w
+        for (h, _), w in menus.items():
+            total[h] += w
+        for (a, b), w in links.items():
+            step[ahead][(a, b) if ahead else (b, a)] += w / total[a if ahead else b]
+        for (h, p), w in menus.items():
+            for (g, q), v in menus.items():
+                if q == p:
+                    step[ahead][h, g] += w / total[h] * v / sum(x for (_, r), x in menus.items() if r == p)
+    whole = sum(a + b for a, b in seeds.values())
+    out = []
+    for ahead in (True, False):
+        base = {h: (a if ahead else b) / whole for h, (a, b) in seeds.items()}
+        rank = dict(base)
+        for _ in range(rounds):
+            new = defaultdict(float, {h: (1 - damping) * x for h, x in base.items()})
+            for (a, b), x in step[ahead].items():
+                new[b] += damping * x * rank.get(a, 0)
+            rank = new
+        out.append(rank)
+    return out
+
+
+def test_host_graph_against_a_plain_version(spark, none):
+    rnd = random.Random(9)
+    hosts = [f"h{i}.{t}" for i in range(6) for t in ("com", "net", "org")]
+    rows = []
+    for k in range(300):
+        h = rnd.choice(hosts[:3] if k % 3 else hosts)  # hosts with more than their share
+        html = "".join(f'<a href="/m{rnd.choice([int(h[1]), rnd.randrange(8)])}">x</a>' for _ in range(3)) + (f'<a href="http://{rnd.choice(hosts).upper()}/q">' if k % 4 == 0 else "") + (f"see https://{rnd.choice(hosts)}?a" if k % 7 == 0 else "")
+        rows.append((k, f"https://{h}/{rnd.choice(['good', 'bad', 'x'])}/{k}?u=http://no.com", html))
+    rows += [(900, None, None), (901, "no scheme", "<a href='//h0.com/'>"), (902, "HTTP://H1.COM", None), (902, "HTTP://H1.COM", None), (903, "http://" + "a." * 20000 + "com/" + "p" * 100000, None), (None, "https://h0.org/good/", None)]
+    pages = spark.createDataFrame([(*r, 7) for r in rows], "page_id long, url string, html string, pages int").repartition(3)
+    rules = [("allow", "com", "/good"), ("block", "com", "/bad"), ("allow", "h0.com", "/bad"), ("block", "h0.com", "/bad"), ("block", "h1.com", "/good/2")]
+    got = url_filters.filter_urls(pages, url_filters.rule_table(spark, rules), tolerance=1e-12).collect()
+    place = lambda u: (m[1].translate({c: c + 32 for c in range(65, 91)}), m[2]) if (m := re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")) else ("", "")
+    told, seeds = {}, defaultdict(lambda: [0, 0])
+    for k, u, _ in rows:
+        h, p = place(u)
+        fits = sorted((-len(rh + rp), rh + rp, v) for v, rh, rp in rules if (h == rh or h.endswith("." + rh)) and p.startswith(rp))
+        told[k, u] = (h, p, *(fits[0][1:] if fits else (None, None)))
+        if fits:
+            seeds[h][fits[0][2] == "block"] += 1
+    trust, distrust = plain_ranks([(place(u)[0], html) for _, u, html in rows], seeds)
+    odds = 1.2 * sum(b for _, b in seeds.values()) / sum(a for a, _ in seeds.values())
+    want = Counter((k, h, p, r, v or ("block" if distrust.get(h, 0) > odds * trust.get(h, 0) else "allow")) for k, u, _ in rows for h, p, r, v in [told[k, u]])
+    assert Counter((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in got) == want
+    assert all(abs(r["trust"] - trust.get(r["host"], 0)) < 1e-9 and abs(r["distrust"] - distrust.get(r["host"], 0)) < 1e-9 for r in got if r["host"])
+    open_ = {(r["host"][-3:], r["verdict"]) for r in got if r["rule"] is None}
+    assert {("net", "allow"), ("net", "block")} <= open_ or {("org", "allow"), ("org", "block")} <= open_ or {("com", "allow"), ("com", "block")} <= open_
+    assert url_filters.filter_urls(pages.limit(0), url_filters.rule_table(spark, rules)).count() == 0 and url_filters.filter_urls(pages.limit(5), url_filters.rule_table(spark, [])).where("verdict = 'block'").count() == 0
+
+
+# ---- others ------------------------------------------------------------------------------------------------------------------
+
+
+def test_tokens_of_unbroken_runs():
+    import sentencepiece
+
+    rnd = random.Random(2)
+    path = token_counts.default_model()
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    runs = ["a" * 1_000_000, "ab" * 200_000, "".join(rnd.choice("ABCabc0189+/") for _ in range(300_000)), "".join(chr(rnd.randrange(0x4E00, 0x9FFF)) for _ in range(100_000)), "".join(rnd.choice(["the", "of", "entre", "ung"]) for _ in range(60_000)), " " * 99_999]
+    runs += ["".join(rnd.choice(rnd.choice(["ab", "eEtT", "thero", "01", "_-", "aé"])) for _ in range(rnd.randrange(200, 2000))) for _ in range(60)]
+    got = np.concatenate([t for _, _, t in token_counts.count_tokens(pa.array(runs), path)])
+    assert got.tolist() == [len(x) for x in library.encode(runs)]
+
+
+def test_decoding_is_the_best_path_and_reconciling_keeps_the_base():
+    import itertools
+
+    rng = np.random.default_rng(4)
+    net = pii.Network(2)
+    net.p["T"] = rng.normal(0, 1, net.p["T"].shape).astype(np.float32)
+    chars = rng.integers(1, pii.CODES, (3, 4))
+    tags, sure = net.decode(chars)
+    e, _ = net.emissions(chars)
+    for n in range(3):
+        score = {path: sum(e[n, t, k] for t, k in enumerate(path)) + sum(net.p["T"][a, b] for a, b in zip(path, path[1:])) for path in itertools.product(range(pii.TAGS), repeat=4)}
+        z = sum(np.exp(v) for v in score.values())
+        assert tuple(tags[n]) == max(score, key=score.get)
+        assert all(abs(sure[n, t] - sum(np.exp(v) for p, v in score.items() if p[t] == tags[n, t]) / z) < 1e-3 for t in range(4))
+    rnd = random.Random(1)
+    for _ in range(300):
+        text = "".join(rnd.choice("0123456789@a.") for _ in range(60))
+        base = [(k, a, a + 9) for k, a in [(rnd.randrange(4), rnd.randrange(0, 50)) for _ in range(2)]]
+        found = [(rnd.randrange(4), a, a + rnd.randrange(5, 25), rnd.randrange(1, 3), rnd.random()) for a in (rnd.randrange(0, 40) for _ in range(6))]
+        out = pii.reconcile(base, found, text)
+        added = [s for s in out if s not in base]
+        assert set(base) <= set(out) and all(b <= c or d <= a for i, (_, a, b) in enumerate(added) for _, c, d in [*base, *added[:i]])
+        # what was left out is unsure, of no shape, or overlaps something at least as strong that stays
+        for k, a, b, n, p in found:
+            if (k, a, b) not in out and p >= pii.MIN_MARGIN and pii.shaped(k, text[a:b]):
+                assert any(c < b and a < d for _, c, d in base) or any(c < b and a < d and (m, q) >= (n, p) for j, c, d, m, q in found if (j, c, d) in out)
+
+
+def test_windows_are_decoded_as_one_by_one():
+    net = pii.Network(3)
+    net.p["o"][1:] += 1.5  # tags come up often
+    texts = ["no digits at all", "7 " * 70, "x" * 200 + "ann@example.org" + " y" * 90, ""]
+    found = pii._decoded(net, texts, most=2)
+    for text, own in zip(texts, found):
+        want = defaultdict(list)
+        c = pii.codes(text)
+        for lo in range(0, max(1, len(c)), pii.STEP):
+            part = c[lo : lo + pii.WINDOW]
+            if not (((part >= 48) & (part < 58)) | (part == 64)).any():
+                continue
+            w = np.zeros(pii.WINDOW, np.int64)
+            w[: len(part)] = part
+            tags, sure = (x[0] for x in net.decode(w[None]))
+            at = 0
+            while at < pii.WINDOW:
+                if tags[at] == 0:
+                    at += 1
+                    continue
+                end = at + 1
+                while end < pii.WINDOW and tags[end] != 0 and tags[end] % 2 == 0 and (tags[end] - 1) // 2 == (tags[at] - 1) // 2:
+                    end += 1
+                if not (at == 0 and lo > 0) and end < pii.WINDOW and w[end - 1] > 0:
+                    want[(tags[at] - 1) // 2, lo + at, lo + end].append(sure[at:end].mean())
+                at = end
+        assert {s[:3]: s[3] for s in own} == {k: len(v) for k, v in want.items()}
+        assert all(abs(s[4] - np.mean(want[s[:3]])) < 1e-4 for s in own)
+
+
+def test_kept_lines_against_plain_rules(spark):
+    rnd = random.Random(8)
+    words = ["alpha", "beta", "GAMMA", "délta", "x|", "***", "no!", "end.", "fin;", "wo?"]
+    banner = "Rights of this text are kept by all."
+    texts = ["\n".join([banner] * (rnd.random() < 0.5) + [" ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 30))) + rnd.choice([".", "", "é", "|"]) for _ in range(rnd.randrange(3, 9))]) for _ in range(120)]
+    texts += [None, "", " \n ", "one", texts[0], LONG, "a\n\nb"]
+    frame = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, line int").repartition(3)
+    lines = {t: [(x, WORD.findall(x)) for x in t.split("\n") if WORD.findall(x)] for t in texts if t}
+    often = Counter(b for own in lines.values() for b in {re.search(r"[^\x20\x09-\x0D](?s:.*[^\x20\x09-\x0D])?", x)[0] for x, w in own if len(w) <= 15})
+    have = sum(any(len(w) <= 15 for _, w in own) for own in lines.values())
+    common = {b for b, n in often.items() if n >= max(20, 0.001 * have)}
+    assert common == {banner}
+    for r in quality_rules.line_rules(frame).collect():
+        seen, stay, whole, kept = set(), 0, 0, []
+        for x, w in lines.get(texts[r["doc_id"]], []):
+            n, count = len(w), lambda p: len(re.findall(p, x))  # noqa: B023
+            later = x in seen
+            seen.add(x)
+            fails = n >= 3 and not re.search(r"[.!?:;\"')\]]$|[^\x00-\x7F]$", w[-1]) or count("!") >= 2 and count("!") * 4 > n or count(r"[#*$%&|<>]") * 4 > n or count("[A-Z]") >= 10 and count("[A-Z]") > 2 * count("[a-z]")
+            fails = fails or count(r"[|<>]") >= 2 and count(r"[|<>]") * 6 >= n or later and n >= 3 or n <= 15 and x.strip(" \t\n\r\x0b\x0c") in common
+            whole, stay = whole + len(x), stay + (not fails) * len(x)
+            kept += [] if fails else [x]
+        assert r["cleaned"] == "\n".join(kept) and r["kept"] == (not r["base_failed"] and 100 * stay >= 50 * whole) and abs(r["share_left"] - (stay / whole if whole else 0)) < 1e-9, texts[r["doc_id"]]
+
+
+def test_odd_columns_and_repeated_ids(spark):
+    rows = [(1, "a good text of words " * 9, "x"), (1, "a good text of words " * 9, "x"), (1, "another text " * 20, "y"), (None, None, "z"), (2, "bad " * 60, "x"), (3, LONG, "x")]
+    odd = spark.createDataFrame([(*r, 1, 2, 3, 4, 5, 6) for r in rows], "doc_id long, text string, __items string, _carried int, _grade int, _key int, _mark int, place int, _m int")
+    bench = spark.createDataFrame([("i", "another text another text another text another text another text")], "item_id string, text string")
+    clean = decontamination.decontaminate(odd, bench)
+    assert clean.columns == odd.columns and sorted(map(repr, clean.collect())) == sorted(repr(r) for r in odd.collect() if "another" not in (r["text"] or ""))
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 0, 0), (3, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    assert quality_classifier.select(odd, labels).columns == odd.columns
+    assert quality_classifier.grade(odd, quality_classifier.learn(odd, quality_classifier.grades_of(labels), sample_words=3)).count() == len(rows)
+    assert jaccard_join.keep_one(odd).columns == odd.columns and jaccard_join.keep_one(odd).count() == 5
+    for out in (pii.redact(odd, None), language_id.identify(odd, language_id.learn(odd.withColumn("lang", F.lit(None).cast("string"))), with_spans=False), token_counts.token_counts(odd), packing.pack(odd)):
+        assert out.count() >= len(rows)
+    assert language_id.identify(odd, language_id.learn(odd.limit(0).withColumn("lang", F.lit("a"))), with_spans=False).where("lang_pred <> 'und'").count() == 0
