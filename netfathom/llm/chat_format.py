@@ -28,7 +28,7 @@ from .shared import cut
 
 _CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:string>>>"
 _RESULT = "struct<tool_call_id:string,content:string>"
-_KINDS = {"string": "STRING", "integer": "BIGINT", "boolean": "BOOLEAN"}
+_KINDS = {"string": "STRING", "integer": "BIGINT", "boolean": "BOOLEAN", "object": "OBJECT", "array": "ARRAY"}
 
 
 def parameter_table(spark, tools: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
@@ -46,17 +46,19 @@ def _calls(messages: DataFrame) -> DataFrame:
 
 
 def _checked(calls: DataFrame, parameters: DataFrame) -> DataFrame:
-    """(name, arguments, errors) of calls (name, arguments): no object, unknown tool, missing, of another kind, unknown."""
-    given = calls.select("name", F.expr("try_parse_json(arguments)").alias("v"), F.expr("coalesce(json_object_keys(arguments), array())").alias("keys"), "arguments")
-    kind = F.regexp_extract(F.expr("schema_of_variant(try_variant_get(v, concat('$.', parameter), 'variant'))"), r"^\w+", 0)
-    fits = F.expr(f"case kind when 'number' then found in ('BIGINT', 'DECIMAL', 'DOUBLE', 'FLOAT') when 'object' then found = 'OBJECT' when 'array' then found = 'ARRAY' {' '.join(f'when {k!r} then found = {v!r}' for k, v in _KINDS.items())} else true end")
-    asked = given.join(parameters, "name").withColumn("found", kind).withColumn("there", F.expr("array_contains(keys, parameter)"))
-    wrong = F.when(~F.col("there"), F.col("required").cast("int")).otherwise((~F.coalesce(fits, F.lit(False))).cast("int"))
-    counted = asked.groupBy("name", "arguments").agg(F.sum(wrong).alias("wrong"), F.sum(F.col("there").cast("int")).alias("known"))
-    tools = parameters.select("name").distinct().withColumn("tool", F.lit(1))
-    whole = given.join(counted, ["name", "arguments"], "left").join(tools, "name", "left")
-    errors = F.when(F.col("v").isNull() | ~F.col("arguments").rlike(r"^\s*\{"), 1).when(F.col("tool").isNull(), 1).otherwise(F.coalesce("wrong", F.lit(0)) + F.size("keys") - F.coalesce("known", F.lit(0)))
-    return whole.select("name", "arguments", errors.cast("long").alias("errors"))
+    """Adds ``errors`` to calls (name, arguments): no object, unknown tool, or parameters that are missing, of another kind or
+    unknown. A tool's parameters come as one row; the table of tools is part of the set-up and small, so it is broadcast, and
+    a tool that most calls name gathers in no task."""
+    tools = parameters.groupBy(F.col("name").alias("_tool")).agg(F.collect_list(F.struct("parameter", "kind", "required")).alias("_params"))
+    rows = calls.join(F.broadcast(tools), F.col("name") == F.col("_tool"), "left")
+    rows = rows.withColumn("_v", F.expr("try_parse_json(arguments)")).withColumn("_keys", F.expr("coalesce(json_object_keys(arguments), array())"))
+    kinds = " ".join(f"when {k!r} then {v!r}" for k, v in _KINDS.items())
+    found = r"regexp_extract(schema_of_variant(try_variant_get(_v, concat('$.', p.parameter), 'variant')), '^\\w+', 0)"
+    fits = f"case p.kind when 'number' then {found} in ('BIGINT', 'DECIMAL', 'DOUBLE', 'FLOAT') else {found} = case p.kind {kinds} end end"
+    wrong = f"aggregate(_params, 0, (n, p) -> n + case when not array_contains(_keys, p.parameter) then cast(p.required as int) when coalesce({fits}, false) then 0 else 1 end)"
+    known = "size(filter(_params, p -> array_contains(_keys, p.parameter)))"
+    errors = F.when(F.col("_v").isNull() | ~F.col("arguments").rlike(r"^\s*\{"), 1).when(F.col("_tool").isNull(), 1).otherwise(F.expr(f"{wrong} + size(_keys) - {known}"))
+    return rows.withColumn("errors", errors.cast("long")).drop("_tool", "_params", "_v", "_keys")
 
 
 def _core(needs: DataFrame) -> DataFrame:
@@ -103,7 +105,7 @@ def format_chats(messages: DataFrame, parameters: DataFrame) -> DataFrame:
     found = cut(_calls(rows))
     first = found.where("call_id is not null").groupBy("_c", "call_id").agg(F.min(F.struct("turn", "_m", "place", "name", "arguments")).alias("f")).select("_c", "call_id", "f.*")
     placed = cut(first.join(_depths(first), ["_c", "call_id"]).select("_c", "call_id", "_m", "turn", "place", "depth", "cyclic"))
-    errors = found.join(_checked(found.select("name", "arguments").distinct(), parameters), ["name", "arguments"], "left").select("_c", "_m", "place", F.coalesce("errors", F.lit(0)).alias("errors"))
+    errors = _checked(found, parameters).select("_c", "_m", "place", "errors")
     wrong = F.col("errors") + F.when(F.col("cyclic").isNull() | F.col("cyclic"), 1).otherwise(0)  # cyclic is null for a call that is not the first of its identifier
     own = errors.join(placed.select("_c", "_m", "place", "depth", "cyclic"), ["_c", "_m", "place"], "left")
     by_message = own.groupBy("_c", "_m").agg(F.sum(wrong).alias("n_errors"), F.coalesce(F.max("depth"), F.lit(0)).alias("deepest"))
