@@ -12,13 +12,13 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import percentiles, weighted_hist, wilson
 from .intervals import _islands, gap_cluster
 from .ordered import in_order
 
 # fixed values
 QUIET_MS, MIN_ACTIVE_MS, WALKING_MPS = 180000, 60000, 0.5
 ENTER, LEAVE, WINDOW_MS, LEAST, DWELL_MS = 0.70, 0.30, 600000, 30, 900000
-BOXES_NONE = "unknown"
 
 
 def journeys(fixes: DataFrame, keys: list[str], t: str, speed: str) -> DataFrame:
@@ -117,19 +117,61 @@ def repeated_failures(failures: DataFrame, keys: list[str], t: str, window: int
     return gap_cluster(open_, keys, t, quiet, ["id"])
 
 
+def throttled(rows: DataFrame, keys: list[str], t: str, order: list[str], gap: int) -> DataFrame:
+    """The rows of each key that come ``gap`` or more after the last one kept; the first is."""
+
+    def rule(own: Iterator[tuple], at: int = rows.columns.index(t)) -> Iterator[tuple]:
+        last = None
+        for row in own:
+            if last is None or row[at] - last >= gap:
+                last = row[at]
+                yield row
+
+    return in_order(rows, keys, order, rows.schema, rule)
+
+
+def handover_predictions(readings: DataFrame, keys: list[str], t: str, level: str, validated: str, lost: str, order: list[str], reach: int = 20000, fall: int = 10, edge: int = -75, gap: int = 45000) -> DataFrame:
+    """Adds ``reason`` to the Wi-Fi readings after which the route is expected to leave, at most one each ``gap``: Wi-Fi is
+    lost; it lost validation; its level fell by ``fall`` or more since the oldest of at least three readings within ``reach``;
+    or it is at or below ``edge``. A loss starts anew; readings without a level, and those that report the lost validation,
+    are not part of the fall. Readings of one time count together."""
+    by = Window.partitionBy(*keys).orderBy(*order)
+    rows = readings.withColumn("_epoch", F.sum(F.col(lost).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    was = F.when(~F.col(lost), F.lag(F.when(~F.col(lost), F.col(validated))).over(Window.partitionBy(*keys, "_epoch").orderBy(F.desc(lost), *order)))
+    rows = rows.withColumn("_off", F.coalesce(was & ~F.col(validated), F.lit(False)))
+    near = Window.partitionBy(*keys, "_epoch").orderBy(t).rangeBetween(-reach, 0)
+    usable = F.when(~F.col(lost) & ~F.col("_off"), F.col(level))
+    rows = rows.withColumn("_n", F.count(usable).over(near)).withColumn("_oldest", F.min_by(usable, F.when(usable.isNotNull(), F.struct(*order))).over(near))
+    reason = F.when(F.col(lost), "wifi-lost").when(F.col("_off"), "wifi-lost-internet").when((F.col("_n") >= 3) & (F.col("_oldest") - usable >= fall), "wifi-falling").when(usable <= edge, "wifi-weak")
+    told = rows.withColumn("reason", reason).where("reason is not null").drop("_epoch", "_off", "_n", "_oldest")
+    return throttled(told, keys, t, order, gap)
+
+
 def decay(readings: DataFrame, keys: list[str], t: str, level: str, reach: int = 20000, fall: int = 10, floor: int = -75) -> DataFrame:
-    """Readings at or below ``floor`` that fell by ``fall`` or more since the first of at least three within ``reach``."""
+    """Readings at or below ``floor``, or that fell by ``fall`` or more since the first of at least three within ``reach``."""
     by = Window.partitionBy(*keys).orderBy(t).rangeBetween(-reach, 0)
     rows = readings.withColumn("_n", F.count(level).over(by)).withColumn("_first", F.min_by(F.col(level), F.struct(F.col(t), F.col("id"))).over(by))
-    return rows.where((F.col("_n") >= 3) & (F.col(level) <= floor) & (F.col("_first") - F.col(level) >= fall)).drop("_n", "_first")
+    return rows.where((F.col(level) <= floor) | (F.col("_n") >= 3) & (F.col("_first") - F.col(level) >= fall)).drop("_n", "_first")
 
 
 def probe_health(probes: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n_cold, n_warm, cold_fail, warm_fail, verdict) of on-bearer probes marked cold."""
+    """(keys, n_cold, n_warm, cold_fail, warm_fail, p90_ms, verdict, contrast) of on-bearer probes marked cold.
+
+    The verdict needs ten wake-ups. Their success is failing below 95 %: 'failing to wake' where being awake demonstrably
+    helps (the intervals are apart) or was hardly measured, else 'failing'. Without a failure it is 'slow' or 'healthy' by the
+    p90 of three or more successes, else 'occasional'. ``contrast``: warm probes do better than cold ones, intervals apart."""
     cold, fail = F.col("cold"), F.col("outcome") == "FAIL"
     out = probes.groupBy(*keys).agg(F.count_if(cold).alias("n_cold"), F.count_if(~cold).alias("n_warm"), F.count_if(cold & fail).alias("cold_fail"), F.count_if(~cold & fail).alias("warm_fail"))
-    share = F.col("cold_fail") / F.col("n_cold")
-    return out.withColumn("verdict", F.when(F.col("n_cold") < 10, "too few").when(share > 0.05, "failing").otherwise("healthy"))
+    ok = weighted_hist(probes.where(cold & ~fail), keys, "latency_ms")
+    out = out.join(percentiles(ok, keys, "latency_ms", "C", p90_ms=0.9), keys, "left")
+    rate = lambda n, bad: F.try_divide(F.col(n) - F.col(bad), F.col(n))
+    c, w = rate("n_cold", "cold_fail"), rate("n_warm", "warm_fail")
+    ci, wi = wilson(F.coalesce(c, F.lit(0.0)), F.col("n_cold")), wilson(F.coalesce(w, F.lit(0.0)), F.col("n_warm"))
+    apart = wi["lo"] > ci["hi"]
+    slow = (F.col("n_cold") - F.col("cold_fail") >= 3) & (F.col("p90_ms") > 1500)
+    verdict = F.when(F.col("n_cold") < 10, "too few").when(c < 0.95, F.when((F.col("n_warm") < 10) | apart, "failing to wake").otherwise("failing")).when(F.col("cold_fail") > 0, "occasional").when(slow, "slow").otherwise("healthy")
+    contrast = (F.col("n_cold") >= 10) & (F.col("n_warm") >= 10) & (F.col("cold_fail") > 0) & F.coalesce(w > c, F.lit(False)) & apart
+    return out.withColumn("verdict", verdict).withColumn("contrast", contrast)
 
 
 def dominant_failure(rows: DataFrame, keys: list[str], signature: list[str]) -> DataFrame:

@@ -71,13 +71,15 @@ def bucketed_range_join(points: DataFrame, windows: DataFrame, keys: list[str],
 
 
 def suppress_overlaps(degraded: DataFrame, outages: DataFrame, keys: list[str]) -> DataFrame:
-    """The degraded intervals that overlap no outage of the same keys."""
-    o = outages.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("start_ms").alias("_lo"), F.col("end_ms").alias("_hi"))
-    same = [degraded[k] == o[f"_{k}"] for k in keys]
-    cond = same[0]
-    for s in same[1:]:
-        cond = cond & s
-    return degraded.join(o, cond & (degraded["start_ms"] <= o["_hi"]) & (o["_lo"] <= degraded["end_ms"]), "left_anti")
+    """The degraded intervals that overlap no outage of the same keys. One union and one window: in the order of starts, an
+    interval overlaps an earlier outage if the latest end so far reaches its start, and a later one if the next start comes
+    before its end."""
+    both = degraded.withColumn("_o", F.lit(False)).unionByName(outages.select(*keys, "start_ms", "end_ms", F.lit(True).alias("_o")), allowMissingColumns=True)
+    by = Window.partitionBy(*keys).orderBy("start_ms", ~F.col("_o"))
+    reached = F.max(F.when(F.col("_o"), F.col("end_ms"))).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    ahead = F.first(F.when(F.col("_o"), F.col("start_ms")), ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing))
+    rows = both.withColumn("_reached", reached).withColumn("_ahead", ahead).where(~F.col("_o"))
+    return rows.where((F.col("_reached").isNull() | (F.col("_reached") < F.col("start_ms"))) & (F.col("_ahead").isNull() | (F.col("_ahead") > F.col("end_ms")))).drop("_o", "_reached", "_ahead")
 
 
 def local_count(df: DataFrame, keys: list[str], t: str, reach: int, name: str) -> DataFrame:

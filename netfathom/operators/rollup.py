@@ -42,12 +42,15 @@ def roll_day(hourly: DataFrame, keys: list[str], dropped: list[str], sums: list[
     return rows.groupBy("day", *keys).agg(F.sum("n").alias("n"), F.count("*").alias("buckets"), F.countDistinct("hour").alias("hours"), F.countDistinct(*dropped).alias("cells"), *[F.sum(c).alias(c) for c in sums])
 
 
-def retention_plan(inventory: DataFrame, now_ms: int, budget: int, raw_days: int = 30, keep_days: int = 7) -> DataFrame:
+def retention_plan(inventory: DataFrame, now_ms: int, budget: int | DataFrame, raw_days: int = 30, keep_days: int = 7) -> DataFrame:
     """(day, bytes, action) of raw partitions (day, bytes): 'compact' what is older than ``raw_days``; over the budget also
-    the oldest full days of at least ``keep_days``, as long as what is newer exceeds it; today is never touched."""
+    the oldest full days of at least ``keep_days``, as long as what is newer exceeds it; today is never touched. The budget is
+    a number, or a table of one row (budget)."""
     from pyspark.sql import Window
 
     age = F.floor((F.lit(now_ms) - F.col("day")) / DAY_MS)
     newer = F.sum("bytes").over(Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, 0))  # a row per day
+    if isinstance(budget, DataFrame):
+        inventory, budget = inventory.crossJoin(F.broadcast(budget.select(F.col("budget").alias("_budget")))), F.col("_budget")  # one row joined on
     over = (newer > budget) & (age >= keep_days)
-    return inventory.withColumn("action", F.when(age > raw_days, "compact").when(over, "compact").otherwise("keep"))
+    return inventory.withColumn("action", F.when(age > raw_days, "compact").when(over, "compact").otherwise("keep")).drop("_budget")

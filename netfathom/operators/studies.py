@@ -144,13 +144,14 @@ def circular_verdict(hours: DataFrame, keys: list[str], reach: int = 2, least: i
 
 
 def lookahead(points: DataFrame, hours: DataFrame, cell: str, neighbours: Column, least: int, bad: float) -> DataFrame:
-    """Adds bad_here and bad_ahead to points (cell, hour): whether their cell, or one of its neighbours, is bad then."""
+    """Adds bad_here and bad_ahead to points (cell, hour): whether their cell is bad then, or it is not and a neighbour is."""
     known = hours.where(F.col("samples") >= least).select(F.col(cell).alias("_c"), F.col("hour").alias("_h"), (F.col("below") / F.col("samples") >= bad).alias("_bad"))
     keys = points.select(cell, "hour").distinct()
     around = keys.select(cell, "hour", F.explode(F.array_append(neighbours, F.col(cell))).alias("_c"))
     met = around.join(known, (around["_c"] == known["_c"]) & (around["hour"] == known["_h"])).select(around[cell], around["hour"], (around["_c"] == around[cell]).alias("_own"), "_bad")
     told = met.groupBy(cell, "hour").agg(F.coalesce(F.bool_or(F.col("_own") & F.col("_bad")), F.lit(False)).alias("bad_here"), F.coalesce(F.bool_or(~F.col("_own") & F.col("_bad")), F.lit(False)).alias("bad_ahead"))
-    return points.join(told, [cell, "hour"], "left").withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in ("bad_here", "bad_ahead")})
+    out = points.join(told, [cell, "hour"], "left").withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in ("bad_here", "bad_ahead")})
+    return out.withColumn("bad_ahead", F.col("bad_ahead") & ~F.col("bad_here"))
 
 
 def asymmetry(pairs: DataFrame, rows: DataFrame, least: int = 10) -> DataFrame:

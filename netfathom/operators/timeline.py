@@ -83,11 +83,11 @@ def locate(df: DataFrame, fixes: DataFrame, keys: list[str], t: str, cell: str,
 
 
 def mark_cold(probes: DataFrame, keys: list[str], t: str = "wall_ms", latency: str = "latency_ms", on_bearer: Column | None = None, gap_ms: int = 30000, order: str = "id") -> DataFrame:
-    """Adds ``cold``: the probe starts more than ``gap_ms`` after the previous on-bearer probe's end, or is the first."""
+    """Adds ``cold``: an on-bearer probe that starts more than ``gap_ms`` after the previous on-bearer one, or is the first."""
     bearer = on_bearer if on_bearer is not None else F.lit(True)
     by = Window.partitionBy(*keys).orderBy(t, order).rowsBetween(Window.unboundedPreceding, -1)
     before = F.last(F.when(bearer, F.col(t)), ignorenulls=True).over(by)
-    return probes.withColumn("cold", F.coalesce(F.col(t) - F.col(latency) - before > gap_ms, F.lit(True)))
+    return probes.withColumn("cold", F.coalesce(bearer, F.lit(False)) & F.coalesce(F.col(t) - F.col(latency) - before > gap_ms, F.lit(True)))
 
 
 def changes_only(df: DataFrame, keys: list[str], signature: list[str], order: list[str]) -> DataFrame:

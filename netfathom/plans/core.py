@@ -151,7 +151,7 @@ def locate_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(located(spark, sf_dir).select("id", "cell", "speed"), "speed")
 
 
-_COLD = """, cold AS (SELECT *, coalesce(wall_ms - latency_ms - last_value(CASE WHEN net_id <> '' THEN wall_ms END IGNORE NULLS) OVER (PARTITION BY device_id ORDER BY wall_ms, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 30000, true) AS cold FROM probes)"""
+_COLD = """, cold AS (SELECT *, net_id <> '' AND coalesce(wall_ms - latency_ms - last_value(CASE WHEN net_id <> '' THEN wall_ms END IGNORE NULLS) OVER (PARTITION BY device_id ORDER BY wall_ms, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 30000, true) AS cold FROM probes)"""
 
 
 @query(_COLD + " SELECT id, cold FROM cold")

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from .. import domain
 from ..functions import hexgrid, radio
 from ..operators import bins, intervals, rollup, studies, timeline
-from .core import _CHANGES, _COLD, _FIXED, _FLIPS, _WEIGHTED, _cell_changes, _round, hex_sql, located
+from .core import _CHANGES, _COLD, _FIXED, _FLIPS, _WEIGHTED, _cell_changes, _round, hex_sql, located, parent_sql
 from .registry import query
 
 _SAMPLES = _WEIGHTED + _FIXED + """, rt AS (SELECT r.id, max_by(l.transport, (l.elapsed_ms, l.id)) AS transport, max_by(l.validated, (l.elapsed_ms, l.id)) AS validated, max_by(l.not_suspended, (l.elapsed_ms, l.id)) AS not_suspended
   FROM radio r LEFT JOIN links l ON l.device_id = r.device_id AND l.wall_ms - l.elapsed_ms = r.wall_ms - r.elapsed_ms AND l.elapsed_ms <= r.elapsed_ms GROUP BY r.id),
-samples AS (SELECT w.*, l.cell, l.speed, rt.transport, rt.validated, rt.not_suspended, lag(w.ci) OVER (PARTITION BY l.cell, w.sub_id ORDER BY w.wall_ms, w.id) AS ci_before
+samples AS (SELECT w.*, l.cell, l.speed, rt.transport, rt.validated, rt.not_suspended, lag(w.ci) OVER (PARTITION BY w.device_id, l.cell, w.sub_id ORDER BY w.wall_ms, w.id) AS ci_before
   FROM weighted w JOIN located l ON l.id = w.id JOIN rt ON rt.id = w.id WHERE l.cell IS NOT NULL),
 leaves AS (SELECT cell, sub_id, count(*) AS n, CAST(sum(weight_ms) AS BIGINT) AS ms, CAST(sum(weight_ms * weight_ms) AS BIGINT) AS ms_sq, CAST(sum(CASE WHEN validated THEN weight_ms ELSE 0 END) AS BIGINT) AS validated_ms,
   CAST(sum(CASE WHEN NOT not_suspended THEN weight_ms ELSE 0 END) AS BIGINT) AS suspended_ms, CAST(sum(CASE WHEN transport = 'CELLULAR' THEN weight_ms ELSE 0 END) AS BIGINT) AS cell_route_ms,
@@ -30,12 +30,12 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = timeline.assign_boot(domain.links(spark, sf_dir), starts).groupBy("device_id", "boot", "elapsed_ms").agg(F.max_by(F.struct("transport", "validated", "not_suspended"), "id").alias("x")).select("device_id", "boot", "elapsed_ms", "x.*")
     rows = timeline.asof_join(rows, links, ["device_id", "boot"], "elapsed_ms", ["transport", "validated", "not_suspended"])
     placed = located(spark, sf_dir, rows).where("cell is not null")
-    return bins.cell_changes(placed, ["cell", "sub_id"], "ci", ["wall_ms", "id"])
+    return bins.cell_changes(placed, ["device_id", "cell", "sub_id"], "ci", ["wall_ms", "id"])
 
 
-@query(_SAMPLES + " SELECT * REPLACE (round(speed_mps_ms, 3) AS speed_mps_ms) FROM leaves")
+@query(_SAMPLES + " SELECT * REPLACE (round(speed_mps_ms, 4) AS speed_mps_ms) FROM leaves")
 def bin_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bins.bin_leaves(samples(spark, sf_dir), ["cell", "sub_id"]).withColumn("speed_mps_ms", F.round("speed_mps_ms", 3))
+    return bins.bin_leaves(samples(spark, sf_dir), ["cell", "sub_id"]).withColumn("speed_mps_ms", F.round("speed_mps_ms", 4))
 
 
 @query(_SAMPLES + ", rk AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY ms DESC, n DESC, sub_id) AS r, CAST(sum(n) OVER (PARTITION BY cell) AS BIGINT) - n AS other_n FROM leaves) SELECT cell, sub_id, n, ms, other_n FROM rk WHERE r = 1")
@@ -149,8 +149,7 @@ SELECT day, bytes, CASE WHEN age > 30 OR (newer > (SELECT sum(bytes) FROM inv) /
 def retention_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("wall_ms") * 1000
     inventory = domain.events(spark, sf_dir).groupBy((t - t % 86400000).alias("day")).agg((F.count("*") * 100).alias("bytes"))
-    total = inventory.agg(F.sum("bytes")).first()[0] or 0
-    return rollup.retention_plan(inventory, 2592000000, total / 2).select("day", "bytes", "action")
+    return rollup.retention_plan(inventory, 2592000000, inventory.agg((F.sum("bytes") / 2).alias("budget"))).select("day", "bytes", "action")
 
 
 # ---- studies ----------------------------------------------------------------------------------------------------------------
@@ -199,11 +198,17 @@ def site_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(studies.circular_verdict(_site_hours(spark, sf_dir), ["plmn", "enb", "band"]), "share")
 
 
-_AREA = _FIXED + """, bh AS (SELECT l.cell, r.wall_ms // 3600 % 24 AS hour, count(*) AS samples, count(*) FILTER (r.sinr < 0) AS below, max(r.wall_ms // 86400000) AS last_day FROM radio r JOIN located l ON l.id = r.id WHERE l.cell IS NOT NULL GROUP BY ALL)"""
+_AREA = ", fc AS (SELECT device_id, wall_ms, max_by(" + parent_sql(hex_sql("lat", "lng", 9), 9) + """, id) AS cell FROM fixes GROUP BY device_id, wall_ms),
+bh AS (SELECT f.cell, r.wall_ms // 3600 % 24 AS hour, count(*) AS samples, count(*) FILTER (r.sinr < 0) AS below, max(r.wall_ms // 86400000) AS last_day
+  FROM radio r ASOF JOIN fc f ON f.device_id = r.device_id AND f.wall_ms <= r.wall_ms WHERE r.wall_ms - f.wall_ms <= 60000 GROUP BY ALL)"""
 
 
 def _bin_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return studies.site_hours(located(spark, sf_dir).where("cell is not null"), ["cell"], F.floor(F.col("wall_ms") / 3600) % 24)
+    """By the area (resolution 8) of the latest fix, which is a minute old at most."""
+    f = hexgrid.with_cell(domain.fixes(spark, sf_dir), "_c", F.col("lat"), F.col("lng"), 9).withColumn("cell", hexgrid.parent(F.col("_c"), 8))
+    f = f.groupBy("device_id", "wall_ms").agg(F.max_by("cell", "id").alias("cell"))
+    placed = timeline.asof_join(domain.radio(spark, sf_dir), f, ["device_id"], "wall_ms", ["cell"], max_age=60000).where("cell is not null")
+    return studies.site_hours(placed, ["cell"], F.floor(F.col("wall_ms") / 3600) % 24)
 
 
 @query(_AREA + " SELECT * FROM bh")
@@ -212,13 +217,13 @@ def bin_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _around() -> str:
-    move = lambda a, b: f"({hexgrid.TAG + (9 << 56)} + ((q + {a} + 268435456) % 268435456) * 268435456 + ((r + {b} + 268435456) % 268435456))"
+    move = lambda a, b: f"({hexgrid.TAG + (8 << 56)} + ((q + {a} + 268435456) % 268435456) * 268435456 + ((r + {b} + 268435456) % 268435456))"
     return "[" + ", ".join(move(a, b) for a, b in [*hexgrid.NEIGHBOURS, (0, 0)]) + "]"
 
 
-@query(_AREA + f""", pq AS (SELECT cell, hour, ((cell - {hexgrid.TAG + (9 << 56)}) // 268435456 + 134217728) % 268435456 - 134217728 AS q, ((cell - {hexgrid.TAG + (9 << 56)}) % 268435456 + 134217728) % 268435456 - 134217728 AS r FROM bh),
+@query(_AREA + f""", pq AS (SELECT cell, hour, ((cell - {hexgrid.TAG + (8 << 56)}) // 268435456 + 134217728) % 268435456 - 134217728 AS q, ((cell - {hexgrid.TAG + (8 << 56)}) % 268435456 + 134217728) % 268435456 - 134217728 AS r FROM bh),
 ar AS (SELECT cell, hour, unnest({_around()}) AS c FROM pq)
-SELECT ar.cell, ar.hour, coalesce(bool_or(bh.below * 4 >= bh.samples) FILTER (ar.c = ar.cell AND bh.samples >= 5), false) AS bad_here, coalesce(bool_or(bh.below * 4 >= bh.samples) FILTER (ar.c <> ar.cell AND bh.samples >= 5), false) AS bad_ahead
+SELECT ar.cell, ar.hour, coalesce(bool_or(bh.below * 4 >= bh.samples) FILTER (ar.c = ar.cell AND bh.samples >= 5), false) AS bad_here, coalesce(bool_or(bh.below * 4 >= bh.samples) FILTER (ar.c <> ar.cell AND bh.samples >= 5), false) AND NOT coalesce(bool_or(bh.below * 4 >= bh.samples) FILTER (ar.c = ar.cell AND bh.samples >= 5), false) AS bad_ahead
 FROM ar LEFT JOIN bh ON bh.cell = ar.c AND bh.hour = ar.hour GROUP BY ar.cell, ar.hour""")
 def area_lookahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     hours = _bin_hours(spark, sf_dir)

@@ -9,7 +9,7 @@ from .. import domain
 from ..functions import hexgrid
 from ..operators import devices, intervals, timeline
 from ..sources import bundles, tables
-from .core import _COLD, _round
+from .core import _COLD, _round, hex_sql
 from .registry import query
 
 
@@ -27,8 +27,15 @@ def excursions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.state_intervals(domain.links(spark, sf_dir), ["device_id"], "wall_ms", F.col("transport") == "CELLULAR", ["wall_ms", "id"]).where("end_ms - start_ms > 30000")
 
 
-@query(_COLD + """ SELECT device_id, count(*) FILTER (cold) AS n_cold, count(*) FILTER (NOT cold) AS n_warm, count(*) FILTER (cold AND outcome = 'FAIL') AS cold_fail, count(*) FILTER (NOT cold AND outcome = 'FAIL') AS warm_fail,
-  CASE WHEN count(*) FILTER (cold) < 10 THEN 'too few' WHEN count(*) FILTER (cold AND outcome = 'FAIL') > 0.05 * count(*) FILTER (cold) THEN 'failing' ELSE 'healthy' END AS verdict FROM cold WHERE net_id <> '' GROUP BY device_id""")
+_WI = "({p} + {d} * 1.96 * 1.96 / (2 * {n}) {s} {d} * 1.96 * sqrt({p} * (1 - {p}) / {n} + 1.96 * 1.96 / (4 * {n} * {n}))) / (1 + {d} * 1.96 * 1.96 / {n})".replace("{d}", "1.0::DOUBLE")
+
+
+@query(_COLD + """, hc AS (SELECT device_id, count(*) FILTER (cold) AS n_cold, count(*) FILTER (NOT cold) AS n_warm, count(*) FILTER (cold AND outcome = 'FAIL') AS cold_fail, count(*) FILTER (NOT cold AND outcome = 'FAIL') AS warm_fail,
+  list_sort(list(latency_ms) FILTER (cold AND outcome = 'OK')) AS oks FROM cold WHERE net_id <> '' GROUP BY device_id),
+hr AS (SELECT *, len(oks) AS ok_n, oks[CAST(floor(0.9::DOUBLE * (len(oks) - 1) + 0.5) AS BIGINT) + 1] AS p90_ms, CAST(n_cold - cold_fail AS DOUBLE) / nullif(n_cold, 0) AS c, CAST(n_warm - warm_fail AS DOUBLE) / nullif(n_warm, 0) AS w FROM hc),
+hi AS (SELECT *, CASE WHEN n_cold > 0 THEN least(1, """ + _WI.format(p="c", n="n_cold", s="+") + """) ELSE 1 END AS chi, CASE WHEN n_warm > 0 THEN greatest(0, """ + _WI.format(p="w", n="n_warm", s="-") + """) ELSE 0 END AS wlo FROM hr)
+SELECT device_id, n_cold, n_warm, cold_fail, warm_fail, p90_ms, CASE WHEN n_cold < 10 THEN 'too few' WHEN c < 0.95::DOUBLE THEN CASE WHEN n_warm < 10 OR wlo > chi THEN 'failing to wake' ELSE 'failing' END WHEN cold_fail > 0 THEN 'occasional' WHEN n_cold - cold_fail >= 3 AND p90_ms > 1500 THEN 'slow' ELSE 'healthy' END AS verdict,
+  n_cold >= 10 AND n_warm >= 10 AND cold_fail > 0 AND coalesce(w > c, false) AND wlo > chi AS contrast FROM hi""")
 def probe_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     cold = timeline.mark_cold(domain.probes(spark, sf_dir), ["device_id"], on_bearer=F.col("net_id") != "").where("net_id <> ''")
     return devices.probe_health(cold, ["device_id"])
@@ -47,11 +54,29 @@ def repeated_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return devices.repeated_failures(fails, ["device_id"], "wall_ms", window=600000, least=3, span=60000, quiet=90000)
 
 
-@query(""", w AS (SELECT id, rsrp, count(*) OVER b AS n, arg_min(rsrp, (wall_ms, id)) OVER b AS f FROM radio WINDOW b AS (PARTITION BY device_id ORDER BY wall_ms RANGE BETWEEN 60000 PRECEDING AND CURRENT ROW)) SELECT id, rsrp FROM w WHERE n >= 3 AND rsrp <= -75 AND f - rsrp >= 10""")
+@query(""", w AS (SELECT id, rsrp, count(*) OVER b AS n, arg_min(rsrp, (wall_ms, id)) OVER b AS f FROM radio WINDOW b AS (PARTITION BY device_id ORDER BY wall_ms RANGE BETWEEN 60000 PRECEDING AND CURRENT ROW)) SELECT id, rsrp FROM w WHERE rsrp <= -75 OR n >= 3 AND f - rsrp >= 10""")
 def signal_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return devices.decay(domain.radio(spark, sf_dir), ["device_id"], "wall_ms", "rsrp", reach=60000).select("id", "rsrp")
 
 
+_THROTTLED = """, tk AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY wall_ms, id) AS k FROM {rows}), tn AS (SELECT a.device_id, a.k, min(b.k) AS nk FROM tk a JOIN tk b ON b.device_id = a.device_id AND b.k > a.k AND b.wall_ms - a.wall_ms >= {gap} GROUP BY a.device_id, a.k),
+th AS (SELECT device_id, CAST(1 AS BIGINT) AS k FROM tk WHERE k = 1 UNION ALL SELECT th.device_id, tn.nk FROM th JOIN tn ON tn.device_id = th.device_id AND tn.k = th.k)"""
+_WIFI = """, wf AS (SELECT device_id, id, wall_ms, id % 5 <> 0 AS validated, id % 23 = 0 AS lost, CASE WHEN id % 9 <> 0 THEN CAST(rsrp + 50 AS INT) END AS rssi FROM radio),
+we AS (SELECT *, sum(lost::INT) OVER (PARTITION BY device_id ORDER BY wall_ms, id ROWS UNBOUNDED PRECEDING) AS epoch FROM wf),
+wo AS (SELECT *, NOT lost AND coalesce(lag(CASE WHEN NOT lost THEN validated END) OVER (PARTITION BY device_id, epoch ORDER BY lost DESC, wall_ms, id) AND NOT validated, false) AS off FROM we),
+wu AS (SELECT *, CASE WHEN NOT lost AND NOT off THEN rssi END AS usable FROM wo),
+ww AS (SELECT *, count(usable) OVER b AS n, arg_min(usable, (wall_ms, id)) FILTER (usable IS NOT NULL) OVER b AS oldest FROM wu WINDOW b AS (PARTITION BY device_id, epoch ORDER BY wall_ms RANGE BETWEEN 60000 PRECEDING AND CURRENT ROW)),
+wr AS (SELECT device_id, id, wall_ms, CASE WHEN lost THEN 'wifi-lost' WHEN off THEN 'wifi-lost-internet' WHEN n >= 3 AND oldest - usable >= 10 THEN 'wifi-falling' WHEN usable <= -75 THEN 'wifi-weak' END AS reason FROM ww),
+wp AS (SELECT * FROM wr WHERE reason IS NOT NULL)"""
+
+
+@query(_WIFI + _THROTTLED.format(rows="wp", gap=45000) + " SELECT tk.id, tk.reason FROM th JOIN tk ON tk.device_id = th.device_id AND tk.k = th.k")
+def handover_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("id")
+    rows = domain.radio(spark, sf_dir).select("device_id", "id", "wall_ms", (i % 5 != 0).alias("validated"), (i % 23 == 0).alias("lost"), F.when(i % 9 != 0, F.col("rsrp") + 50).alias("rssi"))
+    return devices.handover_predictions(rows, ["device_id"], "wall_ms", "rssi", "validated", "lost", ["wall_ms", "id"], reach=60000).select("id", "reason")
+
+
 @query(", r AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY wall_ms DESC, id DESC) AS k FROM probes) SELECT device_id, id FROM r WHERE k <= 5")
 def last_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return devices.last_n(domain.probes(spark, sf_dir), ["device_id"], F.struct("wall_ms", "id").desc(), 5).select("device_id", "id")
@@ -77,13 +102,26 @@ def dwell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return devices.held(domain.radio(spark, sf_dir), ["device_id"], "wall_ms", "band", ["wall_ms", "id"], 30000)
 
 
-@query()
+_STATE = """, ab AS (SELECT device_id, id, wall_ms, row_number() OVER w AS k, count(*) OVER b AS n, count(*) FILTER (sinr < 0) OVER b AS bad FROM radio WINDOW w AS (PARTITION BY device_id ORDER BY wall_ms, id), b AS (PARTITION BY device_id ORDER BY wall_ms, id ROWS UNBOUNDED PRECEDING)),
+ag AS (SELECT a.device_id, a.id, a.wall_ms, a.k, a.n - coalesce(max(o.n), 0) AS n, a.bad - coalesce(max(o.bad), 0) AS bad FROM ab a LEFT JOIN ab o ON o.device_id = a.device_id AND o.wall_ms < a.wall_ms - 600000 GROUP BY a.device_id, a.id, a.wall_ms, a.k, a.n, a.bad),
+st AS (SELECT device_id, k, id, n >= 5 AND bad >= 0.7::DOUBLE * n AS poor, CASE WHEN n >= 5 AND bad >= 0.7::DOUBLE * n THEN wall_ms END AS since FROM ag WHERE k = 1
+  UNION ALL SELECT g.device_id, g.k, g.id, st.poor <> (n >= 5 AND (since IS NULL OR wall_ms - since >= 120000) AND (NOT st.poor AND CAST(bad AS DOUBLE) / n >= 0.7 OR st.poor AND CAST(bad AS DOUBLE) / n <= 0.3)),
+    CASE WHEN n >= 5 AND (since IS NULL OR wall_ms - since >= 120000) AND (NOT st.poor AND CAST(bad AS DOUBLE) / n >= 0.7 OR st.poor AND CAST(bad AS DOUBLE) / n <= 0.3) THEN wall_ms ELSE since END FROM st JOIN ag g ON g.device_id = st.device_id AND g.k = st.k + 1)"""
+
+
+@query(_STATE + " SELECT id, poor FROM st")
 def area_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = domain.radio(spark, sf_dir).select("device_id", "id", "wall_ms", (F.col("sinr") < 0).alias("bad"))
     return devices.area_state(rows, ["device_id"], "wall_ms", "bad", ["wall_ms", "id"], least=5, dwell=120000).select("id", "poor")
 
 
-@query()
+_THIN = ", fc AS (SELECT device_id, id, wall_ms, " + hex_sql("lat", "lng", 9) + """ AS cell FROM fixes), fl2 AS (SELECT *, coalesce(lag(cell) OVER w <> cell, true) AS fresh, coalesce(lead(cell) OVER w <> cell, false) AS edge FROM fc WINDOW w AS (PARTITION BY device_id ORDER BY wall_ms, id)),
+fr2 AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY device_id ORDER BY wall_ms, id ROWS UNBOUNDED PRECEDING) AS run FROM fl2), tk AS (SELECT *, row_number() OVER (PARTITION BY device_id, run ORDER BY wall_ms, id) AS k FROM fr2),
+tn AS (SELECT a.device_id, a.run, a.k, min(b.k) AS nk FROM tk a JOIN tk b ON b.device_id = a.device_id AND b.run = a.run AND b.k > a.k AND b.wall_ms - a.wall_ms >= 60000 GROUP BY ALL),
+th AS (SELECT device_id, run, CAST(1 AS BIGINT) AS k FROM tk WHERE k = 1 UNION ALL SELECT th.device_id, th.run, tn.nk FROM th JOIN tn ON tn.device_id = th.device_id AND tn.run = th.run AND tn.k = th.k)"""
+
+
+@query(_THIN + " SELECT tk.device_id, tk.id, tk.wall_ms, tk.cell FROM tk LEFT JOIN th ON th.device_id = tk.device_id AND th.run = tk.run AND th.k = tk.k WHERE edge OR th.k IS NOT NULL")
 def thin_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = domain.fixes(spark, sf_dir).withColumn("cell", hexgrid.cell_of(F.col("lat"), F.col("lng"), 9))
     return devices.thin(f.select("device_id", "id", "wall_ms", "cell"), ["device_id"], "wall_ms", "cell", ["wall_ms", "id"])
@@ -125,9 +163,9 @@ def build_plmn_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.build_plmn_names(rows).select("plmn", "name")
 
 
-@query("SELECT r.id, coalesce(n.c_name, r.plmn) AS network_name FROM radio r LEFT JOIN (SELECT '525-0' || (c_custkey + 1) AS plmn, c_name FROM customer WHERE c_custkey <= 1) n ON n.plmn = r.plmn")
+@query("SELECT r.id, coalesce(n.c_name, r.plmn) AS network_name FROM radio r LEFT JOIN (SELECT '525-0' || (c_custkey + 1) AS plmn, c_name FROM customer) n ON n.plmn = r.plmn")
 def network_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey <= 1").select(F.concat(F.lit("525-0"), (F.col("c_custkey") + 1).cast("string")).alias("plmn"), F.col("c_name").alias("name"))
+    names = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("525-0"), (F.col("c_custkey") + 1).cast("string")).alias("plmn"), F.col("c_name").alias("name"))
     return tables.network_name(domain.radio(spark, sf_dir), "plmn", [names]).select("id", "network_name")
 
 
@@ -139,7 +177,7 @@ SELECT cd.id, coalesce(c.name, l.name, t.name, cd.plmn) AS network_name FROM cd
 
 @query(_NAMED)
 def network_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names by precedence (curated, learned, listed) from tables of all customers; ``network_name`` meets two names only."""
+    """Names by precedence (curated, learned, listed) from tables of all customers."""
     k, code = F.col("id") % 1100 + 1, F.left("plmn", F.lit(3)).cast("int")
     rows = domain.radio(spark, sf_dir).select("id", F.concat((k % 900 + 100).cast("string"), F.lit("-"), (k % 90 + 10).cast("string")).alias("plmn"))
     listed = build_plmn_names(spark, sf_dir)

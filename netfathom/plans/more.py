@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import domain
 from ..functions import bands, hexgrid
 from ..operators import bins, merge, studies
-from .core import _CHANGES, _cell_changes, _round, located
+from .core import _CHANGES, _FIXED, _cell_changes, _round, located
 from .coverage import _pingpong
 from .registry import query
 
@@ -76,6 +76,6 @@ def site_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.agg(F.count("*").alias("samples"), F.count_if(F.col("sinr") < 0).alias("poor"), F.countDistinct(F.when(F.col("rat") == "LTE", F.shiftright("ci", 8))).alias("masts"))
 
 
-@query()
+@query(_FIXED + " SELECT device_id, count(*) AS samples, count(cell) AS located FROM located GROUP BY device_id")
 def located_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return located(spark, sf_dir).groupBy("device_id").agg(F.count("*").alias("samples"), F.count("cell").alias("located"))

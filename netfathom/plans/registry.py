@@ -20,7 +20,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = f"WITH {domain.SQL} {sql}"
+            SQL[f.__name__] = f"WITH RECURSIVE {domain.SQL} {sql}"
         return f
 
     return add

@@ -20,7 +20,7 @@ def rows(found, columns):
 @pytest.fixture(scope="module")
 def db():
     c = duckdb.connect()
-    for t in "nation customer events".split():
+    for t in "region nation customer supplier part orders lineitem events".split():
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return c
 
