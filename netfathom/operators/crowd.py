@@ -44,10 +44,12 @@ def crowd_aggregate(records: DataFrame, k: int = MIN_CONTRIBUTORS, n: int = MIN_
     sane = records.where(is_sane_record())
     cells = sane.groupBy(*CELL).agg(F.countDistinct("contributor").alias("contributors"), F.sum(count_of(F.col("samples"))).alias("samples"), F.sum(count_of(F.col("observed_ms"))).alias("observed_ms"), F.array_sort(F.collect_set("week")).alias("weeks"))
     cells = cells.where((F.col("contributors") >= k) & (F.col("samples") >= n))
-    for h in ("rsrp", "sinr"):
-        long = sane.select(*CELL, F.explode(h).alias("value", "w")).where("value is not null and not isnan(value)").groupBy(*CELL, "value").agg(F.sum(count_of(F.col("w"))).alias("weight"))
-        cells = cells.join(percentiles(long, CELL, "value", "B", **{f"{h}_p10": 0.1, f"{h}_p50": 0.5, f"{h}_p90": 0.9}), CELL, "left")
-    return cells
+    # both histograms in one pass, as (cell, kind, value, weight)
+    entries = lambda h: F.transform(F.coalesce(F.map_entries(h), F.array().cast("array<struct<key:double,value:double>>")), lambda e: F.struct(F.lit(h).alias("kind"), e["key"].alias("value"), e["value"].alias("w")))
+    long = sane.select(*CELL, F.inline(F.concat(entries("rsrp"), entries("sinr")))).where("value is not null and not isnan(value)").groupBy(*CELL, "kind", "value").agg(F.sum(count_of(F.col("w"))).alias("weight"))
+    p = percentiles(long, [*CELL, "kind"], "value", "B", p10=0.1, p50=0.5, p90=0.9)
+    wide = p.groupBy(*CELL).agg(*[F.max(F.when(F.col("kind") == h, F.col(q))).alias(f"{h}_{q}") for h in ("rsrp", "sinr") for q in ("p10", "p50", "p90")])
+    return cells.join(wide, CELL, "left")
 
 
 def crowd_stats(records: DataFrame, k: int = MIN_CONTRIBUTORS, n: int = MIN_SAMPLES) -> DataFrame:

@@ -14,7 +14,9 @@ from .intervals import bucketed_range_join
 # fixed values
 CLASSIFY_FLOOR, SHORT_MS, MOST = 0.30, 10000, 0.95
 CAUSES = {1: "Radio coverage loss", 2: "5G NSA anchor thrash", 3: "Cell reselection ping-pong", 4: "PS attach / PDN failure", 5: "Data suspended", 6: "Connected, path broken", 7: "Wi-Fi / cellular thrash", 8: "Device-side interference", 9: "Carrier-side congestion", 10: "DSDS tune-away", 11: "Data-subscription switch", 12: "Roaming / VoWiFi handover"}
-#: (cause, weight, required, condition)
+#: The layer of each cause.
+LAYERS = {1: "RADIO", 2: "RADIO", 3: "RADIO", 4: "RADIO", 5: "NETWORK", 6: "NETWORK", 7: "NETWORK", 8: "CONTEXT", 9: "TRANSPORT", 10: "CONTEXT", 11: "NETWORK", 12: "RADIO"}
+#: fixed values: (cause, weight, required, condition)
 RULES = [
     (1, 2, True, "CASE WHEN left_service OR min_rsrp <= -110 THEN true WHEN n_reg = 0 AND n_radio = 0 THEN NULL ELSE false END"),
     (1, 2, False, "min_rsrp <= -110"),
@@ -128,3 +130,21 @@ def prevalence(assessed: DataFrame) -> DataFrame:
     total = assessed.agg(F.count("*").alias("_t"))
     out = n.crossJoin(F.broadcast(total))  # one row joined on
     return out.select("name", "n", (F.col("n") / F.col("_t")).alias("share"), F.row_number().over(Window.orderBy(F.desc("n"), "name")).alias("place"))  # a row per cause
+
+
+def filter_counts(assessed: DataFrame) -> DataFrame:
+    """One row: how many assessed incidents (cause, name, kind) each filter of the list shows."""
+    layer = F.when(F.col("name") != "undetermined", F.create_map(*[F.lit(x) for kv in LAYERS.items() for x in kv])[F.col("cause")])
+    of = lambda c, name: F.count_if(c).alias(name)
+    return assessed.agg(F.count("*").alias("all_n"), of(F.col("kind") == "OUTAGE", "outages"), of(F.col("kind") == "DEGRADED", "degraded"), of(layer == "RADIO", "radio"), of(layer == "NETWORK", "network"))
+
+
+def layer_cards(features: DataFrame) -> DataFrame:
+    """(window_id, radio, network, transport, context): the verdict on each layer; a layer without rows was not collected."""
+    c, none = F.col, F.lit("NOT_COLLECTED")
+    weak = (F.coalesce("min_rsrp", F.lit(0)) <= -110) | (F.coalesce("min_sinr", F.lit(99)) < 0) | (c("cell_changes") >= 4)
+    radio = F.when((c("n_reg") == 0) & (c("n_radio") == 0), none).when(c("left_service"), "LOST").when(weak, "DEGRADED").otherwise("HEALTHY")
+    changed = c("address_changed") if "address_changed" in features.columns else F.lit(False)
+    network = F.when(c("n_link") == 0, none).when(c("validated_lost") | changed, "FAILING").when(c("suspended") | (c("route_flips") > 0), "DEGRADED").otherwise("HEALTHY")
+    context = F.when(c("other_events") >= 2, "DEGRADED").when(c("other_events") == 0, none).otherwise("NOMINAL")
+    return features.select("window_id", radio.alias("radio"), network.alias("network"), none.alias("transport"), context.alias("context"))

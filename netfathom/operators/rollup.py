@@ -27,6 +27,38 @@ def compact_hour(df: DataFrame, keys: list[str], t: str, sums: dict[str, Column]
     return out.withColumn("minutes", F.bit_count("mask"))
 
 
+def tally(df: DataFrame, keys: list[str], t: str, value: str) -> DataFrame:
+    """(hour, keys, value, n): how often each value occurs per bucket, beside it; tallies of a bucket add up."""
+    return df.where(F.col(value).isNotNull()).groupBy(hour_of(t).alias("hour"), *keys, value).agg(F.count("*").alias("n"))
+
+
+def bit_counts(df: DataFrame, keys: list[str], flags: str, bits: int) -> DataFrame:
+    """(keys, bit, n): how many rows have each bit of a mask set."""
+    rows = df.select(*keys, flags, F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("bit"))
+    return rows.where(F.expr(f"({flags} & shiftleft(1, bit)) <> 0")).groupBy(*keys, "bit").agg(F.count("*").alias("n"))
+
+
+def bucket_stats(buckets: DataFrame, hist: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Adds success_rate and the p50 and p90 of a histogram (hour, keys, value, n) to buckets; null where nothing was tried."""
+    from ..functions.stats import percentiles
+
+    own = ["hour", *keys]
+    pct = percentiles(hist.withColumnRenamed("n", "weight"), own, value, "C", p50_ms=0.5, p90_ms=0.9)
+    return buckets.join(pct, own, "left").withColumn("success_rate", F.try_divide(F.col("ok_n").cast("double"), F.col("n")))
+
+
+def compact_once(state: DataFrame | None, rows: DataFrame, keys: list[str], t: str) -> DataFrame:
+    """(hour, keys, n, mask, first_ms, last_ms, minutes, mark): hourly buckets with rows (id) added that lie behind the buckets'
+    mark, the greatest id consumed; what is delivered again adds nothing."""
+    if state is not None:
+        last = state.agg(F.max("mark").alias("_mark"))
+        rows = rows.crossJoin(F.broadcast(last)).where(F.coalesce(F.col("id") > F.col("_mark"), F.lit(True))).drop("_mark")  # one row joined on
+    fresh = compact_hour(rows, keys, t).join(rows.groupBy(hour_of(t).alias("hour"), *keys).agg(F.max("id").alias("mark")), ["hour", *keys])
+    both = fresh if state is None else state.unionByName(fresh)
+    out = both.groupBy("hour", *keys).agg(F.sum("n").alias("n"), F.bit_or("mask").alias("mask"), F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"), F.max("mark").alias("mark"))
+    return out.withColumn("minutes", F.bit_count("mask"))
+
+
 def merge_buckets(buckets: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
     """Buckets of the same hour and keys as one."""
     out = buckets.groupBy("hour", *keys).agg(F.sum("n").alias("n"), F.bit_or("mask").alias("mask"), F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"), *[F.sum(c).alias(c) for c in sums])

@@ -143,6 +143,16 @@ def circular_verdict(hours: DataFrame, keys: list[str], reach: int = 2, least: i
     return out.select(*keys, "hour", "samples", share.alias("share"), F.when(F.col("samples") < least, "unknown").when(share >= bad, "bad").otherwise("good").alias("verdict"))
 
 
+def best_part(hours: DataFrame, keys: list[str], least: int = 80, bad: float = 0.25) -> DataFrame:
+    """(keys, part, share): the part of the day with the least share below, if it is good enough to say so (below half of
+    ``bad``); parts with fewer than ``least`` samples don't count."""
+    h = F.col("hour")
+    part = F.when(h <= 6, "overnight").when(h <= 11, "morning").when(h <= 17, "afternoon").otherwise("evening")
+    parts = hours.groupBy(*keys, part.alias("part")).agg(F.sum("samples").alias("_n"), F.sum("below").alias("_b")).where(F.col("_n") >= least)
+    best = parts.groupBy(*keys).agg(F.min(F.struct((F.col("_b") / F.col("_n")).alias("share"), "part")).alias("x"))
+    return best.select(*keys, "x.part", "x.share").where(F.col("share") < bad / 2)
+
+
 def lookahead(points: DataFrame, hours: DataFrame, cell: str, neighbours: Column, least: int, bad: float) -> DataFrame:
     """Adds bad_here and bad_ahead to points (cell, hour): whether their cell is bad then, or it is not and a neighbour is."""
     known = hours.where(F.col("samples") >= least).select(F.col(cell).alias("_c"), F.col("hour").alias("_h"), (F.col("below") / F.col("samples") >= bad).alias("_bad"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import domain
 from ..operators import incidents, intervals
+from ..operators.lineage import cut
 from .core import _FLOOR, _floors, _round
 from .registry import query
 
@@ -45,7 +46,7 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = intervals.merge_intervals(found, keys)
     out = merged.where("kind = 'OUTAGE'")
     kept = out.union(intervals.suppress_overlaps(merged.where("kind = 'DEGRADED'"), out, keys[:2]))
-    return kept.select(F.concat_ws("-", "device_id", "sub_id", "kind", "start_ms").alias("window_id"), *keys, "start_ms", "end_ms")
+    return cut(kept.select(F.concat_ws("-", "device_id", "sub_id", "kind", "start_ms").alias("window_id"), *keys, "start_ms", "end_ms"))  # five kinds of evidence read them
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 
 from netfathom.operators import devices as courses
 from netfathom.operators import studies
-from netfathom.plans import core, coverage, devices, incidents, more  # noqa: F401
+from netfathom.plans import core, coverage, devices, incidents, maps, more, signals  # noqa: F401
 from netfathom.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
