@@ -7,6 +7,7 @@ rows later than the watermark are dropped by Spark and can be merged by a batch
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +45,43 @@ def folded(spark: SparkSession, path: str, keys: list[str], merge: dict[str, Col
     return spark.read.parquet(path).groupBy(*keys).agg(*[c.alias(k) for k, c in merge.items()])
 
 
+def stream_sites(stream: DataFrame, path: str, checkpoint: str, keys: list[str], rule: str = "v1") -> StreamingQuery:
+    """Folds radio rows (keys, sinr, wall_ms) into mast hours. The stream's checkpoint is the watermark of what was folded; a new
+    version of the rule starts with a table and a checkpoint of its own."""
+    from ..operators.studies import site_hours
+
+    return fold_into(stream, f"{path}/{rule}", f"{checkpoint}/{rule}", [*keys, "hour"], lambda b: site_hours(b, keys, F.floor(F.col("wall_ms") / 3600000) % 24))
+
+
+def sites(spark: SparkSession, path: str, keys: list[str], rule: str = "v1") -> DataFrame:
+    """The mast hours folded so far."""
+    return folded(spark, f"{path}/{rule}", [*keys, "hour"], {"samples": F.sum("samples"), "below": F.sum("below"), "last_day": F.max("last_day")})
+
+
+def stream_bins(stream: DataFrame, path: str, checkpoint: str, keys: list[str], place: Callable[[DataFrame], DataFrame], trigger: dict | None = None) -> StreamingQuery:
+    """Folds samples into bins: ``place`` gives a micro-batch its routes, cells and weights. Each sample is folded once, in the
+    batch in which it comes, however late."""
+    from ..operators.bins import bin_leaves
+
+    return fold_into(stream, path, checkpoint, keys, lambda b: bin_leaves(place(b), keys), trigger)
+
+
+def refresh_shared_map(uploads: DataFrame, store: str, out: str, checkpoint: str, format_tag: str, names: DataFrame) -> StreamingQuery:
+    """Keeps accepted uploads (path, arrived_ms, body) and publishes the crowd map anew whenever some arrive."""
+    from ..operators.crowd import crowd_aggregate, crowd_stats
+    from ..sources.bundles import latest_submissions, records_of, validate_bundles
+    from ..sources.tables import publish_shared_map
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(store)
+        whole = validate_bundles(spark.read.parquet(store).drop("batch"), format_tag).where("reason is null")
+        records = records_of(latest_submissions(whole))
+        publish_shared_map(crowd_aggregate(records), crowd_stats(records), names, out)
+
+    return uploads.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def area_state_stream(stream: DataFrame, keys: list[str], t: str, bad: str, **limits: int) -> DataFrame:
     """(keys, t, poor) where the state of an area changes. State per key: the rows of the last window and the current
     verdict; the rows of a micro-batch are taken in order of time."""
@@ -57,19 +95,18 @@ def area_state_stream(stream: DataFrame, keys: list[str], t: str, bad: str, **li
     def run(key, batches, state):
         rows = pd.concat(list(batches)).sort_values(t, kind="stable")
         times, flags, poor, since = state.get if state.exists else ([], [], False, None)
-        times, flags, out = list(times), list(flags), []
+        held, n_bad, out = deque(zip(times, flags)), sum(flags), []
         for now, flag in zip(rows[t].tolist(), rows[bad].tolist()):
-            times.append(now)
-            flags.append(flag)
-            while times[0] < now - window:
-                times.pop(0)
-                flags.pop(0)
-            if len(times) >= least and (since is None or now - since >= dwell):
-                share = sum(flags) / len(flags)
+            held.append((now, flag))
+            n_bad += flag
+            while held[0][0] < now - window:
+                n_bad -= held.popleft()[1]
+            if len(held) >= least and (since is None or now - since >= dwell):
+                share = n_bad / len(held)
                 if not poor and share >= ENTER or poor and share <= LEAVE:
                     poor, since = not poor, now
                     out.append((*key, now, poor))
-        state.update((times, flags, poor, since))
+        state.update(([x for x, _ in held], [x for _, x in held], poor, since))
         yield pd.DataFrame(out, columns=[*keys, t, "poor"])
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {t} long, poor boolean"
