@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from ..functions.stats import percentiles, weighted_hist, wilson
 from .intervals import _islands, gap_cluster
 from .ordered import in_order
+from .timeline import changes_only
 
 # fixed values
 QUIET_MS, MIN_ACTIVE_MS, WALKING_MPS = 180000, 60000, 0.5
+STALE_MS = {"signal": 15000, "service": 600000, "cell": 120000}
 ENTER, LEAVE, WINDOW_MS, LEAST, DWELL_MS = 0.70, 0.30, 600000, 30, 900000
 
 
@@ -207,3 +209,40 @@ def held(rows: DataFrame, keys: list[str], t: str, value: str, order: list[str],
     by = Window.partitionBy(*keys).orderBy(*order)
     run = rows.withColumn("_new", (~F.col(value).eqNullSafe(F.lag(value).over(by)) | (F.row_number().over(by) == 1)).cast("int")).withColumn("_run", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     return run.groupBy(*keys, value, "_run").agg(F.min(t).alias("start_ms"), F.max(t).alias("end_ms")).where(F.col("end_ms") - F.col("start_ms") >= dwell).drop("_run")
+
+
+def confirmed(rows: DataFrame, keys: list[str], t: str, value: str, order: list[str], dwell: int) -> DataFrame:
+    """(keys, value, since_ms, at_ms): where a value is confirmed, that is, still the same ``dwell`` or more after it came up;
+    rows without a value are passed over, and one that is confirmed again without another in between is not told twice."""
+    by = Window.partitionBy(*keys).orderBy(*order)
+    known = rows.where(F.col(value).isNotNull())
+    runs = _islands(known, keys, order, (F.col(value) != F.lag(value).over(by)) | (F.row_number().over(by) == 1))
+    since = F.min(t).over(Window.partitionBy(*keys, "_island"))
+    ripe = runs.withColumn("since_ms", since).where(F.col(t) - F.col("since_ms") >= dwell)
+    first = ripe.groupBy(*keys, "_island", value, "since_ms").agg(F.min(t).alias("at_ms"))
+    return changes_only(first, keys, [value], ["_island"]).select(*keys, value, "since_ms", "at_ms")
+
+
+def grid_cell(lat: Column, lng: Column, degrees: float = 0.5) -> Column:
+    """The name of a point's square of the grid."""
+    return F.concat_ws("_", F.floor(lat / degrees), F.floor(lng / degrees))
+
+
+def freshness(latest: DataFrame, as_of: Column) -> DataFrame:
+    """Adds signal_stale, service_stale and cell_stale to (signal_ms, service_ms, cell_ms), the times of the last reports; what
+    was never reported is stale."""
+    stale = lambda c, limit: F.coalesce(as_of - F.col(c) > limit, F.lit(True))
+    return latest.withColumns({f"{k}_stale": stale(f"{k}_ms", limit) for k, limit in STALE_MS.items()})
+
+
+def fault_kind(cause: Column) -> Column:
+    """What kind of fault the text of a cause tells."""
+    u = F.upper(cause)
+    return F.when(u.rlike("IPV6|RS_RA|SLAAC|PDP_ADDRESS|ADDRESS"), "IPV6_CONFIG_FAILURE").when(u.rlike("UNSPECIFIED|UNKNOWN"), "UNKNOWN").otherwise("REPEATED_SETUP_FAILURE")
+
+
+def order_faults(faults: DataFrame, keys: list[str], as_of: Column, end: str = "end_ms", quiet: int = 900000, forget: int = 86400000) -> DataFrame:
+    """Faults with ``active`` (none is after ``quiet`` without a failure) and their ``place`` per key: active ones first, then the
+    latest; those quiet for longer than ``forget`` are left out."""
+    told = faults.where(as_of - F.col(end) <= forget).withColumn("active", as_of - F.col(end) < quiet)
+    return told.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("active"), F.desc(end))))

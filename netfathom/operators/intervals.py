@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.radio import enb
+from .timeline import changes_only
+
 
 def _islands(df: DataFrame, keys: list[str], order: list[str], fresh: Column) -> DataFrame:
     """Adds ``_island``: how many rows so far begin a new one."""
@@ -38,6 +41,18 @@ def sustained_runs(df: DataFrame, keys: list[str], t: str, bad: Column, order: l
     return out.where((F.col("n") >= least) & (F.col("end_ms") - F.col("start_ms") >= span))
 
 
+def serving_changes(radio: DataFrame, keys: list[str], order: list[str], payload: list[str]) -> DataFrame:
+    """Changes of the serving cell (rat, ci, mode) with ``before``, ``kind`` and ``poll_derived``. Rows whose payload is that of
+    the row before are not fresh and don't count. The cell left is taken apart by its own technology; a change is derived
+    from polls if the reading on either side of it was polled."""
+    fresh = changes_only(radio, keys, payload, order).where("ci is not null")
+    by = Window.partitionBy(*keys).orderBy(*order)
+    rows = fresh.withColumns({"before": F.lag("ci").over(by), "_rat": F.lag("rat").over(by), "_mode": F.lag("mode").over(by)}).where("before <> ci")
+    old, new = enb(F.col("_rat"), F.col("before")), enb(F.col("rat"), F.col("ci"))
+    kind = F.when(old.isNull() | new.isNull(), "undecomposable").when(old == new, "sector").otherwise("mast")
+    return rows.withColumns({"kind": kind, "poll_derived": (F.col("mode") == "poll") | (F.col("_mode") == "poll")}).drop("_rat", "_mode")
+
+
 def value_changes(df: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
     """Rows whose value differs from the previous known one, with it as ``before``; null values are passed over."""
     by = Window.partitionBy(*keys).orderBy(*order)
@@ -54,12 +69,14 @@ def churn_clusters(changes: DataFrame, keys: list[str], t: str, value: str, gap:
     return out.where((F.col("n") >= least) & (F.col("n") > F.col("n_distinct"))).drop("_island")
 
 
-def merge_intervals(df: DataFrame, keys: list[str], slack: int = 10000) -> DataFrame:
-    """(keys, start_ms, end_ms, n): intervals that touch within ``slack`` become one."""
+def merge_intervals(df: DataFrame, keys: list[str], slack: int = 10000, observed: str | None = None) -> DataFrame:
+    """(keys, start_ms, end_ms, n): intervals that touch within ``slack`` become one. With a column ``observed``, one that was
+    observed makes the whole so."""
+    more = [F.bool_or(observed).alias(observed)] if observed else []
     order = ["start_ms", "end_ms"]
     before = F.max("end_ms").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     rows = _islands(df, keys, order, F.coalesce(F.col("start_ms") > before + slack, F.lit(True)))
-    return rows.groupBy(*keys, "_island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n")).drop("_island")
+    return rows.groupBy(*keys, "_island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n"), *more).drop("_island")
 
 
 def bucketed_range_join(points: DataFrame, windows: DataFrame, keys: list[str], t: str, lo: str, hi: str, bucket: int, how: str = "inner") -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import percentiles, weighted_hist
 from .intervals import _islands
 from .ordered import in_order
 
@@ -165,18 +166,33 @@ def lookahead(points: DataFrame, hours: DataFrame, cell: str, neighbours: Column
 
 
 def asymmetry(pairs: DataFrame, rows: DataFrame, least: int = 10) -> DataFrame:
-    """One row: pairs of a download and an upload, those complete, how often the download led, the geometric ratio of their
-    times (upload to download) with its interval, and the gate that forbids a conclusion, if any."""
+    """One row: pairs of a download and an upload, those complete, failed legs of each, how often the download led, the median
+    times, the geometric ratio of the times (upload to download) with its interval, and the verdict, or the gate that forbids
+    one: too few complete pairs, over a quarter as many failed legs as pairs, one direction leading too often, no interval,
+    or one that spans more than ten times."""
     leg = lambda p: rows.select(F.col("id").alias(f"{p}_id"), F.col("direction").alias(f"{p}_d"), F.col("latency_ms").alias(f"{p}_ms"), F.col("outcome").alias(f"{p}_o"))
     both = pairs.join(leg("first"), "first_id").join(leg("second"), "second_id")
     first = F.col("first_d") == "DOWN"
-    down, up = F.when(first, F.col("first_ms")).otherwise(F.col("second_ms")), F.when(first, F.col("second_ms")).otherwise(F.col("first_ms"))
+    of = lambda c, down: F.when(first == F.lit(down), F.col(f"first_{c}")).otherwise(F.col(f"second_{c}"))
     whole = (F.col("first_o") == "OK") & (F.col("second_o") == "OK") & (F.col("first_ms") > 0) & (F.col("second_ms") > 0)
-    log = F.when(whole, F.ln(up.cast("double") / down))
-    g = both.agg(F.count("*").alias("pairs"), F.count_if(whole).alias("complete"), F.count_if(first).alias("down_first"), F.avg(log).alias("m"), F.stddev_samp(log).alias("s"))
+    both = both.select(first.alias("_led"), of("ms", True).alias("down"), of("ms", False).alias("up"), (of("o", True) != "OK").alias("_df"), (of("o", False) != "OK").alias("_uf"), whole.alias("_whole"))
+    log = F.when(F.col("_whole"), F.ln(F.col("up").cast("double") / F.col("down")))
+    g = both.agg(F.count("*").alias("pairs"), F.count_if("_whole").alias("complete"), F.count_if("_uf").alias("up_failed"), F.count_if("_df").alias("down_failed"), F.count_if("_led").alias("down_first"), F.avg(log).alias("m"), F.stddev_samp(log).alias("s"))
+    times = both.where("_whole").select(F.explode(F.array(F.struct(F.lit("down").alias("leg"), F.col("down").alias("ms")), F.struct(F.lit("up").alias("leg"), F.col("up").alias("ms")))).alias("x")).select("x.*")
+    median = percentiles(weighted_hist(times, ["leg"], "ms"), ["leg"], "ms", "E", ms=0.5)
+    median = median.agg(F.max(F.when(F.col("leg") == "down", F.col("ms"))).alias("down_ms"), F.max(F.when(F.col("leg") == "up", F.col("ms"))).alias("up_ms"))
     half = F.col("s") * 1.96 / F.sqrt(F.col("complete"))
-    gate = F.when(F.col("complete") < least, "too few").when((F.col("pairs") - F.col("complete")) * 4 > F.col("pairs"), "incomplete").when((F.col("down_first") < 0.3 * F.col("pairs")) | (F.col("down_first") > 0.7 * F.col("pairs")), "confounded").otherwise("measured")
-    return g.select("pairs", "complete", "down_first", F.exp("m").alias("ratio"), F.exp(F.col("m") - half).alias("lo"), F.exp(F.col("m") + half).alias("hi"), gate.alias("gate"))
+    g = g.crossJoin(F.broadcast(median)).withColumns({"ratio": F.exp("m"), "lo": F.exp(F.col("m") - half), "hi": F.exp(F.col("m") + half)})  # one row joined on
+    n, share = F.col("pairs"), F.try_divide("down_first", "pairs")
+    gate = F.when(F.col("complete") < least, "too few").when(F.col("up_failed") + F.col("down_failed") > F.floor(n / 4), "incomplete").when((share < 0.3) | (share > 0.7), "confounded").when(F.col("lo").isNull(), "no interval").when(F.col("hi") / F.col("lo") > 10, "too variable")
+    gate = gate.when(F.col("lo") > 1, "uplink slower").when(F.col("hi") < 1, "downlink slower").otherwise("no asymmetry")
+    return g.select("pairs", "complete", "up_failed", "down_failed", "down_first", "down_ms", "up_ms", "ratio", "lo", "hi", gate.alias("gate"))
+
+
+def site_status(hours: DataFrame, keys: list[str], radio: DataFrame, mark: int, t: str = "wall_ms") -> DataFrame:
+    """One row on the record of masts (keys, hour, samples): masts, slots, samples, and the radio rows behind the mark."""
+    behind = radio.where(F.col(t) > mark).agg(F.count("*").alias("behind"))
+    return hours.agg(F.countDistinct(*keys).alias("masts"), F.count("*").alias("slots"), F.coalesce(F.sum("samples"), F.lit(0)).alias("samples")).crossJoin(F.broadcast(behind))  # one row joined on
 
 
 def handover_outcomes(changes: DataFrame, failures: DataFrame, keys: list[str], sub: str) -> DataFrame:

@@ -11,6 +11,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import hexgrid
+
+MAX_AGE_MS, MAX_SKEW_MS = 60000, 1000  # fixed values
+
 BOOT_SPLIT_MS, CAP_MS, BRACKET_MS = 60000, 30000, 180000  # fixed values
 
 
@@ -97,8 +101,14 @@ def changes_only(df: DataFrame, keys: list[str], signature: list[str], order: li
     return df.withColumn("_before", F.lag(sig).over(by)).withColumn("_first", F.row_number().over(by) == 1).where(F.col("_first") | ~F.col("_before").eqNullSafe(sig)).drop("_before", "_first")
 
 
-def admit_fixes(fixes: DataFrame, keys: list[str], t: str = "elapsed_ms", accuracy: str = "accuracy_m", ceiling_m: float = 300.0, order: str = "id") -> DataFrame:
-    """Adds ``reject``: why a fix is refused (not later than one before, too coarse), else null."""
+def admit_fixes(fixes: DataFrame, keys: list[str], t: str = "elapsed_ms", accuracy: str = "accuracy_m", lat: str = "lat", order: str = "id", mock: str | None = None, now: str | None = None) -> DataFrame:
+    """Adds ``reject``: why a fix is refused, else null: it is made up ("mock"); it has no time of measurement, or one more than
+    ``MAX_AGE_MS`` before or ``MAX_SKEW_MS`` after its arrival ``now`` ("stale"); it is not later than the last one admitted
+    ("order"); or no resolution of the grid fits its accuracy ("accuracy")."""
+    fake = F.coalesce(F.col(mock), F.lit(False)) if mock else F.lit(False)
+    timed = F.col(t).isNotNull() & (F.col(now) - F.col(t)).between(-MAX_SKEW_MS, MAX_AGE_MS) if now else F.col(t).isNotNull()
+    fine = hexgrid.res_for_accuracy(F.col(accuracy), F.col(lat)).isNotNull()
     by = Window.partitionBy(*keys).orderBy("wall_ms", order).rowsBetween(Window.unboundedPreceding, -1)
-    late = F.col(t) <= F.max(t).over(by)
-    return fixes.withColumn("reject", F.when(late, "order").when(F.col(accuracy).isNull() | (F.col(accuracy) > ceiling_m), "accuracy"))
+    # of the fixes that pass the other tests, the latest so far is the last one admitted
+    late = F.col(t) <= F.max(F.when(~fake & timed & fine, F.col(t))).over(by)
+    return fixes.withColumn("reject", F.when(fake, "mock").when(~timed, "stale").when(late, "order").when(~fine, "accuracy"))

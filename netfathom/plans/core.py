@@ -165,11 +165,15 @@ def changes_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.changes_only(domain.registrations(spark, sf_dir), ["device_id", "sub_id"], ["reg_state", "reject_cause"], ["wall_ms", "id"]).select("id")
 
 
-@query(""", s AS (SELECT *, max(elapsed_ms) OVER (PARTITION BY device_id, wall_ms - elapsed_ms ORDER BY wall_ms, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM fixes)
-  SELECT id, CASE WHEN elapsed_ms <= m THEN 'order' WHEN accuracy_m > 300 THEN 'accuracy' END AS reject FROM s""")
+@query(""", f0 AS (SELECT *, id % 17 = 0 AS mock, elapsed_ms - 2000 + id * 31 % 70000 AS now_ms, CASE WHEN id % 19 <> 0 THEN elapsed_ms END AS fix_ms FROM fixes),
+f1 AS (SELECT *, fix_ms IS NOT NULL AND now_ms - fix_ms BETWEEN -1000 AND 60000 AS timed, accuracy_m / greatest(cos(radians(lat)), 0.05::DOUBLE) <= 300 AS fine FROM f0),
+s AS (SELECT *, max(fix_ms) FILTER (NOT mock AND timed AND fine) OVER (PARTITION BY device_id, wall_ms - elapsed_ms ORDER BY wall_ms, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM f1)
+  SELECT id, CASE WHEN mock THEN 'mock' WHEN NOT timed THEN 'stale' WHEN fix_ms <= m THEN 'order' WHEN NOT fine THEN 'accuracy' END AS reject FROM s""")
 def admit_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("id")
     f = timeline.assign_boot(domain.fixes(spark, sf_dir), timeline.boot_starts([domain.events(spark, sf_dir)]))
-    return timeline.admit_fixes(f, ["device_id", "boot"]).select("id", "reject")
+    f = f.withColumns({"mock": i % 17 == 0, "now_ms": F.col("elapsed_ms") - 2000 + i * 31 % 70000, "fix_ms": F.when(i % 19 != 0, F.col("elapsed_ms"))})
+    return timeline.admit_fixes(f, ["device_id", "boot"], "fix_ms", mock="mock", now="now_ms").select("id", "reject")
 
 
 # ---- weighted statistics ---------------------------------------------------------------------------------------------
@@ -272,9 +276,10 @@ m2 AS (SELECT *, sum(CASE WHEN e0 IS NULL OR start_ms > e0 + 10000 THEN 1 ELSE 0
 merged AS (SELECT device_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n FROM m2 GROUP BY device_id, k)"""
 
 
-@query(_MERGED + " SELECT * FROM merged")
+@query(_MERGED.replace("AS n FROM m2", "AS n, bool_or(m2.n >= 5) AS observed FROM m2") + " SELECT * FROM merged")
 def merge_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.merge_intervals(_floors(spark, sf_dir).select("device_id", "start_ms", "end_ms"), ["device_id"])
+    found = _floors(spark, sf_dir).select("device_id", "start_ms", "end_ms", (F.col("n") >= 5).alias("observed"))
+    return intervals.merge_intervals(found, ["device_id"], observed="observed")
 
 
 @query(_MERGED + _STATES + " SELECT m.* FROM merged m WHERE NOT EXISTS (SELECT 1 FROM states s WHERE s.device_id = m.device_id AND m.start_ms <= s.end_ms AND s.start_ms <= m.end_ms)")
@@ -290,12 +295,16 @@ def _cell_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.value_changes(domain.radio(spark, sf_dir), ["device_id", "sub_id"], "ci", ["wall_ms", "id"])
 
 
-@query(_CHANGES + """ SELECT id, before, ci, CASE WHEN rat <> 'LTE' THEN 'undecomposable' WHEN before // 256 = ci // 256 THEN 'sector' ELSE 'mast' END AS kind,
-  count(*) OVER (PARTITION BY device_id, sub_id ORDER BY wall_ms RANGE BETWEEN 120000 PRECEDING AND 120000 FOLLOWING) AS churn FROM ch""")
+@query(""", rd AS (SELECT *, CASE WHEN id % 6 <> 0 THEN ci END AS cell, CASE WHEN id % 4 = 0 THEN 'poll' ELSE 'push' END AS mode, rsrp // 48 AS level FROM radio),
+r1 AS (SELECT *, lag((rat, cell, level)) OVER (PARTITION BY device_id, sub_id ORDER BY wall_ms, id) AS payload FROM rd), r2 AS (SELECT * FROM r1 WHERE payload IS DISTINCT FROM (rat, cell, level) AND cell IS NOT NULL),
+r3 AS (SELECT *, lag(cell) OVER w AS before, lag(rat) OVER w AS rat0, lag(mode) OVER w AS mode0 FROM r2 WINDOW w AS (PARTITION BY device_id, sub_id ORDER BY wall_ms, id))
+SELECT id, before, cell AS ci, CASE WHEN rat <> 'LTE' OR rat0 <> 'LTE' THEN 'undecomposable' WHEN before // 256 = cell // 256 THEN 'sector' ELSE 'mast' END AS kind, mode = 'poll' OR mode0 = 'poll' AS poll_derived,
+  count(*) OVER (PARTITION BY device_id, sub_id ORDER BY wall_ms RANGE BETWEEN 120000 PRECEDING AND 120000 FOLLOWING) AS churn FROM r3 WHERE before <> cell""")
 def serving_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = intervals.local_count(_cell_changes(spark, sf_dir), ["device_id", "sub_id"], "wall_ms", 120000, "churn")
-    old, new = radio.enb(F.col("rat"), F.col("before")), radio.enb(F.col("rat"), F.col("ci"))
-    return c.select("id", "before", "ci", F.when(old.isNull() | new.isNull(), "undecomposable").when(old == new, "sector").otherwise("mast").alias("kind"), "churn")
+    i = F.col("id")
+    rows = domain.radio(spark, sf_dir).withColumns({"cell": F.when(i % 6 != 0, F.col("ci")), "mode": F.when(i % 4 == 0, "poll").otherwise("push"), "level": F.expr("rsrp div 48")}).drop("ci")
+    c = intervals.serving_changes(rows.withColumnRenamed("cell", "ci"), ["device_id", "sub_id"], ["wall_ms", "id"], ["rat", "ci", "level"])
+    return intervals.local_count(c, ["device_id", "sub_id"], "wall_ms", 120000, "churn").select("id", "before", "ci", "kind", "poll_derived", "churn")
 
 
 @query(_CHANGES + """, x AS (SELECT *, CASE WHEN wall_ms - lag(wall_ms) OVER (PARTITION BY device_id, sub_id ORDER BY wall_ms, id) <= 120000 THEN 0 ELSE 1 END AS f FROM ch),

@@ -10,7 +10,7 @@ from ..functions import hexgrid
 from ..operators import devices, intervals, timeline
 from ..sources import bundles, tables
 from .core import _COLD, _round, hex_sql
-from .registry import query
+from .registry import SQL, query
 
 
 @query(""", x AS (SELECT *, CASE WHEN wall_ms - lag(wall_ms) OVER (PARTITION BY device_id ORDER BY wall_ms, id) <= 180000 THEN 0 ELSE 1 END AS f FROM fixes WHERE speed_mps > 0.5),
@@ -127,10 +127,53 @@ def thin_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return devices.thin(f.select("device_id", "id", "wall_ms", "cell"), ["device_id"], "wall_ms", "cell", ["wall_ms", "id"])
 
 
-@query("SELECT id, 60000 < 2592000 - wall_ms AS cell_stale, 2592000 - wall_ms AS age_ms FROM radio")
+@query(""", lt AS (SELECT device_id, max(wall_ms) FILTER (sinr >= 0) AS signal_ms, max(wall_ms) FILTER (rat = 'LTE') AS cell_ms FROM radio GROUP BY device_id), ls AS (SELECT device_id, max(wall_ms) AS service_ms FROM regs GROUP BY device_id)
+  SELECT device_id, signal_ms, service_ms, cell_ms, coalesce(2592000 - signal_ms > 15000, true) AS signal_stale, coalesce(2592000 - service_ms > 600000, true) AS service_stale, coalesce(2592000 - cell_ms > 120000, true) AS cell_stale FROM lt LEFT JOIN ls USING (device_id)""")
 def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    age = F.lit(2592000) - F.col("wall_ms")
-    return domain.radio(spark, sf_dir).select("id", (age > 60000).alias("cell_stale"), age.alias("age_ms"))
+    last = lambda c: F.max(F.when(c, F.col("wall_ms")))
+    latest = domain.radio(spark, sf_dir).groupBy("device_id").agg(last(F.col("sinr") >= 0).alias("signal_ms"), last(F.col("rat") == "LTE").alias("cell_ms"))
+    service = domain.registrations(spark, sf_dir).groupBy("device_id").agg(F.max("wall_ms").alias("service_ms"))
+    return devices.freshness(latest.join(service, "device_id", "left"), F.lit(2592000))
+
+
+_CONFIRMED = """, kn AS (SELECT * FROM vals WHERE v IS NOT NULL), cx AS (SELECT *, CASE WHEN lag(v) OVER w = v THEN 0 ELSE 1 END AS f FROM kn WINDOW w AS (PARTITION BY device_id ORDER BY wall_ms, id)),
+cy AS (SELECT *, sum(f) OVER (PARTITION BY device_id ORDER BY wall_ms, id ROWS UNBOUNDED PRECEDING) AS k FROM cx), cz AS (SELECT *, min(wall_ms) OVER (PARTITION BY device_id, k) AS since_ms FROM cy),
+cf AS (SELECT device_id, k, v, since_ms, min(wall_ms) AS at_ms FROM cz WHERE wall_ms - since_ms >= {dwell} GROUP BY ALL), cg AS (SELECT *, lag(v) OVER (PARTITION BY device_id ORDER BY k) AS was FROM cf)"""
+
+
+@query(", vals AS (SELECT *, CAST(floor(lat / 0.001::DOUBLE) AS BIGINT) || '_' || CAST(floor(lng / 0.001::DOUBLE) AS BIGINT) AS v FROM fixes)" + _CONFIRMED.format(dwell=20000) + " SELECT device_id, v AS square, since_ms, at_ms FROM cg WHERE was IS DISTINCT FROM v")
+def grid_dwell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squares of the grid that a device stayed in."""
+    f = domain.fixes(spark, sf_dir).withColumn("square", devices.grid_cell(F.col("lat"), F.col("lng"), 0.001))
+    return devices.confirmed(f, ["device_id"], "wall_ms", "square", ["wall_ms", "id"], 20000)
+
+
+@query(", vals AS (SELECT *, CASE WHEN id % 5 <> 0 THEN CASE WHEN id % 7 < 5 THEN 'SG' ELSE 'MY' END END AS v FROM radio)" + _CONFIRMED.format(dwell=60000) + " SELECT device_id, v AS country, since_ms, at_ms FROM cg WHERE was IS DISTINCT FROM v")
+def country_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Countries that the network reports for long enough, one after another."""
+    rows = domain.radio(spark, sf_dir).withColumn("country", F.when(F.col("id") % 5 != 0, F.when(F.col("id") % 7 < 5, "SG").otherwise("MY")))
+    return devices.confirmed(rows, ["device_id"], "wall_ms", "country", ["wall_ms", "id"], 60000)
+
+
+_TEXTS = ["PDP_ADDRESS_REJECTED", "unknown", "SLAAC timeout", "INSUFFICIENT_RESOURCES", "Error_Unspecified"]
+
+
+@query(", ct AS (SELECT device_id, (" + str(_TEXTS) + """)[reject_cause % 5 + 1] AS cause, count(*) AS n FROM regs WHERE reject_cause <> 0 GROUP BY ALL), cr AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY n DESC, cause) AS k FROM ct)
+  SELECT device_id, cause, n, CASE WHEN regexp_matches(upper(cause), 'IPV6|RS_RA|SLAAC|ADDRESS') THEN 'IPV6_CONFIG_FAILURE' WHEN regexp_matches(upper(cause), 'UNSPECIFIED|UNKNOWN') THEN 'UNKNOWN' ELSE 'REPEATED_SETUP_FAILURE' END AS kind FROM cr WHERE k = 1""")
+def fault_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dominant cause of failures per device, and the kind of fault that its text tells."""
+    text = F.get(F.array(*map(F.lit, _TEXTS)), F.col("reject_cause") % 5)
+    rows = domain.registrations(spark, sf_dir).where("reject_cause <> 0").withColumn("cause", text)
+    return devices.dominant_failure(rows, ["device_id"], ["cause"]).withColumn("kind", devices.fault_kind(F.col("cause")))
+
+
+_FAULTS = SQL["repeated_failures"].split("WITH RECURSIVE", 1)[1].split(domain.SQL, 1)[1].rsplit(" SELECT device_id, min(wall_ms)", 1)[0]
+
+
+@query(_FAULTS + """, ff AS (SELECT device_id, min(wall_ms) AS start_ms, max(wall_ms) AS end_ms, count(*) AS n FROM y GROUP BY device_id, k)
+  SELECT *, 2592000 - end_ms < 300000 AS active, row_number() OVER (PARTITION BY device_id ORDER BY 2592000 - end_ms < 300000 DESC, end_ms DESC) AS place FROM ff WHERE 2592000 - end_ms <= 1800000""")
+def order_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return devices.order_faults(repeated_failures(spark, sf_dir), ["device_id"], F.lit(2592000), quiet=300000, forget=1800000)
 
 
 # ---- sources and sinks ----------------------------------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from .. import domain
 from ..functions import hexgrid, radio
 from ..operators import bins, devices, intervals, maps, studies, timeline
 from ..operators.lineage import cut
+from ..sources import tables
 from .core import _CHANGES, _COLD, _FLIPS, _WEIGHTED, _cell_changes, _round, _weighted, hex_sql, located, parent_sql
 from .coverage import _AREA, _MAP, _SAMPLES, _SITES, _around, _bin_hours, _located_probes, _places_of, _site_hours, samples
 from .registry import query
@@ -113,6 +114,13 @@ def layer_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(maps.layer_style(whole(spark, sf_dir)[0]).select("cell", "opacity", "rsrp_colour", "sinr_colour", "anchor_colour").withColumn("opacity", F.round("opacity", 5)), "opacity")
 
 
+@query()
+def map_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bins of the map as GeoJSON features with their colours and opacity."""
+    styled = maps.layer_style(whole(spark, sf_dir)[0])
+    return tables.to_geojson(styled.withColumn("opacity", F.round("opacity", 5)), "cell", ["plmn", "outcome", "n", "opacity", "rsrp_colour", "sinr_colour", "anchor_colour"])
+
+
 @query(_ALL + """, bh2 AS (SELECT band_label, CAST(sum(weight_ms) AS BIGINT) AS ms FROM lb GROUP BY 1) SELECT band_label, ms, round(CAST(ms AS DOUBLE) / (SELECT sum(ms) FROM bh2), 6) AS share, (SELECT CAST(sum(probe_n) AS BIGINT) FROM mc) AS probe_n, (SELECT CAST(sum(probe_fail) AS BIGINT) FROM mc) AS probe_fail, (SELECT count(DISTINCT CASE WHEN rat = 'LTE' THEN ci // 256 END) FROM lb) AS masts, (SELECT count(DISTINCT ci) FROM lb) AS cells,
   (SELECT count(*) FROM mc WHERE anchor < 0.75) AS unstable_bins, (SELECT arg_min(cell, (anchor, cell)) FROM mc WHERE n >= 8) AS worst_bin FROM bh2""")
 def layer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import domain
-from ..functions import bands, hexgrid
+from ..functions import bands, hexgrid, radio
 from ..operators import bins, merge, studies
 from .core import _CHANGES, _FIXED, _cell_changes, _round, located
 from .coverage import _pingpong
@@ -42,12 +42,16 @@ def adaptive_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PAIRS = """, x AS (SELECT *, CASE WHEN lag(id % 2) OVER w <> id % 2 AND wall_ms - lag(wall_ms) OVER w <= 60000 THEN 0 ELSE 1 END AS f FROM probes WINDOW w AS (PARTITION BY device_id ORDER BY wall_ms, id)),
 y AS (SELECT *, sum(f) OVER (PARTITION BY device_id ORDER BY wall_ms, id ROWS UNBOUNDED PRECEDING) AS k FROM x),
 z AS (SELECT *, row_number() OVER w AS rn, lead(latency_ms) OVER w AS l2, lead(outcome) OVER w AS o2 FROM y WINDOW w AS (PARTITION BY device_id, k ORDER BY wall_ms, id)),
-p AS (SELECT id % 2 = 1 AS down_first, CASE WHEN id % 2 = 1 THEN latency_ms ELSE l2 END AS down, CASE WHEN id % 2 = 1 THEN l2 ELSE latency_ms END AS up, outcome = 'OK' AND o2 = 'OK' AND latency_ms > 0 AND l2 > 0 AS complete FROM z WHERE rn % 2 = 1 AND l2 IS NOT NULL),
-g AS (SELECT count(*) AS pairs, count(*) FILTER (complete) AS complete, count(*) FILTER (down_first) AS down_first, avg(CASE WHEN complete THEN ln(CAST(up AS DOUBLE) / down) END) AS m, stddev_samp(CASE WHEN complete THEN ln(CAST(up AS DOUBLE) / down) END) AS s FROM p)"""
+p0 AS (SELECT id % 2 = 1 AS led, latency_ms AS l1, outcome AS o1, l2, o2 FROM z WHERE rn % 2 = 1 AND l2 IS NOT NULL),
+p AS (SELECT led, CASE WHEN led THEN l1 ELSE l2 END AS down, CASE WHEN led THEN l2 ELSE l1 END AS up, CASE WHEN led THEN o1 ELSE o2 END <> 'OK' AS df, CASE WHEN led THEN o2 ELSE o1 END <> 'OK' AS uf, o1 = 'OK' AND o2 = 'OK' AND l1 > 0 AND l2 > 0 AS complete FROM p0),
+g AS (SELECT count(*) AS pairs, count(*) FILTER (complete) AS complete, count(*) FILTER (uf) AS up_failed, count(*) FILTER (df) AS down_failed, count(*) FILTER (led) AS down_first, list_sort(list(down) FILTER (complete)) AS ds, list_sort(list(up) FILTER (complete)) AS us,
+  avg(CASE WHEN complete THEN ln(CAST(up AS DOUBLE) / down) END) AS m, stddev_samp(CASE WHEN complete THEN ln(CAST(up AS DOUBLE) / down) END) AS s FROM p),
+ci AS (SELECT *, exp(m) AS ratio, exp(m - 1.96::DOUBLE * s / sqrt(complete)) AS lo, exp(m + 1.96::DOUBLE * s / sqrt(complete)) AS hi FROM g)"""
 
 
-@query(_PAIRS + """ SELECT pairs, complete, down_first, round(exp(m), 6) AS ratio, round(exp(m - 1.96::DOUBLE * s / sqrt(complete)), 6) AS lo, round(exp(m + 1.96::DOUBLE * s / sqrt(complete)), 6) AS hi,
-  CASE WHEN complete < 10 THEN 'too few' WHEN (pairs - complete) * 4 > pairs THEN 'incomplete' WHEN down_first < 0.3 * pairs OR down_first > 0.7 * pairs THEN 'confounded' ELSE 'measured' END AS gate FROM g""")
+@query(_PAIRS + """ SELECT pairs, complete, up_failed, down_failed, down_first, ds[complete // 2 + 1] AS down_ms, us[complete // 2 + 1] AS up_ms, round(ratio, 6) AS ratio, round(lo, 6) AS lo, round(hi, 6) AS hi,
+  CASE WHEN complete < 10 THEN 'too few' WHEN up_failed + down_failed > pairs // 4 THEN 'incomplete' WHEN down_first < 0.3 * pairs OR down_first > 0.7 * pairs THEN 'confounded' WHEN lo IS NULL THEN 'no interval' WHEN hi / lo > 10 THEN 'too variable'
+    WHEN lo > 1 THEN 'uplink slower' WHEN hi < 1 THEN 'downlink slower' ELSE 'no asymmetry' END AS gate FROM ci""")
 def transfer_asymmetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = domain.probes(spark, sf_dir).withColumn("direction", F.when(F.col("id") % 2 == 1, "DOWN").otherwise("UP"))
     pairs = studies.pair_transfers(rows, ["device_id"], "wall_ms", "direction", ["wall_ms", "id"])
@@ -70,10 +74,13 @@ def pingpong_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return studies.case_control(pairs, rows, fails, ["device_id"])
 
 
-@query(", r AS (SELECT id, wall_ms FROM radio) SELECT count(*) AS samples, (SELECT count(*) FROM radio WHERE sinr < 0) AS poor, (SELECT count(DISTINCT ci // 256) FROM radio WHERE rat = 'LTE') AS masts FROM r")
+@query("""SELECT count(DISTINCT (plmn, ci // 256)) AS masts, count(DISTINCT (plmn, ci // 256, band, wall_ms // 3600000 % 24)) AS slots, count(*) AS samples, (SELECT count(*) FROM radio WHERE wall_ms > 2000000) AS behind
+  FROM radio WHERE wall_ms <= 2000000 AND rat = 'LTE'""")
 def site_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = domain.radio(spark, sf_dir)
-    return r.agg(F.count("*").alias("samples"), F.count_if(F.col("sinr") < 0).alias("poor"), F.countDistinct(F.when(F.col("rat") == "LTE", F.shiftright("ci", 8))).alias("masts"))
+    r, mark = domain.radio(spark, sf_dir), 2000000
+    known = r.where(F.col("wall_ms") <= mark).withColumn("site", radio.enb(F.col("rat"), F.col("ci"))).where("site is not null")
+    hours = studies.site_hours(known, ["plmn", "site", "band"], F.floor(F.col("wall_ms") / 3600000) % 24)
+    return studies.site_status(hours, ["plmn", "site"], r, mark)
 
 
 @query(_FIXED + " SELECT device_id, count(*) AS samples, count(cell) AS located FROM located GROUP BY device_id")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import hexgrid
 
+MAP_FORMAT = "shared-map-1"
+
 
 def read_events(spark: SparkSession, path: str, columns: list[str], since_ms: int | None = None, t: str = "wall_ms") -> DataFrame:
     """The columns of a raw table from a time on; both reach the Parquet scan."""
@@ -42,6 +44,13 @@ def read_rollup(spark: SparkSession, path: str, tier: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("tier") == tier)
 
 
+def read_tagged(spark: SparkSession, folder: str, kinds: dict[str, str]) -> dict[str, DataFrame]:
+    """Roll-ups kept as lines of JSON, each tagged with its kind ``k``, of all files below a folder: a table per kind, whose
+    schema is given. Headers, lines of other kinds, and lines that are no JSON are passed over."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(folder).withColumn("_k", F.get_json_object("value", "$.k"))
+    return {k: lines.where(F.col("_k") == k).select(F.from_json("value", schema).alias("x")).select("x.*") for k, schema in kinds.items()}
+
+
 def export_tables(tables: dict[str, DataFrame], allowed: dict[str, list[str]], out: str, t: str = "wall_ms") -> DataFrame:
     """Writes the allowed columns of each table as CSV in time order; returns the manifest (table, rows)."""
     spark = next(iter(tables.values())).sparkSession
@@ -55,16 +64,20 @@ def export_tables(tables: dict[str, DataFrame], allowed: dict[str, list[str]], o
     return spark.read.json(f"{out}/manifest")
 
 
-def publish_shared_map(cells: DataFrame, stats: DataFrame, names: DataFrame, out: str) -> None:
-    """Cells, a row of statistics, and the names (plmn, name) of the networks that occur."""
+def publish_shared_map(cells: DataFrame, stats: DataFrame, names: DataFrame, out: str, format_tag: str = MAP_FORMAT) -> None:
+    """Cells, a row of statistics with the format, and the names (plmn, name) of the networks that occur."""
     present = cells.select(F.col("network").alias("plmn")).distinct()
     cells.write.mode("overwrite").json(f"{out}/cells")
-    stats.write.mode("overwrite").json(f"{out}/stats")
+    stats.withColumn("format", F.lit(format_tag)).write.mode("overwrite").json(f"{out}/stats")
     names.join(present, "plmn", "left_semi").write.mode("overwrite").json(f"{out}/names")
 
 
-def read_shared_map(spark: SparkSession, path: str) -> DataFrame:
-    """Published cells; the area may be a string or, from older writers, a number. A map without cells has no rows."""
+def read_shared_map(spark: SparkSession, path: str, format_tag: str = MAP_FORMAT) -> DataFrame:
+    """Published cells; the area may be a string or, from older writers, a number. A map without cells has no rows, and one of
+    another format is an error."""
+    told = spark.read.schema("format string").json(f"{path}/stats").first()
+    if told is None or told["format"] != format_tag:
+        raise ValueError(f"{path} holds no map of format {format_tag}")
     schema = "area string, network string, band string, contributors long, samples long, observed_ms long, rsrp_p10 double, rsrp_p50 double, rsrp_p90 double, sinr_p10 double, sinr_p50 double, sinr_p90 double, weeks array<string>"
     return spark.read.schema(schema).json(f"{path}/cells").withColumn("cell", F.expr("try_cast(area as bigint)")).where("cell is not null")
 

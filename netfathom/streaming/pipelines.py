@@ -111,3 +111,27 @@ def area_state_stream(stream: DataFrame, keys: list[str], t: str, bad: str, **li
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {t} long, poor boolean"
     return stream.groupBy(*keys).applyInPandasWithState(run, schema, "times array<long>, flags array<boolean>, poor boolean, since long", "append", "NoTimeout")
+
+
+def confirmed_stream(stream: DataFrame, keys: list[str], t: str, value: str, dwell: int) -> DataFrame:
+    """(keys, value, since_ms, at_ms) where a value is confirmed, as ``devices.confirmed`` tells for a table. State per key: the
+    present value, since when, and the last one confirmed; the rows of a micro-batch are taken in order of time."""
+    import pandas as pd
+
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
+
+    def run(key, batches, state):
+        rows = pd.concat(list(batches)).dropna(subset=[value]).sort_values(t, kind="stable")
+        now, since, told = state.get if state.exists else (None, None, None)
+        out = []
+        for at, found in zip(rows[t].tolist(), rows[value].tolist()):
+            if found != now:
+                now, since = found, at
+            if found != told and at - since >= dwell:
+                told = found
+                out.append((*key, found, since, at))
+        state.update((now, since, told))
+        yield pd.DataFrame(out, columns=[*keys, value, "since_ms", "at_ms"])
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, value]) + ", since_ms long, at_ms long"
+    return stream.groupBy(*keys).applyInPandasWithState(run, schema, f"now {kinds[value]}, since long, told {kinds[value]}", "append", "NoTimeout")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from netfathom.functions import hexgrid
 from netfathom.operators import devices, intervals, maps, rollup, signals, studies, timeline
+from netfathom.sources import tables
 from netfathom.streaming import pipelines
 
 
@@ -99,3 +100,75 @@ def test_streams_of_masts_and_bins_equal_batches(spark, tmp_path):
     pipelines.stream_sites(stream(), str(tmp_path / "s"), str(tmp_path / "cs"), keys).awaitTermination(60)
     want = studies.site_hours(df, keys, F.floor(F.col("wall_ms") / 3600000) % 24)
     assert sorted(map(tuple, pipelines.sites(spark, str(tmp_path / "s"), keys).select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_fixes_are_admitted(spark):
+    s = "d string, id long, wall_ms long, t long, now long, accuracy_m double, lat double, mock boolean"
+    df = rows(
+        spark, s, ("d", 1, 1, 100, 60100, 300.0, 0.0, False), ("d", 2, 2, 200, 60201, 9.0, 0.0, False), ("d", 3, 3, 5000, 4000, 9.0, 0.0, None), ("d", 4, 4, 5000, 5000, 9.0, 0.0, False), ("d", 5, 5, 9001, 8000, 9.0, 0.0, False),
+        ("d", 6, 6, 7000, 7000, 301.0, 0.0, False), ("d", 7, 7, 6000, 6000, 9.0, 0.0, False), ("d", 8, 8, 8000, 8000, 299.0, 60.0, False), ("d", 9, 9, 9000, 9000, 9.0, 0.0, True), ("d", 10, 10, None, 9000, 9.0, 0.0, False), ("d", 11, 11, 9000, 9000, None, 0.0, False),
+    )
+    out = {r["id"]: r["reject"] for r in timeline.admit_fixes(df, ["d"], "t", mock="mock", now="now").collect()}
+    # neither what is too coarse (6) nor what is made up (9) stands in the way of an earlier one
+    assert out == {1: None, 2: "stale", 3: None, 4: "order", 5: "stale", 6: "accuracy", 7: None, 8: "accuracy", 9: "mock", 10: "stale", 11: "accuracy"}
+
+
+def test_serving_changes_take_fresh_rows(spark):
+    s = "d string, id long, rat string, ci long, mode string, level int"
+    df = rows(spark, s, ("d", 1, "LTE", 256, "push", 1), ("d", 2, "LTE", 257, "push", 1), ("d", 3, "LTE", 257, "poll", 1), ("d", 4, "NR", None, "poll", 1), ("d", 5, "LTE", 600, "push", 1), ("d", 6, "NR", 601, "poll", 1), ("d", 7, "LTE", 602, "push", 1))
+    out = [tuple(r) for r in intervals.serving_changes(df, ["d"], ["id"], ["rat", "ci", "level"]).select("id", "before", "kind", "poll_derived").orderBy("id").collect()]
+    assert out == [(2, 256, "sector", False), (5, 257, "mast", False), (6, 600, "undecomposable", True), (7, 601, "undecomposable", True)]
+
+
+def test_observed_wins_in_merged_intervals(spark):
+    df = rows(spark, "d string, start_ms long, end_ms long, observed boolean", ("d", 0, 5, False), ("d", 10005, 10010, True), ("d", 20011, 20012, False))
+    out = sorted((r["start_ms"], r["end_ms"], r["n"], r["observed"]) for r in intervals.merge_intervals(df, ["d"], observed="observed").collect())
+    assert out == [(0, 10010, 2, True), (20011, 20012, 1, False)]
+
+
+@pytest.mark.parametrize("n, failed, led, spread, up, gate", [(9, 0, 5, 0, 200, "too few"), (40, 11, 20, 0, 200, "incomplete"), (40, 10, 20, 0, 200, "uplink slower"), (40, 0, 11, 0, 200, "confounded"), (40, 0, 12, 0, 50, "downlink slower"), (40, 0, 20, 1, 100, "no asymmetry"), (12, 0, 6, 2, 100, "too variable")])
+def test_asymmetry_has_gates(spark, n, failed, led, spread, up, gate):
+    legs = []
+    for i in range(n):
+        pair = [("DOWN", 100, "OK"), ("UP", up * 10 ** (spread * (i % 2 * 2 - 1)) if spread == 2 else up + spread * (i % 2 * 2 - 1), "FAIL" if i < failed else "OK")]
+        legs += [(2 * i + k, *x) for k, x in enumerate(pair if i < led else pair[::-1])]
+    df = rows(spark, "id long, direction string, latency_ms int, outcome string", *[(a, b, int(c), o) for a, b, c, o in legs])
+    pairs = rows(spark, "first_id long, second_id long", *[(2 * i, 2 * i + 1) for i in range(n)])
+    r = studies.asymmetry(pairs, df).first()
+    assert r["gate"] == gate and r["up_failed"] == failed and r["down_ms"] == 100
+
+
+def test_values_are_confirmed_alike_in_streams(spark, tmp_path):
+    values = [("d", i, i * 1000, "ab"[i // 7 % 2] if i % 4 else None) for i in range(60)] + [("e", 99, 0, "a"), ("e", 100, 4999, "a"), ("e", 101, 5000, "a"), ("e", 102, 5001, "b"), ("e", 103, 5002, "a"), ("e", 104, 10002, "a")]
+    df = rows(spark, "d string, id long, t long, v string", *values)
+    want = {tuple(r) for r in devices.confirmed(df, ["d"], "t", "v", ["t", "id"], 5000).collect()}
+    assert ("e", "a", 0, 5000) in want and len([w for w in want if w[0] == "e"]) == 1 and len(want) > 4
+    for part in (df.where("t < 5001"), df.where("t >= 5001")):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = pipelines.confirmed_stream(stream, ["d"], "t", "v", 5000).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    out.awaitTermination(120)
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("d", "v", "since_ms", "at_ms").collect()} == want
+
+
+def test_faults_freshness_and_kinds(spark):
+    f = rows(spark, "d string, end_ms long", ("d", 100), ("d", 900000), ("d", 950000))
+    out = [(r["end_ms"], r["active"], r["place"]) for r in devices.order_faults(f, ["d"], F.lit(1000000 + 800000)).orderBy("place").collect()]
+    assert out == [(950000, True, 1), (900000, False, 2), (100, False, 3)] and devices.order_faults(f, ["d"], F.lit(86400101)).count() == 2
+    r = devices.freshness(rows(spark, "signal_ms long, service_ms long, cell_ms long", (985000, 399999, None)), F.lit(1000000)).first()
+    assert (r["signal_stale"], r["service_stale"], r["cell_stale"]) == (False, True, True)
+    kinds = rows(spark, "c string", ("Slaac failed",), ("unknown",), ("unknown address",), ("refused",), (None,)).select(devices.fault_kind(F.col("c"))).collect()
+    assert [k[0] for k in kinds] == ["IPV6_CONFIG_FAILURE", "UNKNOWN", "IPV6_CONFIG_FAILURE", "REPEATED_SETUP_FAILURE", "REPEATED_SETUP_FAILURE"]
+
+
+def test_tagged_lines_and_formats(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/h1").write_text('{"period": 1}\n{"k": "r", "n": 2}\n{"k": "r", "n"\n{"k": "p", "ok": 3}\n')
+    (tmp_path / "h2").write_text('{"k": "r", "n": 5}\nnoise\n{"k": "z", "n": 7}\n')
+    found = tables.read_tagged(spark, str(tmp_path), {"r": "n long", "p": "ok long"})
+    assert sorted(r["n"] for r in found["r"].collect()) == [2, 5] and [r["ok"] for r in found["p"].collect()] == [3]
+    cells, stats, names = rows(spark, "network string, area string", ("1-1", "12")), rows(spark, "cells_seen long", (1,)), rows(spark, "plmn string, name string", ("1-1", "a"))
+    tables.publish_shared_map(cells, stats, names, str(tmp_path / "map"))
+    assert [r["cell"] for r in tables.read_shared_map(spark, str(tmp_path / "map")).collect()] == [12]
+    with pytest.raises(ValueError):
+        tables.read_shared_map(spark, str(tmp_path / "map"), "another")
