@@ -31,8 +31,8 @@ def adaptive_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, d = F.col("id"), F.col("device_id")
     res = hexgrid.res_for_accuracy((10 + i % 350).cast("double"), F.lit(1.25))
     lat, lng = 1.25 + d % 9 * 0.0006 + i % 5 * 0.0005, 103.6 + d % 7 * 0.0006 + i % 3 * 0.0005
-    cell = F.when(res == 10, hexgrid.cell_of(lat, lng, 10)).when(res == 9, hexgrid.cell_of(lat, lng, 9)).when(res == 8, hexgrid.cell_of(lat, lng, 8))
-    rows = domain.radio(spark, sf_dir).withColumn("cell", cell).where("cell is not null").withColumn("w", (1000 + i % 7000).cast("long")).withColumn("ok", i % 5 != 0)
+    placed = hexgrid.with_cell(domain.radio(spark, sf_dir).withColumn("_res", res).where("_res is not null"), "cell", lat, lng, F.col("_res"))
+    rows = placed.withColumn("w", (1000 + i % 7000).cast("long")).withColumn("ok", i % 5 != 0)
     leaves = rows.groupBy("cell", "plmn").agg(F.count("*").alias("n"), F.sum("w").alias("ms"), F.sum(F.col("w") * F.col("w")).alias("ms_sq"), F.sum(F.when(F.col("ok"), F.col("w")).otherwise(0)).alias("validated_ms"))
     outcome = lambda b: b.withColumn("outcome", F.when(F.col("n") < bins.MIN_SAMPLES, "UNSURVEYED").when(F.col("validated_ms") < 0.8 * F.col("ms"), "ROUTE_LOSS").otherwise("LTE"))
     out = merge.adaptive_merge(leaves, rows.select("cell", "plmn", F.col("device_id").alias("device")), outcome)
