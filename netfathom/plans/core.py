@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,25 @@ def parent_sql(cell: str, level: int) -> str:
     return f"({hexgrid.TAG + ((level - 1) << 56)} + (({a} + 268435456) % 268435456) * 268435456 + (({b} + 268435456) % 268435456))"
 
 
+def feature_sql(cell: str, res: int, properties: dict[str, bool]) -> str:
+    """A bin of a resolution as a GeoJSON feature, in SQL. The properties tell whether they are numbers."""
+    ax, bx, ay, by = hexgrid.basis(res)
+    part = lambda v: f"(({v} + 134217728) % 268435456 - 134217728)"
+    q, r = part(f"(({cell} - {hexgrid.TAG + (res << 56)}) // 268435456)"), part(f"(({cell} - {hexgrid.TAG + (res << 56)}) % 268435456)")
+    x, y = f"({ax!r}::DOUBLE * {q} + {bx!r}::DOUBLE * {r})", f"({ay!r}::DOUBLE * {q} + {by!r}::DOUBLE * {r})"
+    edge, turn = hexgrid.EDGE_M * 7.0 ** ((hexgrid.FINEST - res) / 2.0), (hexgrid.FINEST - res) * hexgrid.ROTATION
+
+    def corner(k: int) -> str:
+        angle = turn + math.radians(30 + 60 * k)
+        lng = f"degrees(({x} + {edge * math.cos(angle)!r}::DOUBLE) / {hexgrid.EARTH_M!r}::DOUBLE)"
+        lat = f"degrees(2 * atan(exp(({y} + {edge * math.sin(angle)!r}::DOUBLE) / {hexgrid.EARTH_M!r}::DOUBLE)) - {math.pi / 2!r}::DOUBLE)"
+        return f"'[' || round({lng}, 6) || ',' || round({lat}, 6) || ']'"
+
+    told = " || ".join(["'\"id\":\"' || " + cell + " || '\"'", *("coalesce(" + (f"',\"{p}\":' || {p}" if number else f"',\"{p}\":\"' || {p} || '\"'") + ", '')" for p, number in properties.items())])
+    ring = " || ',' || ".join(corner(k % 6) for k in range(7))
+    return f"""'{{"type":"Feature","properties":{{' || {told} || '}},"geometry":{{"type":"Polygon","coordinates":[[' || {ring} || ']]}}}}'"""
+
+
 @query(f"SELECT id, {hex_sql('lat', 'lng', 10)} AS cell10, {hex_sql('lat', 'lng', 8)} AS cell8, {parent_sql(hex_sql('lat', 'lng', 10), 10)} AS parent9 FROM fixes")
 def hex_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = domain.fixes(spark, sf_dir)
@@ -140,10 +161,11 @@ def _fixes_in(spark: SparkSession, sf_dir: str, starts: DataFrame) -> DataFrame:
     return hexgrid.with_cell(f, "cell", F.col("lat"), F.col("lng"), 9).withColumn("speed", F.col("speed_mps"))
 
 
-def located(spark: SparkSession, sf_dir: str, df: DataFrame | None = None) -> DataFrame:
-    """Radio rows, or ``df`` with boots, with the cell and speed of their place."""
-    rows, starts = _booted(spark, sf_dir)
-    return timeline.locate(df if df is not None else rows, _fixes_in(spark, sf_dir, starts), ["device_id", "boot"], "elapsed_ms", "cell", "speed", radio.speed_window_ms(F.col("speed")))
+def located(spark: SparkSession, sf_dir: str, df: DataFrame | None = None, starts: DataFrame | None = None) -> DataFrame:
+    """Radio rows, or ``df`` with the boots of ``starts``, with the cell and speed of their place."""
+    starts = starts if starts is not None else timeline.boot_starts([domain.events(spark, sf_dir)])
+    rows = df if df is not None else timeline.assign_boot(domain.radio(spark, sf_dir), starts)
+    return timeline.locate(rows, _fixes_in(spark, sf_dir, starts), ["device_id", "boot"], "elapsed_ms", "cell", "speed", radio.speed_window_ms(F.col("speed")))
 
 
 @query(_FIXED + " SELECT id, cell, round(speed, 6) AS speed FROM located")

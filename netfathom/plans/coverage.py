@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import domain
 from ..functions import hexgrid, radio
 from ..operators import bins, intervals, rollup, studies, timeline
+from ..operators.lineage import cut
 from .core import _CHANGES, _COLD, _FIXED, _FLIPS, _WEIGHTED, _cell_changes, _round, hex_sql, located, parent_sql
 from .registry import query
 
@@ -23,14 +24,25 @@ leaves AS (SELECT cell, sub_id, count(*) AS n, CAST(sum(weight_ms) AS BIGINT) AS
   count(*) FILTER (ci <> ci_before) AS cell_changes, CAST(sum(CASE WHEN speed IS NOT NULL THEN weight_ms ELSE 0 END) AS BIGINT) AS speed_ms, sum(coalesce(speed, 0) * weight_ms) AS speed_mps_ms, CAST(sum(CASE WHEN rat = 'NR' THEN weight_ms ELSE 0 END) AS BIGINT) AS nr_ms FROM samples GROUP BY cell, sub_id)"""
 
 
+_BIN = ["device_id", "cell", "sub_id"]
+
+
+def _routed(spark: SparkSession, sf_dir: str, starts: DataFrame) -> DataFrame:
+    """Radio rows with boots, weights and the route in force."""
+    rows = timeline.time_weight(timeline.assign_boot(domain.radio(spark, sf_dir), starts), ["device_id", "sub_id", "boot"], order=["id"])
+    links = timeline.assign_boot(domain.links(spark, sf_dir), starts).groupBy("device_id", "boot", "elapsed_ms").agg(F.max_by(F.struct("transport", "validated", "not_suspended"), "id").alias("x")).select("device_id", "boot", "elapsed_ms", "x.*")
+    return timeline.asof_join(rows, links, ["device_id", "boot"], "elapsed_ms", ["transport", "validated", "not_suspended"])
+
+
+def placed_on_map(spark: SparkSession, sf_dir: str, rows: DataFrame, starts: DataFrame) -> DataFrame:
+    """Rows with boots that have a place, with it."""
+    return located(spark, sf_dir, rows, starts).where("cell is not null")
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Radio rows with boots, weights, routes, cells and changes, where they have a place."""
     starts = timeline.boot_starts([domain.events(spark, sf_dir)])
-    rows = timeline.time_weight(timeline.assign_boot(domain.radio(spark, sf_dir), starts), ["device_id", "sub_id", "boot"], order=["id"])
-    links = timeline.assign_boot(domain.links(spark, sf_dir), starts).groupBy("device_id", "boot", "elapsed_ms").agg(F.max_by(F.struct("transport", "validated", "not_suspended"), "id").alias("x")).select("device_id", "boot", "elapsed_ms", "x.*")
-    rows = timeline.asof_join(rows, links, ["device_id", "boot"], "elapsed_ms", ["transport", "validated", "not_suspended"])
-    placed = located(spark, sf_dir, rows).where("cell is not null")
-    return bins.cell_changes(placed, ["device_id", "cell", "sub_id"], "ci", ["wall_ms", "id"])
+    return bins.cell_changes(placed_on_map(spark, sf_dir, _routed(spark, sf_dir, starts), starts), _BIN, "ci", ["wall_ms", "id"])
 
 
 @query(_SAMPLES + " SELECT * REPLACE (round(speed_mps_ms, 4) AS speed_mps_ms) FROM leaves")
@@ -48,10 +60,14 @@ _PROBES = _COLD + _FIXED.replace("FROM radio\n", "FROM probes\n") + """, pb AS (
   count(*) FILTER (c.net_id <> '' AND c.cold) AS cold_n, count(*) FILTER (c.net_id <> '' AND c.cold AND c.outcome = 'FAIL') AS cold_fail FROM cold c JOIN located l ON l.id = c.id WHERE l.cell IS NOT NULL GROUP BY l.cell)"""
 
 
+def _cold_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    on_bearer = F.col("net_id") != ""
+    return timeline.mark_cold(domain.probes(spark, sf_dir), ["device_id"], on_bearer=on_bearer).withColumn("on_bearer", on_bearer)
+
+
 def _located_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cold = timeline.mark_cold(domain.probes(spark, sf_dir), ["device_id"], on_bearer=F.col("net_id") != "").withColumn("on_bearer", F.col("net_id") != "")
-    rows = timeline.assign_boot(cold, timeline.boot_starts([domain.events(spark, sf_dir)]))
-    return located(spark, sf_dir, rows).where("cell is not null")
+    starts = timeline.boot_starts([domain.events(spark, sf_dir)])
+    return placed_on_map(spark, sf_dir, timeline.assign_boot(_cold_probes(spark, sf_dir), starts), starts)
 
 
 @query(_PROBES + " SELECT * FROM pb")
@@ -100,16 +116,30 @@ SELECT cell, n, flaps, probe_n, probe_fail, cold_n, cold_fail, ok_n, p90_ms, rou
     WHEN cold_n > 0 AND (cold_n - cold_fail) / cold_n < 0.95 OR fr > 1 - 0.95::DOUBLE OR ok_n >= 3 AND p90_ms > 1500 THEN 'SLOW' WHEN nr_ms * 2 > ms THEN 'NSA' ELSE 'LTE' END AS outcome FROM wl"""
 
 
+def map_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The samples, probes and route flips that have a place, located together in one pass over the fixes and kept."""
+    starts = timeline.boot_starts([domain.events(spark, sf_dir)])
+    found = {"probe": timeline.assign_boot(_cold_probes(spark, sf_dir), starts)}
+    found["flip"] = intervals.value_changes(timeline.assign_boot(domain.links(spark, sf_dir), starts), ["device_id", "boot"], "transport", ["elapsed_ms", "id"])
+    rows = _routed(spark, sf_dir, starts).withColumn("kind", F.lit("sample"))
+    for kind, more in found.items():
+        rows = rows.unionByName(more.withColumn("kind", F.lit(kind)), allowMissingColumns=True)
+    placed = cut(placed_on_map(spark, sf_dir, rows, starts))
+    samples, probes, flips = (placed.where(F.col("kind") == k) for k in ("sample", "probe", "flip"))
+    return bins.cell_changes(samples, _BIN, "ci", ["wall_ms", "id"]), probes, flips
+
+
+def flaps_of(flips: DataFrame) -> DataFrame:
+    """(cell, flaps) of located flips of the route."""
+    return flips.groupBy("cell").agg(F.count("*").alias("flaps"))
+
+
 @query(_MAP)
 def coverage_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcome classes of all bins by the radio, the probes and the flaps of the route in them."""
-    whole = bins.combine(bins.bin_leaves(samples(spark, sf_dir), ["cell", "sub_id"]), ["cell"])
-    probes = _located_probes(spark, sf_dir)
-    links = timeline.assign_boot(domain.links(spark, sf_dir), timeline.boot_starts([domain.events(spark, sf_dir)]))
-    flips = intervals.value_changes(links, ["device_id", "boot"], "transport", ["elapsed_ms", "id"])
-    flaps = located(spark, sf_dir, flips).where("cell is not null").groupBy("cell").agg(F.count("*").alias("flaps"))
-    found = [bins.probe_bins(probes, ["cell"]), bins.latency_p90(bins.probe_latencies(probes, ["cell"]), ["cell"]), flaps]
-    for bin_ in found:
+    rows, probes, flips = map_rows(spark, sf_dir)
+    whole = bins.combine(bins.bin_leaves(rows, ["cell", "sub_id"]), ["cell"])
+    for bin_ in (bins.probe_bins(probes, ["cell"]), bins.latency_p90(bins.probe_latencies(probes, ["cell"]), ["cell"]), flaps_of(flips)):
         whole = whole.join(bin_, "cell", "left")
     out = bins.classify(bins.measures(whole))
     counts = ["flaps", "probe_n", "probe_fail", "cold_n", "cold_fail", "ok_n", "p90_ms"]
@@ -160,12 +190,36 @@ def _pingpong(spark: SparkSession, sf_dir: str) -> DataFrame:
     return studies.mark_pingpong(changes.select("device_id", "sub_id", "id", "wall_ms", "before", "ci", "churn"), ["device_id", "sub_id"], "wall_ms", "before", "ci", ["wall_ms", "id"])
 
 
-@query()
+#: Along the changes of a subscription, ``held`` are the departures of the last 30 s that nothing has closed.
+_RETURNS = _CHANGES + """, pc AS (SELECT device_id, sub_id, id, wall_ms AS t, before, ci, count(*) OVER (PARTITION BY device_id, sub_id ORDER BY wall_ms RANGE BETWEEN 120000 PRECEDING AND 120000 FOLLOWING) AS churn,
+  row_number() OVER (PARTITION BY device_id, sub_id ORDER BY wall_ms, id) AS k FROM ch),
+wk AS (SELECT device_id, sub_id, k, id, false AS is_return, [{'t': t, 'o': before}] AS held FROM pc WHERE k = 1
+  UNION ALL SELECT pc.device_id, pc.sub_id, pc.k, pc.id, len(list_filter(held, lambda h: pc.t - h.t <= 30000 AND h.o = pc.ci)) > 0,
+    list_concat(list_filter(held, lambda h: pc.t - h.t <= 30000 AND h.o <> pc.ci), CASE WHEN len(list_filter(held, lambda h: pc.t - h.t <= 30000 AND h.o = pc.ci)) > 0 THEN [] ELSE [{'t': pc.t, 'o': pc.before}] END)
+    FROM wk JOIN pc ON pc.device_id = wk.device_id AND pc.sub_id = wk.sub_id AND pc.k = wk.k + 1),
+pp AS (SELECT pc.*, wk.is_return, wk.is_return OR EXISTS (SELECT 1 FROM pc n WHERE n.device_id = pc.device_id AND n.sub_id = pc.sub_id AND n.k > pc.k AND n.t <= pc.t + 30000 AND n.ci = pc.before) AS pingpong FROM pc JOIN wk ON wk.id = pc.id)"""
+
+
+@query(_RETURNS + " SELECT id, churn, pingpong, is_return FROM pp")
 def mark_pingpong(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pingpong(spark, sf_dir).select("id", "churn", "pingpong", "is_return")
 
 
-@query()
+def _level_sql() -> str:
+    """The first level with a free control: the case's own, else 1 below, 1 above, and so on."""
+    count = lambda name, at: f"len(list_filter({name}, lambda v: v = {at}))"
+    return "CASE " + " ".join(f"WHEN {count('taken', f'c.churn + {d}')} < {count('c.free', f'c.churn + {d}')} THEN c.churn + {d}" for d in (0, -1, 1, -2, 2)) + " END"
+
+
+_MATCHED = _RETURNS + f""", ctl AS (SELECT *, row_number() OVER (PARTITION BY device_id, sub_id, churn ORDER BY t, id) AS rank FROM pp WHERE NOT is_return AND NOT pingpong),
+fr AS (SELECT device_id, sub_id, list(churn) AS free FROM ctl GROUP BY ALL),
+cs AS (SELECT pp.device_id, pp.sub_id, pp.id, churn, free, row_number() OVER (PARTITION BY pp.device_id, pp.sub_id ORDER BY t, pp.id) AS k FROM pp JOIN fr ON fr.device_id = pp.device_id AND fr.sub_id = pp.sub_id WHERE pingpong AND NOT is_return),
+tk AS (SELECT device_id, sub_id, 0::BIGINT AS k, NULL::BIGINT AS id, NULL::BIGINT AS level, CAST([] AS BIGINT[]) AS taken FROM fr
+  UNION ALL SELECT device_id, sub_id, k, id, level, CASE WHEN level IS NULL THEN taken ELSE list_append(taken, level) END FROM (SELECT c.device_id, c.sub_id, c.k, c.id, {_level_sql()} AS level, taken FROM tk JOIN cs c ON c.device_id = tk.device_id AND c.sub_id = tk.sub_id AND c.k = tk.k + 1) x),
+pairs AS (SELECT tk.device_id, tk.sub_id, tk.id AS case_id, ctl.id AS control_id FROM tk JOIN ctl ON ctl.device_id = tk.device_id AND ctl.sub_id = tk.sub_id AND ctl.churn = tk.level AND ctl.rank = len(list_filter(taken, lambda v: v = tk.level)))"""
+
+
+@query(_MATCHED + " SELECT * FROM pairs")
 def match_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return studies.match_controls(_pingpong(spark, sf_dir).where("not is_return"), ["device_id", "sub_id"], "id", "churn", "pingpong", ["wall_ms", "id"])
 

@@ -9,7 +9,7 @@ from .. import domain
 from ..functions import hexgrid
 from ..operators import devices, intervals, timeline
 from ..sources import bundles, tables
-from .core import _COLD, _round, hex_sql
+from .core import _COLD, _round, feature_sql, hex_sql
 from .registry import SQL, query
 
 
@@ -233,7 +233,7 @@ def erase_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.erase_devices(domain.radio(spark, sf_dir), domain.registrations(spark, sf_dir).where("reject_cause = 16")).select("id")
 
 
-@query()
+@query(f", fc AS (SELECT {hex_sql('lat', 'lng', 9)} AS cell, count(*) AS n FROM fixes GROUP BY 1) SELECT {feature_sql('cell', 9, {'n': True})} AS feature FROM fc")
 def geojson_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = domain.fixes(spark, sf_dir).withColumn("cell", hexgrid.cell_of(F.col("lat"), F.col("lng"), 9))
     return tables.to_geojson(f.groupBy("cell").agg(F.count("*").alias("n")), "cell", ["n"])

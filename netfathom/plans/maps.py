@@ -10,16 +10,20 @@ from ..functions import hexgrid, radio
 from ..operators import bins, devices, intervals, maps, studies, timeline
 from ..operators.lineage import cut
 from ..sources import tables
-from .core import _CHANGES, _COLD, _FLIPS, _WEIGHTED, _cell_changes, _round, _weighted, hex_sql, located, parent_sql
-from .coverage import _AREA, _MAP, _SAMPLES, _SITES, _around, _bin_hours, _located_probes, _places_of, _site_hours, samples
+from .core import _CHANGES, _COLD, _FLIPS, _WEIGHTED, _cell_changes, _round, _weighted, feature_sql, hex_sql, parent_sql
+from .coverage import _AREA, _MAP, _SAMPLES, _SITES, _around, _bin_hours, _places_of, _site_hours, flaps_of, map_rows, placed_on_map, samples
 from .registry import query
 from .signals import _TYPED, typed_probes
 
 LABEL = "CASE WHEN rat = 'LTE' THEN 'B' ELSE 'n' END || CAST(band AS VARCHAR)"
 
 
+def with_label(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("band_label", radio.band_label(F.col("rat"), F.col("band")))
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark, sf_dir).withColumn("band_label", radio.band_label(F.col("rat"), F.col("band")))
+    return with_label(samples(spark, sf_dir))
 
 
 @query(_SAMPLES + f""", lb AS (SELECT *, {LABEL} AS band_label FROM samples), un AS (SELECT cell, 'rsrp' AS measure, CAST(rsrp AS VARCHAR) AS value, weight_ms AS w FROM lb UNION ALL SELECT cell, 'sinr', CAST(sinr AS VARCHAR), weight_ms FROM lb
@@ -53,9 +57,9 @@ def merge_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_FLIPS + _places_of("flips", "f") + " SELECT cell, count(*) AS flaps FROM located_f WHERE cell IS NOT NULL GROUP BY cell")
 def located_flaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = timeline.assign_boot(domain.links(spark, sf_dir), timeline.boot_starts([domain.events(spark, sf_dir)]))
-    flips = intervals.value_changes(links, ["device_id", "boot"], "transport", ["elapsed_ms", "id"])
-    return located(spark, sf_dir, flips).where("cell is not null").groupBy("cell").agg(F.count("*").alias("flaps"))
+    starts = timeline.boot_starts([domain.events(spark, sf_dir)])
+    flips = intervals.value_changes(timeline.assign_boot(domain.links(spark, sf_dir), starts), ["device_id", "boot"], "transport", ["elapsed_ms", "id"])
+    return flaps_of(placed_on_map(spark, sf_dir, flips, starts))
 
 
 _ALL = _MAP[: _MAP.index("\nSELECT cell, n, flaps")] + f""",
@@ -74,10 +78,10 @@ mc AS (SELECT *, CASE WHEN cell_route_n = 0 AND probe_n = 0 THEN 0 WHEN susp > 0
 
 def whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Classified bins with all measures, and the samples they are made of."""
-    rows = cut(labelled(spark, sf_dir))  # ten aggregates read them
+    rows, probes, flips = map_rows(spark, sf_dir)
+    rows = cut(with_label(rows))  # ten aggregates read them
     out = bins.combine(bins.bin_leaves(rows, ["cell", "sub_id"]), ["cell"])
-    probes = cut(_located_probes(spark, sf_dir))
-    for more in (bins.probe_bins(probes, ["cell"]), bins.latency_p90(bins.probe_latencies(probes, ["cell"]), ["cell"]), located_flaps(spark, sf_dir)):
+    for more in (bins.probe_bins(probes, ["cell"]), bins.latency_p90(bins.probe_latencies(probes, ["cell"]), ["cell"]), flaps_of(flips)):
         out = out.join(more, "cell", "left")
     out = maps.bin_measures(bins.classify(bins.measures(out)), rows, ["cell"])
     return out.withColumn("cause", maps.cause()), rows
@@ -106,19 +110,24 @@ def map_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maps.map_summary(*whole(spark, sf_dir), ["cell"])
 
 
-@query(_ALL + """ SELECT cell, round(CASE WHEN outcome = 'UNSURVEYED' THEN 0.3::DOUBLE ELSE 0.34::DOUBLE + 0.46::DOUBLE * least(1, greatest(0, (log10(greatest(n, 1)) - 0.9::DOUBLE) / 2.3::DOUBLE)) END, 5) AS opacity,
-  CASE WHEN rsrp_p50 IS NULL THEN '#2a3240' WHEN rsrp_p50 >= -98 THEN '#1f9e5a' WHEN rsrp_p50 >= -108 THEN '#69b53a' WHEN rsrp_p50 >= -118 THEN '#d8b32e' WHEN rsrp_p50 >= -128 THEN '#c0562b' ELSE '#8e2f28' END AS rsrp_colour,
+_COLOURS = """CASE WHEN rsrp_p50 IS NULL THEN '#2a3240' WHEN rsrp_p50 >= -98 THEN '#1f9e5a' WHEN rsrp_p50 >= -108 THEN '#69b53a' WHEN rsrp_p50 >= -118 THEN '#d8b32e' WHEN rsrp_p50 >= -128 THEN '#c0562b' ELSE '#8e2f28' END AS rsrp_colour,
   CASE WHEN sinr_p50 IS NULL THEN '#2a3240' WHEN sinr_p50 >= 20 THEN '#2f9e6b' WHEN sinr_p50 >= 13 THEN '#46b07a' WHEN sinr_p50 >= 5 THEN '#b8862f' WHEN sinr_p50 >= 0 THEN '#a8642c' ELSE '#b03a42' END AS sinr_colour,
-  CASE WHEN anchor >= 0.95 THEN '#2f9e6b' WHEN anchor >= 0.88 THEN '#5aa85a' WHEN anchor >= 0.75 THEN '#cfa338' WHEN anchor >= 0.55 THEN '#a8642c' ELSE '#b03a42' END AS anchor_colour FROM mc""")
+  CASE WHEN anchor >= 0.95 THEN '#2f9e6b' WHEN anchor >= 0.88 THEN '#5aa85a' WHEN anchor >= 0.75 THEN '#cfa338' WHEN anchor >= 0.55 THEN '#a8642c' ELSE '#b03a42' END AS anchor_colour"""
+_PROPERTIES = ["plmn", "outcome", "n", "opacity", "rsrp_colour", "sinr_colour", "anchor_colour"]
+
+
+@query(_ALL + f""" SELECT cell, round(CASE WHEN outcome = 'UNSURVEYED' THEN 0.3::DOUBLE ELSE 0.34::DOUBLE + 0.46::DOUBLE * least(1, greatest(0, (log10(greatest(n, 1)) - 0.9::DOUBLE) / 2.3::DOUBLE)) END, 5) AS opacity,
+  {_COLOURS} FROM mc""")
 def layer_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(maps.layer_style(whole(spark, sf_dir)[0]).select("cell", "opacity", "rsrp_colour", "sinr_colour", "anchor_colour").withColumn("opacity", F.round("opacity", 5)), "opacity")
 
 
-@query()
+@query(_ALL + f""", mf AS (SELECT *, round(CASE WHEN outcome = 'UNSURVEYED' THEN 0.3::DOUBLE ELSE 0.34::DOUBLE + 0.46::DOUBLE * least(1, greatest(0, (log10(greatest(n, 1)) - 0.9::DOUBLE) / 2.3::DOUBLE)) END, 5) AS opacity, {_COLOURS} FROM mc)
+  SELECT {feature_sql('cell', 9, {c: c in ('n', 'opacity') for c in _PROPERTIES})} AS feature FROM mf""")
 def map_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bins of the map as GeoJSON features with their colours and opacity."""
     styled = maps.layer_style(whole(spark, sf_dir)[0])
-    return tables.to_geojson(styled.withColumn("opacity", F.round("opacity", 5)), "cell", ["plmn", "outcome", "n", "opacity", "rsrp_colour", "sinr_colour", "anchor_colour"])
+    return tables.to_geojson(styled.withColumn("opacity", F.round("opacity", 5)), "cell", _PROPERTIES)
 
 
 @query(_ALL + """, bh2 AS (SELECT band_label, CAST(sum(weight_ms) AS BIGINT) AS ms FROM lb GROUP BY 1) SELECT band_label, ms, round(CAST(ms AS DOUBLE) / (SELECT sum(ms) FROM bh2), 6) AS share, (SELECT CAST(sum(probe_n) AS BIGINT) FROM mc) AS probe_n, (SELECT CAST(sum(probe_fail) AS BIGINT) FROM mc) AS probe_fail, (SELECT count(DISTINCT CASE WHEN rat = 'LTE' THEN ci // 256 END) FROM lb) AS masts, (SELECT count(DISTINCT ci) FROM lb) AS cells,

@@ -9,7 +9,7 @@ from .. import domain
 from ..functions import bands, hexgrid, radio
 from ..operators import bins, merge, studies
 from .core import _CHANGES, _FIXED, _cell_changes, _round, located
-from .coverage import _pingpong
+from .coverage import _MATCHED, _pingpong
 from .registry import query
 
 _CH = ", c AS (SELECT id, rat, CASE WHEN rat = 'LTE' THEN id * 37 % 72000 ELSE 120000 + id * 7919 % 3200000 END AS channel, CASE id % 3 WHEN 0 THEN '310' WHEN 1 THEN '525' END AS mcc FROM radio)"
@@ -66,12 +66,16 @@ def handover_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return studies.handover_outcomes(_cell_changes(spark, sf_dir), fails, ["device_id"], "sub_id").select("id", "outcome")
 
 
-@query()
+@query(_MATCHED + """, arms AS (SELECT 'case' AS arm, case_id AS id FROM pairs UNION ALL SELECT 'control', control_id FROM pairs),
+ft AS (SELECT DISTINCT pc.id FROM pc JOIN probes f ON f.device_id = pc.device_id AND f.outcome = 'FAIL' AND f.wall_ms BETWEEN pc.t - 36000 AND pc.t + 6000),
+ag AS (SELECT arm, count(*) AS n, count(ft.id) AS failed, CAST(count(ft.id) AS DOUBLE) / count(*) AS share FROM arms LEFT JOIN ft ON ft.id = arms.id GROUP BY arm),
+wi AS (SELECT *, (share + 3.8416::DOUBLE / (2 * n)) / (1 + 3.8416::DOUBLE / n) AS mid, 1.96::DOUBLE * sqrt(share * (1 - share) / n + 3.8416::DOUBLE / (4.0 * n * n)) / (1 + 3.8416::DOUBLE / n) AS half FROM ag)
+SELECT arm, n, failed, round(share, 6) AS share, round(greatest(0, mid - half), 6) AS lo, round(least(1, mid + half), 6) AS hi, n >= 20 AS valid FROM wi""")
 def pingpong_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _pingpong(spark, sf_dir).where("not is_return")
     pairs = studies.match_controls(rows, ["device_id", "sub_id"], "id", "churn", "pingpong", ["wall_ms", "id"])
     fails = domain.probes(spark, sf_dir).where("outcome = 'FAIL'").select("device_id", "wall_ms")
-    return studies.case_control(pairs, rows, fails, ["device_id"])
+    return _round(studies.case_control(pairs, rows, fails, ["device_id"]), "share", "lo", "hi")
 
 
 @query("""SELECT count(DISTINCT (plmn, ci // 256)) AS masts, count(DISTINCT (plmn, ci // 256, band, wall_ms // 3600000 % 24)) AS slots, count(*) AS samples, (SELECT count(*) FROM radio WHERE wall_ms > 2000000) AS behind
