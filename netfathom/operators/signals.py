@@ -164,6 +164,11 @@ def holding_sessions(rows: DataFrame, keys: list[str], t: str, order: list[str])
     sig = F.when(F.coalesce("active", F.lit(False)), F.coalesce("trigger", F.lit("")))
     cut = _islands(rows.withColumn("_s", sig).withColumn("_end", F.coalesce(F.lead(t).over(by), F.col(t))).withColumn("_was", F.lag("_s").over(by)), keys, order, ~F.col("_s").eqNullSafe(F.col("_was")) | F.col("_was").isNull() & F.col("_s").isNull()).where("_s is not null")
     out = cut.groupBy(*keys, "_island", F.col("_s").alias("trigger")).agg(F.min(t).alias("start_ms"), F.max("_end").alias("_end"), F.count_if("sent").alias("_sent"))
+    return measured_holds(out, keys)
+
+
+def measured_holds(out: DataFrame, keys: list[str]) -> DataFrame:
+    """The holds (keys, trigger, start_ms, _end, _sent) that last a keep-alive at least, with their measures."""
     held = F.col("_end") - F.col("start_ms")
     out = out.withColumn("held_ms", held).where(F.col("held_ms") >= KEEPALIVE_MS).withColumn("warm_ms", F.least(F.col("held_ms"), F.col("_sent") * KEEPALIVE_MS))
     return out.select(*keys, "trigger", "start_ms", "held_ms", "warm_ms", F.least(F.lit(1.0), F.col("warm_ms") / F.col("held_ms")).alias("coverage"), (F.col("held_ms") > DORMANCY_MS).cast("long").alias("gaps_lower"), F.floor(F.col("held_ms") / DORMANCY_MS).alias("gaps_upper"))

@@ -135,3 +135,30 @@ def confirmed_stream(stream: DataFrame, keys: list[str], t: str, value: str, dwe
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, value]) + ", since_ms long, at_ms long"
     return stream.groupBy(*keys).applyInPandasWithState(run, schema, f"now {kinds[value]}, since long, told {kinds[value]}", "append", "NoTimeout")
+
+
+def holding_stream(stream: DataFrame, keys: list[str], t: str) -> DataFrame:
+    """The holds of ``signals.holding_sessions`` as they end: a hold is told when a row that is not of it comes. State per key:
+    the trigger, start and sent keep-alives of the open hold; the rows of a micro-batch are taken in order of time."""
+    import pandas as pd
+
+    from ..operators.signals import measured_holds
+
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
+
+    def run(key, batches, state):
+        rows = pd.concat(list(batches)).sort_values(t, kind="stable")
+        trigger, since, sent = state.get if state.exists else (None, None, 0)
+        out = []
+        for at, active, found, keepalive in zip(rows[t].tolist(), rows["active"].tolist(), rows["trigger"].tolist(), rows["sent"].tolist()):
+            found = (found if isinstance(found, str) else "") if active is True else None
+            if found != trigger:
+                if trigger is not None:
+                    out.append((*key, trigger, since, at, sent))
+                trigger, since, sent = found, at, 0
+            sent += keepalive is True
+        state.update((trigger, since, sent))
+        yield pd.DataFrame(out, columns=[*keys, "trigger", "start_ms", "_end", "_sent"])
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", trigger string, start_ms long, _end long, _sent long"
+    return measured_holds(stream.groupBy(*keys).applyInPandasWithState(run, schema, "trigger string, since long, sent long", "append", "NoTimeout"), keys)

@@ -1,5 +1,7 @@
 """Rows on both sides of the constants of signals, maps, predictions and sessions."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,3 +174,17 @@ def test_tagged_lines_and_formats(spark, tmp_path):
     assert [r["cell"] for r in tables.read_shared_map(spark, str(tmp_path / "map")).collect()] == [12]
     with pytest.raises(ValueError):
         tables.read_shared_map(spark, str(tmp_path / "map"), "another")
+
+
+def test_holds_end_alike_in_streams(spark, tmp_path):
+    rows = [(i % 2, i * 1500, i % 40 < 31, None if i % 23 == 0 else "ab"[i // 20 % 2], None if i % 5 == 0 else i % 3 > 0) for i in range(240)]
+    rows += [(d, 400000, None if d else False, "a", True) for d in (0, 1)]  # ends what is open
+    schema = "d int, t long, active boolean, trigger string, sent boolean"
+    for k in range(0, len(rows), 61):
+        spark.createDataFrame(rows[k : k + 61], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)  # files are read in order of their times
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = pipelines.holding_stream(stream, ["d"], "t").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    out.awaitTermination(60)
+    want = signals.holding_sessions(spark.createDataFrame(rows, schema), ["d"], "t", ["t"])
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, want.collect())) and want.count() > 4
