@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import percentiles, weighted_hist
+from ..functions.stats import percentiles, weighted_hist, wilson
 from .intervals import _islands
 from .ordered import in_order
 
@@ -211,15 +211,36 @@ def handover_outcomes(changes: DataFrame, failures: DataFrame, keys: list[str],
     return out.withColumn("outcome", F.when(F.col("_back").isNotNull(), "ping-pong").when(F.col("_failed").isNotNull(), "failed").otherwise("clean")).drop("_failed", "_back")
 
 
-def case_control(pairs: DataFrame, changes: DataFrame, failures: DataFrame, keys: list[str], least: int = 20) -> DataFrame:
-    """(arm, n, failed, share, lo, hi, valid) of cases and controls: those with a failure from 36 s before to 6 s after."""
-    from ..functions.stats import wilson
+def _near_failures(changes: DataFrame, failures: DataFrame, keys: list[str]) -> DataFrame:
+    """(id, _f) of changes with a failure from 36 s before to 6 s after."""
     from .intervals import bucketed_range_join
 
     spans = changes.select("id", *keys, (F.col("wall_ms") - 36000).alias("lo"), (F.col("wall_ms") + 6000).alias("hi"))
-    failed = bucketed_range_join(failures, spans, keys, "wall_ms", "lo", "hi", 60000).select("id", F.lit(1).alias("_f")).distinct()
+    return bucketed_range_join(failures, spans, keys, "wall_ms", "lo", "hi", 60000).select("id", F.lit(1).alias("_f")).distinct()
+
+
+def case_control(pairs: DataFrame, changes: DataFrame, failures: DataFrame, keys: list[str], least: int = 20) -> DataFrame:
+    """(arm, n, failed, share, lo, hi, valid) of cases and controls: those with a failure from 36 s before to 6 s after."""
+    failed = _near_failures(changes, failures, keys)
     arms = pairs.select(F.lit("case").alias("arm"), F.col("case_id").alias("id")).union(pairs.select(F.lit("control"), "control_id"))
     g = arms.join(failed, "id", "left").groupBy("arm").agg(F.count("*").alias("n"), F.count("_f").alias("failed"))
     share = F.col("failed") / F.col("n")
     ci = wilson(share, F.col("n"))
     return g.select("arm", "n", "failed", share.alias("share"), ci["lo"].alias("lo"), ci["hi"].alias("hi"), (F.col("n") >= least).alias("valid"))
+
+
+def verdicts(pairs: DataFrame, changes: DataFrame, failures: DataFrame, keys: list[str], least: int = 20) -> DataFrame:
+    """(label, pairs, case_failed, control_failed, case_churn, control_churn, verdict) over all pairs and over those whose case is of
+    one kind, sector or mast. Fewer than ``least`` pairs, or no failure in either arm, are invalid; else the arms differ if
+    their intervals are apart. The churns are medians."""
+    failed = _near_failures(changes, failures, keys)
+    both = pairs.select("case_id", "control_id").join(changes.select(F.col("id").alias("case_id"), "kind", F.col("churn").alias("case")), "case_id").join(changes.select(F.col("id").alias("control_id"), F.col("churn").alias("control")), "control_id")
+    for arm in ("case", "control"):
+        both = both.join(failed.select(F.col("id").alias(f"{arm}_id"), F.col("_f").alias(f"_{arm}")), f"{arm}_id", "left")
+    rows = both.withColumn("label", F.explode(F.array(F.lit("overall"), "kind"))).where("label in ('overall', 'sector', 'mast')")
+    g = rows.groupBy("label").agg(F.count("*").alias("pairs"), F.count("_case").alias("case_failed"), F.count("_control").alias("control_failed"))
+    for arm in ("case", "control"):
+        g = g.join(percentiles(weighted_hist(rows, ["label"], arm), ["label"], arm, "E", **{f"{arm}_churn": 0.5}), "label")
+    a, b = (wilson(F.col(f"{arm}_failed") / F.col("pairs"), F.col("pairs")) for arm in ("case", "control"))
+    invalid = (F.col("pairs") < least) | (F.col("case_failed") + F.col("control_failed") == 0)
+    return g.withColumn("verdict", F.when(invalid, "invalid").when(a["lo"] > b["hi"], "harmful").when(a["hi"] < b["lo"], "protective").otherwise("no association"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import domain
 from ..functions import bands, hexgrid, radio
 from ..operators import bins, merge, studies
+from ..operators.lineage import cut
 from .core import _CHANGES, _FIXED, _cell_changes, _round, located
 from .coverage import _MATCHED, _pingpong
 from .registry import query
@@ -78,6 +79,31 @@ def pingpong_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(studies.case_control(pairs, rows, fails, ["device_id"]), "share", "lo", "hi")
 
 
+def _wilson_sql(failed: str, sign: str) -> str:
+    share = f"(CAST({failed} AS DOUBLE) / n)"
+    return f"{'least(1, ' if sign == '+' else 'greatest(0, '}(({share} + 3.8416::DOUBLE / (2 * n)) {sign} 1.96::DOUBLE * sqrt({share} * (1 - {share}) / n + 3.8416::DOUBLE / (4.0 * n * n))) / (1 + 3.8416::DOUBLE / n))"
+
+
+@query(_MATCHED + f""", kd AS (SELECT id, ci, lag(rat) OVER w AS rat0, rat, lag(ci) OVER w AS ci0 FROM radio WINDOW w AS (PARTITION BY device_id, sub_id ORDER BY wall_ms, id)),
+kn AS (SELECT id, CASE WHEN rat <> 'LTE' OR rat0 <> 'LTE' THEN 'undecomposable' WHEN ci // 256 = ci0 // 256 THEN 'sector' ELSE 'mast' END AS kind FROM kd),
+ft AS (SELECT DISTINCT pc.id FROM pc JOIN probes f ON f.device_id = pc.device_id AND f.outcome = 'FAIL' AND f.wall_ms BETWEEN pc.t - 36000 AND pc.t + 6000),
+pr AS (SELECT kind, a.churn AS case_churn, b.churn AS control_churn, case_id IN (SELECT id FROM ft) AS case_f, control_id IN (SELECT id FROM ft) AS control_f FROM pairs JOIN kn ON kn.id = case_id JOIN pc a ON a.id = case_id JOIN pc b ON b.id = control_id),
+lb AS (SELECT 'overall' AS label, * FROM pr UNION ALL SELECT kind, * FROM pr WHERE kind IN ('sector', 'mast')),
+gr AS (SELECT label, count(*) AS n, count(*) FILTER (case_f) AS a, count(*) FILTER (control_f) AS b, list_sort(list(case_churn)) AS ca, list_sort(list(control_churn)) AS cb FROM lb GROUP BY label)
+SELECT label, n AS pairs, a AS case_failed, b AS control_failed, ca[n // 2 + 1] AS case_churn, cb[n // 2 + 1] AS control_churn,
+  CASE WHEN n < 20 OR a + b = 0 THEN 'invalid' WHEN {_wilson_sql('a', '-')} > {_wilson_sql('b', '+')} THEN 'harmful' WHEN {_wilson_sql('a', '+')} < {_wilson_sql('b', '-')} THEN 'protective' ELSE 'no association' END AS verdict FROM gr""")
+def pingpong_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's verdicts over all pairs, and over returns between sectors of a mast and between masts."""
+    by = Window.partitionBy("device_id", "sub_id").orderBy("wall_ms", "id")
+    known = domain.radio(spark, sf_dir).withColumns({"_rat": F.lag("rat").over(by), "_ci": F.lag("ci").over(by)})
+    mast = lambda c: F.floor(F.col(c) / 256)
+    kinds = known.select("id", F.when((F.col("rat") != "LTE") | (F.col("_rat") != "LTE"), "undecomposable").when(mast("ci") == mast("_ci"), "sector").otherwise("mast").alias("kind"))
+    rows = cut(_pingpong(spark, sf_dir).where("not is_return").join(kinds, "id"))  # the pairs and both arms read them
+    pairs = studies.match_controls(rows, ["device_id", "sub_id"], "id", "churn", "pingpong", ["wall_ms", "id"])
+    fails = domain.probes(spark, sf_dir).where("outcome = 'FAIL'").select("device_id", "wall_ms")
+    return studies.verdicts(pairs, rows, fails, ["device_id"])
+
+
 @query("""SELECT count(DISTINCT (plmn, ci // 256)) AS masts, count(DISTINCT (plmn, ci // 256, band, wall_ms // 3600000 % 24)) AS slots, count(*) AS samples, (SELECT count(*) FROM radio WHERE wall_ms > 2000000) AS behind
   FROM radio WHERE wall_ms <= 2000000 AND rat = 'LTE'""")
 def site_status(spark: SparkSession, sf_dir: str) -> DataFrame:

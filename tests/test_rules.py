@@ -188,3 +188,16 @@ def test_holds_end_alike_in_streams(spark, tmp_path):
     out.awaitTermination(60)
     want = signals.holding_sessions(spark.createDataFrame(rows, schema), ["d"], "t", ["t"])
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, want.collect())) and want.count() > 4
+
+
+@pytest.mark.parametrize(("n", "bad", "verdict"), [(19, 19, "invalid"), (20, 0, "invalid"), (20, 1, "no association"), (20, 20, "harmful")])
+def test_verdicts_need_pairs_and_failures(spark, n, bad, verdict):
+    kinds = ["sector", "undecomposable"]
+    values = [(2 * i + k, f"d{2 * i + k}", 100000, i, kinds[i % 2]) for i in range(n) for k in (0, 1)]
+    changes = rows(spark, "id long, d string, wall_ms long, churn long, kind string", *values)
+    fails = rows(spark, "d string, wall_ms long", ("other", 0), *[(f"d{2 * i}", 64000 if i % 2 else 106000) for i in range(bad)], *[(f"d{2 * i + 1}", 106001) for i in range(n)])
+    pairs = rows(spark, "case_id long, control_id long", *[(2 * i, 2 * i + 1) for i in range(n)])
+    found = {r["label"]: r for r in studies.verdicts(pairs, changes, fails, ["d"]).collect()}
+    whole = found["overall"]
+    assert set(found) == {"overall", "sector"} and (whole["pairs"], whole["case_failed"], whole["control_failed"], whole["verdict"]) == (n, bad, 0, verdict)
+    assert whole["case_churn"] == n // 2 and found["sector"]["pairs"] == (n + 1) // 2
