@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, quality_classifier
+from . import katz, pii, quality_classifier
 from .chat_format import format_chats, parameter_table
 from .decontamination import contamination
+from .divergence import LEAST_DOCS, PARTS, SMOOTH, TOP, divergence
 from .jaccard_join import jaccard_components
 from .language_id import held_out, identify, learn
 from .packing import pack
 from .quality_rules import COMMON, COMMON_LEAST, MOST_LOST, SHORT, line_rules
 from .shared import table
+from .spelling import DOMINATES, LEAST_COUNT, LEAST_LETTERS, SLIPS, spelling_variants
 from .token_counts import token_counts
 from .url_filters import LINK, MENU, filter_urls, rule_table
 
@@ -106,6 +108,21 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES)).drop("trust", "distrust")
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = katz.learn(docs.where(~katz.held_out(docs["doc_id"])))
+    scored = katz.score(docs, model)
+    return scored.withColumn("held_out", katz.held_out(scored["doc_id"]))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_chat_formatting": op2_chat_formatting,
@@ -117,6 +134,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_packing": op9_packing,
     "op10_url_filters": op10_url_filters,
+    "op11_lm_scoring": op11_lm_scoring,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _FOLDED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -129,6 +149,8 @@ def _quoted(pattern: str) -> str:
 #: A JSON value as text, numbers without trailing zeros.
 _NUMBER = r"regexp_replace(CAST({} AS VARCHAR), '^(-?[0-9]+)(?:\.0+|(\.[0-9]*[1-9])0*)$', '\1\2')"
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: The letters U+00C0 to U+00FF, and ASCII characters that no lower-cased word has, as the edit distance counts bytes.
+_WIDE, _NARROW = "".join(map(chr, range(0xC0, 0x100))), "".join(chr(i) for i in range(0x21, 0x7F) if not chr(i).islower() and chr(i) not in "'\\")[:64]
 SQL: dict[str, str] = {
     "op3_benchmark_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -208,4 +230,33 @@ al AS (SELECT d.doc_id, len(w) AS n_words, coalesce(length(array_to_string(w, ''
   FROM d LEFT JOIN rp ON rp.doc_id = d.doc_id LEFT JOIN pl ON pl.doc_id = d.doc_id),
 bs AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM al)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * stay >= {100 - MOST_LOST} * whole AS kept, CASE WHEN whole > 0 THEN CAST(stay AS DOUBLE) / whole ELSE 0 END AS share_left FROM bs""",
+    "op12_source_divergence": rf"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS k, regexp_extract_all({_FOLDED.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT lang, source, k, unnest(w) AS term FROM d),
+kp AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT k) >= {LEAST_DOCS}),
+gr AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kp GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kp USING (lang, term) GROUP BY ALL),
+tt AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL),
+p AS (SELECT gr.lang, gr.source, kp.term, coalesce(c.n, 0) AS n, 1 + {PARTS} * (coalesce(c.n, 0) + {SMOOTH}) // (coalesce(tt.n, 0) + {SMOOTH} * v.v) AS p, 1 + {PARTS} * (kp.n + {SMOOTH}) // (v.n + {SMOOTH} * v.v) AS q
+  FROM gr JOIN kp USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = gr.lang AND c.source = gr.source AND c.term = kp.term LEFT JOIN tt ON tt.lang = gr.lang AND tt.source = gr.source),
+pr AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+al AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(pr.value, 0) AS BIGINT) AS value FROM gr a JOIN gr b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pr ON pr.lang = a.lang AND pr.source = a.source AND pr.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM al) WHERE part = 'pair' OR rank <= {TOP}""",
+    # crc32 by its table; words meet by common deletions here
+    "op13_spelling_variants": rf"""
+WITH RECURSIVE cr AS (SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+rn AS (SELECT doc_id, unnest(regexp_extract_all({_FOLDED.format("coalesce(text, '')")}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS r FROM documents),
+ct AS (SELECT doc_id, r, count(*) AS n FROM rn WHERE length(r) >= {LEAST_LETTERS} GROUP BY ALL),
+bt AS (SELECT r, n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [192 | (unicode(x) >> 6), 128 | (unicode(x) & 63)] END)) AS b FROM ct),
+ha AS (SELECT r, n, xor(list_reduce(list_transform(list_prepend(4294967295, b), lambda x: CAST(x AS BIGINT)), lambda c, x: xor(c >> 8, tab[1 + (xor(c, x) & 255)])), 4294967295) AS h FROM bt, cr),
+wd AS (SELECT CASE WHEN h % {SLIPS} = 0 THEN left(r, CAST(h % length(r) AS BIGINT)) || substr(r, CAST(h % length(r) AS BIGINT) + 2) ELSE r END AS word, n FROM ha),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n, translate(word, '{_WIDE}', '{_NARROW}') AS k FROM wd WHERE length(word) >= {LEAST_LETTERS} GROUP BY word HAVING sum(n) >= {LEAST_COUNT}),
+dl AS (SELECT word, n, k, k AS s FROM w UNION SELECT word, n, k, left(k, i) || substr(k, i + 2) FROM (SELECT *, unnest(range(length(k))) AS i FROM w) x),
+nr AS (SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS near_n FROM dl a JOIN dl b ON a.s = b.s AND a.k <> b.k WHERE levenshtein(a.k, b.k) = 1),
+fm AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS form, max(near_n) AS form_n FROM nr GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= {DOMINATES} * n THEN form END AS form, CASE WHEN form_n >= {DOMINATES} * n THEN form_n END AS form_n FROM w LEFT JOIN fm ON fm.word = w.word),
+rt AS (SELECT word, word AS at, form FROM f UNION ALL SELECT rt.word, f.word, f.form FROM rt JOIN f ON f.word = rt.form)
+SELECT f.word, f.form, rt.at AS root, f.n, f.n_near, f.form_n FROM f JOIN rt ON rt.word = f.word AND rt.form IS NULL""",
 }
