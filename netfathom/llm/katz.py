@@ -11,9 +11,9 @@ alpha(h) is (1 - sum of p(w | h)) / (1 - sum of p(w)) over the w seen after h, s
 leave nothing, N + 1 takes the place of N.
 
 ``learn`` keeps the model as two tables in the shared folder: words and their counts, and the bigrams of each bucket, grouped
-by history. A history is dealt to a bucket, a frequent one (of at least 1 in 2**16 tokens) by its bigrams, whose sums are
-added up; the number of frequent words, histories and bigrams is bounded by their least share, and so is what is broadcast of
-them. ``score`` evaluates frequent words and bigrams where the text is read; all other tokens go to their bucket, meet the
+by history. A history is dealt to a bucket, a frequent one by its bigrams, whose sums are
+added up; the number of frequent words, histories and bigrams is bounded (``WORDS``, ``HISTORIES``, ``BIGRAMS``), and so is what
+is broadcast of them. ``score`` evaluates frequent words and bigrams where the text is read; all other tokens go to their bucket, meet the
 model there, and come back as sums by document. Rare words' counts come to the buckets by a join.
 
 Words and bigrams are told apart by 64-bit hashes. Null texts are empty (and have an end); repeated rows are learned from and
@@ -34,16 +34,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shared_folder, width
+from .shared import release, shared_folder, width
 from .textblocks import NONSPACE, U64, blocks, mix
 
 START, END = U64(0x5354415254), U64(0x454E44)
 MOST_DISCOUNTED = 5
-#: What is frequent: words, histories and bigrams of at least 1 in so many tokens, so at most so many of each.
-WORDS, HISTORIES, BIGRAMS = 1 << 20, 1 << 16, 1 << 18
-CHUNK_BYTES = 12 << 20
+#: How many words, histories and bigrams are frequent at most.
+WORDS, HISTORIES, BIGRAMS = 1 << 20, 1 << 14, 1 << 20
+CHUNK_TOKENS = 1_500_000
 CHUNK_DOCS = 60_000
-BUCKET_TOKENS = 1 << 20
+BUCKET_TOKENS = 1 << 21
 FLUSH = 1 << 20
 
 
@@ -82,17 +82,28 @@ def good_turing(times: list[int]) -> np.ndarray:
 
 
 class Table:
-    """Values of 64-bit keys, in numpy."""
+    """Values of 64-bit keys, in numpy. Keys are hashes, so their leading bits lead to within a few places of each."""
 
     def __init__(self, keys: np.ndarray, **values: np.ndarray):
         order = np.argsort(keys)
         self.keys, self.values = keys[order], {k: v[order] for k, v in values.items()}
+        bits = max(1, len(keys).bit_length())
+        self.down = U64(64 - bits)
+        self.first = np.searchsorted(self.keys, np.arange(1 << bits, dtype=U64) << self.down).astype(np.int32 if len(keys) < 2**31 else np.int64)
+        self.first = np.append(self.first, len(keys)).astype(self.first.dtype)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each key, and whether it is there."""
         if not len(self.keys):
             return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        lead = (keys >> self.down).astype(np.int64)
+        at, end = self.first[lead], self.first[lead + 1]
+        going = np.flatnonzero(at < end)
+        while len(going):
+            going = going[self.keys[at[going]] < keys[going]]
+            at[going] += 1
+            going = going[at[going] < end[going]]
+        at = np.minimum(at, len(self.keys) - 1)
         return at, self.keys[at] == keys
 
 
@@ -101,16 +112,35 @@ def joint(h: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def _tokens(block) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of a block's texts and their bounds."""
+    """Tokens of a block's texts, and how many each has."""
     starts, ends, bounds = block.words(NONSPACE)
     words = block.spans(block.hashed(True), starts, ends)
     out = np.empty(len(words) + block.n, U64)
     at = bounds + np.arange(block.n + 1)
-    last = at[1:] - 1
     is_end = np.zeros(len(out), bool)
-    is_end[last] = True
+    is_end[at[1:] - 1] = True
     out[is_end], out[~is_end] = END, words
-    return out, at
+    return out, np.diff(at)
+
+
+def _chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(row of the first, number of texts, tokens, bounds) of at most ``CHUNK_TOKENS`` in ``CHUNK_DOCS`` texts, or of one text."""
+    kept, lo, docs, held = [], 0, 0, 0
+
+    def out():
+        return lo, docs, np.concatenate([t for t, _ in kept]), np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in kept]))])
+
+    for part in range(0, len(column), CHUNK_DOCS):
+        for block in blocks(column.slice(part, CHUNK_DOCS)):
+            tokens, n = _tokens(block)
+            if kept and (held + len(tokens) > CHUNK_TOKENS or docs + block.n > CHUNK_DOCS):
+                yield out()
+                lo, kept, docs, held = lo + docs, [], 0, 0
+            kept.append((tokens, n))
+            docs += block.n
+            held += len(tokens)
+    if kept:
+        yield out()
 
 
 def _histories(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -137,7 +167,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([pa.array(u.view(np.int64)), pa.array(total)], names=["w", "c"])
 
     for batch in batches:
-        for block in blocks(batch.column(0), CHUNK_BYTES):
+        for block in blocks(batch.column(0)):
             kept.append(_sums(_tokens(block)[0]))
             held += len(kept[-1][0])
             if held > FLUSH:
@@ -159,42 +189,36 @@ class Dealer:
         return (by % U64(self.buckets)).astype(np.int32), hot
 
 
-def _chunks(column: pa.Array) -> Iterator:
-    """Blocks of at most ``CHUNK_BYTES`` and ``CHUNK_DOCS`` texts, with the first text's row."""
-    for lo in range(0, len(column), CHUNK_DOCS):
-        for block in blocks(column.slice(lo, CHUNK_DOCS), CHUNK_BYTES):
-            yield lo + block.rows[0], block
-
-
 PAIRS = "bucket int, kind tinyint, h binary, w binary, c binary, w1 long, c1 long"
 _PAIRS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("h", pa.binary()), ("w", pa.binary()), ("c", pa.binary()), ("w1", pa.int64()), ("c1", pa.int64())])
 
 
-def _ordered(bucket: np.ndarray, h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """An order by bucket, then history, then word."""
-    first = np.argsort(w, kind="stable")
-    first = first[np.argsort(h[first], kind="stable")]
-    return first[np.argsort(bucket[first].astype(np.int16) if len(bucket) and bucket.max() < 32768 else bucket[first], kind="stable")]
+def _by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by bucket that keeps the order within, and (bucket, from, to) in it."""
+    order = np.argsort(bucket.astype(np.int16) if len(bucket) and bucket.max() < 32768 else bucket, kind="stable")
+    b = bucket[order]
+    edges = np.append(np.flatnonzero(np.append(True, b[1:] != b[:-1])), len(b)) if len(b) else np.zeros(1, np.int64)
+    return order, [(int(b[x]), int(x), int(y)) for x, y in zip(edges[:-1], edges[1:])]
 
 
 def _bigram_counts(dealer):
-    """For each chunk and bucket, the bigrams and their counts."""
+    """For each chunk and bucket, the bigrams and their counts, by history."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, block in _chunks(batch.column(0)):
-                tokens, at = _tokens(block)
+            for _, _, tokens, at in _chunks(batch.column(0)):
                 h = _histories(tokens, at)
-                bucket, _ = dealer.value(h, tokens)
-                order = _ordered(bucket, h, tokens)
-                b, h, w = bucket[order], h[order], tokens[order]
-                new = np.ones(len(b), bool)
-                new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
-                first = np.flatnonzero(new)
-                c = np.diff(np.append(first, len(b))).astype(np.uint32)
-                b, h, w = b[first], h[first], w[first]
-                edges = np.append(np.flatnonzero(np.append(True, b[1:] != b[:-1])), len(b))
-                rows = [(int(b[x]), 0, h[x:y].tobytes(), w[x:y].tobytes(), c[x:y].tobytes(), None, None) for x, y in zip(edges[:-1], edges[1:])]
+                key = joint(h, tokens)
+                order = np.argsort(key)
+                key = key[order]
+                first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                c = np.diff(np.append(first, len(key))).astype(np.uint32)
+                h, w = h[order[first]], tokens[order[first]]
+                by_history = np.argsort(h)
+                h, w, c = h[by_history], w[by_history], c[by_history]
+                order, parts = _by_bucket(dealer.value(h, w)[0])
+                h, w, c = h[order], w[order], c[order]
+                rows = [(b, 0, h[x:y].tobytes(), w[x:y].tobytes(), c[x:y].tobytes(), None, None) for b, x, y in parts]
                 yield pa.record_batch([pa.array(x, t.type) for x, t in zip(zip(*rows), _PAIRS)], schema=_PAIRS)
 
     return run
@@ -205,12 +229,11 @@ def _rare_words(dealer, frequent):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, block in _chunks(batch.column(0)):
-                tokens, at = _tokens(block)
+            for _, _, tokens, at in _chunks(batch.column(0)):
                 rare = ~frequent.value.find(tokens)[1]
                 w = tokens[rare]
                 b, _ = dealer.value(_histories(tokens, at)[rare], w)
-                u, first = np.unique(mix(w) + b.astype(U64), return_index=True)
+                _, first = np.unique(mix(w) + b.astype(U64), return_index=True)
                 yield pa.record_batch([pa.array(b[first]), pa.array(w[first].view(np.int64))], names=["bucket", "w"])
 
     return run
@@ -251,15 +274,14 @@ def _rare_table(table: pa.Table) -> Table:
     return Table(told.column("w1").to_numpy().view(U64), c=told.column("c1").to_numpy())
 
 
-MODEL = "bucket int, kind tinyint, h binary, w binary, c binary, size binary, unseen binary, times array<long>, hot array<struct<h:long,p:double,n:long,times:array<long>>>, often array<struct<h:long,w:long,c:long>>"
+MODEL = "bucket int, kind tinyint, h binary, w binary, c binary, size binary, unseen binary, times array<long>, hot array<struct<h:long,p:double,n:long,times:array<long>>>"
 _HOT = pa.list_(pa.struct([("h", pa.int64()), ("p", pa.float64()), ("n", pa.int64()), ("times", pa.list_(pa.int64()))]))
-_OFTEN = pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int64()), ("c", pa.int64())]))
-_MODEL = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), *((c, pa.binary()) for c in ("h", "w", "c", "size", "unseen")), ("times", pa.list_(pa.int64())), ("hot", _HOT), ("often", _OFTEN)])
+_MODEL = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), *((c, pa.binary()) for c in ("h", "w", "c", "size", "unseen")), ("times", pa.list_(pa.int64())), ("hot", _HOT)])
 
 
-def _merged(both, chances: Chances, often: int):
+def _merged(both, chances: Chances):
     """One row a bucket: its histories, how many words follow each, 1 - the sum of those words' own probabilities, the words and
-    their counts; how many bigrams occur 1, 2, ... times; of frequent histories the sums of this bucket; frequent bigrams."""
+    their counts; how many bigrams occur 1, 2, ... times; and of frequent histories the sums of this bucket."""
     k = MOST_DISCOUNTED
 
     def run(table: pa.Table) -> pa.Table:
@@ -269,13 +291,13 @@ def _merged(both, chances: Chances, often: int):
         if not rows.num_rows:
             return _MODEL.empty_table()
         h, w, c = _column(rows, "h", U64), _column(rows, "w", U64), _column(rows, "c", np.uint32).astype(np.int64)
-        order = np.argsort(w, kind="stable")
-        order = order[np.argsort(h[order], kind="stable")]
-        h, w, c = h[order], w[order], c[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
-        first = np.flatnonzero(new)
+        key = joint(h, w)
+        order = np.argsort(key)
+        key, h, w, c = key[order], h[order], w[order], c[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         h, w, c = h[first], w[first], np.add.reduceat(c, first)
+        order = np.argsort(h, kind="stable")
+        h, w, c = h[order], w[order], c[order]
         single = Chances(chances.d, both.value[1], _rare_table(table))
         p = single.p(single.counts(w))
         start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
@@ -286,11 +308,9 @@ def _merged(both, chances: Chances, often: int):
         each = [np.add.reduceat((few == r).astype(np.int64), start) for r in range(1, k + 1)]
         total = np.add.reduceat(c, start)
         told = [{"h": int(h[s].view(np.int64)), "p": float(seen[i]), "n": int(total[i]), "times": [int(e[i]) for e in each]} for i, s in enumerate(start.tolist()) if hot[i]]
-        at = np.flatnonzero((c >= often) & np.repeat(hot, size))
-        many = [{"h": a, "w": b, "c": n} for a, b, n in zip(h[at].view(np.int64).tolist(), w[at].view(np.int64).tolist(), c[at].tolist())]
         times = [int((c == r).sum()) for r in range(1, k + 2)]
         bucket = rows.column("bucket")[0].as_py()
-        values = [bucket, 1, h[start].tobytes(), w.tobytes(), np.minimum(c, 2**32 - 1).astype(np.uint32).tobytes(), size.astype(np.uint32).tobytes(), (1 - seen).tobytes(), times, told, many]
+        values = [bucket, 1, h[start].tobytes(), w.tobytes(), c.tobytes(), size.astype(np.uint32).tobytes(), (1 - seen).tobytes(), times, told]
         return pa.Table.from_arrays([pa.array([v], t.type) for v, t in zip(values, _MODEL)], schema=_MODEL)
 
     return run
@@ -312,6 +332,34 @@ class Model:
     often: Table  # of frequent bigrams: log of their probability
 
 
+def _opened(dealer):
+    """(h, w, c) of the bigrams of frequent histories that occur often enough for ``least``."""
+
+    def of(least: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for h, size, w, c in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                    h, size, w, c = np.frombuffer(h, U64), np.frombuffer(size, np.uint32), np.frombuffer(w, U64), np.frombuffer(c, np.int64)
+                    own = np.flatnonzero(np.repeat(dealer.value.hot.find(h)[1], size) & (c >= least))
+                    yield pa.record_batch([pa.array(np.repeat(h, size)[own].view(np.int64)), pa.array(w[own].view(np.int64)), pa.array(c[own])], names=["h", "w", "c"])
+
+        return run
+
+    return of
+
+
+def _most_frequent(df: DataFrame, most: int) -> DataFrame:
+    """The rows of ``df`` (c) with the largest counts, ``most`` at most; counts of one eighth of a power of two stay together."""
+    level = F.floor(F.log2("c") * 8)
+    held, least = 0, 64 * 8
+    for x, n in sorted(df.groupBy(level.alias("x")).count().collect(), reverse=True):
+        held += n
+        if held > most:
+            break
+        least = x
+    return df.where(level >= least)
+
+
 def _arrays(df: DataFrame, *names: str) -> list[np.ndarray]:
     got = df.toArrow()
     return [got.column(c).to_numpy() for c in names]
@@ -328,14 +376,14 @@ def learn(docs: DataFrame) -> Model:
     got = words.agg(F.sum("c"), F.count("*"), *(F.count(F.when(F.col("c") == r, 1)) for r in few), F.max(F.when(F.col("w") == int(END.view(np.int64)), F.col("c")))).first()
     n, v, starts = got[0] or 0, got[1], got[-1] or 0
     single = _left(Discounts(good_turing(list(got[2:-1])), n), dict(zip(few, got[2:-1])), n)
-    w, c = _arrays(words.where(F.col("c") >= max(1, n // WORDS)), "w", "c")
+    w, c = _arrays(_most_frequent(words, WORDS), "w", "c")
     frequent = Table(w.view(U64), c=c)
-    hot = frequent.keys[(frequent.values["c"] >= max(1, n // HISTORIES)) & (frequent.keys != END)]
-    dealer = Dealer(max(2 * width(spark), -(-n // BUCKET_TOKENS)), np.append(hot, START))
+    own = frequent.keys[np.argsort(-frequent.values["c"], kind="stable")[:HISTORIES]]
+    dealer = Dealer(max(width(spark), -(-n // BUCKET_TOKENS)), np.append(own[own != END], START))
     both = spark.sparkContext.broadcast((dealer, frequent))
     rows = texts.mapInArrow(_bigram_counts(_First(both, 0)), PAIRS)
     needs = _answers(texts, both, words, PAIRS)
-    merged = rows.union(needs).groupBy("bucket").applyInArrow(_merged(both, Chances(single, None), max(1, n // BIGRAMS)), MODEL)
+    merged = rows.union(needs).groupBy("bucket").applyInArrow(_merged(both, Chances(single, None)), MODEL)
     merged.write.parquet(f"{folder}/pairs")
     pairs = spark.read.parquet(f"{folder}/pairs")
     times = [x or 0 for x in pairs.agg(*(F.sum(F.col("times")[r - 1]) for r in few)).first()]
@@ -345,9 +393,12 @@ def learn(docs: DataFrame) -> Model:
     lost = sum((1 - double.of[min(r, len(double.of) - 1)]) * r * x for r, x in enumerate(of, 1)) if len(h) else np.zeros(0)
     below, alpha = _divided(total, lost, 1 - p)
     hot_table = Table(h.view(U64), below=below, alpha=alpha)
-    x, y, c = _arrays(pairs.select(F.explode("often").alias("x")).select("x.*"), "h", "w", "c")
+    opened = lambda least: pairs.select("h", "size", "w", "c").mapInArrow(_opened(_First(both, 0))(least), "h long, w long, c long")
+    some = max(2, n // (4 * BIGRAMS))  # at most four times as many bigrams occur so often
+    x, y, c = _arrays(_most_frequent(opened(some), BIGRAMS), "h", "w", "c")
     at, _ = hot_table.find(x.view(U64))
     often = Table(joint(x.view(U64), y.view(U64)), p=np.log10(double(c) * c) - hot_table.values["below"][at] if len(x) else np.zeros(0))
+    release(spark)
     return Model(f"{folder}/words", f"{folder}/pairs", n, v, single, double, frequent, dealer, hot_table, often)
 
 
@@ -399,39 +450,39 @@ def _base(model, c: np.ndarray) -> np.ndarray:
 
 
 def _tiles(both, model):
-    """Per chunk: a row (kind 0) of the documents' ids and what is known at once; and for each bucket (kind 3) the bigrams to be
-    evaluated there, with their documents' numbers. Words that are not frequent are looked up in their buckets too (kind 3)."""
+    """Per chunk a row (kind 0) of the documents' ids and what is known at once; and for each bucket (kind 3) the bigrams to be
+    evaluated there, with their documents' numbers: as keys if they were learned from and their word is frequent, else by
+    history and word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         dealer, frequent = both.value
-        single = Chances(m.single, frequent)
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            ids = batch.column(0)
-            for lo, block in _chunks(batch.column(1)):
-                tokens, at = _tokens(block)
+            ids, learned = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
+            for lo, n, tokens, at in _chunks(batch.column(1)):
                 h = _histories(tokens, at)
-                doc = np.repeat(np.arange(block.n), np.diff(at))
-                c = single.counts(tokens)
-                there = c > 0
-                place, done = m.often.find(joint(h, tokens))
-                score = np.bincount(doc[done], m.often.values["p"][place[done]] if done.any() else None, block.n)
-                base = np.bincount(doc[there], _base(m, c[there]), block.n)
-                known = np.bincount(doc[there], minlength=block.n)
-                rows = [_tile(bucket=number % dealer.buckets, kind=0, chunk=number, tokens=np.diff(at).tobytes(), known=known.astype(np.int64).tobytes(), base=base.tobytes(), score=score.tobytes())]
-                told = [ids.slice(lo, block.n)]
-                rest = np.flatnonzero(~done)
-                b, _ = dealer(h[rest], tokens[rest])
-                order = _ordered(b, h[rest], tokens[rest])
-                b, rest = b[order], rest[order]
-                edges = np.append(np.flatnonzero(np.append(True, b[1:] != b[:-1])), len(b)) if len(b) else np.zeros(1, int)
+                key = joint(h, tokens)
+                order = np.argsort(key)
+                key, h, tokens = key[order], h[order], tokens[order]
+                doc = np.repeat(np.arange(n), np.diff(at))[order]
+                place, there = frequent.find(tokens)
+                base = np.bincount(doc[there], _base(m, frequent.values["c"][place[there]]), n)
+                known = np.bincount(doc[there], minlength=n)
+                place, done = m.often.find(key)
+                score = np.bincount(doc[done], m.often.values["p"][place[done]] if done.any() else None, n).astype(float)
+                rows = [_tile(bucket=number % dealer.buckets, kind=0, chunk=number, tokens=np.diff(at).tobytes(), known=known.astype(np.int64).tobytes(), base=base.astype(float).tobytes(), score=score.tobytes())]
                 d = doc.astype(np.uint16)
-                for x, y in zip(edges[:-1], edges[1:]):
-                    own = rest[x:y]
-                    rows.append(_tile(bucket=int(b[x]), kind=3, chunk=number, h=h[own].tobytes(), w=tokens[own].tobytes(), d=d[own].tobytes()))
-                    told.append(None)
-                lists = pa.array([told[0].to_pylist(), *[None] * (len(rows) - 1)], pa.list_(ids.type))
+                short = learned[lo : lo + n][doc] & there
+                for by_key in (True, False):
+                    rest = np.flatnonzero(~done & (short == by_key))
+                    at_bucket, parts = _by_bucket(dealer(h[rest], tokens[rest])[0])
+                    rest = rest[at_bucket]
+                    for b, x, y in parts:
+                        own = rest[x:y]
+                        what = {"w": key[own].tobytes()} if by_key else {"h": h[own].tobytes(), "w": tokens[own].tobytes()}
+                        rows.append(_tile(bucket=b, kind=3, chunk=number, d=d[own].tobytes(), **what))
+                lists = pa.array([ids.slice(lo, n).to_pylist(), *[None] * (len(rows) - 1)], pa.list_(ids.type))
                 yield pa.record_batch([*(pa.array(x, t) for x, (_, t) in zip(zip(*rows), _NAMES)), lists], names=[*(c for c, _ in _NAMES), "ids"])
                 number += 1
 
@@ -449,35 +500,43 @@ def _evaluated(both, model, kind: pa.DataType):
         if tiles.num_rows:
             single = Chances(m.single, both.value[1], _rare_table(table))
             own = _of_kind(table, 1)
-            heads, w, c = _column(own, "h", U64), _column(own, "w", U64), _column(own, "c", np.uint32).astype(np.int64)
+            heads, w, c = _column(own, "h", U64), _column(own, "w", U64), _column(own, "c", np.int64)
             size, unseen = _column(own, "size", np.uint32).astype(np.int64), _column(own, "unseen", np.float64)
             start = np.cumsum(size) - size
             total = np.add.reduceat(c, start) if len(c) else c
             lost = np.add.reduceat((1 - m.double(c)) * c, start) if len(c) else np.zeros(0)
-            below, alpha = _divided(total, lost, unseen)
+            below, alpha = _divided(total, lost, unseen)  # of frequent histories a part only, so their own follow
+            at, hot = m.hot.find(heads)
+            below[hot], alpha[hot] = m.hot.values["below"][at[hot]], m.hot.values["alpha"][at[hot]]
             heads_table = Table(heads, below=below, alpha=alpha)
-            pairs = Table(joint(np.repeat(heads, size), w), c=c)
+            pairs = Table(joint(np.repeat(heads, size), w), p=np.log10(m.double(c) * c) - np.repeat(below, size))
             for row in range(tiles.num_rows):
                 tile = tiles.slice(row, 1)
-                h, w, d = _column(tile, "h", U64), _column(tile, "w", U64), _column(tile, "d", np.uint16)
-                at, met = heads_table.find(h)
-                b, a = np.zeros(len(h)), np.zeros(len(h))
-                if len(heads):
-                    b[met], a[met] = heads_table.values["below"][at[met]], heads_table.values["alpha"][at[met]]
-                at, hot = m.hot.find(h)
-                if hot.any():
-                    b[hot], a[hot] = m.hot.values["below"][at[hot]], m.hot.values["alpha"][at[hot]]
-                at, seen = pairs.find(joint(h, w))
-                c2 = np.where(seen, pairs.values["c"][at] if len(pairs.keys) else 0, 0)
-                c1 = single.counts(w)
-                value = np.where(seen, np.log10(np.maximum(m.double(c2) * c2, 1e-300)) - b, a + np.log10(single.p(c1)))
-                rare = ~both.value[1].find(w)[1]
+                w, d = _column(tile, "w", U64), _column(tile, "d", np.uint16)
                 docs, at = np.unique(d, return_inverse=True)
-                sums = np.bincount(at, value, len(docs))
-                known = np.bincount(at[rare], (c1[rare] > 0).astype(float), len(docs)).astype(np.int64)
-                base = np.bincount(at[rare], _base(m, c1[rare]), len(docs))
-                none = not rare.any()
-                out.append((tile.column("chunk")[0].as_py(), docs.tobytes(), None, None if none else known.tobytes(), None if none else base.tobytes(), sums.tobytes(), None))
+                known = base = None
+                if tile.column("h")[0].as_py() is None:
+                    place, seen = pairs.find(w)
+                    if not seen.all():
+                        raise ValueError("a row was told to be learned from, but has bigrams that the model has never seen")
+                    value = pairs.values["p"][place]
+                else:
+                    h = _column(tile, "h", U64)
+                    place, seen = pairs.find(joint(h, w))
+                    c1 = single.counts(w)
+                    value = np.log10(single.p(c1))
+                    for table, name in ((m.hot, "alpha"), (heads_table, "alpha")):
+                        if len(table.keys):
+                            own, met = table.find(h)
+                            met &= ~seen & ((table is m.hot) | ~m.hot.find(h)[1])
+                            value[met] += table.values[name][own[met]]
+                    if seen.any():
+                        value[seen] = pairs.values["p"][place[seen]]
+                    rare = ~both.value[1].find(w)[1]
+                    if rare.any():
+                        known = np.bincount(at[rare], (c1[rare] > 0).astype(float), len(docs)).astype(np.int64).tobytes()
+                        base = np.bincount(at[rare], _base(m, c1[rare]), len(docs)).tobytes()
+                out.append((tile.column("chunk")[0].as_py(), docs.tobytes(), None, known, base, np.bincount(at, value, len(docs)).tobytes(), None))
         if not out:
             return schema.empty_table()
         return pa.Table.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out), schema)], schema=schema)
@@ -508,13 +567,14 @@ def _added(train: int, kind: pa.DataType):
     return run
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model, learned: Column | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_tokens, n_known (tokens that were learned from), train_tokens, base_score (log10
-    of smoothed single counts) and score (log10 of the model's probability of the text)."""
+    of smoothed single counts) and score (log10 of the model's probability of the text). ``learned`` may tell the rows that the
+    model learned from; less is sent of them, as all their bigrams are known."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     arrow = docs.select("doc_id").limit(0).toArrow().schema.field(0).type
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(learned if learned is not None else F.lit(False), F.lit(False)).alias("learned"))
     both, whole = spark.sparkContext.broadcast((model.dealer, model.frequent)), spark.sparkContext.broadcast(model)
     told = f"{TILES}, ids array<{kind}>"
     tiles = rows.mapInArrow(_tiles(both, whole), told)

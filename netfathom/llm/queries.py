@@ -110,8 +110,8 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = katz.learn(docs.where(~katz.held_out(docs["doc_id"])))
-    scored = katz.score(docs, model)
+    learned = ~katz.held_out(docs["doc_id"])
+    scored = katz.score(docs, katz.learn(docs.where(learned)), learned)
     return scored.withColumn("held_out", katz.held_out(scored["doc_id"]))
 
 
@@ -159,7 +159,7 @@ bw AS (SELECT DISTINCT item, least(10, len(w)) AS m, array_to_string(list_slice(
 dw AS (SELECT doc_id, i, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS win FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM bw) l WHERE len(w) >= m) y),
 occ AS (SELECT dw.doc_id, dw.i, dw.m, bw.item FROM dw JOIN bw ON bw.m = dw.m AND bw.win = dw.win),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + m)) AS p FROM occ) z GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM occ) u GROUP BY doc_id)
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM occ WHERE item IS NOT NULL) u GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id""",
     # pairs of hosts may be formed here: the hosts of small tables are few
