@@ -9,7 +9,9 @@ over each stretch of ``LANE`` words. Patterns of each length have tables of thei
 The benchmark is taken in portions of at most ``PORTION_BYTES`` of text, each broadcast by itself; with more than one
 portion the documents pass several times and carry what was hit.
 
-Null texts have no words. Benchmark rows with a null id or without words are left out; rows of one id are one item.
+Null texts have no words. Benchmark rows without words are left out; rows of one id are one item. The windows of a row with a
+null id hit words too, but are of no item that is counted or named. An empty table of documents gives no rows, an empty benchmark
+hits nothing. A very long text is searched as a whole, in a block of its own.
 Repeated documents are judged alike, and documents' other columns are ignored (``contamination``) or kept
 (``decontaminate``).
 """
@@ -40,24 +42,28 @@ def _pairs(words: np.ndarray) -> np.ndarray:
 
 
 class Patterns:
-    """Tables for patterns of one length: ``words`` a row of m hashes each, ``items`` the set of items of each row."""
+    """Tables for patterns of one length: ``flat`` the words of all items, ``start`` where in it each pattern begins, and the
+    numbers of its items, ``item[item_at[i]:item_at[i + 1]]``."""
 
-    def __init__(self, words: np.ndarray, items: list[frozenset[str]]):
-        self.m = m = words.shape[1]
-        last = np.stack([_pairs(w) for w in words]) if m > 1 else mix(words)
-        bits = min(24, max(16, math.ceil(math.log2(max(2, last.size))) + 4))
+    def __init__(self, m: int, flat: np.ndarray, start: np.ndarray, item_at: np.ndarray, item: np.ndarray):
+        self.m, self.flat, self.item_at, self.item = m, flat, item_at, item
+        ends = _pairs(flat) if m > 1 else mix(flat)
+        bits = min(24, max(16, math.ceil(math.log2(max(2, len(start) * m))) + 4))
         self.down = U64(64 - bits)
         self.shift = np.full(1 << bits, max(1, m - 1), np.uint8 if m < 256 else np.int32)
         for q in range(m - 1, 0 if m > 1 else -1, -1):
-            at = (last[:, q] >> self.down).astype(np.int64)
-            np.minimum.at(self.shift, at, m - 1 - q)
-        order = np.argsort(last[:, -1], kind="stable")
-        self.words, self.items = words[order], [items[i] for i in order]
-        suffix = last[order, -1]
-        self.prefix = last[order, min(1, m - 1)]
+            np.minimum.at(self.shift, (ends[start + q] >> self.down).astype(np.int64), m - 1 - q)
+        self.number = np.argsort(ends[start + m - 1], kind="stable")
+        self.start = start[self.number]
+        suffix = ends[self.start + m - 1]
+        self.prefix = ends[self.start + min(1, m - 1)]
         self.suffix, self.bucket = np.unique(suffix, return_index=True)
         self.bucket = np.append(self.bucket, len(suffix))
 
+    def items(self, pattern: int) -> np.ndarray:
+        n = self.number[pattern]
+        return self.item[self.item_at[n] : self.item_at[n + 1]]
+
     def search(self, words: np.ndarray, pairs: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Last word and pattern of each occurrence inside a document."""
         m = self.m
@@ -85,22 +91,39 @@ class Patterns:
         p, pattern = p[near], pattern[near]
         same = np.ones(len(p), bool)
         for j in range(m):
-            same &= words[p - m + 1 + j] == self.words[pattern, j]
+            same &= words[p - m + 1 + j] == self.flat[self.start[pattern] + j]
         return p[same], pattern[same]
 
 
-def _tables(rows: list[tuple[str, str]], window: int) -> list[Patterns]:
-    """The patterns of benchmark rows (id, text), by length."""
-    by: dict[int, dict[bytes, set[str]]] = {}
-    for block in blocks(pa.array([t for _, t in rows], pa.string())):
-        starts, ends, bounds = block.words(ALNUM)
-        words = block.spans(block.hashed(True), starts, ends)
-        for i, row in enumerate(block.rows):
-            own = words[bounds[i] : bounds[i + 1]]
-            m = min(window, len(own))
-            for j in range(len(own) - m + 1 if m else 0):
-                by.setdefault(m, {}).setdefault(own[j : j + m].tobytes(), set()).add(rows[row][0])
-    return [Patterns(np.frombuffer(b"".join(p), U64).reshape(-1, m), [frozenset(x) for x in p.values()]) for m, p in by.items()]
+class Tables:
+    """The patterns of benchmark rows (id, text), by length; a window of several items is one pattern. Windows of a row without
+    an id have no item."""
+
+    def __init__(self, rows: list[tuple[str | None, str]], window: int):
+        self.names, at = np.unique([i for i, _ in rows if i is not None], return_inverse=True)
+        number = np.full(len(rows), -1)
+        number[[i is not None for i, _ in rows]] = at
+        words, size = [], []
+        for block in blocks(pa.array([t for _, t in rows], pa.string())):
+            starts, ends, bounds = block.words(ALNUM)
+            words.append(block.spans(block.hashed(True), starts, ends))
+            size.append(np.diff(bounds))
+        flat = np.concatenate([*words, np.zeros(0, U64)])
+        size = np.concatenate([*size, np.zeros(0, np.int64)])
+        first, length = np.cumsum(size) - size, np.minimum(size, window)
+        self.by_length = []
+        for m in np.unique(length[length > 0]).tolist():
+            own = np.flatnonzero(length == m)
+            many = size[own] - m + 1
+            start = np.repeat(first[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            key = np.zeros(len(start), U64)
+            for j in range(m):
+                key = mix(key + flat[start + j] + U64(j + 1))
+            _, index, pattern = np.unique(key, return_index=True, return_inverse=True)
+            item = np.repeat(number[own], many)
+            pairs = np.unique(np.stack([pattern[item >= 0], item[item >= 0]]), axis=1)
+            item_at = np.searchsorted(pairs[0], np.arange(len(index) + 1))
+            self.by_length.append(Patterns(m, flat, start[index], item_at, pairs[1]))
 
 
 CARRIED = pa.struct([("words", pa.int64()), ("hit", pa.binary()), ("items", pa.list_(pa.string()))])
@@ -120,13 +143,13 @@ def _hits(tables, text: str, carried: str):
                 words = block.spans(block.hashed(True), starts, ends)
                 pairs = _pairs(words)
                 edge, told = np.zeros(len(words) + 1, np.int32), {}
-                for t in tables.value:
+                for t in tables.value.by_length:
                     p, pattern = t.search(words, pairs, bounds)
                     np.add.at(edge, p - t.m + 1, 1)
                     np.add.at(edge, p + 1, -1)
                     doc = np.searchsorted(bounds, p, "right") - 1
                     for d, k in set(zip(doc.tolist(), pattern.tolist())):
-                        told.setdefault(d, set()).update(t.items[k])
+                        told.setdefault(d, set()).update(t.items(k).tolist())
                 inside = np.cumsum(edge[:-1]) > 0
                 for i, row in enumerate(block.rows):
                     count[row] = int(bounds[i + 1] - bounds[i])
@@ -134,7 +157,7 @@ def _hits(tables, text: str, carried: str):
                         now = inside[bounds[i] : bounds[i + 1]]
                         if old[row]:
                             now = now | np.unpackbits(np.frombuffer(old[row], np.uint8), count=len(now)).astype(bool)
-                        hit[row], items[row] = np.packbits(now).tobytes(), sorted(told[i] | set(had[row] or ()))
+                        hit[row], items[row] = np.packbits(now).tobytes(), sorted({str(tables.value.names[x]) for x in told[i]} | set(had[row] or ()))
                     else:
                         hit[row], items[row] = old[row], had[row]
             new = pa.array([{"words": c, "hit": h, "items": x} for c, h, x in zip(count, hit, items)], CARRIED)
@@ -156,7 +179,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _searched(docs: DataFrame, benchmark: DataFrame, window: int, portion_bytes: int) -> tuple[DataFrame, str]:
     """``docs`` with a struct of words, hit and items, and that column's name, which no column of ``docs`` has."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     portions = 1 if total <= portion_bytes else math.ceil(2 * total / portion_bytes)
     carried = "_carried"
@@ -166,7 +189,7 @@ def _searched(docs: DataFrame, benchmark: DataFrame, window: int, portion_bytes:
     for k in range(portions):
         part = items if portions == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(portions)) == k)
         rows = [tuple(r) for r in part.toLocalIterator()]  # about half of portion_bytes
-        out = out.mapInArrow(_hits(spark.sparkContext.broadcast(_tables(rows, window)), "text", carried), out.schema)
+        out = out.mapInArrow(_hits(spark.sparkContext.broadcast(Tables(rows, window)), "text", carried), out.schema)
         if k + 1 < portions:
             out = cut(out)
     return out, carried

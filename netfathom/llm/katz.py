@@ -41,9 +41,9 @@ START, END = U64(0x5354415254), U64(0x454E44)
 MOST_DISCOUNTED = 5
 #: How many words, histories and bigrams are frequent at most.
 WORDS, HISTORIES, BIGRAMS = 1 << 20, 1 << 14, 1 << 20
-CHUNK_TOKENS = 1_500_000
+CHUNK_TOKENS = 600_000
 CHUNK_DOCS = 60_000
-BUCKET_TOKENS = 1 << 21
+BUCKET_TOKENS = 1_500_000
 FLUSH = 1 << 20
 
 
@@ -201,7 +201,7 @@ def _by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int
     return order, [(int(b[x]), int(x), int(y)) for x, y in zip(edges[:-1], edges[1:])]
 
 
-def _bigram_counts(dealer):
+def _bigram_counts(known):
     """For each chunk and bucket, the bigrams and their counts, by history."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +216,7 @@ def _bigram_counts(dealer):
                 h, w = h[order[first]], tokens[order[first]]
                 by_history = np.argsort(h)
                 h, w, c = h[by_history], w[by_history], c[by_history]
-                order, parts = _by_bucket(dealer.value(h, w)[0])
+                order, parts = _by_bucket(known.value.dealer(h, w)[0])
                 h, w, c = h[order], w[order], c[order]
                 rows = [(b, 0, h[x:y].tobytes(), w[x:y].tobytes(), c[x:y].tobytes(), None, None) for b, x, y in parts]
                 yield pa.record_batch([pa.array(x, t.type) for x, t in zip(zip(*rows), _PAIRS)], schema=_PAIRS)
@@ -224,15 +224,15 @@ def _bigram_counts(dealer):
     return run
 
 
-def _rare_words(dealer, frequent):
+def _rare_words(known):
     """(bucket, w): the words that are not frequent and the buckets where they stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, tokens, at in _chunks(batch.column(0)):
-                rare = ~frequent.value.find(tokens)[1]
+                rare = ~known.value.frequent.find(tokens)[1]
                 w = tokens[rare]
-                b, _ = dealer.value(_histories(tokens, at)[rare], w)
+                b, _ = known.value.dealer(_histories(tokens, at)[rare], w)
                 _, first = np.unique(mix(w) + b.astype(U64), return_index=True)
                 yield pa.record_batch([pa.array(b[first]), pa.array(w[first].view(np.int64))], names=["bucket", "w"])
 
@@ -279,7 +279,7 @@ _HOT = pa.list_(pa.struct([("h", pa.int64()), ("p", pa.float64()), ("n", pa.int6
 _MODEL = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), *((c, pa.binary()) for c in ("h", "w", "c", "size", "unseen")), ("times", pa.list_(pa.int64())), ("hot", _HOT)])
 
 
-def _merged(both, chances: Chances):
+def _merged(known, single_discounts: Discounts):
     """One row a bucket: its histories, how many words follow each, 1 - the sum of those words' own probabilities, the words and
     their counts; how many bigrams occur 1, 2, ... times; and of frequent histories the sums of this bucket."""
     k = MOST_DISCOUNTED
@@ -298,12 +298,12 @@ def _merged(both, chances: Chances):
         h, w, c = h[first], w[first], np.add.reduceat(c, first)
         order = np.argsort(h, kind="stable")
         h, w, c = h[order], w[order], c[order]
-        single = Chances(chances.d, both.value[1], _rare_table(table))
+        single = Chances(single_discounts, known.value.frequent, _rare_table(table))
         p = single.p(single.counts(w))
         start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         size = np.diff(np.append(start, len(h)))
         seen = np.add.reduceat(p, start)
-        hot = both.value[0].hot.find(h[start])[1]
+        hot = known.value.dealer.hot.find(h[start])[1]
         few = np.where(c <= k, c, 0)
         each = [np.add.reduceat((few == r).astype(np.int64), start) for r in range(1, k + 1)]
         total = np.add.reduceat(c, start)
@@ -316,6 +316,14 @@ def _merged(both, chances: Chances):
     return run
 
 
+@dataclass
+class Known:
+    """What the buckets of a model in the making are dealt by, and its frequent words."""
+
+    dealer: Dealer
+    frequent: Table
+
+
 @dataclass
 class Model:
     """The tables' paths, and what is broadcast: discounts, totals, frequent words, histories and bigrams."""
@@ -332,7 +340,7 @@ class Model:
     often: Table  # of frequent bigrams: log of their probability
 
 
-def _opened(dealer):
+def _opened(known):
     """(h, w, c) of the bigrams of frequent histories that occur often enough for ``least``."""
 
     def of(least: int):
@@ -340,7 +348,7 @@ def _opened(dealer):
             for batch in batches:
                 for h, size, w, c in zip(*(batch.column(i).to_pylist() for i in range(4))):
                     h, size, w, c = np.frombuffer(h, U64), np.frombuffer(size, np.uint32), np.frombuffer(w, U64), np.frombuffer(c, np.int64)
-                    own = np.flatnonzero(np.repeat(dealer.value.hot.find(h)[1], size) & (c >= least))
+                    own = np.flatnonzero(np.repeat(known.value.dealer.hot.find(h)[1], size) & (c >= least))
                     yield pa.record_batch([pa.array(np.repeat(h, size)[own].view(np.int64)), pa.array(w[own].view(np.int64)), pa.array(c[own])], names=["h", "w", "c"])
 
         return run
@@ -380,10 +388,10 @@ def learn(docs: DataFrame) -> Model:
     frequent = Table(w.view(U64), c=c)
     own = frequent.keys[np.argsort(-frequent.values["c"], kind="stable")[:HISTORIES]]
     dealer = Dealer(max(width(spark), -(-n // BUCKET_TOKENS)), np.append(own[own != END], START))
-    both = spark.sparkContext.broadcast((dealer, frequent))
-    rows = texts.mapInArrow(_bigram_counts(_First(both, 0)), PAIRS)
-    needs = _answers(texts, both, words, PAIRS)
-    merged = rows.union(needs).groupBy("bucket").applyInArrow(_merged(both, Chances(single, None)), MODEL)
+    known = spark.sparkContext.broadcast(Known(dealer, frequent))
+    rows = texts.mapInArrow(_bigram_counts(known), PAIRS)
+    needs = _answers(texts, known, words, PAIRS)
+    merged = rows.union(needs).groupBy("bucket").applyInArrow(_merged(known, single), MODEL)
     merged.write.parquet(f"{folder}/pairs")
     pairs = spark.read.parquet(f"{folder}/pairs")
     times = [x or 0 for x in pairs.agg(*(F.sum(F.col("times")[r - 1]) for r in few)).first()]
@@ -393,26 +401,14 @@ def learn(docs: DataFrame) -> Model:
     lost = sum((1 - double.of[min(r, len(double.of) - 1)]) * r * x for r, x in enumerate(of, 1)) if len(h) else np.zeros(0)
     below, alpha = _divided(total, lost, 1 - p)
     hot_table = Table(h.view(U64), below=below, alpha=alpha)
-    opened = lambda least: pairs.select("h", "size", "w", "c").mapInArrow(_opened(_First(both, 0))(least), "h long, w long, c long")
+    opened = lambda least: pairs.select("h", "size", "w", "c").mapInArrow(_opened(known)(least), "h long, w long, c long")
     some = max(2, n // (4 * BIGRAMS))  # at most four times as many bigrams occur so often
     x, y, c = _arrays(_most_frequent(opened(some), BIGRAMS), "h", "w", "c")
     at, _ = hot_table.find(x.view(U64))
     often = Table(joint(x.view(U64), y.view(U64)), p=np.log10(double(c) * c) - hot_table.values["below"][at] if len(x) else np.zeros(0))
-    release(spark)
     return Model(f"{folder}/words", f"{folder}/pairs", n, v, single, double, frequent, dealer, hot_table, often)
 
 
-class _First:
-    """One of the values of a broadcast tuple, as a broadcast has it."""
-
-    def __init__(self, of, at: int):
-        self.of, self.at = of, at
-
-    @property
-    def value(self):
-        return self.of.value[self.at]
-
-
 def _left(d: Discounts, times: dict[int, int], n: int) -> Discounts:
     """Adds what discounts leave to unseen tokens, and what is added to the total if that is nothing."""
     lost = sum((1 - d.of[min(r, len(d.of) - 1)]) * r * x for r, x in times.items())
@@ -429,9 +425,9 @@ def _divided(total: np.ndarray, lost: np.ndarray, unseen: np.ndarray) -> tuple[n
     return np.log10(np.maximum(below, 1)), np.log10(np.where(none, 1.0, lost) / np.maximum(below, 1) / unseen)
 
 
-def _answers(texts: DataFrame, both, words: DataFrame, kind: str) -> DataFrame:
+def _answers(texts: DataFrame, known, words: DataFrame, kind: str) -> DataFrame:
     """Counts of the words that are not frequent, for each bucket where they stand, as rows of the columns ``kind``."""
-    needs = texts.mapInArrow(_rare_words(_First(both, 0), _First(both, 1)), "bucket int, w long").distinct()
+    needs = texts.mapInArrow(_rare_words(known), "bucket int, w long").distinct()
     told = needs.join(words, "w").select("bucket", F.lit(2).cast("tinyint").alias("kind"), F.col("w").alias("w1"), F.col("c").alias("c1"))
     have = set(told.columns)
     return told.select(*(F.col(c.split(" ")[0]) if c.split(" ")[0] in have else F.lit(None).cast(c.split(" ")[1]).alias(c.split(" ")[0]) for c in kind.split(", ")))
@@ -449,14 +445,14 @@ def _base(model, c: np.ndarray) -> np.ndarray:
     return np.log10((c + 0.5) / (model.n + 0.5 * (model.v + 1)))
 
 
-def _tiles(both, model):
+def _tiles(model):
     """Per chunk a row (kind 0) of the documents' ids and what is known at once; and for each bucket (kind 3) the bigrams to be
     evaluated there, with their documents' numbers: as keys if they were learned from and their word is frequent, else by
     history and word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        dealer, frequent = both.value
+        dealer, frequent = m.dealer, m.frequent
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids, learned = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
@@ -489,7 +485,7 @@ def _tiles(both, model):
     return run
 
 
-def _evaluated(both, model, kind: pa.DataType):
+def _evaluated(model, kind: pa.DataType):
     """Of one bucket: the sums by chunk and document of what its bigrams score (kind 1); rows of kind 0 go through."""
     schema = pa.schema([("chunk", pa.int64()), ("d", pa.binary()), *((c, pa.binary()) for c in ("tokens", "known", "base", "score")), ("ids", pa.list_(kind))])
 
@@ -498,7 +494,7 @@ def _evaluated(both, model, kind: pa.DataType):
         out = [tuple(x[c] for c in schema.names) for x in _of_kind(table, 0).select(schema.names).to_pylist()]
         tiles = _of_kind(table, 3)
         if tiles.num_rows:
-            single = Chances(m.single, both.value[1], _rare_table(table))
+            single = Chances(m.single, m.frequent, _rare_table(table))
             own = _of_kind(table, 1)
             heads, w, c = _column(own, "h", U64), _column(own, "w", U64), _column(own, "c", np.int64)
             size, unseen = _column(own, "size", np.uint32).astype(np.int64), _column(own, "unseen", np.float64)
@@ -532,7 +528,7 @@ def _evaluated(both, model, kind: pa.DataType):
                             value[met] += table.values[name][own[met]]
                     if seen.any():
                         value[seen] = pairs.values["p"][place[seen]]
-                    rare = ~both.value[1].find(w)[1]
+                    rare = ~m.frequent.find(w)[1]
                     if rare.any():
                         known = np.bincount(at[rare], (c1[rare] > 0).astype(float), len(docs)).astype(np.int64).tobytes()
                         base = np.bincount(at[rare], _base(m, c1[rare]), len(docs)).tobytes()
@@ -575,14 +571,15 @@ def score(docs: DataFrame, model: Model, learned: Column | None = None) -> DataF
     kind = docs.schema["doc_id"].dataType.simpleString()
     arrow = docs.select("doc_id").limit(0).toArrow().schema.field(0).type
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(learned if learned is not None else F.lit(False), F.lit(False)).alias("learned"))
-    both, whole = spark.sparkContext.broadcast((model.dealer, model.frequent)), spark.sparkContext.broadcast(model)
+    release(spark)  # of what learning has shuffled
+    whole = spark.sparkContext.broadcast(model)
     told = f"{TILES}, ids array<{kind}>"
-    tiles = rows.mapInArrow(_tiles(both, whole), told)
-    answers = _answers(rows.select("text"), both, spark.read.parquet(model.words), TILES)
+    tiles = rows.mapInArrow(_tiles(whole), told)
+    answers = _answers(rows.select("text"), whole, spark.read.parquet(model.words), TILES)
     pairs = spark.read.parquet(model.pairs)
     have = set(pairs.columns) & {c for c, _ in _NAMES}
     pairs = pairs.select(*(F.col(c.split(" ")[0]) if c.split(" ")[0] in have else F.lit(None).cast(c.split(" ")[1]).alias(c.split(" ")[0]) for c in TILES.split(", ")))
     none = F.lit(None).cast(f"array<{kind}>").alias("ids")
     every = tiles.union(answers.select("*", none)).union(pairs.select("*", none))
-    sums = every.groupBy("bucket").applyInArrow(_evaluated(both, whole, arrow), f"chunk long, d binary, tokens binary, known binary, base binary, score binary, ids array<{kind}>")
+    sums = every.groupBy("bucket").applyInArrow(_evaluated(whole, arrow), f"chunk long, d binary, tokens binary, known binary, base binary, score binary, ids array<{kind}>")
     return sums.groupBy("chunk").applyInArrow(_added(model.n, arrow), f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -35,8 +35,8 @@ def _script_table() -> np.ndarray:
     """Script of each code point, from 1; 0: no letter."""
     if not _tables:
         out = np.zeros(0x110000, np.uint8)
-        letters = np.fromiter((chr(i).isalpha() for i in range(0x30000)), bool, 0x30000)
-        out[:0x30000][letters] = len(_NAMES)
+        letters = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+        out[letters] = len(_NAMES)
         for k, ranges in enumerate(SCRIPTS.values()):
             for a, b in ranges:
                 out[a : b + 1][letters[a : b + 1]] = k + 1
@@ -50,9 +50,11 @@ def _features(block) -> tuple[np.ndarray, ...]:
     data = FOLD_BYTES[block.data]
     starts, ends, bounds = block.words(NONSPACE)
     x = data.astype(np.uint32)
-    x[~NONSPACE[block.data]] = 0
-    pad = np.r_[np.zeros(2, np.uint32), x]
-    tri = pad[2:] * 0x9E3779B1 + pad[1:-1] * 0x85EBCA6B + pad[:-2] * 0xC2B2AE35
+    one, two = np.r_[np.zeros(1, np.uint32), x[:-1]][: len(x)], np.r_[np.zeros(2, np.uint32), x[:-2]][: len(x)]
+    one[starts] = two[starts] = 0  # a word's trigrams don't reach into what stands before it
+    second = starts[ends - starts > 1] + 1
+    two[second] = 0
+    tri = x * 0x9E3779B1 + one * 0x85EBCA6B + two * 0xC2B2AE35
     tri = ((tri ^ (tri >> 15)) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - BITS)
     lead = (block.data & 0xC0) != 0x80
     points = np.frombuffer(block.data.tobytes().decode().encode("utf-32-le"), np.uint32)
@@ -113,7 +115,7 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, switch: float) -> np.ndarray
     """The best label of each word: scores of the labels on its path less ``switch`` for each change. All documents of a
     block advance together, the longest first."""
     total, k = scores.shape
-    label = np.zeros(total, np.int8)
+    label = np.zeros(total, np.int16)
     n = np.diff(bounds)
     order = np.argsort(-n, kind="stable")
     order = order[n[order] > 0]
@@ -121,18 +123,18 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, switch: float) -> np.ndarray
         return label
     first, n = bounds[:-1][order], n[order]
     live = np.searchsorted(-n, -np.arange(n[0]), "left")  # documents with more than t words
-    back = np.zeros((total, k), np.int8)
-    own = np.arange(k, dtype=np.int8)
+    back = np.zeros((total, k), np.int16)
+    own = np.arange(k, dtype=np.int16)
     now = scores[first].copy()
     for t in range(1, int(n[0])):
         m = live[t]
         before = now[:m]
-        best = before.argmax(1).astype(np.int8)
+        best = before.argmax(1).astype(np.int16)
         top = before[np.arange(m), best][:, None] - switch
         stay = before >= top
         back[first[:m] + t] = np.where(stay, own, best[:, None])
         now[:m] = np.where(stay, before, top) + scores[first[:m] + t]
-    state = now.argmax(1).astype(np.int8)
+    state = now.argmax(1).astype(np.int16)
     for t in range(int(n[0]) - 1, -1, -1):
         m = live[t] if t else len(n)
         label[first[:m] + t] = state[:m]
@@ -149,7 +151,7 @@ def label_words(scores: np.ndarray, bounds: np.ndarray, switch: float) -> np.nda
     sums = np.zeros((total + 1, k))
     np.cumsum(scores, axis=0, out=sums[1:])
     best = (sums[bounds[1:]] - sums[bounds[:-1]]).argmax(1)
-    label = best[doc].astype(np.int8)
+    label = best[doc].astype(np.int16)
     mixed = np.zeros(len(n), bool)
     own = np.take_along_axis(scores, best[doc][:, None], 1)[:, 0] if total else np.zeros(0)
     start = bounds[:-1][n > 0]

@@ -234,5 +234,6 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 1, path: str | Non
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
     pieces = cut(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_pieces(path, capacity, end_id), schema))
     groups = -(-pieces.count() // group_pieces) or 1
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("long"))
+    # by their place in the checkpoint, so that repeated rows are spread too
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
     return dealt.groupBy("group").applyInArrow(_pack(capacity), schema + ", sequence_id long, offset long")

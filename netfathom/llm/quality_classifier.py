@@ -140,24 +140,10 @@ def without_copies(examples: list[tuple[int, bytes, bytes, bytes]]) -> list[tupl
     return out
 
 
-def fit(examples: list[tuple[int, bytes, bytes]], rounds: int = 300, l2: float = 2e-5, least: int = 4, telling: float = 4.0) -> Model:
-    """The least mean negative log likelihood, with a ridge. Words enter if ``least`` examples have them and their mean
-    grade is ``telling`` standard errors off the mean of all; others would only add up to noise in long texts."""
-    none = np.zeros(0)
-    grades = np.array([g for g, _, _ in examples], np.int64)
-    if len(set(grades.tolist())) < 2:
-        return Model(np.zeros(0, U64), none, np.zeros(STYLES), none)
-    style = np.stack([np.frombuffer(s, np.float32) for _, s, _ in examples]).astype(np.float64)
-    own = [np.frombuffer(w, U64) for _, _, w in examples]
-    doc = np.repeat(np.arange(len(own)), [len(w) for w in own])
-    slots, index, often = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
-    off = np.bincount(index, weights=(grades - grades.mean())[doc], minlength=len(slots)) / (grades.std() * np.sqrt(often))
-    kept = (often >= least) & (np.abs(off) >= telling)
-    doc, index = doc[kept[index]], (np.cumsum(kept) - 1)[index[kept[index]]]
-    slots = slots[kept]
-    top, n, k = int(grades.max()), len(grades), len(slots)
-    share = np.clip([(grades > g).mean() for g in range(top)], 0.002, 0.998)
-    raw = -np.log(share / (1 - share))  # thresholds that fit the grades alone
+def ordinal_loss(grades: np.ndarray, style: np.ndarray, doc: np.ndarray, index: np.ndarray, k: int, l2: float):
+    """The mean negative log likelihood and its gradient, as a function of k words' weights, the style weights, the first
+    threshold and the logs of the gaps between thresholds; and the thresholds of those. Example ``doc[i]`` has word ``index[i]``."""
+    top, n = int(grades.max()), len(grades)
     up, down = grades < top, grades > 0
 
     def thresholds(x: np.ndarray) -> np.ndarray:
@@ -179,6 +165,28 @@ def fit(examples: list[tuple[int, bytes, bytes]], rounds: int = 300, l2: float =
         g[: k + STYLES] += l2 * x[: k + STYLES]
         return float(-np.log(p).mean() + l2 / 2 * (x[: k + STYLES] ** 2).sum()), g
 
+    return loss, thresholds
+
+
+def fit(examples: list[tuple[int, bytes, bytes]], rounds: int = 300, l2: float = 2e-5, least: int = 4, telling: float = 4.0) -> Model:
+    """The least mean negative log likelihood, with a ridge. Words enter if ``least`` examples have them and their mean
+    grade is ``telling`` standard errors off the mean of all; others would only add up to noise in long texts."""
+    none = np.zeros(0)
+    grades = np.array([g for g, _, _ in examples], np.int64)
+    if len(set(grades.tolist())) < 2:
+        return Model(np.zeros(0, U64), none, np.zeros(STYLES), none)
+    style = np.stack([np.frombuffer(s, np.float32) for _, s, _ in examples]).astype(np.float64)
+    own = [np.frombuffer(w, U64) for _, _, w in examples]
+    doc = np.repeat(np.arange(len(own)), [len(w) for w in own])
+    slots, index, often = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    off = np.bincount(index, weights=(grades - grades.mean())[doc], minlength=len(slots)) / (grades.std() * np.sqrt(often))
+    kept = (often >= least) & (np.abs(off) >= telling)
+    doc, index = doc[kept[index]], (np.cumsum(kept) - 1)[index[kept[index]]]
+    slots = slots[kept]
+    top, k = int(grades.max()), len(slots)
+    share = np.clip([(grades > g).mean() for g in range(top)], 0.002, 0.998)
+    raw = -np.log(share / (1 - share))  # thresholds that fit the grades alone
+    loss, thresholds = ordinal_loss(grades, style, doc, index, k, l2)
     x = minimise(loss, np.r_[np.zeros(k + STYLES), raw[0], np.log(np.maximum(1e-2, np.diff(raw)))], rounds)
     return Model(slots, x[:k], x[k : k + STYLES], thresholds(x))
 
