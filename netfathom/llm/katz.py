@@ -107,6 +107,36 @@ class Table:
         return at, self.keys[at] == keys
 
 
+class Words(Table):
+    """The frequent words with their counts, and codes by rank for sending them: three bytes, mostly of the first two only."""
+
+    OTHER = 0xFFFFFF
+
+    def __init__(self, keys: np.ndarray, c: np.ndarray):
+        order = np.argsort(-c, kind="stable")
+        self.ranked = np.append(keys[order], START)  # a history, but no word
+        super().__init__(self.ranked, c=np.append(c[order], 0), code=np.arange(len(self.ranked), dtype=np.uint32))
+
+    def codes(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes, counts, and which are frequent words."""
+        at, there = self.find(keys)
+        return np.where(there, self.values["code"][at], np.uint32(self.OTHER)), np.where(there, self.values["c"][at], 0), there
+
+    def pack(self, keys: np.ndarray, code: np.ndarray) -> bytes:
+        return len(keys).to_bytes(8, "little") + code.astype("<u2").tobytes() + (code >> 16).astype(np.uint8).tobytes() + keys[code == self.OTHER].tobytes()
+
+    def unpack(self, data: bytes) -> np.ndarray:
+        n = int.from_bytes(data[:8], "little")
+        code = np.frombuffer(data, "<u2", n, 8).astype(np.uint32) | np.frombuffer(data, np.uint8, n, 8 + 2 * n).astype(np.uint32) << 16
+        other = code == self.OTHER
+        out = self.ranked[np.where(other, 0, code)]
+        out[other] = np.frombuffer(data, U64, int(other.sum()), 8 + 3 * n)
+        return out
+
+    def column(self, table: pa.Table, name: str) -> np.ndarray:
+        return np.concatenate([*map(self.unpack, table.column(name).to_pylist()), np.zeros(0, U64)])
+
+
 def joint(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(mix(h) + w)
 
@@ -143,10 +173,10 @@ def _chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
         yield out()
 
 
-def _histories(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _histories(tokens: np.ndarray, at: np.ndarray, start=START) -> np.ndarray:
     h = np.empty_like(tokens)
     h[1:] = tokens[:-1]
-    h[at[:-1]] = START
+    h[at[:-1]] = start
     return h
 
 
@@ -193,18 +223,21 @@ PAIRS = "bucket int, kind tinyint, h binary, w binary, c binary, w1 long, c1 lon
 _PAIRS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("h", pa.binary()), ("w", pa.binary()), ("c", pa.binary()), ("w1", pa.int64()), ("c1", pa.int64())])
 
 
-def _by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """An order by bucket that keeps the order within, and (bucket, from, to) in it."""
-    order = np.argsort(bucket.astype(np.int16) if len(bucket) and bucket.max() < 32768 else bucket, kind="stable")
+def _by_bucket(bucket: np.ndarray, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by bucket, then by the codes of history and word; and (bucket, from, to) in it."""
+    order = np.argsort(h.astype(U64) << U64(24) | w)
+    b = bucket[order]
+    order = order[np.argsort(b.astype(np.int16) if len(b) and b.max() < 32768 else b, kind="stable")]
     b = bucket[order]
     edges = np.append(np.flatnonzero(np.append(True, b[1:] != b[:-1])), len(b)) if len(b) else np.zeros(1, np.int64)
     return order, [(int(b[x]), int(x), int(y)) for x, y in zip(edges[:-1], edges[1:])]
 
 
 def _bigram_counts(known):
-    """For each chunk and bucket, the bigrams and their counts, by history."""
+    """For each chunk and bucket, the bigrams and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, dealer = known.value.frequent, known.value.dealer
         for batch in batches:
             for _, _, tokens, at in _chunks(batch.column(0)):
                 h = _histories(tokens, at)
@@ -214,11 +247,10 @@ def _bigram_counts(known):
                 first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
                 c = np.diff(np.append(first, len(key))).astype(np.uint32)
                 h, w = h[order[first]], tokens[order[first]]
-                by_history = np.argsort(h)
-                h, w, c = h[by_history], w[by_history], c[by_history]
-                order, parts = _by_bucket(known.value.dealer(h, w)[0])
-                h, w, c = h[order], w[order], c[order]
-                rows = [(b, 0, h[x:y].tobytes(), w[x:y].tobytes(), c[x:y].tobytes(), None, None) for b, x, y in parts]
+                hc, wc = words.codes(h)[0], words.codes(w)[0]
+                order, parts = _by_bucket(dealer(h, w)[0], hc, wc)
+                h, w, c, hc, wc = h[order], w[order], c[order], hc[order], wc[order]
+                rows = [(b, 0, words.pack(h[x:y], hc[x:y]), words.pack(w[x:y], wc[x:y]), c[x:y].tobytes(), None, None) for b, x, y in parts]
                 yield pa.record_batch([pa.array(x, t.type) for x, t in zip(zip(*rows), _PAIRS)], schema=_PAIRS)
 
     return run
@@ -290,15 +322,17 @@ def _merged(known, single_discounts: Discounts):
         rows = _of_kind(table, 0)
         if not rows.num_rows:
             return _MODEL.empty_table()
-        h, w, c = _column(rows, "h", U64), _column(rows, "w", U64), _column(rows, "c", np.uint32).astype(np.int64)
+        words = known.value.frequent
+        h, w, c = words.column(rows, "h"), words.column(rows, "w"), _column(rows, "c", np.uint32).astype(np.int64)
         key = joint(h, w)
         order = np.argsort(key)
         key, h, w, c = key[order], h[order], w[order], c[order]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         h, w, c = h[first], w[first], np.add.reduceat(c, first)
-        order = np.argsort(h, kind="stable")
-        h, w, c = h[order], w[order], c[order]
-        single = Chances(single_discounts, known.value.frequent, _rare_table(table))
+        hc, wc = words.codes(h)[0], words.codes(w)[0]
+        order = np.lexsort((wc, h, hc))
+        h, w, c, hc, wc = h[order], w[order], c[order], hc[order], wc[order]
+        single = Chances(single_discounts, words, _rare_table(table))
         p = single.p(single.counts(w))
         start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         size = np.diff(np.append(start, len(h)))
@@ -310,7 +344,7 @@ def _merged(known, single_discounts: Discounts):
         told = [{"h": int(h[s].view(np.int64)), "p": float(seen[i]), "n": int(total[i]), "times": [int(e[i]) for e in each]} for i, s in enumerate(start.tolist()) if hot[i]]
         times = [int((c == r).sum()) for r in range(1, k + 2)]
         bucket = rows.column("bucket")[0].as_py()
-        values = [bucket, 1, h[start].tobytes(), w.tobytes(), c.tobytes(), size.astype(np.uint32).tobytes(), (1 - seen).tobytes(), times, told]
+        values = [bucket, 1, words.pack(h[start], hc[start]), words.pack(w, wc), c.tobytes(), size.astype(np.uint32).tobytes(), (1 - seen).tobytes(), times, told]
         return pa.Table.from_arrays([pa.array([v], t.type) for v, t in zip(values, _MODEL)], schema=_MODEL)
 
     return run
@@ -321,7 +355,7 @@ class Known:
     """What the buckets of a model in the making are dealt by, and its frequent words."""
 
     dealer: Dealer
-    frequent: Table
+    frequent: Words
 
 
 @dataclass
@@ -334,7 +368,7 @@ class Model:
     v: int
     single: Discounts
     double: Discounts
-    frequent: Table
+    frequent: Words
     dealer: Dealer
     hot: Table  # of frequent histories: log of what divides counts, log of alpha
     often: Table  # of frequent bigrams: log of their probability
@@ -347,7 +381,7 @@ def _opened(known):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for h, size, w, c in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                    h, size, w, c = np.frombuffer(h, U64), np.frombuffer(size, np.uint32), np.frombuffer(w, U64), np.frombuffer(c, np.int64)
+                    h, size, w, c = known.value.frequent.unpack(h), np.frombuffer(size, np.uint32), known.value.frequent.unpack(w), np.frombuffer(c, np.int64)
                     own = np.flatnonzero(np.repeat(known.value.dealer.hot.find(h)[1], size) & (c >= least))
                     yield pa.record_batch([pa.array(np.repeat(h, size)[own].view(np.int64)), pa.array(w[own].view(np.int64)), pa.array(c[own])], names=["h", "w", "c"])
 
@@ -385,8 +419,8 @@ def learn(docs: DataFrame) -> Model:
     n, v, starts = got[0] or 0, got[1], got[-1] or 0
     single = _left(Discounts(good_turing(list(got[2:-1])), n), dict(zip(few, got[2:-1])), n)
     w, c = _arrays(_most_frequent(words, WORDS), "w", "c")
-    frequent = Table(w.view(U64), c=c)
-    own = frequent.keys[np.argsort(-frequent.values["c"], kind="stable")[:HISTORIES]]
+    frequent = Words(w.view(U64), c)
+    own = frequent.ranked[: min(HISTORIES, len(frequent.ranked) - 1)]
     dealer = Dealer(max(width(spark), -(-n // BUCKET_TOKENS)), np.append(own[own != END], START))
     known = spark.sparkContext.broadcast(Known(dealer, frequent))
     rows = texts.mapInArrow(_bigram_counts(known), PAIRS)
@@ -447,37 +481,29 @@ def _base(model, c: np.ndarray) -> np.ndarray:
 
 def _tiles(model):
     """Per chunk a row (kind 0) of the documents' ids and what is known at once; and for each bucket (kind 3) the bigrams to be
-    evaluated there, with their documents' numbers: as keys if they were learned from and their word is frequent, else by
-    history and word."""
+    evaluated there, with their documents' numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        dealer, frequent = m.dealer, m.frequent
+        dealer, words = m.dealer, m.frequent
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            ids, learned = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
+            ids = batch.column(0)
             for lo, n, tokens, at in _chunks(batch.column(1)):
-                h = _histories(tokens, at)
-                key = joint(h, tokens)
-                order = np.argsort(key)
-                key, h, tokens = key[order], h[order], tokens[order]
-                doc = np.repeat(np.arange(n), np.diff(at))[order]
-                place, there = frequent.find(tokens)
-                base = np.bincount(doc[there], _base(m, frequent.values["c"][place[there]]), n)
+                wc, c, there = words.codes(tokens)
+                h, hc = _histories(tokens, at), _histories(wc, at, len(words.ranked) - 1)
+                doc = np.repeat(np.arange(n), np.diff(at))
+                base = np.bincount(doc[there], _base(m, c[there]), n)
                 known = np.bincount(doc[there], minlength=n)
-                place, done = m.often.find(key)
+                place, done = m.often.find(joint(h, tokens))
                 score = np.bincount(doc[done], m.often.values["p"][place[done]] if done.any() else None, n).astype(float)
                 rows = [_tile(bucket=number % dealer.buckets, kind=0, chunk=number, tokens=np.diff(at).tobytes(), known=known.astype(np.int64).tobytes(), base=base.astype(float).tobytes(), score=score.tobytes())]
-                d = doc.astype(np.uint16)
-                short = learned[lo : lo + n][doc] & there
-                for by_key in (True, False):
-                    rest = np.flatnonzero(~done & (short == by_key))
-                    at_bucket, parts = _by_bucket(dealer(h[rest], tokens[rest])[0])
-                    rest = rest[at_bucket]
-                    for b, x, y in parts:
-                        own = rest[x:y]
-                        what = {"w": key[own].tobytes()} if by_key else {"h": h[own].tobytes(), "w": tokens[own].tobytes()}
-                        rows.append(_tile(bucket=b, kind=3, chunk=number, d=d[own].tobytes(), **what))
+                rest = np.flatnonzero(~done)
+                order, parts = _by_bucket(dealer(h[rest], tokens[rest])[0], hc[rest], wc[rest])
+                rest = rest[order]
+                for b, x, y in parts:
+                    own = rest[x:y]
+                    rows.append(_tile(bucket=b, kind=3, chunk=number, d=doc[own].astype(np.uint16).tobytes(), h=words.pack(h[own], hc[own]), w=words.pack(tokens[own], wc[own])))
                 lists = pa.array([ids.slice(lo, n).to_pylist(), *[None] * (len(rows) - 1)], pa.list_(ids.type))
                 yield pa.record_batch([*(pa.array(x, t) for x, (_, t) in zip(zip(*rows), _NAMES)), lists], names=[*(c for c, _ in _NAMES), "ids"])
                 number += 1
@@ -496,42 +522,35 @@ def _evaluated(model, kind: pa.DataType):
         if tiles.num_rows:
             single = Chances(m.single, m.frequent, _rare_table(table))
             own = _of_kind(table, 1)
-            heads, w, c = _column(own, "h", U64), _column(own, "w", U64), _column(own, "c", np.int64)
+            heads, w, c = m.frequent.column(own, "h"), m.frequent.column(own, "w"), _column(own, "c", np.int64)
             size, unseen = _column(own, "size", np.uint32).astype(np.int64), _column(own, "unseen", np.float64)
             start = np.cumsum(size) - size
             total = np.add.reduceat(c, start) if len(c) else c
             lost = np.add.reduceat((1 - m.double(c)) * c, start) if len(c) else np.zeros(0)
             below, alpha = _divided(total, lost, unseen)  # of frequent histories a part only, so their own follow
             at, hot = m.hot.find(heads)
-            below[hot], alpha[hot] = m.hot.values["below"][at[hot]], m.hot.values["alpha"][at[hot]]
-            heads_table = Table(heads, below=below, alpha=alpha)
+            below[hot] = m.hot.values["below"][at[hot]]
+            heads_table = Table(heads, alpha=alpha)
             pairs = Table(joint(np.repeat(heads, size), w), p=np.log10(m.double(c) * c) - np.repeat(below, size))
             for row in range(tiles.num_rows):
                 tile = tiles.slice(row, 1)
-                w, d = _column(tile, "w", U64), _column(tile, "d", np.uint16)
+                h, w, d = m.frequent.column(tile, "h"), m.frequent.column(tile, "w"), _column(tile, "d", np.uint16)
                 docs, at = np.unique(d, return_inverse=True)
                 known = base = None
-                if tile.column("h")[0].as_py() is None:
-                    place, seen = pairs.find(w)
-                    if not seen.all():
-                        raise ValueError("a row was told to be learned from, but has bigrams that the model has never seen")
-                    value = pairs.values["p"][place]
-                else:
-                    h = _column(tile, "h", U64)
-                    place, seen = pairs.find(joint(h, w))
-                    c1 = single.counts(w)
-                    value = np.log10(single.p(c1))
-                    for table, name in ((m.hot, "alpha"), (heads_table, "alpha")):
-                        if len(table.keys):
-                            own, met = table.find(h)
-                            met &= ~seen & ((table is m.hot) | ~m.hot.find(h)[1])
-                            value[met] += table.values[name][own[met]]
-                    if seen.any():
-                        value[seen] = pairs.values["p"][place[seen]]
-                    rare = ~m.frequent.find(w)[1]
-                    if rare.any():
-                        known = np.bincount(at[rare], (c1[rare] > 0).astype(float), len(docs)).astype(np.int64).tobytes()
-                        base = np.bincount(at[rare], _base(m, c1[rare]), len(docs)).tobytes()
+                place, seen = pairs.find(joint(h, w))
+                value = np.empty(len(w))
+                value[seen] = pairs.values["p"][place[seen]]
+                new = np.flatnonzero(~seen)
+                value[new] = np.log10(single.p(single.counts(w[new])))
+                for table in (m.hot, heads_table):  # those of frequent histories are the same in both
+                    own, met = table.find(h[new])
+                    value[new[met]] += table.values["alpha"][own[met]]
+                    new = new[~met]
+                rare = np.flatnonzero(~m.frequent.find(w)[1])
+                if len(rare):
+                    c1 = single.counts(w[rare])
+                    known = np.bincount(at[rare], (c1 > 0).astype(float), len(docs)).astype(np.int64).tobytes()
+                    base = np.bincount(at[rare], _base(m, c1), len(docs)).tobytes()
                 out.append((tile.column("chunk")[0].as_py(), docs.tobytes(), None, known, base, np.bincount(at, value, len(docs)).tobytes(), None))
         if not out:
             return schema.empty_table()
@@ -563,14 +582,13 @@ def _added(train: int, kind: pa.DataType):
     return run
 
 
-def score(docs: DataFrame, model: Model, learned: Column | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_tokens, n_known (tokens that were learned from), train_tokens, base_score (log10
-    of smoothed single counts) and score (log10 of the model's probability of the text). ``learned`` may tell the rows that the
-    model learned from; less is sent of them, as all their bigrams are known."""
+    of smoothed single counts) and score (log10 of the model's probability of the text)."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     arrow = docs.select("doc_id").limit(0).toArrow().schema.field(0).type
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(learned if learned is not None else F.lit(False), F.lit(False)).alias("learned"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     release(spark)  # of what learning has shuffled
     whole = spark.sparkContext.broadcast(model)
     told = f"{TILES}, ids array<{kind}>"

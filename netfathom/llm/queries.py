@@ -110,8 +110,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    learned = ~katz.held_out(docs["doc_id"])
-    scored = katz.score(docs, katz.learn(docs.where(learned)), learned)
+    scored = katz.score(docs, katz.learn(docs.where(~katz.held_out(docs["doc_id"]))))
     return scored.withColumn("held_out", katz.held_out(scored["doc_id"]))
 
 
