@@ -41,10 +41,11 @@ START, END = U64(0x5354415254), U64(0x454E44)
 MOST_DISCOUNTED = 5
 #: How many words, histories and bigrams are frequent at most.
 WORDS, HISTORIES, BIGRAMS = 1 << 20, 1 << 14, 1 << 20
-CHUNK_TOKENS = 600_000
+CHUNK_TOKENS = 400_000
+BLOCK_BYTES = 1 << 19  # of text that is hashed at a time
 CHUNK_DOCS = 60_000
 BUCKET_TOKENS = 1_500_000
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 
 
 def held_out(doc_id: Column, mod: int = 5, rest: int = 1) -> Column:
@@ -161,7 +162,7 @@ def _chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
         return lo, docs, np.concatenate([t for t, _ in kept]), np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in kept]))])
 
     for part in range(0, len(column), CHUNK_DOCS):
-        for block in blocks(column.slice(part, CHUNK_DOCS)):
+        for block in blocks(column.slice(part, CHUNK_DOCS), BLOCK_BYTES):
             tokens, n = _tokens(block)
             if kept and (held + len(tokens) > CHUNK_TOKENS or docs + block.n > CHUNK_DOCS):
                 yield out()
@@ -197,7 +198,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([pa.array(u.view(np.int64)), pa.array(total)], names=["w", "c"])
 
     for batch in batches:
-        for block in blocks(batch.column(0)):
+        for block in blocks(batch.column(0), BLOCK_BYTES):
             kept.append(_sums(_tokens(block)[0]))
             held += len(kept[-1][0])
             if held > FLUSH:
@@ -440,6 +441,7 @@ def learn(docs: DataFrame) -> Model:
     x, y, c = _arrays(_most_frequent(opened(some), BIGRAMS), "h", "w", "c")
     at, _ = hot_table.find(x.view(U64))
     often = Table(joint(x.view(U64), y.view(U64)), p=np.log10(double(c) * c) - hot_table.values["below"][at] if len(x) else np.zeros(0))
+    known.destroy()  # a worker keeps what was broadcast to it
     return Model(f"{folder}/words", f"{folder}/pairs", n, v, single, double, frequent, dealer, hot_table, often)
 
 
