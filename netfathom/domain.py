@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EPOCH_US = 1704067200000000
@@ -17,12 +17,17 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("elapsed_ms", F.col("wall_ms") % BOOT_MS)
 
 
+def plmn_of(device: Column) -> Column:
+    """The network of a device."""
+    return F.concat(F.lit("525-"), F.lpad((1 + device % 3).cast("string"), 2, "0"))
+
+
 def radio(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, d = F.col("id"), F.col("device_id")
     return events(spark, sf_dir).select(
         "device_id", "id", "sub_id", "wall_ms", "elapsed_ms",
         F.when(i % 5 == 4, "NR").otherwise("LTE").alias("rat"),
-        F.concat(F.lit("525-"), F.lpad((1 + d % 3).cast("string"), 2, "0")).alias("plmn"),
+        plmn_of(d).alias("plmn"),
         (i % 7 % 3 + 1).cast("int").alias("band"), (256 * (d % 20) + i * 31 % 3).alias("ci"),
         (i * 7919 % 96 - 140).cast("int").alias("rsrp"), (i * 104729 % 50 - 20).cast("int").alias("sinr"),
     )

@@ -94,7 +94,8 @@ def suppress_overlaps(degraded: DataFrame, outages: DataFrame, keys: list[str])
     both = degraded.withColumn("_o", F.lit(False)).unionByName(outages.select(*keys, "start_ms", "end_ms", F.lit(True).alias("_o")), allowMissingColumns=True)
     by = Window.partitionBy(*keys).orderBy("start_ms", ~F.col("_o"))
     reached = F.max(F.when(F.col("_o"), F.col("end_ms"))).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    ahead = F.first(F.when(F.col("_o"), F.col("start_ms")), ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing))
+    down = Window.partitionBy(*keys).orderBy(F.desc("start_ms"), F.desc(~F.col("_o")))
+    ahead = F.last(F.when(F.col("_o"), F.col("start_ms")), ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, -1))
     rows = both.withColumn("_reached", reached).withColumn("_ahead", ahead).where(~F.col("_o"))
     return rows.where((F.col("_reached").isNull() | (F.col("_reached") < F.col("start_ms"))) & (F.col("_ahead").isNull() | (F.col("_ahead") > F.col("end_ms")))).drop("_o", "_reached", "_ahead")
 

@@ -1,7 +1,7 @@
 """Operators along a device's time: boots, dwell weights, as-of and bracket joins, changes.
 
-All windows share the leading key (device, boot), so one exchange serves a chain of them. Ties in time go by the given
-order columns. Rows with a null time take part in no join and get no weight.
+Values that are carried along a key's time are found by segments of it (``segments.along``), so a device of any size is shared by
+tasks. Ties in time go by the given order columns. Rows with a null time take part in no join and get no weight.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hexgrid
+from .segments import SEGMENT_MS, along
 
 MAX_AGE_MS, MAX_SKEW_MS = 60000, 1000  # fixed values
 
 BOOT_SPLIT_MS, CAP_MS, BRACKET_MS = 60000, 30000, 180000  # fixed values
+LOCATE_SPAN_MS = 3600 * 1000
 
 
 def boot_starts(streams: list[DataFrame], device: str = "device_id", wall: str = "wall_ms", elapsed: str = "elapsed_ms") -> DataFrame:
@@ -39,11 +41,11 @@ def assign_boot(df: DataFrame, starts: DataFrame, device: str = "device_id", wal
     return rows.join(told.where("boot is null").select(device, "_offset", F.col("_boot").alias("boot")), [device, "_offset"]).drop("_offset")
 
 
-def time_weight(df: DataFrame, keys: list[str], t: str = "elapsed_ms", order: list[str] | None = None, cap_ms: int = CAP_MS) -> DataFrame:
+def time_weight(df: DataFrame, keys: list[str], t: str = "elapsed_ms", order: list[str] | None = None, cap_ms: int = CAP_MS, span_ms: int = SEGMENT_MS) -> DataFrame:
     """Adds ``weight_ms``: the time to the next row of the same keys, 0 to ``cap_ms``; 0 for the last."""
-    by = Window.partitionBy(*keys).orderBy(t, *(order or []))
-    gap = F.lead(t).over(by) - F.col(t)
-    return df.withColumn("weight_ms", F.when(gap.isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(cap_ms), gap))).cast("long"))  # least() passes over nulls
+    rows = along(df, keys, t, [t, *(order or [])], upcoming={"_next": F.col(t)}, span_ms=span_ms)
+    gap = F.col("_next") - F.col(t)
+    return rows.withColumn("weight_ms", F.when(gap.isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(cap_ms), gap))).cast("long")).drop("_next")  # least() passes over nulls
 
 
 def coverage(weighted: DataFrame, keys: list[str], wall: str = "wall_ms") -> DataFrame:
@@ -52,32 +54,36 @@ def coverage(weighted: DataFrame, keys: list[str], wall: str = "wall_ms") -> Dat
     return weighted.groupBy(*keys).agg(F.sum("weight_ms").alias("observed_ms"), span.alias("span_ms")).withColumn("coverage", F.when(F.col("span_ms") > 0, F.col("observed_ms") / F.col("span_ms")))
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], t: str, columns: list[str], max_age: int | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], t: str, columns: list[str], max_age: int | None = None, span_ms: int = SEGMENT_MS) -> DataFrame:
     """Adds ``columns`` of the last right row of the same keys at or before each left row (at ties the right row counts),
-    null if there is none or it is older than ``max_age``. One union and one window; no range join."""
+    null if there is none or it is older than ``max_age``. One union and one scan along the keys; no range join."""
     names = left.columns
     kept = left.select(F.struct(*names).alias("_l"), *keys, F.col(t).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(F.struct(*columns, F.col(t).alias("_at")).alias("r")).schema["r"].dataType).alias("_r"))
     other = right.select(F.lit(None).cast(kept.schema["_l"].dataType).alias("_l"), *keys, F.col(t).alias("_t"), F.lit(0).alias("_side"), F.struct(*columns, F.col(t).alias("_at")).alias("_r"))
-    by = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = kept.union(other).withColumn("_r", F.last("_r", ignorenulls=True).over(by)).where("_side = 1")
+    both = along(kept.union(other), keys, "_t", ["_t", "_side"], last={"_before": F.col("_r")}, span_ms=span_ms).where("_side = 1").drop("_r").withColumnRenamed("_before", "_r")
     if max_age is not None:
         both = both.withColumn("_r", F.when(F.col("_t") - F.col("_r._at") <= max_age, F.col("_r")))
     return both.select("_l.*", *[F.col(f"_r.{c}").alias(c) for c in columns])
 
 
-def locate(df: DataFrame, fixes: DataFrame, keys: list[str], t: str, cell: str, speed: str, window_ms: Column, order: str = "id") -> DataFrame:
+def locate(df: DataFrame, fixes: DataFrame, keys: list[str], t: str, cell: str, speed: str, window_ms: Column, order: str = "id", span_ms: int = LOCATE_SPAN_MS) -> DataFrame:
     """Adds ``cell`` and ``speed`` of the place of each row.
 
     Where the fixes before (at or before) and after are in one cell and at most three minutes apart, that cell and the mean
-    of their speeds; else the nearer fix within its own window (``window_ms``, an expression on the fix), at ties the one
-    before; else null.
+    of their speeds; else the nearer fix within its own window (``window_ms``, an expression on the fix of at most
+    ``BRACKET_MS``), at ties the one before; else null. As no fix reaches further than ``BRACKET_MS``, a key's line is cut into
+    spans, each with the fixes of that much on either side: one exchange, and a key of any size is shared by tasks.
     """
     names = df.columns
-    fix = fixes.withColumn("_w", window_ms).select(*keys, F.col(t).alias("_t"), F.struct(F.col(t).alias("t"), F.col(cell).alias("cell"), F.col(speed).alias("speed"), F.col("_w").alias("w")).alias("_f"), F.col(order).alias("_o"))
-    rows = df.select(*keys, F.col(t).alias("_t"), F.struct(*names).alias("_l"))
+    span = lambda at: F.floor(at / span_ms)
+    reach = F.when(F.col(t).isNotNull(), F.sequence(span(F.col(t) - BRACKET_MS), span(F.col(t) + BRACKET_MS)))
+    fix = fixes.withColumn("_w", window_ms).select(*keys, F.explode(reach).alias("_span"), F.col(t).alias("_t"), F.struct(F.col(t).alias("t"), F.col(cell).alias("cell"), F.col(speed).alias("speed"), F.col("_w").alias("w")).alias("_f"), F.col(order).alias("_o"))
+    rows = df.select(*keys, span(F.col(t)).alias("_span"), F.col(t).alias("_t"), F.struct(*names).alias("_l"))
     both = fix.withColumn("_l", F.lit(None).cast(rows.schema["_l"].dataType)).withColumn("_side", F.lit(0)).unionByName(rows.withColumn("_f", F.lit(None).cast(fix.schema["_f"].dataType)).withColumn("_o", F.lit(None).cast(fix.schema["_o"].dataType)).withColumn("_side", F.lit(1)))
-    by = Window.partitionBy(*keys).orderBy("_t", "_side", "_o")
-    both = both.withColumn("p", F.last("_f", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.first("_f", ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing))).where("_side = 1")
+    at = ["_t", "_side", "_o"]
+    part = Window.partitionBy(*keys, "_span")
+    ahead = part.orderBy(*(F.desc(c) for c in at)).rowsBetween(Window.unboundedPreceding, -1)  # a frame that grows; one that shrinks is evaluated anew for each row
+    both = both.withColumn("p", F.last("_f", ignorenulls=True).over(part.orderBy(*at).rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.last("_f", ignorenulls=True).over(ahead)).where("_side = 1")
     bracket = F.coalesce((F.col("p.cell") == F.col("n.cell")) & (F.col("n.t") - F.col("p.t") <= BRACKET_MS), F.lit(False))
     d_p, d_n = F.col("_t") - F.col("p.t"), F.col("n.t") - F.col("_t")
     ok_p, ok_n = F.coalesce(d_p <= F.col("p.w"), F.lit(False)), F.coalesce(d_n <= F.col("n.w"), F.lit(False))
@@ -86,12 +92,11 @@ def locate(df: DataFrame, fixes: DataFrame, keys: list[str], t: str, cell: str,
     return both.select("_l.*", F.when(bracket, F.col("p.cell")).otherwise(near["cell"]).alias(cell), F.when(bracket, mean).otherwise(near["speed"]).alias(speed))
 
 
-def mark_cold(probes: DataFrame, keys: list[str], t: str = "wall_ms", latency: str = "latency_ms", on_bearer: Column | None = None, gap_ms: int = 30000, order: str = "id") -> DataFrame:
+def mark_cold(probes: DataFrame, keys: list[str], t: str = "wall_ms", latency: str = "latency_ms", on_bearer: Column | None = None, gap_ms: int = 30000, order: str = "id", span_ms: int = SEGMENT_MS) -> DataFrame:
     """Adds ``cold``: an on-bearer probe that starts more than ``gap_ms`` after the previous on-bearer one, or is the first."""
     bearer = on_bearer if on_bearer is not None else F.lit(True)
-    by = Window.partitionBy(*keys).orderBy(t, order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.last(F.when(bearer, F.col(t)), ignorenulls=True).over(by)
-    return probes.withColumn("cold", F.coalesce(bearer, F.lit(False)) & F.coalesce(F.col(t) - F.col(latency) - before > gap_ms, F.lit(True)))
+    rows = along(probes, keys, t, [t, order], last={"_before": F.when(bearer, F.col(t))}, own=False, span_ms=span_ms)
+    return rows.withColumn("cold", F.coalesce(bearer, F.lit(False)) & F.coalesce(F.col(t) - F.col(latency) - F.col("_before") > gap_ms, F.lit(True))).drop("_before")
 
 
 def changes_only(df: DataFrame, keys: list[str], signature: list[str], order: list[str]) -> DataFrame:

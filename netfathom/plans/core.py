@@ -145,7 +145,8 @@ def asof_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.asof_join(r, links, ["device_id", "boot"], "elapsed_ms", ["transport", "validated", "route_ms"]).select("id", "transport", "validated", "route_ms")
 
 
-_FIXED = ", fx AS (SELECT *, wall_ms - elapsed_ms AS o, " + hex_sql("lat", "lng", 9) + """ AS cell,
+_CELL_9 = hex_sql("lat", "lng", 9) + " AS cell,"
+_FIXED = ", fx AS (SELECT *, wall_ms - elapsed_ms AS o, " + _CELL_9 + """
   CASE WHEN speed_mps < 0 OR speed_mps IS NULL THEN 10000 WHEN speed_mps = 0 THEN 120000 ELSE least(120000, greatest(10000, CAST(trunc(50000 / speed_mps) AS BIGINT))) END AS w FROM fixes),
 uni AS (SELECT device_id, wall_ms - elapsed_ms AS o, elapsed_ms AS t, 1 AS side, id, CAST(NULL AS BIGINT) AS cell, CAST(NULL AS DOUBLE) AS speed, CAST(NULL AS BIGINT) AS w, CAST(NULL AS BIGINT) AS ft FROM radio
   UNION ALL SELECT device_id, o, elapsed_ms, 0, id, cell, speed_mps, w, elapsed_ms FROM fx),
@@ -156,16 +157,24 @@ located AS (SELECT id, t, device_id, o, CASE WHEN pc = nc AND nt - pt <= 180000
   CASE WHEN pc = nc AND nt - pt <= 180000 THEN (ps + ns) / 2 WHEN t - pt <= pw AND (NOT coalesce(nt - t <= nw, false) OR t - pt <= nt - t) THEN ps WHEN nt - t <= nw THEN ns END AS speed FROM pn WHERE side = 1)"""
 
 
-def _fixes_in(spark: SparkSession, sf_dir: str, starts: DataFrame) -> DataFrame:
+#: The same by the resolution that a fix's accuracy supports; fixes that support none are left out.
+_RES = "CASE WHEN accuracy_m / cos(radians(lat)) <= 40 THEN 10 WHEN accuracy_m / cos(radians(lat)) <= 120 THEN 9 WHEN accuracy_m / cos(radians(lat)) <= 300 THEN 8 END"
+_FIXED_BY_ACCURACY = _FIXED.replace(_CELL_9, f"CASE {_RES} " + " ".join(f"WHEN {r} THEN {hex_sql('lat', 'lng', r)}" for r in (10, 9, 8)) + " END AS cell,").replace("AS w FROM fixes)", f"AS w FROM fixes WHERE {_RES} IS NOT NULL)")
+
+
+def _fixes_in(spark: SparkSession, sf_dir: str, starts: DataFrame, by_accuracy: bool = False) -> DataFrame:
     f = timeline.assign_boot(domain.fixes(spark, sf_dir), starts)
-    return hexgrid.with_cell(f, "cell", F.col("lat"), F.col("lng"), 9).withColumn("speed", F.col("speed_mps"))
+    if by_accuracy:
+        f = f.withColumn("_res", hexgrid.res_for_accuracy(F.col("accuracy_m"), F.col("lat"))).where("_res is not null")
+    return hexgrid.with_cell(f, "cell", F.col("lat"), F.col("lng"), F.col("_res") if by_accuracy else 9).withColumn("speed", F.col("speed_mps"))
 
 
-def located(spark: SparkSession, sf_dir: str, df: DataFrame | None = None, starts: DataFrame | None = None) -> DataFrame:
-    """Radio rows, or ``df`` with the boots of ``starts``, with the cell and speed of their place."""
+def located(spark: SparkSession, sf_dir: str, df: DataFrame | None = None, starts: DataFrame | None = None, by_accuracy: bool = False) -> DataFrame:
+    """Radio rows, or ``df`` with the boots of ``starts``, with the cell and speed of their place. Cells are of resolution 9, or of the
+    one that the accuracy of each fix supports."""
     starts = starts if starts is not None else timeline.boot_starts([domain.events(spark, sf_dir)])
     rows = df if df is not None else timeline.assign_boot(domain.radio(spark, sf_dir), starts)
-    return timeline.locate(rows, _fixes_in(spark, sf_dir, starts), ["device_id", "boot"], "elapsed_ms", "cell", "speed", radio.speed_window_ms(F.col("speed")))
+    return timeline.locate(rows, _fixes_in(spark, sf_dir, starts, by_accuracy), ["device_id", "boot"], "elapsed_ms", "cell", "speed", radio.speed_window_ms(F.col("speed")))
 
 
 @query(_FIXED + " SELECT id, cell, round(speed, 6) AS speed FROM located")

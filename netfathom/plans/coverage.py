@@ -34,9 +34,9 @@ def _routed(spark: SparkSession, sf_dir: str, starts: DataFrame) -> DataFrame:
     return timeline.asof_join(rows, links, ["device_id", "boot"], "elapsed_ms", ["transport", "validated", "not_suspended"])
 
 
-def placed_on_map(spark: SparkSession, sf_dir: str, rows: DataFrame, starts: DataFrame) -> DataFrame:
+def placed_on_map(spark: SparkSession, sf_dir: str, rows: DataFrame, starts: DataFrame, by_accuracy: bool = False) -> DataFrame:
     """Rows with boots that have a place, with it."""
-    return located(spark, sf_dir, rows, starts).where("cell is not null")
+    return located(spark, sf_dir, rows, starts, by_accuracy).where("cell is not null")
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,9 +98,9 @@ def classify_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("cell", "n", *[F.round(c, 5).alias(c) for c in ("reselect_rate", "speed_kph", "cell_validated")], "outcome")
 
 
-def _places_of(rows: str, mark: str) -> str:
+def _places_of(rows: str, mark: str, fixed: str = _FIXED) -> str:
     """The expressions that locate radio rows, for other rows, under names with a mark."""
-    return re.sub(r"\b(fx|uni|pn|located)\b", rf"\1_{mark}", _FIXED.replace("FROM radio\n", f"FROM {rows}\n"))
+    return re.sub(r"\b(fx|uni|pn|located)\b", rf"\1_{mark}", fixed.replace("FROM radio\n", f"FROM {rows}\n"))
 
 
 _MAP = _SAMPLES + _COLD + _places_of("probes", "p") + """, pl AS (SELECT l.cell, c.* FROM cold c JOIN located_p l ON l.id = c.id WHERE l.cell IS NOT NULL),
@@ -116,7 +116,7 @@ SELECT cell, n, flaps, probe_n, probe_fail, cold_n, cold_fail, ok_n, p90_ms, rou
     WHEN cold_n > 0 AND (cold_n - cold_fail) / cold_n < 0.95 OR fr > 1 - 0.95::DOUBLE OR ok_n >= 3 AND p90_ms > 1500 THEN 'SLOW' WHEN nr_ms * 2 > ms THEN 'NSA' ELSE 'LTE' END AS outcome FROM wl"""
 
 
-def map_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def map_rows(spark: SparkSession, sf_dir: str, by_accuracy: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The samples, probes and route flips that have a place, located together in one pass over the fixes and kept."""
     starts = timeline.boot_starts([domain.events(spark, sf_dir)])
     found = {"probe": timeline.assign_boot(_cold_probes(spark, sf_dir), starts)}
@@ -124,7 +124,7 @@ def map_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     rows = _routed(spark, sf_dir, starts).withColumn("kind", F.lit("sample"))
     for kind, more in found.items():
         rows = rows.unionByName(more.withColumn("kind", F.lit(kind)), allowMissingColumns=True)
-    placed = cut(placed_on_map(spark, sf_dir, rows, starts))
+    placed = cut(placed_on_map(spark, sf_dir, rows, starts, by_accuracy))
     samples, probes, flips = (placed.where(F.col("kind") == k) for k in ("sample", "probe", "flip"))
     return bins.cell_changes(samples, _BIN, "ci", ["wall_ms", "id"]), probes, flips
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import domain
 from ..functions import hexgrid
-from ..operators import devices, intervals, timeline
+from ..operators import devices, faults, intervals, timeline
 from ..sources import bundles, tables
 from .core import _COLD, _round, feature_sql, hex_sql
 from .registry import SQL, query
@@ -167,6 +167,42 @@ def fault_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return devices.dominant_failure(rows, ["device_id"], ["cause"]).withColumn("kind", devices.fault_kind(F.col("cause")))
 
 
+_CONNECTIONS = ", cn AS (SELECT device_id, sub_id, id, 2 * wall_ms AS t, CASE WHEN event_type IN ('click', 'purchase') THEN 'CONNECTED' WHEN event_type IN ('view', 'error') THEN 'DISCONNECTED' ELSE 'SUSPENDED' END AS state FROM e)" + """,
+sv AS (SELECT cn.device_id, cn.sub_id, cn.id, t, state, arg_max(reg_state, (r.wall_ms, r.id)) AS reg FROM cn LEFT JOIN regs r ON r.device_id = cn.device_id AND r.sub_id = cn.sub_id AND 2 * r.wall_ms <= t GROUP BY ALL),
+dn AS (SELECT *, lag(state) OVER w AS was, sum((state = 'DISCONNECTED')::INT) OVER (PARTITION BY device_id, sub_id ORDER BY t, id ROWS UNBOUNDED PRECEDING) - (state = 'DISCONNECTED')::INT AS part FROM sv WINDOW w AS (PARTITION BY device_id, sub_id ORDER BY t, id)),
+sn AS (SELECT *, min(t) FILTER (state = 'CONNECTED') OVER (PARTITION BY device_id, sub_id, part ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS since FROM dn),
+fl AS (SELECT device_id, sub_id, id, t FROM sn WHERE state = 'DISCONNECTED' AND coalesce(was, '') <> 'DISCONNECTED' AND coalesce(t - since, 0) < 120000 AND coalesce(reg = 'IN_SERVICE', true))"""
+
+
+def _short_lived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as connections and disconnections of each subscription, with the state of service that was last reported."""
+    keys, kind = ["device_id", "sub_id"], F.col("event_type")
+    t = (F.col("wall_ms") * 2).alias("t")
+    rows = domain.events(spark, sf_dir).select(*keys, "id", t, F.when(kind.isin("click", "purchase"), "CONNECTED").when(kind.isin("view", "error"), "DISCONNECTED").otherwise("SUSPENDED").alias("state"))
+    service = domain.registrations(spark, sf_dir).groupBy(*keys, t).agg((F.max_by("reg_state", "id") == "IN_SERVICE").alias("in_service"))
+    return faults.short_lived(timeline.asof_join(rows, service, keys, "t", ["in_service"]), keys, "t", "state", "in_service", ["id"]).select(*keys, "id", "t")
+
+
+@query(_CONNECTIONS + " SELECT * FROM fl")
+def short_lived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _short_lived(spark, sf_dir)
+
+
+@query(_CONNECTIONS + f""", fw AS (SELECT *, count(*) OVER b AS n_in, min(t) OVER b AS first, count(*) OVER (PARTITION BY device_id, sub_id ORDER BY t RANGE UNBOUNDED PRECEDING) AS place, least(lag(t, 5) OVER (PARTITION BY device_id, sub_id ORDER BY t, id), max(t) OVER (PARTITION BY device_id, sub_id ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 300000 PRECEDING)) AS needed
+  FROM fl WINDOW b AS (PARTITION BY device_id, sub_id ORDER BY t RANGE BETWEEN 3600000 PRECEDING AND CURRENT ROW)),
+xt AS (SELECT device_id, sub_id, 2 * wall_ms AS t, max(reject_cause % 9) OVER (PARTITION BY device_id, sub_id ORDER BY wall_ms RANGE UNBOUNDED PRECEDING) AS told, ({_TEXTS})[reject_cause % 5 + 1] AS cause FROM regs),
+iv AS (SELECT device_id, sub_id, t AS f, greatest(needed + 3600000, t + 900000) AS u, first, place - n_in AS before, place AS through, NULL::BIGINT AS told, NULL::VARCHAR AS cause FROM fw WHERE n_in >= 6 AND t - first >= 300000 UNION ALL SELECT device_id, sub_id, t, t + 1200000, t, NULL, NULL, told, cause FROM xt WHERE told >= 6),
+jn AS (SELECT *, coalesce(f > max(u) OVER (PARTITION BY device_id, sub_id ORDER BY f, u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS new FROM iv), kf AS (SELECT *, sum(new) OVER (PARTITION BY device_id, sub_id ORDER BY f, u ROWS UNBOUNDED PRECEDING) AS k FROM jn),
+ft AS (SELECT device_id, sub_id, arg_min(first, (f, first)) AS first_ms, max(f) AS last_ms, max(u) AS u, CAST(greatest(coalesce(max(through) - arg_min(before, (f, before)) FILTER (through IS NOT NULL), 0), coalesce(max(told), 0), 1) AS BIGINT) AS n, arg_max(cause, (f, cause)) FILTER (cause IS NOT NULL) AS cause, max(f) FILTER (cause IS NOT NULL) AS ev FROM kf GROUP BY device_id, sub_id, k),
+fz AS (SELECT *, CASE WHEN last_ms - ev <= 1200000 THEN upper(cause) END AS c, CASE WHEN u < 5184000 THEN u END AS cleared_ms FROM ft)
+SELECT device_id, sub_id, first_ms, last_ms, n, cause, CASE WHEN regexp_matches(c, 'IPV6|RS_RA|SLAAC|ADDRESS') THEN 'IPV6_CONFIG_FAILURE' WHEN regexp_matches(c, 'UNSPECIFIED|UNKNOWN') THEN 'UNKNOWN' ELSE 'REPEATED_SETUP_FAILURE' END AS kind, cleared_ms FROM fz WHERE cleared_ms IS NULL OR 5184000 - cleared_ms <= 86400000""")
+def carrier_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults by short-lived connections and by what registrations tell from outside."""
+    text = F.get(F.array(*map(F.lit, _TEXTS)), F.col("reject_cause") % 5)
+    told = domain.registrations(spark, sf_dir).select("device_id", "sub_id", (F.col("wall_ms") * 2).alias("t"), (F.col("reject_cause") % 9).alias("told"), text.alias("cause"))
+    return faults.carrier_faults(_short_lived(spark, sf_dir), told, ["device_id", "sub_id"], "t", 5184000, ["id"])
+
+
 _FAULTS = SQL["repeated_failures"].split("WITH RECURSIVE", 1)[1].split(domain.SQL, 1)[1].rsplit(" SELECT device_id, min(wall_ms)", 1)[0]
 
 

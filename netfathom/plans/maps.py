@@ -226,7 +226,7 @@ def journey_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maps.journey_verdict(_summaries(spark, sf_dir)).select("device_id", "start_ms", "verdict")
 
 
-@query(""", fm AS (SELECT device_id, wall_ms, max_by(speed_mps, id) AS speed FROM fixes WHERE id % 3 = 0 GROUP BY ALL),
+@query(""", fm AS (SELECT device_id, wall_ms, max_by(speed_mps, id) AS speed FROM fixes GROUP BY ALL),
 y0 AS (SELECT r.*, ci // 2560 AS tac, id % 4 <> 0 AS fresh, CASE WHEN r.wall_ms - f.wall_ms <= 120000 THEN f.speed END AS speed FROM radio r ASOF LEFT JOIN fm f ON f.device_id = r.device_id AND f.wall_ms <= r.wall_ms),
 y1 AS (SELECT *, coalesce(lag(ci) OVER w <> ci, false)::INT AS moved, CASE WHEN lag(tac) OVER w <> tac THEN wall_ms END AS tc FROM y0 WINDOW w AS (PARTITION BY device_id ORDER BY wall_ms, id)),
 y2 AS (SELECT *, last_value(tc IGNORE NULLS) OVER (PARTITION BY device_id ORDER BY wall_ms, id ROWS UNBOUNDED PRECEDING) AS lt, least(180000, wall_ms - min(wall_ms) OVER (PARTITION BY device_id)) AS span, count(*) OVER b AS n, sum(fresh::INT) OVER b AS fr, list_unique(list(ci) OVER b) AS cells, sum(moved) OVER b - arg_min(moved, (wall_ms, id)) OVER b AS changes
@@ -235,7 +235,7 @@ y3 AS (SELECT *, span < 60000 OR fr < 0.3::DOUBLE * n AS blind, coalesce(wall_ms
 SELECT id, CASE WHEN speed IS NOT NULL THEN CASE WHEN speed < 0.5 THEN 'STATIONARY' WHEN speed < 2.5 THEN 'WALKING' WHEN speed < 22 THEN 'VEHICLE' ELSE 'FAST' END WHEN tk THEN 'VEHICLE' WHEN blind THEN 'UNKNOWN' WHEN cells / (span / 60000) >= 3 THEN 'FAST' WHEN cells / (span / 60000) >= 1 THEN 'VEHICLE' WHEN changes / (span / 60000) >= 1 THEN 'WALKING' ELSE 'STATIONARY' END AS class,
   CASE WHEN speed IS NOT NULL THEN 'MEASURED' WHEN tk THEN 'INDICATIVE' WHEN blind THEN 'NONE' ELSE 'WEAK' END AS confidence FROM y3""")
 def mobility_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fixes = domain.fixes(spark, sf_dir).where("id % 3 = 0").groupBy("device_id", "wall_ms").agg(F.max_by("speed_mps", "id").alias("speed"))
+    fixes = domain.fixes(spark, sf_dir).groupBy("device_id", "wall_ms").agg(F.max_by("speed_mps", "id").alias("speed"))
     rows = domain.radio(spark, sf_dir).select("device_id", "id", "wall_ms", "ci", F.floor(F.col("ci") / 2560).alias("tac"), (F.col("id") % 4 != 0).alias("fresh"))
     return maps.mobility_class(rows, fixes, ["device_id"], "wall_ms", ["wall_ms", "id"]).select("id", "class", "confidence")
 

@@ -1,4 +1,4 @@
-"""Queries of bands, the adaptive merge, transfer asymmetry, handover outcomes and the ping-pong study."""
+"""Queries of bands, transfer asymmetry, handover outcomes and the ping-pong study."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import domain
-from ..functions import bands, hexgrid, radio
-from ..operators import bins, merge, studies
+from ..functions import bands, radio
+from ..operators import studies
 from ..operators.lineage import cut
 from .core import _CHANGES, _FIXED, _cell_changes, _round, located
 from .coverage import _MATCHED, _pingpong
@@ -27,19 +27,6 @@ def derive_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bands.derive_bands(rows, "rat", "channel", "mcc").select("id", "band", "ambiguous")
 
 
-@query()
-def adaptive_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i, d = F.col("id"), F.col("device_id")
-    res = hexgrid.res_for_accuracy((10 + i % 350).cast("double"), F.lit(1.25))
-    lat, lng = 1.25 + d % 9 * 0.0006 + i % 5 * 0.0005, 103.6 + d % 7 * 0.0006 + i % 3 * 0.0005
-    placed = hexgrid.with_cell(domain.radio(spark, sf_dir).withColumn("_res", res).where("_res is not null"), "cell", lat, lng, F.col("_res"))
-    rows = placed.withColumn("w", (1000 + i % 7000).cast("long")).withColumn("ok", i % 5 != 0)
-    leaves = rows.groupBy("cell", "plmn").agg(F.count("*").alias("n"), F.sum("w").alias("ms"), F.sum(F.col("w") * F.col("w")).alias("ms_sq"), F.sum(F.when(F.col("ok"), F.col("w")).otherwise(0)).alias("validated_ms"))
-    outcome = lambda b: b.withColumn("outcome", F.when(F.col("n") < bins.MIN_SAMPLES, "UNSURVEYED").when(F.col("validated_ms") < 0.8 * F.col("ms"), "ROUTE_LOSS").otherwise("LTE"))
-    out = merge.adaptive_merge(leaves, rows.select("cell", "plmn", F.col("device_id").alias("device")), outcome)
-    return out.select("cell", "plmn", "n", "ms", "units", "outcome", "reason")
-
-
 _PAIRS = """, x AS (SELECT *, CASE WHEN lag(id % 2) OVER w <> id % 2 AND wall_ms - lag(wall_ms) OVER w <= 60000 THEN 0 ELSE 1 END AS f FROM probes WINDOW w AS (PARTITION BY device_id ORDER BY wall_ms, id)),
 y AS (SELECT *, sum(f) OVER (PARTITION BY device_id ORDER BY wall_ms, id ROWS UNBOUNDED PRECEDING) AS k FROM x),
 z AS (SELECT *, row_number() OVER w AS rn, lead(latency_ms) OVER w AS l2, lead(outcome) OVER w AS o2 FROM y WINDOW w AS (PARTITION BY device_id, k ORDER BY wall_ms, id)),

@@ -119,7 +119,7 @@ def instrument_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- reports --------------------------------------------------------------------------------------------------------------
 
 
-@query(""", ns AS (SELECT device_id, sub_id, wall_ms, max(id) AS id FROM radio WHERE id % 2 = 0 GROUP BY ALL), nx AS (SELECT ns.*, r.ci, r.rat AS srat FROM ns JOIN radio r ON r.id = ns.id),
+@query(""", ns AS (SELECT device_id, sub_id, wall_ms, max(id) AS id FROM radio GROUP BY ALL), nx AS (SELECT ns.*, r.ci, r.rat AS srat FROM ns JOIN radio r ON r.id = ns.id),
 rp AS (SELECT *, coalesce(lag(ci) OVER w <> ci, true) AS fresh FROM nx WINDOW w AS (PARTITION BY device_id, sub_id ORDER BY wall_ms)), rr AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY device_id, sub_id ORDER BY wall_ms ROWS UNBOUNDED PRECEDING) AS run FROM rp),
 tk AS (SELECT *, row_number() OVER (PARTITION BY device_id, sub_id, run ORDER BY wall_ms) AS k FROM rr), tn AS (SELECT a.device_id, a.sub_id, a.run, a.k, min(b.k) AS nk FROM tk a JOIN tk b ON b.device_id = a.device_id AND b.sub_id = a.sub_id AND b.run = a.run AND b.k > a.k AND b.wall_ms - a.wall_ms >= 60000 GROUP BY ALL),
 th AS (SELECT device_id, sub_id, run, CAST(1 AS BIGINT) AS k FROM tk WHERE k = 1 UNION ALL SELECT th.device_id, th.sub_id, th.run, tn.nk FROM th JOIN tn ON tn.device_id = th.device_id AND tn.sub_id = th.sub_id AND tn.run = th.run AND tn.k = th.k),
@@ -129,7 +129,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY device_id, sub_id, wall_ms ORDE
 SELECT device_id, sub_id, wall_ms, CAST(pci AS INT) AS pci, crsrp AS rsrp, CAST(place AS INT) AS place FROM rk WHERE place <= 6""")
 def top_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, j = F.col("id"), F.col("j")
-    own = domain.radio(spark, sf_dir).where("id % 2 = 0").groupBy("device_id", "sub_id", "wall_ms").agg(F.max_by(F.struct("id", F.col("ci").alias("serving"), F.col("rat").alias("serving_rat")), "id").alias("x")).select("device_id", "sub_id", "wall_ms", "x.*")
+    own = domain.radio(spark, sf_dir).groupBy("device_id", "sub_id", "wall_ms").agg(F.max_by(F.struct("id", F.col("ci").alias("serving"), F.col("rat").alias("serving_rat")), "id").alias("x")).select("device_id", "sub_id", "wall_ms", "x.*")
     cells = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(8)))).withColumns({"pci": ((i * 8 + j) % 504).cast("int"), "rsrp": (-60 - (i * 31 + j * 17) % 80).cast("int"), "rat": F.when((i + j) % 4 == 0, "NR").otherwise("LTE"), "secondary": (i + j) % 9 == 0, "registered": (j == 0) | ((i + j) % 7 == 0)})
     return signals.top_neighbours(cells, ["device_id", "sub_id"], "wall_ms", "serving").select("device_id", "sub_id", "wall_ms", "pci", "rsrp", "place")
 
@@ -143,11 +143,12 @@ def carrier_aggregation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.carrier_aggregation(r, ["device_id", "sub_id"], "wall_ms", 2592000)
 
 
-@query(""", mp AS (SELECT ci % 11 AS phone, sub_id, count(*) AS n FROM radio WHERE id % 3 = 0 AND ci % 11 <> 5 GROUP BY ALL), mb AS (SELECT phone, arg_min(sub_id, (-n, sub_id)) AS v FROM mp GROUP BY phone), sl AS (SELECT DISTINCT ci % 11 AS phone, CAST(ci % 11 % 2 AS INT) AS s FROM radio)
+@query(""", mp AS (SELECT ci % 11 AS phone, sub_id, count(*) AS n FROM radio GROUP BY ALL), mb AS (SELECT phone, arg_min(sub_id, (-n, sub_id)) AS v FROM mp GROUP BY phone), sl AS (SELECT DISTINCT ci % 13 AS phone, CAST(ci % 13 % 2 AS INT) AS s FROM radio)
 SELECT coalesce(mb.phone, sl.phone) AS phone, coalesce(v, s) AS sub_id FROM mb FULL JOIN sl ON sl.phone = mb.phone""")
 def majority_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = domain.radio(spark, sf_dir).withColumn("phone", F.col("ci") % 11)
-    return signals.majority_map(r.where("id % 3 = 0 and phone <> 5"), r.select("phone", (F.col("phone") % 2).cast("int").alias("sub_id")).distinct(), "phone", "sub_id")
+    slots = r.select((F.col("ci") % 13).alias("phone")).distinct()  # some of them are in no pair
+    return signals.majority_map(r, slots.withColumn("sub_id", (F.col("phone") % 2).cast("int")), "phone", "sub_id")
 
 
 @query(""", sk AS (SELECT device_id, id, wall_ms, id % 20 AS used, CASE WHEN id % 6 <> 0 THEN CAST(25 + id * 7 % 20 AS DOUBLE) END AS cn0, wall_ms - id % 200000 AS started_ms FROM radio),
