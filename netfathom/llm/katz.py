@@ -40,7 +40,7 @@ from .textblocks import NONSPACE, U64, blocks, mix
 START, END = U64(0x5354415254), U64(0x454E44)
 MOST_DISCOUNTED = 5
 #: How many words, histories and bigrams are frequent at most.
-WORDS, HISTORIES, BIGRAMS = 1 << 20, 1 << 14, 1 << 20
+WORDS, HISTORIES, BIGRAMS = 1 << 19, 1 << 14, 1 << 19
 CHUNK_TOKENS = 400_000
 BLOCK_BYTES = 1 << 19  # of text that is hashed at a time
 CHUNK_DOCS = 60_000
@@ -115,8 +115,14 @@ class Words(Table):
 
     def __init__(self, keys: np.ndarray, c: np.ndarray):
         order = np.argsort(-c, kind="stable")
-        self.ranked = np.append(keys[order], START)  # a history, but no word
-        super().__init__(self.ranked, c=np.append(c[order], 0), code=np.arange(len(self.ranked), dtype=np.uint32))
+        ranked = np.append(keys[order], START)  # a history, but no word
+        super().__init__(ranked, c=np.append(c[order], 0), code=np.arange(len(ranked), dtype=np.uint32))
+        self.place = np.empty(len(ranked), np.int32)  # of each code among the keys
+        self.place[self.values["code"]] = np.arange(len(ranked), dtype=np.int32)
+
+    def leading(self, n: int) -> np.ndarray:
+        """The n most frequent words."""
+        return self.keys[self.place[: min(n, len(self.place) - 1)]]
 
     def codes(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes, counts, and which are frequent words."""
@@ -130,7 +136,7 @@ class Words(Table):
         n = int.from_bytes(data[:8], "little")
         code = np.frombuffer(data, "<u2", n, 8).astype(np.uint32) | np.frombuffer(data, np.uint8, n, 8 + 2 * n).astype(np.uint32) << 16
         other = code == self.OTHER
-        out = self.ranked[np.where(other, 0, code)]
+        out = self.keys[self.place[np.where(other, 0, code)]]
         out[other] = np.frombuffer(data, U64, int(other.sum()), 8 + 3 * n)
         return out
 
@@ -181,6 +187,12 @@ def _histories(tokens: np.ndarray, at: np.ndarray, start=START) -> np.ndarray:
     return h
 
 
+def _freed(rows):
+    """The same rows; what Arrow keeps for later goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    return rows
+
+
 def _sums(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     k, n = np.unique(keys, return_counts=True)
     return k, n.astype(np.int64)
@@ -197,7 +209,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.add.at(total, at, n)
         return pa.record_batch([pa.array(u.view(np.int64)), pa.array(total)], names=["w", "c"])
 
-    for batch in batches:
+    for batch in map(_freed, batches):
         for block in blocks(batch.column(0), BLOCK_BYTES):
             kept.append(_sums(_tokens(block)[0]))
             held += len(kept[-1][0])
@@ -239,7 +251,7 @@ def _bigram_counts(known):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, dealer = known.value.frequent, known.value.dealer
-        for batch in batches:
+        for batch in map(_freed, batches):
             for _, _, tokens, at in _chunks(batch.column(0)):
                 h = _histories(tokens, at)
                 key = joint(h, tokens)
@@ -261,7 +273,7 @@ def _rare_words(known):
     """(bucket, w): the words that are not frequent and the buckets where they stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in map(_freed, batches):
             for _, _, tokens, at in _chunks(batch.column(0)):
                 rare = ~known.value.frequent.find(tokens)[1]
                 w = tokens[rare]
@@ -318,6 +330,7 @@ def _merged(known, single_discounts: Discounts):
     k = MOST_DISCOUNTED
 
     def run(table: pa.Table) -> pa.Table:
+        _freed(None)
         if not table.num_rows:
             return _MODEL.empty_table()
         rows = _of_kind(table, 0)
@@ -421,7 +434,7 @@ def learn(docs: DataFrame) -> Model:
     single = _left(Discounts(good_turing(list(got[2:-1])), n), dict(zip(few, got[2:-1])), n)
     w, c = _arrays(_most_frequent(words, WORDS), "w", "c")
     frequent = Words(w.view(U64), c)
-    own = frequent.ranked[: min(HISTORIES, len(frequent.ranked) - 1)]
+    own = frequent.leading(HISTORIES)
     dealer = Dealer(max(width(spark), -(-n // BUCKET_TOKENS)), np.append(own[own != END], START))
     known = spark.sparkContext.broadcast(Known(dealer, frequent))
     rows = texts.mapInArrow(_bigram_counts(known), PAIRS)
@@ -489,11 +502,11 @@ def _tiles(model):
         m = model.value
         dealer, words = m.dealer, m.frequent
         number = TaskContext.get().partitionId() << 32
-        for batch in batches:
+        for batch in map(_freed, batches):
             ids = batch.column(0)
             for lo, n, tokens, at in _chunks(batch.column(1)):
                 wc, c, there = words.codes(tokens)
-                h, hc = _histories(tokens, at), _histories(wc, at, len(words.ranked) - 1)
+                h, hc = _histories(tokens, at), _histories(wc, at, len(words.keys) - 1)
                 doc = np.repeat(np.arange(n), np.diff(at))
                 base = np.bincount(doc[there], _base(m, c[there]), n)
                 known = np.bincount(doc[there], minlength=n)
@@ -518,6 +531,7 @@ def _evaluated(model, kind: pa.DataType):
     schema = pa.schema([("chunk", pa.int64()), ("d", pa.binary()), *((c, pa.binary()) for c in ("tokens", "known", "base", "score")), ("ids", pa.list_(kind))])
 
     def run(table: pa.Table) -> pa.Table:
+        _freed(None)
         m = model.value
         out = [tuple(x[c] for c in schema.names) for x in _of_kind(table, 0).select(schema.names).to_pylist()]
         tiles = _of_kind(table, 3)
