@@ -1,19 +1,25 @@
-"""Cutting of lineage in the session's shared checkpoint folder."""
+"""Cutting of lineage, and tables that a query keeps for itself, in the session's shared checkpoint folder."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, kept in the folder that the session names. Where it names none, one of this machine if Spark runs on
-    it alone; on a cluster that is an error."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names. Where it names none, one of this machine if Spark runs on it alone; on a cluster that is an
+    error."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         if not named and context.master.split("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -258,19 +258,6 @@ def bucket_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(rollup.bucket_stats(buckets, hist, ["kind"], "bin").select("hour", "kind", "n", "success_rate", "p50_ms", "p90_ms"), "success_rate")
 
 
-@query(""", once AS (SELECT *, 1000 * wall_ms AS t FROM radio) SELECT t - t % 3600000 AS hour, sub_id, count(*) AS n FROM once GROUP BY ALL""")
-def compact_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows come in three deliveries, the second one twice; by the marks of consumed ids each is taken once."""
-    rows = _timed(domain.radio(spark, sf_dir)).select("id", "sub_id", "t")
-    state = None
-    bounds = rows.agg(F.max("id").alias("m"))
-    third = F.col("m") / 3
-    for lo, hi in ((0.0, 1.0), (1.0, 2.0), (1.0, 2.0), (2.0, 4.0)):
-        some = rows.crossJoin(F.broadcast(bounds)).where((F.col("id") > third * lo - int(lo == 0)) & (F.col("id") <= third * hi)).drop("m")  # one row joined on
-        state = rollup.compact_once(state, some, ["sub_id"], "t")
-    return state.select("hour", "sub_id", "n")
-
-
 # ---- incidents ------------------------------------------------------------------------------------------------------------------
 
 
