@@ -114,20 +114,27 @@ def _once(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def parent(cell: Column, res: int) -> Column:
-    """The cell's ancestor at a resolution; the cell itself where it is as coarse or coarser."""
+def _up(level: int):
+    """The parent of a cell of that resolution; other cells stay."""
+
+    def step(c: Column) -> Column:
+        k = F.pmod(q_of(c) + 3 * r_of(c), F.lit(7))
+        off = lambda i: F.get(F.array(*[F.lit(x[i]) for x in CENTRE]), k.cast("int"))
+        q, r = q_of(c) - off(0), r_of(c) - off(1)
+        return F.when(res_of(c) == level, encode(level - 1, ((2 * q - r) / 7).cast("long"), ((q + 3 * r) / 7).cast("long"))).otherwise(c)
+
+    return step
 
-    def up(level: int):
-        def step(c: Column) -> Column:
-            k = F.pmod(q_of(c) + 3 * r_of(c), F.lit(7))
-            off = lambda i: F.get(F.array(*[F.lit(x[i]) for x in CENTRE]), k.cast("int"))
-            q, r = q_of(c) - off(0), r_of(c) - off(1)
-            return F.when(res_of(c) == level, encode(level - 1, ((2 * q - r) / 7).cast("long"), ((q + 3 * r) / 7).cast("long"))).otherwise(c)
 
-        return step
+def parent_from(cell: Column, level: int) -> Column:
+    """The parent of a cell of resolution ``level``; the cell itself where it is of another."""
+    return _once(cell, _up(level))
 
+
+def parent(cell: Column, res: int) -> Column:
+    """The cell's ancestor at a resolution; the cell itself where it is as coarse or coarser."""
     for level in range(FINEST, res, -1):
-        cell = _once(cell, up(level))
+        cell = parent_from(cell, level)
     return cell
 
 

@@ -65,18 +65,24 @@ def latency_p90(hist: DataFrame, keys: list[str]) -> DataFrame:
     return hist.groupBy(*keys).agg(F.sum("weight").alias("ok_n")).join(percentiles(hist, keys, "latency_bin", "C", p90_ms=0.90), keys)
 
 
-def measures(bins: DataFrame) -> DataFrame:
-    """Adds derived measures to bins with flaps, probe counts and the latencies' count and p90 (null counts as 0; bins
-    without columns of latencies have none)."""
-    bins = bins.withColumns({c: F.lit(None).cast("long") for c in ("ok_n", "p90_ms") if c not in bins.columns})
+def measure_columns() -> tuple[dict[str, Column], dict[str, Column]]:
+    """The counts that may be null, as 0, and the derived measures of bins that have them."""
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("flaps", "probe_n", "probe_fail", "cold_n", "cold_fail", "ok_n")}
     minutes = F.greatest(F.col("ms") / 60000, F.lit(1 / 60))
     ratio = lambda a, b: fraction(F.col(a), F.col(b))
-    return bins.withColumns(zero).withColumns({
+    return zero, {
         "anchor": F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("flaps") / minutes / FLAP_CEILING)), "reselect_rate": F.col("cell_changes") / minutes,
         "speed_kph": F.coalesce(fraction(F.col("speed_mps_ms"), F.col("speed_ms")), F.lit(0.0)) * 3.6, "cell_validated": ratio("cell_validated_ms", "cell_route_ms"), "suspended": F.coalesce(ratio("suspended_ms", "ms"), F.lit(0.0)),
         "fail_rate": ratio("probe_fail", "probe_n"), "cold_success": fraction(F.col("cold_n") - F.col("cold_fail"), F.col("cold_n")),
-    })
+    }
+
+
+def measures(bins: DataFrame) -> DataFrame:
+    """Adds derived measures to bins with flaps, probe counts and the latencies' count and p90 (null counts as 0; bins
+    without columns of latencies have none)."""
+    bins = bins.withColumns({c: F.lit(None).cast("long") for c in ("ok_n", "p90_ms") if c not in bins.columns})
+    zero, more = measure_columns()
+    return bins.withColumns(zero).withColumns(more)
 
 
 def rules() -> list[tuple[Column, str]]:
@@ -98,10 +104,15 @@ def rules() -> list[tuple[Column, str]]:
     ]
 
 
-def classify(measured: DataFrame) -> DataFrame:
-    """Adds ``outcome`` and ``rule`` (its number from 1, 0 if every test passed)."""
+def outcome_columns() -> dict[str, Column]:
+    """The outcome, and the number of the rule that told it from 1, 0 if every test passed."""
     outcome, rule = F.lit("LTE"), F.lit(0)
     for k, (holds, name) in reversed(list(enumerate(rules(), 1))):
         holds = F.coalesce(holds, F.lit(False))
         outcome, rule = F.when(holds, name).otherwise(outcome), F.when(holds, k).otherwise(rule)
-    return measured.withColumn("outcome", outcome).withColumn("rule", rule)
+    return {"outcome": outcome, "rule": rule}
+
+
+def classify(measured: DataFrame) -> DataFrame:
+    """Adds ``outcome`` and ``rule``."""
+    return measured.withColumns(outcome_columns())

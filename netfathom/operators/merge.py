@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hexgrid
 from ..functions.stats import effective_n, fraction, percentiles, wilson
-from .bins import SUMS, classify, latency_p90, measures
+from .bins import SUMS, latency_p90, measure_columns, outcome_columns
 from .lineage import cut
 
 # fixed values
@@ -48,22 +48,34 @@ def _sums(bins: DataFrame) -> list[str]:
     return [c for c in [*SUMS, *COUNTS, "leaf_count"] if c in bins.columns]
 
 
-def combined(bins: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+class Combination:
     """Bins of the same keys as one: sums added, the subscription of most time (then samples, then the lowest), when first and last
-    seen, and the cause that bins of most time have, with its share of the time. Only columns that are there."""
-    has = set(bins.columns)
-    out = [F.sum(c).alias(c) for c in _sums(bins)]
-    if "sub_id" in has:
-        out.append(F.max_by("sub_id", F.struct("ms", "n", -F.col("sub_id"))).alias("sub_id"))
-    if "first_ms" in has:
-        out += [F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms")]
-    if "cause" in has:
-        out += [F.sum(F.when(F.col("cause") == k, F.col("ms"))).alias(f"_c{k}") for k in CAUSES]
-    made = bins.groupBy(*keys).agg(*out, *more)
-    if "cause" in has:
-        top = F.greatest(*[F.when(F.col(f"_c{k}").isNotNull(), F.struct(F.col(f"_c{k}").alias("ms"), F.lit(-k).alias("k"))) for k in CAUSES])
-        made = made.withColumn("_top", top).withColumn("cause", F.coalesce(-F.col("_top.k"), F.lit(0))).withColumn("cause_share", F.coalesce(fraction(F.col("_top.ms"), F.col("ms")), F.lit(0.0))).drop("_top", *[f"_c{k}" for k in CAUSES])
-    return made
+    seen, and the cause that bins of most time have, with its share of the time. Only columns that ``bins`` has. The expressions
+    are made once, for all tables of these columns."""
+
+    def __init__(self, bins: DataFrame):
+        has = set(bins.columns)
+        self.sums = [F.sum(c).alias(c) for c in _sums(bins)]
+        if "sub_id" in has:
+            self.sums.append(F.max_by("sub_id", F.struct("ms", "n", -F.col("sub_id"))).alias("sub_id"))
+        if "first_ms" in has:
+            self.sums += [F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms")]
+        self.cause = {}
+        if "cause" in has:
+            codes = [f"_c{k}" for k in CAUSES]
+            self.sums += [F.sum(F.when(F.col("cause") == k, F.col("ms"))).alias(f"_c{k}") for k in CAUSES]
+            top = F.greatest(*[F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("ms"), F.lit(-k).alias("k"))) for c, k in zip(codes, CAUSES)])
+            self.cause = {"_top": top}
+            self.named = {"cause": F.coalesce(-F.col("_top.k"), F.lit(0)), "cause_share": F.coalesce(fraction(F.col("_top.ms"), F.col("ms")), F.lit(0.0))}
+
+    def __call__(self, bins: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+        made = bins.groupBy(*keys).agg(*self.sums, *more)
+        return made.withColumns(self.cause).withColumns(self.named).drop("_top", *[f"_c{k}" for k in CAUSES]) if self.cause else made
+
+
+def combined(bins: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """``bins`` of the same keys as one; ``more`` are further aggregates."""
+    return Combination(bins)(bins, keys, *more)
 
 
 def moved(sides: DataFrame, to: DataFrame) -> DataFrame:
@@ -76,7 +88,11 @@ def hosts(leaves: DataFrame) -> DataFrame:
     """(cell, plmn, place): of leaves that lie in coarser ones of their network, the coarsest of these. A host goes on into its own,
     and all of them lie on one line of ancestors."""
     own = leaves.select("cell", "plmn").distinct()
-    above = own.withColumn("place", F.explode(F.array_distinct(F.array(*[hexgrid.parent(F.col("cell"), r) for r in range(hexgrid.FINEST - 1, hexgrid.COARSEST - 1, -1)])))).where("place <> cell")
+    levels = range(hexgrid.FINEST, hexgrid.COARSEST, -1)
+    line = own
+    for r in levels:
+        line = line.withColumn(f"_{r - 1}", hexgrid.parent_from(F.col(f"_{r}" if r < hexgrid.FINEST else "cell"), r))
+    above = line.select("cell", "plmn", F.explode(F.array_distinct(F.array(*[f"_{r - 1}" for r in levels]))).alias("place")).where("place <> cell")
     there = own.select(F.col("cell").alias("place"), "plmn")
     return above.join(there, ["place", "plmn"]).groupBy("cell", "plmn").agg(F.min_by("place", hexgrid.res_of(F.col("place"))).alias("place"))
 
@@ -92,40 +108,42 @@ def merge_walk(leaves: DataFrame, sides: DataFrame, outcome_of: Outcome, k: int
     if "cause" in leaves.columns:
         leaves = leaves.withColumn("cause_share", F.when(F.col("cause") != 0, fraction(F.col("ms"), F.col("ms"))).otherwise(0.0))
     native = leaves.withColumn("units", hexgrid.child_units(hexgrid.res_of(F.col("cell")))).withColumn("reason", F.lit("leaf"))
-    room = hexgrid.child_units(hexgrid.res_of(F.col("cell")))
-    units = F.sum("units").alias("units")
+    at = hexgrid.res_of(F.col("cell"))
+    room, units, combine = hexgrid.child_units(at), F.sum("units").alias("units"), Combination(native)
+    ci = wilson(F.coalesce(fraction(F.col("validated_ms"), F.col("ms")), F.lit(0.0)), effective_n(F.col("ms"), F.col("ms_sq")))
+    bounds = {"_lo": ci["lo"], "_hi": ci["hi"]}
+    solid, severity = F.col("contributors") >= k, _severity(F.col("outcome"))
+    flags = [
+        units, F.countDistinct("plmn").alias("_plmns"), F.min("plmn").alias("plmn"), F.bool_or(~solid | (F.col("n") < n)).alias("_thin"), F.countDistinct("outcome").alias("_outcomes"),
+        (F.max("_lo") <= F.min("_hi")).alias("_overlap"), F.max(F.when(solid, severity)).alias("_worst"),
+    ]
+    blocked = F.coalesce(F.col("_worst") > severity, F.lit(False))
+    weight = F.sum("weight").alias("weight")
     if collapse:
         leaves = cut(native)
         to = cut(hosts(leaves))
-        native = combined(leaves.join(to, ["cell", "plmn"], "left").withColumn("cell", F.coalesce("place", "cell")), ["cell", "plmn"], units).withColumn("units", F.least("units", room))
+        native = combine(leaves.join(to, ["cell", "plmn"], "left").withColumn("cell", F.coalesce("place", "cell")), ["cell", "plmn"], units).withColumn("units", F.least("units", room))
         native = native.withColumn("reason", F.when(F.col("leaf_count") > 1, "folded: coarser ground").otherwise("leaf"))
         sides = moved(sides, to)
-    native, sides = cut(native), cut(sides.groupBy("cell", "plmn", "measure", "value").agg(F.sum("weight").alias("weight")))
+    native, sides = cut(native), cut(sides.groupBy("cell", "plmn", "measure", "value").agg(weight))
     names = native.columns
-    now = native.where(hexgrid.res_of(F.col("cell")) == hexgrid.FINEST)
+    now = native.where(at == hexgrid.FINEST)
     published = []
     for res in range(hexgrid.FINEST, hexgrid.COARSEST, -1):
-        here = sides.where(hexgrid.res_of(F.col("cell")) == res)
+        here, place = sides.where(at == res), hexgrid.parent_from(F.col("cell"), res)
         people = here.where("measure = 'member'").groupBy("cell", "plmn").agg(F.count("*").alias("contributors"))
-        kids = outcome_of(now, here).select(*names, "outcome").join(people, ["cell", "plmn"], "left").fillna(0, ["contributors"])
-        ci = wilson(F.coalesce(fraction(F.col("validated_ms"), F.col("ms")), F.lit(0.0)), effective_n(F.col("ms"), F.col("ms_sq")))
-        kids = kids.withColumn("_lo", ci["lo"]).withColumn("_hi", ci["hi"]).withColumn("place", hexgrid.parent(F.col("cell"), res - 1))
-        solid = F.col("contributors") >= k
-        groups = combined(
-            kids, ["place"], units, F.countDistinct("plmn").alias("_plmns"), F.min("plmn").alias("plmn"), F.bool_or(~solid | (F.col("n") < n)).alias("_thin"),
-            F.countDistinct("outcome").alias("_outcomes"), (F.max("_lo") <= F.min("_hi")).alias("_overlap"), F.max(F.when(solid, _severity(F.col("outcome")))).alias("_worst"),
-        )
-        above = here.withColumn("cell", hexgrid.parent(F.col("cell"), res - 1)).groupBy("cell", "plmn", "measure", "value").agg(F.sum("weight").alias("weight"))
+        kids = outcome_of(now, here).select(*names, "outcome").join(people, ["cell", "plmn"], "left").withColumns({**bounds, "contributors": F.coalesce("contributors", F.lit(0)), "place": place})
+        groups = combine(kids, ["place"], *flags)
+        above = here.withColumn("cell", place).groupBy("cell", "plmn", "measure", "value").agg(weight)
         whole = outcome_of(groups.withColumnRenamed("place", "cell"), above)
-        blocked = F.coalesce(F.col("_worst") > _severity(F.col("outcome")), F.lit(False))
         reason = F.when(F.col("units") / float(7 ** (hexgrid.FINEST - res + 1)) < least, "held: surveyed too little").when(F.col("_plmns") > 1, "held: several networks").when(F.col("_thin"), "merged: thin").when(F.col("_outcomes") > 1, "held: outcomes differ").when(~F.col("_overlap"), "held: intervals apart").when(blocked, "held: a worse bin").otherwise("merged: alike")
-        fate = cut(kids.join(whole.select(F.col("cell").alias("place"), reason.alias("_why")), "place").withColumn("reason", F.col("_why")))
-        published.append(fate.where("startswith(_why, 'held')").select(*names, "outcome"))
-        rising = fate.where("startswith(_why, 'merged')")
+        fate = cut(kids.drop("reason").join(whole.select(F.col("cell").alias("place"), reason.alias("reason")), "place"))
+        published.append(fate.where("startswith(reason, 'held')").select(*names, "outcome"))
+        rising = fate.where("startswith(reason, 'merged')")
         sides = cut(moved(sides, rising))
-        up = rising.withColumn("cell", F.col("place")).select(*names).union(native.where(hexgrid.res_of(F.col("cell")) == res - 1))
-        now = combined(up, ["cell", "plmn"], units, F.max("reason").alias("reason")).withColumn("units", F.least("units", F.lit(7 ** (hexgrid.FINEST - res + 1)))).select(*names)
-    last = outcome_of(now, sides.where(hexgrid.res_of(F.col("cell")) == hexgrid.COARSEST)).select(*names, "outcome")
+        up = rising.withColumn("cell", F.col("place")).select(*names).union(native.where(at == res - 1))
+        now = combine(up, ["cell", "plmn"], units, F.max("reason").alias("reason")).withColumn("units", F.least("units", F.lit(7 ** (hexgrid.FINEST - res + 1)))).select(*names)
+    last = outcome_of(now, sides.where(at == hexgrid.COARSEST)).select(*names, "outcome")
     return reduce(DataFrame.union, [*published, last]), sides
 
 
@@ -142,9 +160,10 @@ def latencies_of(bins: DataFrame, sides: DataFrame) -> DataFrame:
     return bins.join(latency_p90(hist, ["cell", "plmn"]), ["cell", "plmn"], "left")
 
 
-def classified(bins: DataFrame, sides: DataFrame) -> DataFrame:
-    """Adds ``outcome`` by all rules of the map."""
-    return classify(measures(latencies_of(bins, sides)))
+def classifier() -> Outcome:
+    """Adds ``outcome`` by all rules of the map; the rules' expressions are made once."""
+    (zero, derived), outcome = measure_columns(), outcome_columns()
+    return lambda bins, sides: latencies_of(bins, sides).withColumns(zero).withColumns(derived).withColumns(outcome)
 
 
 def described(bins: DataFrame, sides: DataFrame) -> DataFrame:

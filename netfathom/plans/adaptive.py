@@ -11,7 +11,7 @@ from ..functions.stats import percentiles
 from ..operators import bins, maps, merge
 from ..operators.lineage import cut
 from .core import _COLD, _FIXED, _FIXED_BY_ACCURACY, _FLIPS, parent_sql
-from .coverage import _SAMPLES, _places_of, flaps_of, map_rows
+from .coverage import _SAMPLES, _places_of, map_rows
 from .maps import LABEL, with_label
 from .registry import query
 
@@ -114,7 +114,7 @@ FROM pub LEFT JOIN top ON top.cell = pub.cell AND top.plmn = pub.plmn LEFT JOIN
 def adaptive_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The map's bins merged as far as they may be, with all they hold: sums, contributors, latencies, signal, cells and causes."""
     leaves, sides = map_leaves(spark, sf_dir)
-    published, sides = merge.merge_walk(leaves, sides, merge.classified)
+    published, sides = merge.merge_walk(leaves, sides, merge.classifier())
     out = merge.described(published, sides)
     names = [*KEYS, "n", "ms", "flaps", "probe_n", "probe_fail", "cold_n", "units", "leaf_count", "sub_id", "first_ms", "last_ms", "cause", "cause_share", "outcome", "reason", "contributors", "cells", "rat", "band", "rsrp_p50", "sinr_p50", "ok_n", "p90_ms"]
     return out.select(*[F.round(c, 5).alias(c) if c == "cause_share" else c for c in names])
