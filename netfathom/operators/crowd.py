@@ -52,10 +52,13 @@ def crowd_aggregate(records: DataFrame, k: int = MIN_CONTRIBUTORS, n: int = MIN_
     return cells.join(wide, CELL, "left")
 
 
-def crowd_stats(records: DataFrame, k: int = MIN_CONTRIBUTORS, n: int = MIN_SAMPLES) -> DataFrame:
-    """One row: cells seen, withheld and published, and records dropped."""
+def crowd_stats(records: DataFrame, k: int = MIN_CONTRIBUTORS, n: int = MIN_SAMPLES, by: list[str] | None = None) -> DataFrame:
+    """One row: cells seen, withheld and published, and records dropped. With ``by`` (columns that a cell has one value of), a row
+    for each of their values."""
+    by = by or []
     flagged = records.withColumn("_sane", is_sane_record())
-    cells = flagged.where("_sane").groupBy(*CELL).agg(F.countDistinct("contributor").alias("c"), F.sum(count_of(F.col("samples"))).alias("s"))
+    # a group per cell, and one of the records that were dropped
+    cells = flagged.groupBy(*by, *[F.when(F.col("_sane"), F.col(c)).alias(c) for c in CELL], "_sane").agg(F.countDistinct("contributor").alias("c"), F.sum(count_of(F.col("samples"))).alias("s"), F.count("*").alias("r"))
     enough = (F.col("c") >= k) & (F.col("s") >= n)
-    seen = cells.agg(F.count("*").alias("cells_seen"), F.count_if(~enough).alias("cells_withheld"), F.count_if(enough).alias("cells_published"))
-    return seen.crossJoin(flagged.agg(F.count_if(~F.col("_sane")).alias("records_dropped")))  # one row each
+    sane = F.col("_sane")
+    return cells.groupBy(*by).agg(F.count_if(sane).alias("cells_seen"), F.count_if(sane & ~enough).alias("cells_withheld"), F.count_if(sane & enough).alias("cells_published"), F.coalesce(F.sum(F.when(~sane, F.col("r"))), F.lit(0)).alias("records_dropped"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_BYTES, MAX_AGE_DAYS = 512 * 1024, 30  # fixed values
-_ID = "^[a-f0-9]{32}$"
+ID = "^[a-f0-9]{32}$"
 RECORD = "struct<area:string,network:string,band:string,samples:double,observedMs:double,rsrp:map<string,double>,sinr:map<string,double>,week:string>"
 
 
@@ -28,10 +28,10 @@ def validate_bundles(uploads: DataFrame, format_tag: str) -> DataFrame:
 def latest_submissions(uploads: DataFrame) -> DataFrame:
     """One upload per valid submission id, the newest; an upload's ``retire`` removes the earlier uploads of that id. Uploads
     without a valid id count each as a contributor of its own. Adds ``contributor``; the ids are taken off."""
-    valid = F.col("submission").rlike(_ID)
+    valid = F.col("submission").rlike(ID)
     named = uploads.where(F.coalesce(valid, F.lit(False)))
     newest = named.withColumn("_r", F.row_number().over(Window.partitionBy("submission").orderBy(F.desc("arrived_ms"), F.desc("path")))).where("_r = 1").drop("_r")
-    retired = named.where(F.col("retire").rlike(_ID)).groupBy(F.col("retire").alias("_retired")).agg(F.max("arrived_ms").alias("_at"))
+    retired = named.where(F.col("retire").rlike(ID)).groupBy(F.col("retire").alias("_retired")).agg(F.max("arrived_ms").alias("_at"))
     kept = newest.join(retired, (F.col("submission") == F.col("_retired")) & (F.col("arrived_ms") < F.col("_at")), "left_anti")
     rest = uploads.where(~F.coalesce(valid, F.lit(False)))
     return kept.withColumn("contributor", F.sha2("submission", 256)).unionByName(rest.withColumn("contributor", F.sha2("path", 256))).drop("submission", "retire")
