@@ -195,13 +195,31 @@ def tile_xy(lat: Column, lng: Column, zoom: int) -> tuple[Column, Column]:
     return clamp((lng + 180) / 360 * n), clamp((1 - F.ln(F.tan(phi) + 1 / F.cos(phi)) / math.pi) / 2 * n)
 
 
+BOX_TILES, FINEST_TILE = 16, 14  # tiles that a box is cut into at most (twice as many along its edges), finest zoom
+
+
+def _grid(v: Column, whole: float, offset: float, zoom: Column) -> Column:
+    """The tile that a coordinate lies in, of 2 ** zoom over the whole range."""
+    n = F.pow(F.lit(2.0), zoom)
+    return F.greatest(F.lit(0), F.least(n - 1, F.floor((v + offset) / whole * n))).cast("long")
+
+
 def locate_boxes(points: DataFrame, boxes: DataFrame, lat: str, lng: str) -> DataFrame:
-    """Points with the first box (name, west, south, east, north, ordinal) that holds them; a box may cross the antimeridian.
-    The boxes are a reference table of a few hundred rows: Catalyst broadcasts them by their size."""
-    inside = F.col(lat).between(F.col("south"), F.col("north")) & F.when(F.col("west") > F.col("east"), (F.col(lng) >= F.col("west")) | (F.col(lng) <= F.col("east"))).otherwise(F.col(lng).between(F.col("west"), F.col("east")))
-    keys = points.select(lat, lng).distinct()
-    best = keys.join(boxes, inside, "left").groupBy(lat, lng).agg(F.min_by("name", "ordinal").alias("name"))
-    return points.join(best, [lat, lng], "left")
+    """Points with the first box (name, west, south, east, north, ordinal) that holds them, edges included; a box may cross the
+    antimeridian. Each box is cut into the tiles of a quadtree of the zoom that suits its size, distinct points look up their tile
+    of each zoom in use (``FINEST_TILE`` + 1 of them at most), an equality join, and the bounds decide. Points without a place
+    get no name."""
+    whole = boxes.where("west <= east").union(boxes.where("west > east").withColumn("east", F.lit(180.0))).union(boxes.where("west > east").withColumn("west", F.lit(-180.0)))
+    side = F.greatest((F.col("east") - F.col("west")) / 360, (F.col("north") - F.col("south")) / 180)
+    zoom = F.greatest(F.lit(0.0), F.least(F.lit(float(FINEST_TILE)), F.floor(-F.log2(F.greatest(side, F.lit(1e-9))) + math.log2(BOX_TILES) / 2))).cast("int")
+    tiles = whole.withColumn("_z", zoom)
+    for axis, low, high, size in (("_x", "west", "east", 360.0), ("_y", "south", "north", 180.0)):
+        tiles = tiles.withColumn(axis, F.explode(F.sequence(_grid(F.col(low), size, size / 2, F.col("_z")), _grid(F.col(high), size, size / 2, F.col("_z")))))
+    zooms = [r[0] for r in tiles.select("_z").distinct().collect()]  # 15 at most
+    keys = points.where(F.col(lat).isNotNull() & F.col(lng).isNotNull()).select(lat, lng).distinct()
+    at = keys.withColumn("_z", F.explode(F.array(*map(F.lit, zooms)) if zooms else F.array().cast("array<int>"))).withColumns({"_x": _grid(F.col(lng), 360.0, 180.0, F.col("_z")), "_y": _grid(F.col(lat), 180.0, 90.0, F.col("_z"))})
+    met = at.join(tiles, ["_z", "_x", "_y"]).where(F.col(lat).between(F.col("south"), F.col("north")) & F.col(lng).between(F.col("west"), F.col("east")))
+    return points.join(met.groupBy(lat, lng).agg(F.min_by("name", "ordinal").alias("name")), [lat, lng], "left")
 
 
 def held(rows: DataFrame, keys: list[str], t: str, value: str, order: list[str], dwell: int) -> DataFrame:

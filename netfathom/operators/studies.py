@@ -244,3 +244,41 @@ def verdicts(pairs: DataFrame, changes: DataFrame, failures: DataFrame, keys: li
     a, b = (wilson(F.col(f"{arm}_failed") / F.col("pairs"), F.col("pairs")) for arm in ("case", "control"))
     invalid = (F.col("pairs") < least) | (F.col("case_failed") + F.col("control_failed") == 0)
     return g.withColumn("verdict", F.when(invalid, "invalid").when(a["lo"] > b["hi"], "harmful").when(a["hi"] < b["lo"], "protective").otherwise("no association"))
+
+
+def outcome_study(pairs: DataFrame, changes: DataFrame, outcomes: DataFrame, coverage: DataFrame, device: str = "device_id", sub: str = "sub_id", least: int = 20, blind: float = 0.30) -> DataFrame:
+    """The whole study over matched pairs: (label, pairs, per arm the windows with a failed probe, a lost route, a drop of service, any
+    of these, and the p50 and p90 of the latencies that succeeded, the median churns, invalid, verdict), overall and for cases of
+    one kind, sector or mast.
+
+    ``changes``: id, device, sub, wall_ms, kind, churn, is_return; ``outcomes``: device, sub, wall_ms, what (probe, route, service or
+    ok), latency_ms; one join of all within 36 s before to 6 s after a change, services only of the change's own subscription.
+    ``coverage``: one row (fresh_ms, span_ms). Invalid, in order: no fresh readings, too little coverage, too few returns, no pairs,
+    too few pairs of the label, no harm in either arm; then there is no verdict but that.
+    """
+    from .intervals import bucketed_range_join
+
+    spans = changes.select("id", device, F.col(sub).alias("_sub"), (F.col("wall_ms") - 36000).alias("lo"), (F.col("wall_ms") + 6000).alias("hi"))
+    met = bucketed_range_join(outcomes, spans, [device], "wall_ms", "lo", "hi", 60000).where((F.col("what") != "service") | (F.col(sub) == F.col("_sub")))
+    harms = ("probe", "route", "service")
+    flags = met.where("what <> 'ok'").groupBy("id").agg(*[F.max((F.col("what") == h).cast("int")).alias(h) for h in harms])
+    kinds = changes.select(F.col("id").alias("case_id"), "kind")
+    labels = F.explode(F.array(F.lit("overall"), F.col("kind"))).alias("label")
+    arms = pairs.join(kinds, "case_id").select(labels, F.inline(F.array(F.struct(F.lit("case").alias("arm"), F.col("case_id").alias("id")), F.struct(F.lit("control").alias("arm"), F.col("control_id").alias("id"))))).where("label in ('overall', 'sector', 'mast')")
+    rows = arms.join(changes.select("id", "churn"), "id").join(flags, "id", "left").fillna(0, list(harms)).withColumn("any", F.greatest(*harms))
+    by = ["label", "arm"]
+    tally = rows.groupBy(*by).agg(F.count("*").alias("n"), *[F.sum(h).alias(h) for h in (*harms, "any")])
+    waits = arms.join(met.where("what = 'ok'").select("id", "latency_ms"), "id")
+    tally = tally.join(percentiles(weighted_hist(waits, by, "latency_ms"), by, "latency_ms", "C", p50_ms=0.5, p90_ms=0.9), by, "left").join(percentiles(weighted_hist(rows, by, "churn"), by, "churn", "E", churn=0.5), by, "left")
+    names = [*harms, "any", "p50_ms", "p90_ms", "churn"]
+    every = changes.sparkSession.createDataFrame([("overall",), ("sector",), ("mast",)], "label string")
+    wide = tally.groupBy("label").agg(F.max("n").alias("pairs"), *[F.max(F.when(F.col("arm") == arm, F.col(c))).alias(f"{arm}_{c}") for arm in ("case", "control") for c in names])
+    out = every.join(wide, "label", "left").withColumn("pairs", F.coalesce("pairs", F.lit(0).cast("long")))
+    known = coverage.crossJoin(changes.agg(F.count_if("is_return").alias("_returns"))).crossJoin(pairs.agg(F.count("*").alias("_all")))  # one row each
+    out = out.crossJoin(F.broadcast(known))
+    share = F.when(F.col("span_ms") > 0, F.col("fresh_ms") / F.col("span_ms"))
+    harm = F.coalesce(F.col("case_any") + F.col("control_any"), F.lit(0))
+    invalid = F.when(F.coalesce("fresh_ms", F.lit(0)) == 0, "no fresh readings").when(F.coalesce(share, F.lit(0.0)) < blind, "coverage").when(F.col("_returns") < least, "few returns").when(F.col("_all") == 0, "no matches").when(F.col("pairs") < least, "few pairs").when(harm == 0, "no harm")
+    a, b = (wilson(F.col(f"{arm}_any") / F.col("pairs"), F.col("pairs")) for arm in ("case", "control"))
+    verdict = F.when(invalid.isNotNull(), "invalid").when(a["lo"] > b["hi"], "harmful").when(a["hi"] < b["lo"], "protective").otherwise("no association")
+    return out.select("label", "pairs", *[f"{arm}_{c}" for arm in ("case", "control") for c in names], invalid.alias("invalid"), verdict.alias("verdict"))

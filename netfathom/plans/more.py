@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import domain
 from ..functions import bands, radio
-from ..operators import studies
+from ..operators import studies, timeline
 from ..operators.lineage import cut
 from .core import _CHANGES, _FIXED, _cell_changes, _round, located
 from .coverage import _MATCHED, _pingpong
@@ -91,6 +91,43 @@ def pingpong_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return studies.verdicts(pairs, rows, fails, ["device_id"])
 
 
+def _changes_with_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = Window.partitionBy("device_id", "sub_id").orderBy("wall_ms", "id")
+    known = domain.radio(spark, sf_dir).withColumns({"_rat": F.lag("rat").over(by), "_ci": F.lag("ci").over(by)})
+    mast = lambda c: F.floor(F.col(c) / 256)
+    kinds = known.select("id", F.when((F.col("rat") != "LTE") | (F.col("_rat") != "LTE"), "undecomposable").when(mast("ci") == mast("_ci"), "sector").otherwise("mast").alias("kind"))
+    return cut(_pingpong(spark, sf_dir).join(kinds, "id"))  # the pairs, the windows and both arms read them
+
+
+@query(_MATCHED + f""", kd AS (SELECT id, ci, lag(rat) OVER w AS rat0, rat, lag(ci) OVER w AS ci0 FROM radio WINDOW w AS (PARTITION BY device_id, sub_id ORDER BY wall_ms, id)),
+kn AS (SELECT id, CASE WHEN rat <> 'LTE' OR rat0 <> 'LTE' THEN 'undecomposable' WHEN ci // 256 = ci0 // 256 THEN 'sector' ELSE 'mast' END AS kind FROM kd),
+oc AS (SELECT device_id, NULL::INT AS sub_id, wall_ms, CASE WHEN outcome = 'FAIL' THEN 'probe' ELSE 'ok' END AS what, latency_ms FROM probes WHERE net_id <> '' UNION ALL SELECT device_id, NULL, wall_ms, 'route', NULL FROM links WHERE transport = 'CELLULAR' AND NOT validated UNION ALL SELECT device_id, sub_id, wall_ms, 'service', NULL FROM regs WHERE reg_state = 'OUT_OF_SERVICE'),
+mt AS (SELECT pc.id, what, oc.latency_ms FROM pc JOIN oc ON oc.device_id = pc.device_id AND oc.wall_ms BETWEEN pc.t - 36000 AND pc.t + 6000 WHERE what <> 'service' OR oc.sub_id = pc.sub_id),
+fl AS (SELECT id, max((what = 'probe')::INT) AS probe, max((what = 'route')::INT) AS route, max((what = 'service')::INT) AS service FROM mt WHERE what <> 'ok' GROUP BY id),
+ar AS (SELECT label, x.arm, x.id FROM (SELECT unnest(['overall', kind]) AS label, case_id, control_id FROM pairs JOIN kn ON kn.id = case_id) p, LATERAL (SELECT 'case' AS arm, p.case_id AS id UNION ALL SELECT 'control', p.control_id) x WHERE label IN ('overall', 'sector', 'mast')),
+rw AS (SELECT ar.*, churn, coalesce(probe, 0) AS probe, coalesce(route, 0) AS route, coalesce(service, 0) AS service, greatest(coalesce(probe, 0), coalesce(route, 0), coalesce(service, 0)) AS harm FROM ar JOIN pc ON pc.id = ar.id LEFT JOIN fl ON fl.id = ar.id),
+tl AS (SELECT label, arm, count(*) AS n, CAST(sum(probe) AS BIGINT) AS probe, CAST(sum(route) AS BIGINT) AS route, CAST(sum(service) AS BIGINT) AS service, CAST(sum(harm) AS BIGINT) AS harm, list_sort(list(churn))[count(*) // 2 + 1] AS churn FROM rw GROUP BY ALL),
+wt AS (SELECT label, arm, list_sort(list(latency_ms)) AS l FROM ar JOIN mt ON mt.id = ar.id WHERE what = 'ok' GROUP BY ALL), lt AS (SELECT label, arm, l[CAST(floor((len(l) - 1) * 0.5::DOUBLE + 0.5) AS BIGINT) + 1] AS p50, l[CAST(floor((len(l) - 1) * 0.9::DOUBLE + 0.5) AS BIGINT) + 1] AS p90 FROM wt),
+cw AS (SELECT device_id, sub_id, wall_ms, greatest(0, least(30000, coalesce(lead(wall_ms) OVER (PARTITION BY device_id, sub_id ORDER BY wall_ms, id) - wall_ms, 0))) AS w FROM radio), sg AS (SELECT sum(w) AS w, max(wall_ms) - min(wall_ms) AS s FROM cw GROUP BY device_id, sub_id), cv AS (SELECT sum(w) AS fresh, sum(s) AS span FROM sg),
+tw AS (SELECT t.*, p50, p90 FROM tl t LEFT JOIN lt ON lt.label = t.label AND lt.arm = t.arm), a AS (SELECT * FROM tw WHERE arm = 'case'), b AS (SELECT * FROM tw WHERE arm = 'control'),
+jd AS (SELECT l.label, coalesce(a.n, 0) AS n, a.probe AS case_probe, a.route AS case_route, a.service AS case_service, a.harm AS ca, a.p50 AS case_p50_ms, a.p90 AS case_p90_ms, a.churn AS case_churn, b.probe AS control_probe, b.route AS control_route, b.service AS control_service, b.harm AS cb, b.p50 AS control_p50_ms, b.p90 AS control_p90_ms, b.churn AS control_churn,
+  CASE WHEN fresh = 0 THEN 'no fresh readings' WHEN coalesce(fresh / nullif(span, 0), 0) < 0.3::DOUBLE THEN 'coverage' WHEN (SELECT count(*) FROM pp WHERE is_return) < 20 THEN 'few returns' WHEN (SELECT count(*) FROM pairs) = 0 THEN 'no matches' WHEN coalesce(a.n, 0) < 20 THEN 'few pairs' WHEN a.harm + b.harm = 0 THEN 'no harm' END AS invalid
+  FROM (VALUES ('overall'), ('sector'), ('mast')) l(label) LEFT JOIN a ON a.label = l.label LEFT JOIN b ON b.label = l.label, cv)
+SELECT label, n AS pairs, case_probe, case_route, case_service, ca AS case_any, case_p50_ms, case_p90_ms, case_churn, control_probe, control_route, control_service, cb AS control_any, control_p50_ms, control_p90_ms, control_churn, invalid,
+  CASE WHEN invalid IS NOT NULL THEN 'invalid' WHEN {_wilson_sql('ca', '-')} > {_wilson_sql('cb', '+')} THEN 'harmful' WHEN {_wilson_sql('ca', '+')} < {_wilson_sql('cb', '-')} THEN 'protective' ELSE 'no association' END AS verdict FROM jd""")
+def pingpong_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ping-pong study over failed probes, lost routes and drops of service, with the coverage of the readings as a gate."""
+    changes = _changes_with_kind(spark, sf_dir)
+    pairs = studies.match_controls(changes.where("not is_return"), ["device_id", "sub_id"], "id", "churn", "pingpong", ["wall_ms", "id"])
+    none = lambda kind: F.lit(None).cast(kind)
+    probes = domain.probes(spark, sf_dir).where("net_id <> ''").select("device_id", none("int").alias("sub_id"), "wall_ms", F.when(F.col("outcome") == "FAIL", "probe").otherwise("ok").alias("what"), "latency_ms")
+    routes = domain.links(spark, sf_dir).where("transport = 'CELLULAR' and not validated").select("device_id", none("int"), "wall_ms", F.lit("route"), none("int"))
+    drops = domain.registrations(spark, sf_dir).where("reg_state = 'OUT_OF_SERVICE'").select("device_id", "sub_id", "wall_ms", F.lit("service"), none("int"))
+    weighted = timeline.time_weight(domain.radio(spark, sf_dir), ["device_id", "sub_id"], "wall_ms", ["id"])
+    coverage = timeline.coverage(weighted, ["device_id", "sub_id"]).agg(F.sum("observed_ms").alias("fresh_ms"), F.sum("span_ms").alias("span_ms"))
+    return studies.outcome_study(pairs, changes, probes.union(routes).union(drops), coverage)
+
+
 @query("""SELECT count(DISTINCT (plmn, ci // 256)) AS masts, count(DISTINCT (plmn, ci // 256, band, wall_ms // 3600000 % 24)) AS slots, count(*) AS samples, (SELECT count(*) FROM radio WHERE wall_ms > 2000000) AS behind
   FROM radio WHERE wall_ms <= 2000000 AND rat = 'LTE'""")
 def site_status(spark: SparkSession, sf_dir: str) -> DataFrame:
