@@ -25,12 +25,9 @@ BUCKETS = 64
 INDEX = "contributor string, arrived_ms long, retired_ms long, buckets array<long>, part_day long"
 
 
-def _bucket(*of: str):
-    return F.pmod(F.xxhash64(*of), F.lit(BUCKETS))
-
-
-def refresh(store: Store, name: str, uploads: DataFrame, format_tag: str, now_ms: int, max_age_days: int = MAX_AGE_DAYS) -> bool:
-    """Takes in ``uploads`` (path, arrived_ms, body); False if a refresh of that name was done."""
+def refresh(store: Store, name: str, uploads: DataFrame, format_tag: str, now_ms: int, max_age_days: int = MAX_AGE_DAYS, buckets: int = BUCKETS) -> bool:
+    """Takes in ``uploads`` (path, arrived_ms, body); False if a refresh of that name was done. A store keeps its number of buckets."""
+    _bucket = lambda *of: F.pmod(F.xxhash64(*of), F.lit(buckets))
     spark, now, oldest = store.spark, store.manifest(), now_ms - max_age_days * 86400000
     if name in now["deliveries"]:
         return False
@@ -49,7 +46,7 @@ def refresh(store: Store, name: str, uploads: DataFrame, format_tag: str, now_ms
     changed = cut(changed)
     records = records_of(come.join(changed.where("_taken").select("contributor"), "contributor", "left_semi")).withColumn("bucket", F.coalesce(F.when(F.col("area").isNotNull(), _bucket(*CELL)), F.lit(0)))
     records = brought = cut(records)
-    touched = {r[0] for r in records.select("bucket").distinct().union(changed.where("_ended").select(F.explode("buckets")).distinct()).distinct().collect()}  # at most BUCKETS
+    touched = {r[0] for r in records.select("bucket").distinct().union(changed.where("_ended").select(F.explode("buckets")).distinct()).distinct().collect()}  # at most ``buckets``
     old = store.parts("raw", "records", touched)
     held = store.read(old)
     ended = changed.where("_ended").select("contributor")
@@ -65,7 +62,7 @@ def refresh(store: Store, name: str, uploads: DataFrame, format_tag: str, now_ms
         each = crowd_stats(own, by=["part_day"])
         stats = store.written(each, "day", "stats", F.col("part_day"))
     spots = brought.groupBy("contributor").agg(F.array_sort(F.collect_set("bucket")).alias("_in"))
-    shelves = {r[0] for r in changed.select(_bucket("contributor")).distinct().collect()}  # at most BUCKETS
+    shelves = {r[0] for r in changed.select(_bucket("contributor")).distinct().collect()}  # at most ``buckets``
     shelf = store.parts("index", "bundles", shelves)
     rest = store.read(shelf)
     entries = changed.join(spots, "contributor", "left").select("contributor", F.when(F.col("_taken"), F.col("_came")).when(~F.col("_ended"), F.col("arrived_ms")).alias("arrived_ms"), F.when(F.col("retired_ms") >= oldest, F.col("retired_ms")).alias("retired_ms"), F.coalesce(F.when(F.col("_taken"), F.col("_in")).when(~F.col("_ended"), F.col("buckets")), F.array().cast("array<long>")).alias("buckets"))
