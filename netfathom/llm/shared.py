@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+HUBS, HUB_EDGES = 1024, 1000  # nodes of many edges that are broadcast at most; edges they have at least
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,11 +53,17 @@ def components(edges: DataFrame) -> DataFrame:
     stay as they are; each brings every node's neighbours nearer to the root, so that comes.
     """
 
-    def star(pairs: DataFrame, larger: bool) -> DataFrame:
+    def star(pairs: DataFrame, larger: bool, total: int) -> DataFrame:
         both = pairs.union(pairs.select("b", "a")) if larger else pairs
         both = both.toDF("u", "v")
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        out = both.join(least, "u")
+        many = max(HUB_EDGES, 2 * total // HUBS)
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        # a node of very many edges, as the root of a large group is, would send them to one task: such nodes, HUBS at most, come to
+        # their edges instead
+        hubs = F.broadcast(least.where(F.col("n") >= many).select("u", F.col("m").alias("_hub")))
+        told = both.join(hubs, "u", "left")
+        rest = told.where("_hub is null").select("u", "v").join(least.where(F.col("n") < many).select("u", "m"), "u")
+        out = told.where("_hub is not null").select("u", "v", F.col("_hub").alias("m")).union(rest.select("u", "v", "m"))
         if larger:
             out = out.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
@@ -68,8 +77,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(now)
     seen = mark(now)
     while seen[0]:
-        grown = star(now, True).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        now = cut(star(grown, False).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        grown = cut(star(now, True, seen[0]).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+        now = cut(star(grown, False, seen[0]).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         last, seen = seen, mark(now)
         if seen == last:
             break

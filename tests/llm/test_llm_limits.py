@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from netfathom.llm import decontamination, language_id, packing, quality_classifier
+from netfathom.llm import decontamination, language_id, packing, quality_classifier, shared
 from netfathom.llm.quality_classifier import STYLES
 
 
@@ -157,3 +157,16 @@ def test_whole_scoring_against_a_plain_version(spark):
         mine = got[r["doc_id"]]
         assert mine["score"] == pytest.approx(x, abs=1e-4) and mine["expected_grade"] == pytest.approx(sum(tails), abs=1e-4) and mine["p_top"] == pytest.approx(tails[-1], abs=1e-4)
         assert mine["selected"] == (mine["p_top"] >= 0.5)
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HUB_EDGES", 3)
+    rnd = random.Random(6)
+    edges = [(0, k) for k in range(1, 60)] + [(100, 100 + k) for k in range(1, 9)] + [(108, 200), (200, 201), (59, 300)] + [(rnd.randrange(400, 460), rnd.randrange(400, 460)) for _ in range(50)]
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = {r["node"]: r["root"] for r in shared.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == root
