@@ -141,8 +141,8 @@ def merge_walk(leaves: DataFrame, sides: DataFrame, outcome_of: Outcome, k: int
         published.append(fate.where("startswith(reason, 'held')").select(*names, "outcome"))
         rising = fate.where("startswith(reason, 'merged')")
         sides = cut(moved(sides, rising))
-        up = rising.withColumn("cell", F.col("place")).select(*names).union(native.where(at == res - 1))
-        now = combine(up, ["cell", "plmn"], units, F.max("reason").alias("reason")).withColumn("units", F.least("units", F.lit(7 ** (hexgrid.FINEST - res + 1)))).select(*names)
+        risen = combine(rising.withColumn("cell", F.col("place")), ["cell", "plmn"], units, F.max("reason").alias("reason"))
+        now = combine(risen.select(*names).union(native.where(at == res - 1)), ["cell", "plmn"], units, F.max("reason").alias("reason")).withColumn("units", F.least("units", F.lit(7 ** (hexgrid.FINEST - res + 1)))).select(*names)
     last = outcome_of(now, sides.where(at == hexgrid.COARSEST)).select(*names, "outcome")
     return reduce(DataFrame.union, [*published, last]), sides
 

@@ -97,7 +97,8 @@ g{r} AS (SELECT * RENAME (place AS cell) FROM ({_combined_sql(f'q{r}', 'place',
 ab{r} AS (SELECT {parent_sql('cell', r)} AS cell, plmn, measure, value, CAST(sum(weight) AS BIGINT) AS weight FROM here{r} GROUP BY ALL)""" + _classes(f"w{r}", f"g{r}", f"ab{r}", "s.cell, units, plmns, thin, outcomes, overlap, worst".replace("s.cell", "cell"))
         out += f""", f{r} AS (SELECT q.* EXCLUDE (reason), CASE WHEN w.units / {float(7 ** (11 - r))}::DOUBLE < 0.35::DOUBLE THEN 'held: surveyed too little' WHEN plmns > 1 THEN 'held: several networks' WHEN thin THEN 'merged: thin' WHEN outcomes > 1 THEN 'held: outcomes differ' WHEN NOT overlap THEN 'held: intervals apart' WHEN coalesce(worst > {severity('w.outcome')}, false) THEN 'held: a worse bin' ELSE 'merged: alike' END AS reason FROM q{r} q JOIN w{r} w ON w.cell = q.place),
 sd{r - 1} AS (SELECT coalesce(f.place, s.cell) AS cell, s.plmn, measure, value, CAST(sum(weight) AS BIGINT) AS weight FROM sd{r} s LEFT JOIN f{r} f ON f.cell = s.cell AND f.plmn = s.plmn AND starts_with(f.reason, 'merged') GROUP BY ALL),
-u{r} AS (SELECT place AS cell, {", ".join(_ALL[1:])} FROM f{r} WHERE starts_with(reason, 'merged') UNION ALL SELECT {", ".join(_ALL)} FROM nv WHERE res = {r - 1}),
+m{r} AS (SELECT place AS cell, {", ".join(_ALL[1:])} FROM f{r} WHERE starts_with(reason, 'merged')),
+u{r} AS (SELECT {", ".join(_ALL)} FROM ({_combined_sql(f'm{r}', 'cell, plmn', 'max(reason) AS reason')}) w UNION ALL SELECT {", ".join(_ALL)} FROM nv WHERE res = {r - 1}),
 now{r - 1} AS (SELECT * REPLACE (least(units, {7 ** (11 - r)}) AS units) FROM ({_combined_sql(f'u{r}', 'cell, plmn', 'max(reason) AS reason')}) w)"""
     out += _classes("k6", "now6", "sd6", ", ".join([*_ALL, "cause_share"]))
     columns = ", ".join([*_ALL, "cause_share", "outcome"])
