@@ -124,7 +124,7 @@ def test_contamination(spark, docs, none):
         w, hit, items = word.findall(lower(x)), set(), set()
         for m in {len(p) for p in windows}:
             for j in range(len(w) - m + 1):
-                if own := windows.get(tuple(w[j : j + m])):
+                if (own := windows.get(tuple(w[j : j + m]))) is not None:
                     hit |= set(range(j, j + m))
                     items |= own
         want[d] = (len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit))
