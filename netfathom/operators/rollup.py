@@ -33,9 +33,9 @@ def tally(df: DataFrame, keys: list[str], t: str, value: str) -> DataFrame:
 
 
 def bit_counts(df: DataFrame, keys: list[str], flags: str, bits: int) -> DataFrame:
-    """(keys, bit, n): how many rows have each bit of a mask set."""
-    rows = df.select(*keys, flags, F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("bit"))
-    return rows.where(F.expr(f"({flags} & shiftleft(1, bit)) <> 0")).groupBy(*keys, "bit").agg(F.count("*").alias("n"))
+    """(keys, bit, n): how many rows have each bit of a mask set; a sum for each bit, so rows are not copied."""
+    sums = df.groupBy(*keys).agg(*[F.sum(F.expr(f"cast(shiftright({flags}, {k}) & 1 as bigint)")).alias(f"_{k}") for k in range(bits)])
+    return sums.select(*keys, F.inline(F.array(*[F.struct(F.lit(k).alias("bit"), F.col(f"_{k}").alias("n")) for k in range(bits)]))).where("n > 0")
 
 
 def bucket_stats(buckets: DataFrame, hist: DataFrame, keys: list[str], value: str) -> DataFrame:
